@@ -166,4 +166,8 @@ def with_ctes(body: str, extra: dict[str, str] | None = None) -> str:
             visit(n)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({pool[n]})" for n in order) + "\n" + body
+    head = "WITH " + ",\n".join(f"{n} AS ({pool[n]})" for n in order)
+    m = re.match(r"\s*WITH\s+", body, flags=re.IGNORECASE)
+    if m:  # the body brings its own CTEs: append them after ours
+        return head + ",\n" + body[m.end():]
+    return head + "\n" + body

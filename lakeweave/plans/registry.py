@@ -150,3 +150,388 @@ def _a5(spark, d):
            AND p_size BETWEEN 1 AND 15)""")
 def _a6(spark, d):
     return rounded(bm.q19(spark, d), ["revenue"])
+
+
+# ---------------------------------------------------------------------------
+# Step 1: remaining aggregates, joins, predicates, top-k, scalar functions
+# ---------------------------------------------------------------------------
+
+from lakeweave.functions import columns as fn  # noqa: E402
+from lakeweave.operators import tables as tbl  # noqa: E402
+from lakeweave.sources import generators as gen  # noqa: E402
+
+CUTOFF = "1998-01-01"
+
+
+def customer_regions(spark, d):
+    """stg customers with their region name (nation is a 25-row dimension)."""
+    nat = (src.read_table(spark, d, "nation").join(F.broadcast(src.read_table(spark, d, "region")),
+                                                     F.col("n_regionkey") == F.col("r_regionkey"), "left")
+           .select(F.upper("n_name").alias("country"), F.col("r_name").alias("region")))
+    return stg_customers_df(spark, d).join(F.broadcast(nat), "country", "left") \
+                                     .select("customer_id", "email", "region")
+
+
+CUSTOMER_REGIONS_SQL = """
+    SELECT s.customer_id, s.email, r_name AS region
+    FROM stg_customers s LEFT JOIN (SELECT upper(n_name) AS country, r_name FROM nation_names) n
+      ON s.country = n.country"""
+
+
+@register("a7_count_by_status", "SELECT status, count(*) AS row_count FROM fct_orders GROUP BY status")
+def _a7(spark, d):
+    return mdl.count_by(fct_df(spark, d), ["status"])
+
+
+@register("a8_distinct_customers", """
+    SELECT count(*) AS row_count, count(customer_id) AS non_null, count(DISTINCT customer_id) AS distinct_count
+    FROM fct_orders""")
+def _a8(spark, d):
+    return mdl.distinct_stats(fct_df(spark, d), "customer_id")
+
+
+@register("a9_min_max_marks", """
+    SELECT min(order_date) AS first_order_date, max(order_date) AS last_order_date,
+           max(updated_at) AS max_updated_at, max(_ingested_at) AS max_ingested_at FROM fct_orders""")
+def _a9(spark, d):
+    return fct_df(spark, d).agg(F.min("order_date").alias("first_order_date"),
+                                F.max("order_date").alias("last_order_date"),
+                                F.max("updated_at").alias("max_updated_at"),
+                                F.max("_ingested_at").alias("max_ingested_at"))
+
+
+@register("a10_reconcile_raw_vs_mart", """
+    SELECT a.rows_a, b.rows_b, round(abs(coalesce(a.s, 0) - coalesce(b.s, 0)), 2) AS diff_total_amount,
+           a.rows_a = b.rows_b AND abs(coalesce(a.s, 0) - coalesce(b.s, 0)) < 0.01 AS passed
+    FROM (SELECT count(*) AS rows_a, sum(total_amount) AS s FROM raw_orders) a,
+         (SELECT count(*) AS rows_b, sum(total_amount_usd) AS s FROM fct_orders) b""")
+def _a10(spark, d):
+    r = mdl.reconcile(src.raw_orders(spark, d), fct_df(spark, d), [("total_amount", "total_amount_usd")])
+    return rounded(r, ["diff_total_amount"])
+
+
+@register("a11_customer_mart", f"""
+    WITH cr AS ({CUSTOMER_REGIONS_SQL}),
+    agg AS (SELECT customer_id, sum(total_amount_usd) AS total_revenue, count(*) AS order_count,
+                   min(order_date) AS first_order_date, max(order_date) AS last_order_date
+            FROM fct_orders GROUP BY customer_id)
+    SELECT agg.customer_id, round(total_revenue, 2) AS total_revenue, order_count, first_order_date,
+           last_order_date, cr.region, cr.email
+    FROM agg LEFT JOIN cr ON agg.customer_id = cr.customer_id""")
+def _a11(spark, d):
+    return rounded(mdl.customer_mart(fct_df(spark, d), customer_regions(spark, d)), ["total_revenue"])
+
+
+@register("j3_orphan_orders", """
+    SELECT order_id, customer_id FROM fct_orders f
+    WHERE NOT EXISTS (SELECT 1 FROM dim_customers d WHERE d.customer_id = f.customer_id)""")
+def _j3(spark, d):
+    return mdl.orphans(fct_df(spark, d), dim_df(spark, d), "customer_id").select("order_id", "customer_id")
+
+
+@register("q13_revenue_not_positive", """
+    SELECT order_id, total_amount_usd FROM fct_orders WHERE is_completed = TRUE AND total_amount_usd <= 0""")
+def _q13(spark, d):
+    return mdl.revenue_not_positive(fct_df(spark, d))
+
+
+@register("k2_top5_customers_by_revenue", """
+    SELECT c_custkey AS customer_id, c_name, CAST(500 + (c_custkey * 137) % 99500 AS DECIMAL(12,2)) AS annual_revenue
+    FROM customer ORDER BY annual_revenue DESC, customer_id LIMIT 5""")
+def _k2(spark, d):
+    keys = src.read_table(spark, d, "customer").select(F.col("c_custkey").alias("seq"), "c_name")
+    cur = gen.generate_customers(keys)
+    return cur.select("customer_id", "c_name", "annual_revenue") \
+              .orderBy(F.col("annual_revenue").desc(), F.col("customer_id")).limit(5)
+
+
+@register("k4_sample_rows", """
+    SELECT order_id, status, total_amount_usd FROM fct_orders
+    ORDER BY md5(order_id), order_id LIMIT 100""")
+def _k4(spark, d):
+    f = fct_df(spark, d)
+    return rounded(f.orderBy(F.md5("order_id"), "order_id").limit(100)
+                   .select("order_id", "status", "total_amount_usd"), ["total_amount_usd"])
+
+
+@register("p4_surrogate_key_items", """
+    SELECT item_id, md5(coalesce(CAST(order_id AS VARCHAR), '_null_') || '|' || coalesce(CAST(line_number AS VARCHAR), '_null_')
+                        || '|' || coalesce(CAST(product_id AS VARCHAR), '_null_')) AS item_key
+    FROM order_items""")
+def _p4(spark, d):
+    oi = src.order_items(spark, d)
+    return oi.select("item_id", fn.surrogate_key(["order_id", "line_number", "product_id"]).alias("item_key"))
+
+
+@register("p5_safe_divide", """
+    SELECT status, round(CASE WHEN count(CASE WHEN is_completed THEN 1 END) = 0 THEN 0.0
+                              ELSE sum(total_amount_usd) / count(CASE WHEN is_completed THEN 1 END) END, 4) AS revenue_per_completed
+    FROM fct_orders GROUP BY status""")
+def _p5(spark, d):
+    f = fct_df(spark, d)
+    r = f.groupBy("status").agg(fn.safe_divide(F.sum("total_amount_usd"),
+                                               F.count(F.when(F.col("is_completed"), 1))).alias("revenue_per_completed"))
+    return rounded(r, ["revenue_per_completed"], 4)
+
+
+@register("p6_predicates", """
+    SELECT l_returnflag, count(*) AS n FROM lineitem
+    WHERE l_quantity BETWEEN 5 AND 25 AND l_linestatus IN ('O', 'F')
+      AND ((l_discount >= 0.05 AND l_tax < 0.04) OR (l_returnflag = 'R' AND l_extendedprice > 20000))
+    GROUP BY l_returnflag""")
+def _p6(spark, d):
+    li = src.read_table(spark, d, "lineitem")
+    pred = (F.col("l_quantity").between(5, 25) & F.col("l_linestatus").isin("O", "F")
+            & (((F.col("l_discount") >= 0.05) & (F.col("l_tax") < 0.04))
+               | ((F.col("l_returnflag") == "R") & (F.col("l_extendedprice") > 20000))))
+    return li.filter(pred).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("p8_since_7_days", """
+    SELECT query_id, username, "timestamp" FROM audit_queries
+    WHERE "timestamp" >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY""")
+def _p8(spark, d):
+    a = src.audit_queries(spark, d)
+    return a.filter(fn.since("timestamp", 7, "2024-01-31 00:00:00")).select("query_id", "username", "timestamp")
+
+
+@register("f_scalar_functions", """
+    SELECT order_id,
+           upper(trim(status)) || '/' || lower(currency) AS status_currency,
+           lpad(CAST(CAST(order_id AS BIGINT) % 1000 AS VARCHAR), 5, '0') AS padded,
+           CAST(order_id AS BIGINT) // 7 AS div7,
+           CAST(order_id AS BIGINT) % 7 AS mod7,
+           (['bronze', 'silver', 'gold', 'platinum'])[CAST(CAST(order_id AS BIGINT) % 4 + 1 AS INTEGER)] AS tier,
+           CAST(date_trunc('month', order_date) AS DATE) AS order_month,
+           CAST(order_date + INTERVAL 30 DAY AS DATE) AS due_date,
+           coalesce(country, 'unknown') AS country,
+           CASE WHEN total_amount_usd > 100000 THEN 'large' ELSE 'small' END AS size_class,
+           sha256(order_id) AS order_hash,
+           regexp_matches(customer_id, '^CUST-[0-9]{6,12}$') AS id_ok,
+           CAST(CAST(order_id AS BIGINT) - (CAST(order_id AS BIGINT) % 1000) AS BIGINT) AS order_bucket
+    FROM fct_orders""")
+def _f(spark, d):
+    f = fct_df(spark, d)
+    oid = F.col("order_id").cast("bigint")
+    return f.select(
+        "order_id",
+        F.concat(F.upper(F.trim("status")), F.lit("/"), F.lower("currency")).alias("status_currency"),
+        F.lpad((oid % 1000).cast("string"), 5, "0").alias("padded"),
+        F.expr("CAST(order_id AS BIGINT) div 7").alias("div7"),
+        (oid % 7).alias("mod7"),
+        F.element_at(F.array(*[F.lit(t) for t in gen.LOYALTY_TIERS]), (oid % 4 + 1).cast("int")).alias("tier"),
+        F.trunc("order_date", "month").alias("order_month"),
+        F.date_add("order_date", 30).alias("due_date"),
+        F.coalesce("country", F.lit("unknown")).alias("country"),
+        F.when(F.col("total_amount_usd") > 100000, "large").otherwise("small").alias("size_class"),
+        F.sha2("order_id", 256).alias("order_hash"),
+        F.col("customer_id").rlike(r"^CUST-[0-9]{6,12}$").alias("id_ok"),
+        fn.truncate_bucket(oid, 1000).alias("order_bucket"),
+    )
+
+
+# ---------------------------------------------------------------------------
+# Step 2: merge, incremental build, dedupe, time travel, history, maintenance
+# ---------------------------------------------------------------------------
+
+def _fct_batch1(spark, d):
+    raw1 = src.raw_orders(spark, d).filter(F.col("order_date") < CUTOFF)
+    return mdl.fct_orders(mdl.stg_orders(raw1), dim_df(spark, d))
+
+
+@register("t1_merge_upsert", f"""
+    WITH tgt AS (SELECT * FROM fct_orders WHERE order_date < DATE '{CUTOFF}'),
+    upd AS (SELECT * FROM fct_orders WHERE order_date >= DATE '{CUTOFF}'
+            UNION ALL
+            SELECT * REPLACE (total_amount_usd + 100 AS total_amount_usd) FROM fct_orders
+            WHERE order_date < DATE '{CUTOFF}' AND CAST(order_id AS BIGINT) % 9 = 0)
+    SELECT order_id, status, round(total_amount_usd, 2) AS total_amount_usd, country FROM (
+      SELECT * FROM tgt WHERE NOT EXISTS (SELECT 1 FROM upd WHERE upd.order_id = tgt.order_id)
+      UNION ALL SELECT * FROM upd)""")
+def _t1(spark, d):
+    full = fct_df(spark, d)
+    target = _fct_batch1(spark, d)
+    upd = full.filter(F.col("order_date") >= CUTOFF).unionByName(
+        full.filter((F.col("order_date") < CUTOFF) & (F.col("order_id").cast("bigint") % 9 == 0))
+            .withColumn("total_amount_usd", F.col("total_amount_usd") + 100))
+    m = tbl.merge_upsert(target, upd, ["order_id"])
+    return rounded(m.select("order_id", "status", "total_amount_usd", "country"), ["total_amount_usd"])
+
+
+@register("t3_fct_orders_incremental", "SELECT * FROM fct_orders")
+def _t3i(spark, d):
+    existing = _fct_batch1(spark, d)
+    inc = mdl.fct_orders(stg_orders_df(spark, d), dim_df(spark, d), existing=existing)
+    return rounded(inc, ["total_amount_usd"])
+
+
+@register("w1_dedupe_order_items", """
+    SELECT * FROM order_items
+    QUALIFY row_number() OVER (PARTITION BY order_id, line_number
+                               ORDER BY updated_at DESC, item_id DESC, product_id DESC, quantity DESC,
+                                        unit_price DESC, discount_pct DESC, total_price DESC) = 1""")
+def _w1(spark, d):
+    # per-row arithmetic is bit-identical in both engines: no rounding needed
+    return tbl.dedupe_latest(src.order_items(spark, d), ["order_id", "line_number"], ["updated_at"])
+
+
+def changes_df(spark, d):
+    return tbl.order_changes(src.read_table(spark, d, "orders"))
+
+
+@register("t4_as_of_version", """
+    SELECT order_id, version, committed_at, customer_id, status, round(amount, 2) AS amount FROM order_changes
+    WHERE version <= 60
+    QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY version DESC) = 1 AND op <> 'D'""")
+def _t4v(spark, d):
+    return rounded(tbl.as_of(changes_df(spark, d), ["order_id"], version=60), ["amount"])
+
+
+@register("t4_as_of_timestamp", """
+    SELECT order_id, version, committed_at, customer_id, status, round(amount, 2) AS amount FROM order_changes
+    WHERE committed_at <= TIMESTAMP '2000-06-30 00:00:00'
+    QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY version DESC) = 1 AND op <> 'D'""")
+def _t4t(spark, d):
+    return rounded(tbl.as_of(changes_df(spark, d), ["order_id"], ts="2000-06-30 00:00:00"), ["amount"])
+
+
+SNAPSHOTS_SQL = """
+    SELECT version AS snapshot_id, min(committed_at) AS committed_at,
+           CAST(sum(CASE WHEN op = 'I' THEN 1 ELSE 0 END) AS BIGINT) AS added_records,
+           CAST(sum(CASE WHEN op = 'U' THEN 1 ELSE 0 END) AS BIGINT) AS updated_records,
+           CAST(sum(CASE WHEN op = 'D' THEN 1 ELSE 0 END) AS BIGINT) AS deleted_records,
+           'orders' AS table_name
+    FROM order_changes GROUP BY version"""
+
+
+@register("s16_snapshot_log", SNAPSHOTS_SQL)
+def _s16(spark, d):
+    return tbl.snapshot_log(changes_df(spark, d))
+
+
+@register("k3_latest_snapshots", SNAPSHOTS_SQL + " ORDER BY committed_at DESC, snapshot_id DESC LIMIT 5")
+def _k3(spark, d):
+    return tbl.snapshot_log(changes_df(spark, d)).orderBy(F.col("committed_at").desc(),
+                                                          F.col("snapshot_id").desc()).limit(5)
+
+
+@register("t5_expirable_snapshots", f"""
+    WITH s AS ({SNAPSHOTS_SQL})
+    SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY committed_at DESC, snapshot_id DESC) AS recency_rank,
+           row_number() OVER (PARTITION BY table_name ORDER BY committed_at DESC, snapshot_id DESC) > 5
+             AND committed_at < TIMESTAMP '2001-12-01 00:00:00' - INTERVAL 7 DAY AS expire
+    FROM s""")
+def _t5(spark, d):
+    return tbl.expirable(tbl.snapshot_log(changes_df(spark, d)), "2001-12-01 00:00:00", 7, 5)
+
+
+@register("w8_scd2_order_status", """
+    WITH c AS (SELECT * FROM order_changes WHERE op <> 'D'),
+    m AS (SELECT *, lag(status) OVER (PARTITION BY order_id ORDER BY committed_at) AS prev_status,
+                 row_number() OVER (PARTITION BY order_id ORDER BY committed_at) AS rn FROM c),
+    k AS (SELECT order_id, version, committed_at, op, customer_id, status, amount FROM m
+          WHERE rn = 1 OR prev_status IS DISTINCT FROM status)
+    SELECT order_id, version, committed_at, op, customer_id, status, round(amount, 2) AS amount,
+           committed_at AS valid_from,
+           lead(committed_at) OVER (PARTITION BY order_id ORDER BY committed_at) AS valid_to,
+           lead(committed_at) OVER (PARTITION BY order_id ORDER BY committed_at) IS NULL AS is_current
+    FROM k""")
+def _w8(spark, d):
+    c = changes_df(spark, d).filter(F.col("op") != "D")
+    return rounded(tbl.scd2(c, ["order_id"], "committed_at", ["status"]), ["amount"])
+
+
+FILES_SQL = """
+    SELECT 'lineitem/ship_month=' || partition || '/chunk-' || CAST(chunk AS VARCHAR) || '.parquet' AS path,
+           partition, n * 120 AS size_bytes, modified_at
+    FROM (SELECT strftime(l_shipdate, '%Y-%m') AS partition, CAST(floor(l_orderkey / 1000) AS BIGINT) AS chunk,
+                 count(*) AS n, max(l_shipdate) AS modified_at
+          FROM lineitem GROUP BY 1, 2)"""
+
+
+def files_df(spark, d):
+    return tbl.lineitem_files(src.read_table(spark, d, "lineitem"))
+
+
+@register("t6_orphan_files", f"""
+    WITH f AS ({FILES_SQL})
+    SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f r WHERE r.path = f.path AND (r.size_bytes / 120) % 7 <> 0)
+      AND modified_at < TIMESTAMP '2001-12-01 00:00:00' - INTERVAL 3 DAY""")
+def _t6(spark, d):
+    f = files_df(spark, d)
+    referenced = f.filter((F.col("size_bytes") / 120) % 7 != 0)
+    return tbl.orphan_files(f, referenced, "2001-12-01 00:00:00", 3)
+
+
+@register("t7_compaction_plan", f"""
+    WITH f AS ({FILES_SQL}),
+    c AS (SELECT *, count(*) OVER (PARTITION BY partition) AS files_in_partition FROM f)
+    SELECT *, sum(size_bytes) OVER (PARTITION BY partition ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_bytes,
+           CAST(floor((sum(size_bytes) OVER (PARTITION BY partition ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                       - size_bytes) / 50000) AS BIGINT) AS rewrite_group
+    FROM c WHERE files_in_partition >= 10""")
+def _t7(spark, d):
+    return tbl.compaction_plan(files_df(spark, d), min_files=10, target_bytes=50_000)
+
+
+@register("t8_diff_versions", """
+    WITH a AS (SELECT * EXCLUDE (op) FROM order_changes WHERE version <= 60
+               QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY version DESC) = 1 AND op <> 'D'),
+    b AS (SELECT * EXCLUDE (op) FROM order_changes WHERE version <= 61
+          QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY version DESC) = 1 AND op <> 'D')
+    SELECT coalesce(b.order_id, a.order_id) AS order_id,
+           CASE WHEN a.order_id IS NULL THEN 'inserted' WHEN b.order_id IS NULL THEN 'deleted' ELSE 'updated' END AS change_type,
+           coalesce(b.version, a.version) AS version, coalesce(b.committed_at, a.committed_at) AS committed_at,
+           coalesce(b.customer_id, a.customer_id) AS customer_id, coalesce(b.status, a.status) AS status,
+           round(coalesce(b.amount, a.amount), 2) AS amount
+    FROM a FULL OUTER JOIN b ON a.order_id = b.order_id
+    WHERE a.order_id IS NULL OR b.order_id IS NULL
+       OR a.version IS DISTINCT FROM b.version OR a.status IS DISTINCT FROM b.status
+       OR a.amount IS DISTINCT FROM b.amount OR a.customer_id IS DISTINCT FROM b.customer_id
+       OR a.committed_at IS DISTINCT FROM b.committed_at""")
+def _t8(spark, d):
+    c = changes_df(spark, d)
+    a = tbl.as_of(c, ["order_id"], version=60)
+    b = tbl.as_of(c, ["order_id"], version=61)
+    return rounded(tbl.diff_versions(a, b, ["order_id"]), ["amount"])
+
+
+@register("t9_retention", """
+    WITH a AS (SELECT *, CASE tenant_id WHEN 'tenant_a' THEN 'raw' WHEN 'tenant_b' THEN 'staging' ELSE 'curated' END AS layer
+               FROM audit_queries),
+    p AS (SELECT * FROM (VALUES ('raw', 90), ('staging', 30), ('curated', NULL), ('quarantine', 30), ('audit', 2555))
+          AS t(layer, retention_days))
+    SELECT query_id, layer, "timestamp", ranger_decision FROM a LEFT JOIN p USING (layer)
+    WHERE p.retention_days IS NULL
+       OR "timestamp" >= TIMESTAMP '2024-02-15 00:00:00' - to_days(CAST(p.retention_days AS INTEGER))
+       OR ranger_decision = 'DENY'""")
+def _t9(spark, d):
+    a = src.audit_queries(spark, d).withColumn(
+        "layer", F.when(F.col("tenant_id") == "tenant_a", "raw").when(F.col("tenant_id") == "tenant_b", "staging")
+        .otherwise("curated")).withColumn("hold", F.col("ranger_decision") == "DENY")
+    kept = tbl.apply_retention(a, "timestamp", "layer", tbl.retention_policy(spark), "2024-02-15 00:00:00", "hold")
+    return kept.select("query_id", "layer", "timestamp", "ranger_decision")
+
+
+@register("t10_describe_tables")
+def _t10(spark, d):
+    return tbl.describe_tables(spark, d, ["customer", "orders", "lineitem", "part", "nation", "region"])
+
+
+@register("a14_maintenance_report", f"""
+    WITH s AS ({SNAPSHOTS_SQL}),
+    e AS (SELECT table_name FROM s QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY committed_at DESC, snapshot_id DESC) > 5
+          AND committed_at < TIMESTAMP '2001-12-01 00:00:00' - INTERVAL 7 DAY),
+    f AS ({FILES_SQL}),
+    o AS (SELECT * FROM f WHERE (size_bytes / 120) % 7 = 0 AND modified_at < TIMESTAMP '2001-12-01 00:00:00' - INTERVAL 3 DAY),
+    c AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY partition) AS k FROM f) WHERE k >= 10)
+    SELECT table_name, 'expire_snapshots' AS action, count(*) AS n FROM e GROUP BY table_name
+    UNION ALL SELECT regexp_extract(path, '^([^/]+)/', 1), 'remove_orphan_files', count(*) FROM o GROUP BY 1
+    UNION ALL SELECT regexp_extract(path, '^([^/]+)/', 1), 'rewrite_data_files', count(*) FROM c GROUP BY 1""")
+def _a14(spark, d):
+    now = "2001-12-01 00:00:00"
+    exp = tbl.expirable(tbl.snapshot_log(changes_df(spark, d)), now, 7, 5)
+    f = files_df(spark, d)
+    orph = tbl.orphan_files(f, f.filter((F.col("size_bytes") / 120) % 7 != 0), now, 3)
+    plan = tbl.compaction_plan(f, 10, 50_000)
+    return tbl.maintenance_report(exp, orph, plan)
