@@ -535,3 +535,243 @@ def _a14(spark, d):
     orph = tbl.orphan_files(f, f.filter((F.col("size_bytes") / 120) % 7 != 0), now, 3)
     plan = tbl.compaction_plan(f, 10, 50_000)
     return tbl.maintenance_report(exp, orph, plan)
+
+
+# ---------------------------------------------------------------------------
+# Step 3: data quality
+# ---------------------------------------------------------------------------
+
+from lakeweave.operators import quality as qa  # noqa: E402
+from lakeweave.operators import suites as S  # noqa: E402
+from lakeweave.plans.quality_sql import row_failures_sql, suite_sql  # noqa: E402
+
+RAW_EVENTS_COLS = ["event_id", "event_timestamp", "source_system", "ingestion_timestamp", "payload"]
+STG_ASSET_COLS = ["order_id", "customer_id", "order_date", "status", "total_amount_usd", "currency",
+                  "is_completed", "updated_at", "_ingested_at", "order_amount", "_dbt_source_relation"]
+MART_COLS = ["customer_id", "total_revenue", "order_count", "first_order_date", "last_order_date", "region", "email"]
+STG_ASSET_SQL = "SELECT *, total_amount_usd AS order_amount, 'stg_orders' AS _dbt_source_relation FROM stg_orders"
+MART_SQL = """
+    SELECT a.customer_id, a.total_revenue, a.order_count, a.first_order_date, a.last_order_date, cr.region, cr.email
+    FROM (SELECT customer_id, sum(total_amount_usd) AS total_revenue, count(*) AS order_count,
+                 min(order_date) AS first_order_date, max(order_date) AS last_order_date
+          FROM fct_orders GROUP BY customer_id) a
+    LEFT JOIN (""" + CUSTOMER_REGIONS_SQL + """) cr ON a.customer_id = cr.customer_id"""
+
+
+def stg_asset(spark, d):
+    """The staging suite bound to stg_orders (FIXTURES.md §2, D14)."""
+    return stg_orders_df(spark, d).withColumn("order_amount", F.col("total_amount_usd")) \
+                                  .withColumn("_dbt_source_relation", F.lit("stg_orders"))
+
+
+def mart_asset(spark, d):
+    return mdl.customer_mart(fct_df(spark, d), customer_regions(spark, d))
+
+
+def _qround(df):
+    return rounded(df, ["observed_value"], 6)
+
+
+def _round_obs(sql: str) -> str:
+    return f"SELECT * REPLACE (round(observed_value, 6) AS observed_value) FROM ({sql})"
+
+
+RAW_SUITE_SQL = suite_sql("SELECT * FROM raw_events", RAW_EVENTS_COLS, [], S.RAW_LAYER, "raw_layer")
+STG_SUITE_SQL = suite_sql(STG_ASSET_SQL, STG_ASSET_COLS, ["total_amount_usd", "order_amount"], S.STAGING_LAYER,
+                          "staging_layer")
+MART_SUITE_SQL = suite_sql(MART_SQL, MART_COLS, ["total_revenue", "order_count"], S.CURATED_LAYER, "curated_layer")
+
+
+@register("q_raw_layer_suite", _round_obs(RAW_SUITE_SQL))
+def _qraw(spark, d):
+    return _qround(qa.validate(src.raw_events(spark, d), S.RAW_LAYER, "raw_layer"))
+
+
+@register("q_staging_layer_suite", _round_obs(STG_SUITE_SQL))
+def _qstg(spark, d):
+    return _qround(qa.validate(stg_asset(spark, d), S.STAGING_LAYER, "staging_layer"))
+
+
+@register("q_curated_layer_suite", _round_obs(MART_SUITE_SQL))
+def _qcur(spark, d):
+    return _qround(qa.validate(mart_asset(spark, d), S.CURATED_LAYER, "curated_layer"))
+
+
+_MODEL_SQL = {"stg_customers": ("SELECT * FROM stg_customers", ["customer_id", "email"]),
+              "stg_orders": ("SELECT * FROM stg_orders", ["order_id", "customer_id", "status"]),
+              "rpt_revenue_by_region": ("SELECT country FROM fct_orders GROUP BY country", ["country"])}
+
+
+@register("q12_model_tests", _round_obs("\nUNION ALL\n".join(
+    f"SELECT * FROM ({suite_sql(sql, cols, [], S.MODEL_TESTS[m], m)})" for m, (sql, cols) in _MODEL_SQL.items())))
+def _q12(spark, d):
+    models = {"stg_customers": stg_customers_df(spark, d), "stg_orders": stg_orders_df(spark, d),
+              "rpt_revenue_by_region": mdl.rpt_revenue_by_region(fct_df(spark, d), src.RUN_TS)}
+    out = None
+    for m, df in models.items():
+        r = qa.validate(df, S.MODEL_TESTS[m], m)
+        out = r if out is None else out.unionByName(r)
+    return _qround(out)
+
+
+@register("q14_source_freshness", """
+    SELECT 'raw_orders' AS source, max(_ingested_at) AS max_loaded_at,
+           round(date_diff('microsecond', max(_ingested_at), TIMESTAMP '2001-08-02 12:00:00') / 3.6e9, 6) AS age_hours,
+           CASE WHEN max(_ingested_at) IS NULL OR date_diff('microsecond', max(_ingested_at), TIMESTAMP '2001-08-02 12:00:00') / 3.6e9 > 24 THEN 'error'
+                WHEN date_diff('microsecond', max(_ingested_at), TIMESTAMP '2001-08-02 12:00:00') / 3.6e9 > 6 THEN 'warn' ELSE 'pass' END AS status
+    FROM raw_orders""")
+def _q14(spark, d):
+    r = qa.freshness(src.raw_orders(spark, d), "_ingested_at", "2001-08-02 12:00:00", 6, 24, "raw_orders")
+    return rounded(r, ["age_hours"], 6)
+
+
+_ASSET_SQL = [("raw_events", RAW_SUITE_SQL), ("stg_orders", STG_SUITE_SQL), ("customer_mart", MART_SUITE_SQL)]
+CHECKPOINT_SQL = "WITH r AS (" + "\nUNION ALL\n".join(
+    f"SELECT *, '{a}' AS asset FROM ({s})" for a, s in _ASSET_SQL) + """)
+    SELECT * REPLACE (round(observed_value, 6) AS observed_value),
+           bool_and(success) OVER (PARTITION BY asset) AS asset_success,
+           CASE WHEN bool_and(success) OVER (PARTITION BY asset) THEN 'pass'
+                WHEN suite = 'raw_layer' THEN 'fail_pipeline' WHEN suite = 'staging_layer' THEN 'quarantine'
+                ELSE 'block_promotion_and_page' END AS action
+    FROM r"""
+
+
+def checkpoint_df(spark, d):
+    assets = [("raw_events", src.raw_events(spark, d), "raw_layer", S.RAW_LAYER),
+              ("stg_orders", stg_asset(spark, d), "staging_layer", S.STAGING_LAYER),
+              ("customer_mart", mart_asset(spark, d), "curated_layer", S.CURATED_LAYER)]
+    return qa.checkpoint(assets, S.ON_FAILURE)
+
+
+@register("q15_checkpoint_staging", CHECKPOINT_SQL)
+def _q15(spark, d):
+    return _qround(checkpoint_df(spark, d))
+
+
+@register("a13_quality_summary", """
+    SELECT suite, asset, count(*) AS evaluated, count(CASE WHEN success THEN 1 END) AS successful,
+           count(CASE WHEN NOT success THEN 1 END) AS unsuccessful,
+           round(count(CASE WHEN success THEN 1 END) / count(*), 6) AS pass_rate
+    FROM (""" + CHECKPOINT_SQL + ") GROUP BY suite, asset")
+def _a13(spark, d):
+    return rounded(qa.quality_summary(checkpoint_df(spark, d), ["suite", "asset"]), ["pass_rate"], 6)
+
+
+_S13_FAILS = row_failures_sql(S.STAGING_LAYER, STG_ASSET_COLS, ["total_amount_usd", "order_amount"])
+S13_SQL = f"""
+    WITH a AS ({STG_ASSET_SQL}),
+    c AS (SELECT order_id AS k, count(*) AS cnt FROM a GROUP BY order_id),
+    f AS (SELECT a.order_id, list_filter([{', '.join(f"CASE WHEN coalesce({cond}, FALSE) THEN '{lab}' END" for lab, cond in _S13_FAILS)},
+                                          CASE WHEN c.cnt > 1 THEN 'duplicate:order_id' END], lambda x: x IS NOT NULL) AS reasons
+          FROM a LEFT JOIN c ON a.order_id = c.k)
+    SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM f) GROUP BY reason
+    UNION ALL SELECT 'good', count(*) FROM f WHERE len(reasons) = 0"""
+
+
+@register("s13_quarantine_split", S13_SQL)
+def _s13(spark, d):
+    good, bad = qa.split_quarantine(stg_asset(spark, d), S.STAGING_LAYER, unique_keys=["order_id"])
+    reasons = bad.select(F.explode("fail_reasons").alias("reason")).groupBy("reason").agg(
+        F.count(F.lit(1)).alias("n"))
+    return reasons.unionByName(good.agg(F.count(F.lit(1)).alias("n")).select(F.lit("good").alias("reason"), "n"))
+
+
+def _sqlstr(p: str) -> str:
+    return "'" + p.replace("'", "''") + "'"
+
+
+PII_SQL = ("SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, {_sqlstr(p)})) AS {k}_count"
+                                          for k, p in qa.PII_PATTERNS.items())
+           + ", " + " OR ".join(f"regexp_matches(text, {_sqlstr(p)})" for p in qa.PII_PATTERNS.values())
+           + " AS has_pii FROM documents")
+
+
+@register("q16_pii_scan_documents", PII_SQL)
+def _q16(spark, d):
+    docs = src.read_table(spark, d, "documents").select("doc_id", "text")
+    return qa.pii_scan(docs, "text").drop("text")
+
+
+@register("q17_completeness", _round_obs(suite_sql(
+    "SELECT * FROM raw_customers", ["customer_id", "email", "first_name", "last_name", "country", "created_at",
+                                    "updated_at", "_ingested_at"], [],
+    [S.rule("expect_column_values_to_not_be_null", column=c, mostly=0.95) for c in ("customer_id", "email", "country")],
+    "completeness")))
+def _q17(spark, d):
+    rules = [S.rule("expect_column_values_to_not_be_null", column=c, mostly=0.95)
+             for c in ("customer_id", "email", "country")]
+    return _qround(qa.validate(src.raw_customers(spark, d), rules, "completeness"))
+
+
+def curated_customers(spark, d):
+    keys = src.read_table(spark, d, "customer").select(F.col("c_custkey").alias("seq"), "c_name")
+    return gen.generate_customers(keys)
+
+
+_CUR_STRING_COLS = ["email", "phone", "ssn", "loyalty_tier", "c_name"]
+CURATED_CUSTOMERS_SQL = """
+    SELECT c_custkey AS customer_id,
+           'user' || CAST(c_custkey AS VARCHAR) || '@example' || CAST(c_custkey % 5 + 1 AS VARCHAR) || '.com' AS email,
+           '+1-' || CAST(200 + c_custkey % 800 AS VARCHAR) || '-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS phone,
+           substr(s9, 1, 3) || '-' || substr(s9, 4, 2) || '-' || substr(s9, 6, 4) AS ssn,
+           CAST(DATE '1970-01-01' + CAST(c_custkey % 18000 AS INTEGER) AS DATE) AS date_of_birth,
+           CAST(DATE '2018-01-01' + CAST(c_custkey % 2190 AS INTEGER) AS DATE) AS signup_date,
+           (['bronze', 'silver', 'gold', 'platinum'])[CAST(c_custkey % 4 + 1 AS INTEGER)] AS loyalty_tier,
+           CAST(500 + (c_custkey * 137) % 99500 AS DECIMAL(12,2)) AS annual_revenue,
+           c_name
+    FROM (SELECT *, CASE WHEN length(CAST(100000000 + c_custkey % 900000000 AS VARCHAR)) >= 9
+                         THEN CAST(100000000 + c_custkey % 900000000 AS VARCHAR)
+                         ELSE lpad(CAST(100000000 + c_custkey % 900000000 AS VARCHAR), 9, '0') END AS s9 FROM customer)"""
+
+
+def _tag_sql() -> str:
+    import re as _re
+    cols = ["customer_id", "email", "phone", "ssn", "date_of_birth", "signup_date", "loyalty_tier",
+            "annual_revenue", "c_name"]
+    names = []
+    for c in cols:
+        for tag, rx in qa.PII_NAME_PATTERNS.items():
+            if _re.search(rx.replace("(?i)", ""), c, flags=_re.IGNORECASE):
+                names.append(f"SELECT '{c}' AS column_name, '{tag}' AS tag, 'name' AS source, CAST(NULL AS DOUBLE) AS match_rate")
+                break
+    rates = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, 'PII_{k.upper()}' AS tag, 'content' AS source, "
+        f"avg(CASE WHEN regexp_matches({c}, {_sqlstr(p)}) THEN 1.0 ELSE 0.0 END) AS match_rate FROM cc"
+        for c in _CUR_STRING_COLS for k, p in qa.PII_PATTERNS.items())
+    return (f"WITH cc AS ({CURATED_CUSTOMERS_SQL}) " + " UNION ALL ".join(names)
+            + f" UNION ALL SELECT * FROM ({rates}) WHERE match_rate >= 0.05")
+
+
+@register("q18_tag_pii_columns", _tag_sql())
+def _q18(spark, d):
+    return qa.tag_pii_columns(curated_customers(spark, d), 0.05)
+
+
+@register("q19_schema_drift")
+def _q19(spark, d):
+    return qa.schema_drift(src.raw_orders(spark, d), stg_orders_df(spark, d))
+
+
+@register("a12_profile", "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS column_name, count(*) - count({c}) AS null_count,
+              CASE WHEN count(*) > 0 THEN round(CAST(count(*) - count({c}) AS DOUBLE) / count(*), 6) END AS null_fraction,
+              count(DISTINCT {c}) AS distinct_count, CAST(min({c}) AS VARCHAR) AS min_value,
+              CAST(max({c}) AS VARCHAR) AS max_value, CAST(NULL AS DOUBLE) AS mean_value, count(*) AS row_count
+       FROM fct_orders""" for c in ["order_id", "customer_id", "status", "currency", "order_date", "country"]))
+def _a12(spark, d):
+    p = qa.profile(fct_df(spark, d), ["order_id", "customer_id", "status", "currency", "order_date", "country"],
+                   exact=True)
+    return rounded(p, ["null_fraction"], 6)
+
+
+@register("w5_consecutive_failures", """
+    WITH runs AS (SELECT event_type AS suite, CAST(ts AS DATE) AS run_ts, avg(CASE WHEN value <= 45 THEN 1.0 ELSE 0.0 END) AS pass_rate
+                  FROM events GROUP BY 1, 2)
+    SELECT suite, run_ts, round(pass_rate, 6) AS pass_rate,
+           count(*) OVER w = 3 AND max(pass_rate) OVER w < 0.95 AS alert
+    FROM runs WINDOW w AS (PARTITION BY suite ORDER BY run_ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
+def _w5(spark, d):
+    e = src.read_table(spark, d, "events")
+    runs = e.groupBy(F.col("event_type").alias("suite"), F.to_date("ts").alias("run_ts")).agg(
+        F.avg(F.when(F.col("value") <= 45, 1.0).otherwise(0.0)).alias("pass_rate"))
+    return rounded(qa.consecutive_failures(runs, 3, 0.95), ["pass_rate"], 6)
