@@ -704,11 +704,14 @@ def _q17(spark, d):
 
 
 def curated_customers(spark, d):
-    keys = src.read_table(spark, d, "customer").select(F.col("c_custkey").alias("seq"), "c_name")
+    """curated.customers: generator formulas over c_custkey, region = r_name."""
+    c = src.read_table(spark, d, "customer")
+    keys = c.join(src._nation_names(spark, d), c.c_nationkey == F.col("n_nationkey"), "left") \
+            .select(F.col("c_custkey").alias("seq"), "c_name", F.col("r_name").alias("region"))
     return gen.generate_customers(keys)
 
 
-_CUR_STRING_COLS = ["email", "phone", "ssn", "loyalty_tier", "c_name"]
+_CUR_STRING_COLS = ["email", "phone", "ssn", "loyalty_tier", "c_name", "region"]
 CURATED_CUSTOMERS_SQL = """
     SELECT c_custkey AS customer_id,
            'user' || CAST(c_custkey AS VARCHAR) || '@example' || CAST(c_custkey % 5 + 1 AS VARCHAR) || '.com' AS email,
@@ -718,16 +721,17 @@ CURATED_CUSTOMERS_SQL = """
            CAST(DATE '2018-01-01' + CAST(c_custkey % 2190 AS INTEGER) AS DATE) AS signup_date,
            (['bronze', 'silver', 'gold', 'platinum'])[CAST(c_custkey % 4 + 1 AS INTEGER)] AS loyalty_tier,
            CAST(500 + (c_custkey * 137) % 99500 AS DECIMAL(12,2)) AS annual_revenue,
-           c_name
+           c_name, r_name AS region
     FROM (SELECT *, CASE WHEN length(CAST(100000000 + c_custkey % 900000000 AS VARCHAR)) >= 9
                          THEN CAST(100000000 + c_custkey % 900000000 AS VARCHAR)
-                         ELSE lpad(CAST(100000000 + c_custkey % 900000000 AS VARCHAR), 9, '0') END AS s9 FROM customer)"""
+                         ELSE lpad(CAST(100000000 + c_custkey % 900000000 AS VARCHAR), 9, '0') END AS s9
+          FROM customer LEFT JOIN nation_names ON c_nationkey = n_nationkey)"""
 
 
 def _tag_sql() -> str:
     import re as _re
     cols = ["customer_id", "email", "phone", "ssn", "date_of_birth", "signup_date", "loyalty_tier",
-            "annual_revenue", "c_name"]
+            "annual_revenue", "c_name", "region"]
     names = []
     for c in cols:
         for tag, rx in qa.PII_NAME_PATTERNS.items():
@@ -775,3 +779,214 @@ def _w5(spark, d):
     runs = e.groupBy(F.col("event_type").alias("suite"), F.to_date("ts").alias("run_ts")).agg(
         F.avg(F.when(F.col("value") <= 45, 1.0).otherwise(0.0)).alias("pass_rate"))
     return rounded(qa.consecutive_failures(runs, 3, 0.95), ["pass_rate"], 6)
+
+
+# ---------------------------------------------------------------------------
+# Step 4: governance - masks, row filters, access decisions, privacy, lineage
+# ---------------------------------------------------------------------------
+
+from lakeweave.operators import governance as gov  # noqa: E402
+from lakeweave.operators import lineage as lin  # noqa: E402
+
+CUST_TABLE = "lakehouse.curated.customers"
+ANALYST = gov.Principal("ana", ("data-analysts",), {"ranger.assigned_region": "AMERICA"}, "tenant_b")
+STEWARD = gov.Principal("sam", ("data-stewards",))
+ENGINEER = gov.Principal("eve", ("data-engineers",))
+
+
+def _first4(c):
+    return f"(substr({c}, 1, 4) || repeat('x', greatest(length({c}) - 4, 0)))"
+
+
+@register("g1_mask_columns_analyst", f"""
+    SELECT customer_id, sha256(CAST(email AS VARCHAR)) AS email, CAST(NULL AS VARCHAR) AS phone,
+           CAST(NULL AS VARCHAR) AS ssn, region FROM ({CURATED_CUSTOMERS_SQL})""")
+def _g1a(spark, d):
+    return gov.mask_columns(curated_customers(spark, d), CUST_TABLE, ANALYST) \
+              .select("customer_id", "email", "phone", "ssn", "region")
+
+
+@register("g1_mask_columns_steward", f"""
+    SELECT customer_id, {_first4('email')} AS email, {_first4('phone')} AS phone, CAST(NULL AS VARCHAR) AS ssn, region
+    FROM ({CURATED_CUSTOMERS_SQL})""")
+def _g1s(spark, d):
+    return gov.mask_columns(curated_customers(spark, d), CUST_TABLE, STEWARD) \
+              .select("customer_id", "email", "phone", "ssn", "region")
+
+
+@register("g2_row_filter_analyst", f"""
+    SELECT customer_id, region FROM ({CURATED_CUSTOMERS_SQL}) WHERE region = 'AMERICA'""")
+def _g2(spark, d):
+    return gov.row_filter(curated_customers(spark, d), CUST_TABLE, ANALYST).select("customer_id", "region")
+
+
+@register("g3_tenant_filter", "SELECT query_id, tenant_id FROM audit_queries WHERE tenant_id = 'tenant_b'")
+def _g3(spark, d):
+    return gov.tenant_filter(src.audit_queries(spark, d), ANALYST).select("query_id", "tenant_id")
+
+
+@register("g5_secure_select_analyst", f"""
+    SELECT customer_id, sha256(CAST(email AS VARCHAR)) AS email, CAST(NULL AS VARCHAR) AS phone,
+           CAST(NULL AS VARCHAR) AS ssn, region, loyalty_tier
+    FROM ({CURATED_CUSTOMERS_SQL}) WHERE region = 'AMERICA'""")
+def _g5(spark, d):
+    return gov.secure_select(curated_customers(spark, d), CUST_TABLE, ANALYST) \
+              .select("customer_id", "email", "phone", "ssn", "region", "loyalty_tier")
+
+
+def access_requests(spark, d):
+    """One request per (query, table): the schema comes from the table name,
+    the principal's groups from the user id, the access from the event."""
+    a = src.audit_queries(spark, d)
+    uid = F.regexp_extract("username", r"(\d+)$", 1).cast("bigint")
+    g = (F.when(uid % 4 == 0, "data-analysts").when(uid % 4 == 1, "data-engineers")
+         .when(uid % 4 == 2, "data-stewards").otherwise("platform-admins"))
+    groups = F.when(uid % 10 == 0, F.array(g, F.lit("data-stewards"))).otherwise(F.array(g))
+    t = a.select("query_id", "username", groups.alias("groups"), "event_type",
+                 F.explode("tables_accessed").alias("fq"))
+    parts = F.split("fq", r"\.")
+    sch = F.element_at(parts, 2)
+    return t.select("query_id", "username", "groups", F.lit("lakehouse").alias("catalog"),
+                    F.when(sch == "marts", "curated").otherwise(sch).alias("schema"),
+                    F.element_at(parts, 3).alias("table"),
+                    F.when(F.col("event_type") == "purchase", "insert").otherwise("select").alias("access"))
+
+
+ACCESS_REQUESTS_SQL = """
+    SELECT query_id, username, groups, 'lakehouse' AS catalog,
+           CASE WHEN split_part(fq, '.', 2) = 'marts' THEN 'curated' ELSE split_part(fq, '.', 2) END AS schema,
+           split_part(fq, '.', 3) AS "table", CASE WHEN event_type = 'purchase' THEN 'insert' ELSE 'select' END AS access
+    FROM (SELECT query_id, username, event_type, unnest(tables_accessed) AS fq,
+                 CASE WHEN uid % 10 = 0 THEN [g, 'data-stewards'] ELSE [g] END AS groups
+          FROM (SELECT *, CAST(regexp_extract(username, '(\\d+)$', 1) AS BIGINT) AS uid,
+                       CASE CAST(regexp_extract(username, '(\\d+)$', 1) AS BIGINT) % 4 WHEN 0 THEN 'data-analysts'
+                            WHEN 1 THEN 'data-engineers' WHEN 2 THEN 'data-stewards' ELSE 'platform-admins' END AS g
+                FROM audit_queries))"""
+
+
+def _access_decision_sql() -> str:
+    def cond(rule):
+        kind, grp, cat, sch, tbl, accesses, not_in = rule
+        parts = [f"list_contains(groups, '{grp}')", "access IN (" + ", ".join(f"'{a}'" for a in accesses) + ")"]
+        for pat, colname in ((cat, "catalog"), (sch, "schema"), (tbl, '"table"')):
+            if pat != "*":
+                parts.append(f"{colname} = '{pat}'")
+        if not_in:
+            parts.append("(catalog || '/' || schema) NOT IN (" + ", ".join(f"'{x}'" for x in not_in) + ")")
+        return "(" + " AND ".join(parts) + ")"
+    deny = " OR ".join(cond(r) for r in gov.ACCESS_RULES if r[0] == "deny") or "FALSE"
+    allow = " OR ".join(cond(r) for r in gov.ACCESS_RULES if r[0] == "allow") or "FALSE"
+    return f"CASE WHEN {deny} THEN 'DENY' WHEN {allow} THEN 'ALLOW' ELSE 'DENY' END"
+
+
+@register("g4_evaluate_access", f"SELECT *, {_access_decision_sql()} AS decision FROM ({ACCESS_REQUESTS_SQL})")
+def _g4(spark, d):
+    return gov.evaluate_access(access_requests(spark, d), gov.rules_frame(spark))
+
+
+SUBJECTS_SQL = "SELECT 'CUST-' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS subject_id FROM customer WHERE c_custkey % 97 = 0"
+
+
+def subjects_df(spark, d):
+    c = src.read_table(spark, d, "customer").filter(F.col("c_custkey") % 97 == 0)
+    return c.select(F.concat(F.lit("CUST-"), fn.zpad(F.col("c_custkey"), 6)).alias("subject_id"))
+
+
+def _erasure(spark, d):
+    tables = {"fct_orders": fct_df(spark, d), "stg_customers": stg_customers_df(spark, d)}
+    keys = {"fct_orders": "customer_id", "stg_customers": "customer_id"}
+    ids = subjects_df(spark, d)
+    after = gov.erase_subject(tables, keys, ids)
+    return gov.erasure_results(tables, after, keys, ids)
+
+
+ERASURE_SQL = f"""
+    WITH s AS ({SUBJECTS_SQL}),
+    r AS (SELECT s.subject_id, 'fct_orders' AS table_name, count(f.order_id) AS rows_removed, 0 AS rows_left
+          FROM s LEFT JOIN fct_orders f ON f.customer_id = s.subject_id GROUP BY s.subject_id
+          UNION ALL
+          SELECT s.subject_id, 'stg_customers', count(c.customer_id), 0
+          FROM s LEFT JOIN stg_customers c ON c.customer_id = s.subject_id GROUP BY s.subject_id)"""
+
+
+@register("g13_erase_subjects", ERASURE_SQL + " SELECT subject_id, table_name, rows_removed, CAST(rows_left AS BIGINT) AS rows_left FROM r")
+def _g13(spark, d):
+    return _erasure(spark, d)
+
+
+@register("g16_erasure_certificate", ERASURE_SQL + """
+    SELECT subject_id, list_sort(list(table_name) FILTER (WHERE rows_removed > 0)) AS tables_affected,
+           sum(rows_removed) AS rows_erased, sum(rows_left) = 0 AS verified,
+           TIMESTAMP '2024-02-01 00:00:00' AS completed_at,
+           sha256(subject_id || '|' || '2024-02-01 00:00:00') AS certificate_id
+    FROM r GROUP BY subject_id""")
+def _g16(spark, d):
+    return gov.erasure_certificate(_erasure(spark, d), "2024-02-01 00:00:00")
+
+
+@register("g14_redact_audit", f"""
+    SELECT query_id, username,
+           CASE WHEN CAST(regexp_extract(username, '(\\d+)$', 1) AS BIGINT) % 10 = 0
+                THEN regexp_replace(sql_text, '{fn.EMAIL_RE}', '[REDACTED]', 'g') ELSE sql_text END AS sql_text
+    FROM audit_queries""")
+def _g14(spark, d):
+    a = src.audit_queries(spark, d)
+    subj = a.select("username").distinct().filter(
+        F.regexp_extract("username", r"(\d+)$", 1).cast("bigint") % 10 == 0)
+    return gov.redact(a, "sql_text", [fn.EMAIL_RE], subj, "username").select("query_id", "username", "sql_text")
+
+
+@register("g15_anonymize", f"""
+    SELECT customer_id,
+           CASE WHEN customer_id IN (SELECT subject_id FROM ({SUBJECTS_SQL})) THEN 'anon-' || md5(customer_id) ELSE email END AS email,
+           CASE WHEN customer_id IN (SELECT subject_id FROM ({SUBJECTS_SQL})) THEN 'anon-' || md5(customer_id) ELSE full_name END AS full_name,
+           country
+    FROM stg_customers""")
+def _g15(spark, d):
+    a = gov.anonymize(stg_customers_df(spark, d), subjects_df(spark, d), "customer_id", ["email", "full_name"])
+    return a.select("customer_id", "email", "full_name", "country")
+
+
+@register("g17_rectify_changes", """
+    SELECT customer_id, 'email' AS column_name, email AS old_value, 'fixed.' || email AS new_value,
+           TIMESTAMP '2024-02-01 00:00:00' AS changed_at
+    FROM stg_customers WHERE CAST(substr(customer_id, 6) AS BIGINT) % 50 = 1""")
+def _g17(spark, d):
+    stg = stg_customers_df(spark, d)
+    corr = stg.filter(F.substring("customer_id", 6, 20).cast("bigint") % 50 == 1) \
+              .select("customer_id", F.concat(F.lit("fixed."), F.col("email")).alias("email"))
+    _, changes = gov.rectify(stg, corr, "customer_id", "2024-02-01 00:00:00")
+    return changes
+
+
+@register("g18_subject_report")
+def _g18(spark, d):
+    tables = {"fct_orders": fct_df(spark, d), "stg_customers": stg_customers_df(spark, d)}
+    return gov.subject_report(tables, {"fct_orders": "customer_id", "stg_customers": "customer_id"},
+                              subjects_df(spark, d))
+
+
+@register("g19_lineage_downstream", """
+    WITH RECURSIVE e AS (
+        SELECT 'order:' || CAST(o_orderkey AS VARCHAR) AS child, 'customer:' || CAST(o_custkey AS VARCHAR) AS parent FROM orders
+        UNION ALL SELECT 'customer:' || CAST(c_custkey AS VARCHAR), 'nation:' || CAST(c_nationkey AS VARCHAR) FROM customer
+        UNION ALL SELECT 'nation:' || CAST(n_nationkey AS VARCHAR), 'region:' || CAST(n_regionkey AS VARCHAR) FROM nation),
+    walk(node, depth) AS (
+        SELECT 'region:1', 0
+        UNION ALL SELECT e.child, walk.depth + 1 FROM walk JOIN e ON e.parent = walk.node WHERE walk.depth < 50)
+    SELECT node, min(depth) AS depth FROM walk WHERE depth > 0 GROUP BY node""")
+def _g19(spark, d):
+    edges = lin.key_lineage_edges(src.read_table(spark, d, "orders"), src.read_table(spark, d, "customer"),
+                                  src.read_table(spark, d, "nation"))
+    start = spark.range(1).select(F.lit("region:1").alias("node"))
+    return lin.lineage(edges, start, "downstream").select("node", F.col("depth"))
+
+
+@register("g20_mask_by_tags", f"""
+    SELECT customer_id, email, phone, CAST(NULL AS VARCHAR) AS ssn, CAST(NULL AS DATE) AS date_of_birth, region
+    FROM ({CURATED_CUSTOMERS_SQL})""")
+def _g20(spark, d):
+    cc = curated_customers(spark, d)
+    tags = qa.tag_pii_columns(cc).filter(F.col("tag") == "PII_HIGH")
+    return gov.mask_by_tags(cc, tags, "data-analysts").select("customer_id", "email", "phone", "ssn",
+                                                              "date_of_birth", "region")
