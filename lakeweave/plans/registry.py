@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lakeweave.plans import benchmark as bm
 from lakeweave.plans.oracle import RUN_TS_SQL, with_ctes
+from lakeweave.plans.oracle import uuid as uuid_sql
 from lakeweave.sources import tables as src
 from lakeweave.operators import models as mdl
 
@@ -990,3 +991,187 @@ def _g20(spark, d):
     tags = qa.tag_pii_columns(cc).filter(F.col("tag") == "PII_HIGH")
     return gov.mask_by_tags(cc, tags, "data-analysts").select("customer_id", "email", "phone", "ssn",
                                                               "date_of_birth", "region")
+
+
+# ---------------------------------------------------------------------------
+# Step 5: audit trail and privacy evidence
+# ---------------------------------------------------------------------------
+
+from lakeweave.operators import audit as aud  # noqa: E402
+
+RISK_SQL = """
+    WITH x AS (SELECT event_id, username, tenant_id, "timestamp", unnest(tables_accessed) AS table_name FROM audit_queries),
+    f AS (SELECT username, table_name, min({'t': "timestamp", 'e': event_id}) AS fst FROM x GROUP BY ALL),
+    y AS (SELECT x.*, {'t': x."timestamp", 'e': x.event_id} = f.fst AS first_time
+          FROM x LEFT JOIN f USING (username, table_name)),
+    g AS (SELECT event_id, max(CAST(split_part(table_name, '.', 1) <> tenant_id AS INT)) AS cross_t,
+                 max(CAST(regexp_matches(table_name, '\\.customers$') AS INT)) AS pii,
+                 max(CAST(first_time AS INT)) AS fst FROM y GROUP BY event_id)
+    SELECT event_id,
+           CASE WHEN cross_t = 1 AND pii = 1 THEN 'CRITICAL' WHEN cross_t = 1 THEN 'HIGH'
+                WHEN pii = 1 OR fst = 1 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
+           list_filter([CASE WHEN cross_t = 1 THEN 'CROSS_TENANT_ACCESS' END, CASE WHEN fst = 1 THEN 'FIRST_TIME_ACCESS' END,
+                        CASE WHEN pii = 1 THEN 'PII_ACCESS' END], lambda v: v IS NOT NULL) AS risk_flags
+    FROM g"""
+
+
+@register("g21_flag_risk", RISK_SQL)
+def _g21(spark, d):
+    return aud.flag_risk(src.audit_queries(spark, d))
+
+
+def normalized_df(spark, d):
+    a = src.audit_queries(spark, d)
+    return aud.normalize_events(a, aud.registry_frame(spark), aud.flag_risk(a))
+
+
+def _reg_sql(idx: int) -> str:
+    return "CASE event_type " + " ".join(f"WHEN '{row[0]}' THEN '{row[idx]}'" for row in aud.EVENT_REGISTRY) + " END"
+
+
+@register("g6_normalize_events", f"""
+    WITH r AS ({RISK_SQL})
+    SELECT a.event_id, a."timestamp" AS ts, {_reg_sql(2)} AS source_system, {_reg_sql(1)} AS event_type,
+           CASE WHEN ranger_decision = 'DENY' THEN 'FAILURE' ELSE 'SUCCESS' END AS outcome,
+           tenant_id, {_reg_sql(3)} AS action_type, tables_accessed[1] AS resource_identifier,
+           coalesce(r.risk_level, 'LOW') AS risk_level, r.risk_flags,
+           strftime(a."timestamp", '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso_timestamp
+    FROM audit_queries a LEFT JOIN r USING (event_id)""")
+def _g6(spark, d):
+    n = normalized_df(spark, d)
+    return n.select("event_id", "ts", "source_system", F.col("event.event_type").alias("event_type"),
+                    F.col("event.outcome").alias("outcome"), F.col("event.actor.tenant_id").alias("tenant_id"),
+                    F.col("event.action.type").alias("action_type"),
+                    F.col("event.resource.identifier").alias("resource_identifier"),
+                    F.col("event.risk.level").alias("risk_level"), F.col("event.risk.flags").alias("risk_flags"),
+                    F.col("event.timestamp").alias("iso_timestamp"))
+
+
+def chained_df(spark, d):
+    return aud.chain_events(normalized_df(spark, d))
+
+
+@register("g7_chain_events")
+def _g7(spark, d):
+    return chained_df(spark, d).select("event_id", "source_system", "ts", "previous_hash", "this_hash")
+
+
+def _tampered(chained):
+    hit = F.substring("query_id", 3, 20).cast("bigint") % 500 == 0
+    return chained.withColumn("doc", F.when(hit, F.regexp_replace("doc", r'"username":"[^"]*"',
+                                                                  '"username":"mallory"')).otherwise(F.col("doc")))
+
+
+@register("g8_verify_chain", f"""
+    WITH a AS (SELECT {uuid_sql("'q' || CAST(event_id AS VARCHAR)")} AS event_id, ts, date_trunc('hour', ts) AS seg,
+                      {_reg_sql(2)} AS source_system, event_id % 500 = 0 AS tampered FROM events),
+    o AS (SELECT *, lag(tampered) OVER w AS prev_tampered, lag(seg) OVER w AS prev_seg FROM a
+          WINDOW w AS (PARTITION BY source_system ORDER BY ts, event_id))
+    SELECT event_id, source_system, NOT tampered AS hash_ok,
+           NOT coalesce(prev_seg <> seg AND prev_tampered, FALSE) AS link_ok
+    FROM o WHERE tampered OR coalesce(prev_seg <> seg AND prev_tampered, FALSE)""")
+def _g8(spark, d):
+    v = aud.verify_chain(_tampered(chained_df(spark, d)))
+    return aud.broken_links(v).select("event_id", "source_system", "hash_ok", "link_ok")
+
+
+@register("g9_audit_by_user", """
+    SELECT "timestamp", username, tenant_id, query_id, tables_accessed, rows_scanned, ranger_decision, duration_ms
+    FROM audit_queries WHERE user_sub = 'sub-0008' AND "timestamp" >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 90 DAY
+    ORDER BY "timestamp" DESC, query_id""")
+def _g9u(spark, d):
+    return aud.audit_by_user(src.audit_queries(spark, d), "sub-0008", "2024-01-31 00:00:00", 90)
+
+
+@register("g9_audit_by_table", """
+    SELECT "timestamp", username, tenant_id, tables_accessed, ranger_decision, sql_text_hash, query_id
+    FROM audit_queries WHERE list_contains(tables_accessed, 'tenant_a.marts.customers')
+      AND "timestamp" >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 30 DAY
+    ORDER BY "timestamp" DESC, query_id""")
+def _g9t(spark, d):
+    return aud.audit_by_table(src.audit_queries(spark, d), "tenant_a.marts.customers", "2024-01-31 00:00:00", 30)
+
+
+@register("g9_erasure_certificates", ERASURE_SQL + """
+    SELECT TIMESTAMP '2024-02-01 00:00:00' AS "timestamp", 'gdpr-erasure-job' AS username, subject_id,
+           list_sort(list(table_name) FILTER (WHERE rows_removed > 0)) AS tables_affected,
+           sha256(subject_id || '|' || '2024-02-01 00:00:00') AS erasure_certificate_id
+    FROM r WHERE subject_id = 'CUST-000097' GROUP BY subject_id""")
+def _g9e(spark, d):
+    cert = gov.erasure_certificate(_erasure(spark, d), "2024-02-01 00:00:00")
+    return aud.erasure_certificates(aud.erasure_events(cert), "CUST-000097")
+
+
+@register("g10_access_in_window", """
+    SELECT query_id, username, "timestamp", ranger_decision FROM audit_queries
+    WHERE "timestamp" >= TIMESTAMP '2024-01-10 00:00:00' AND "timestamp" < TIMESTAMP '2024-01-12 00:00:00'
+      AND username = 'user8'""")
+def _g10(spark, d):
+    return aud.access_in_window(src.audit_queries(spark, d), "2024-01-10 00:00:00", "2024-01-12 00:00:00",
+                                "user8").select("query_id", "username", "timestamp", "ranger_decision")
+
+
+@register("g11_denial_spikes", """
+    SELECT username, date_trunc('hour', "timestamp") AS window_start,
+           date_trunc('hour', "timestamp") + INTERVAL 1 HOUR AS window_end, count(*) AS denials
+    FROM audit_queries WHERE ranger_decision = 'DENY' GROUP BY 1, 2, 3 HAVING count(*) >= 2""")
+def _g11(spark, d):
+    r = aud.denial_spikes(src.audit_queries(spark, d), "1 hour", 2)
+    return r.select("username", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                    F.col("window_end").cast("timestamp_ntz").alias("window_end"), "denials")
+
+
+@register("g12_append_only_violations", """
+    WITH b AS (SELECT query_id, "timestamp", username, duration_ms FROM audit_queries
+               WHERE "timestamp" < TIMESTAMP '2024-01-20 00:00:00'),
+    a AS (SELECT query_id, "timestamp", username,
+                 CASE WHEN CAST(substr(query_id, 3) AS BIGINT) % 1000 = 0 THEN duration_ms + 1 ELSE duration_ms END AS duration_ms
+          FROM audit_queries WHERE CAST(substr(query_id, 3) AS BIGINT) % 1500 <> 1)
+    SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.query_id = b.query_id AND a."timestamp" = b."timestamp"
+                                      AND a.username = b.username AND a.duration_ms = b.duration_ms)""")
+def _g12(spark, d):
+    full = src.audit_queries(spark, d).select("query_id", "timestamp", "username", "duration_ms")
+    n = F.substring("query_id", 3, 20).cast("bigint")
+    before = full.filter(F.col("timestamp") < fn.ts_lit("2024-01-20 00:00:00"))
+    after = full.filter(n % 1500 != 1).withColumn(
+        "duration_ms", F.when(n % 1000 == 0, F.col("duration_ms") + 1).otherwise(F.col("duration_ms")))
+    return aud.append_only_violations(before, after)
+
+
+@register("j7_correlate_audit", """
+    WITH a AS (SELECT query_id, "timestamp" AS ts_a FROM audit_queries),
+    b AS (SELECT 'q_' || CAST(event_id AS VARCHAR) AS query_id, ts - to_seconds(event_id % 90) AS ts_b, event_type AS b_type
+          FROM events WHERE event_type IN ('error', 'click', 'view'))
+    SELECT query_id, ts_a, ts_b, b_type, abs(date_diff('microsecond', ts_b, ts_a) / 1e6) AS gap_seconds
+    FROM a JOIN b USING (query_id) WHERE abs(date_diff('microsecond', ts_b, ts_a) / 1e6) <= 60""")
+def _j7(spark, d):
+    a = src.audit_queries(spark, d).select("query_id", F.col("timestamp").alias("ts_a"))
+    e = src.read_table(spark, d, "events").filter(F.col("event_type").isin("error", "click", "view"))
+    b = e.select(F.concat(F.lit("q_"), F.col("event_id").cast("string")).alias("query_id"),
+                 (F.col("ts") - F.make_interval(secs=(F.col("event_id") % 90).cast("decimal(18,6)"))).alias("ts_b"),
+                 F.col("event_type").alias("b_type"))
+    return aud.correlate_audit(a, b, "query_id", 60)
+
+
+@register("a15_usage_by_tenant", """
+    SELECT tenant_id, username, count(*) AS queries, sum(rows_scanned) AS rows_scanned, sum(rows_returned) AS rows_returned,
+           sum(duration_ms) AS duration_ms, round(quantile_cont(duration_ms, 0.95), 4) AS p95_duration_ms
+    FROM audit_queries GROUP BY tenant_id, username""")
+def _a15(spark, d):
+    return rounded(aud.usage_by_tenant(src.audit_queries(spark, d), exact_percentile=True), ["p95_duration_ms"], 4)
+
+
+@register("g22_select_audited", f"""
+    SELECT * FROM (SELECT *, {_access_decision_sql()} AS decision FROM ({ACCESS_REQUESTS_SQL}))
+    WHERE schema IN ('curated', 'raw') AND "table" IN ('customers', 'orders')
+      AND access IN ('select', 'insert', 'update', 'delete') AND decision IN ('ALLOW', 'DENY')""")
+def _g22(spark, d):
+    return aud.select_audited(gov.evaluate_access(access_requests(spark, d), gov.rules_frame(spark)))
+
+
+@register("w3_growth_anomaly", """
+    WITH daily AS (SELECT CAST(ts AS DATE) AS day, count(*) AS rows FROM events GROUP BY 1)
+    SELECT day, rows, avg(rows) OVER w AS rolling_avg, coalesce(rows > 1.1 * avg(rows) OVER w, FALSE) AS anomaly
+    FROM daily WINDOW w AS (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)""")
+def _w3(spark, d):
+    return aud.growth_anomaly(src.read_table(spark, d, "events"), "ts", 7, 1.1)
