@@ -55,12 +55,40 @@ def since(ts: str | Column, days: int, now: str | dt.datetime) -> Column:
     return col_(ts) >= ts_lit(now) - F.make_interval(days=F.lit(days))
 
 
+# Interval arithmetic on TIMESTAMP_NTZ without a detour through the session
+# time zone (a cast to TIMESTAMP, or date_trunc, would apply it).
+EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def epoch_micros(ts: str | Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", ts_lit(EPOCH_NTZ), col_(ts))
+
+
+def from_epoch_micros(us: Column) -> Column:
+    return F.timestamp_add("MICROSECOND", us, ts_lit(EPOCH_NTZ))
+
+
+def bucket_number(ts: str | Column, seconds: int) -> Column:
+    """Epoch-aligned bucket number, in exact integer arithmetic (a double
+    division would round a timestamp just before a boundary into the next
+    bucket)."""
+    us = epoch_micros(ts)
+    step = F.lit(seconds * 1_000_000)
+    return ((us - F.pmod(us, step)) / step).cast("bigint")
+
+
+def trunc_seconds(ts: str | Column, seconds: int) -> Column:
+    """Start of the fixed ``seconds`` bucket containing ``ts`` (epoch aligned)."""
+    us = epoch_micros(ts)
+    return from_epoch_micros(us - F.pmod(us, F.lit(seconds * 1_000_000)))
+
+
 def days_between(later: Column, earlier: Column) -> Column:
-    return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / 86_400_000_000
+    return F.timestamp_diff("MICROSECOND", earlier, later) / 86_400_000_000
 
 
 def seconds_between(later: Column, earlier: Column) -> Column:
-    return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / 1_000_000
+    return F.timestamp_diff("MICROSECOND", earlier, later) / 1_000_000
 
 
 def truncate_bucket(c: str | Column, width: int) -> Column:

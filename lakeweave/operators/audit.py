@@ -26,7 +26,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeweave.functions.columns import seconds_between, since, ts_lit
+from lakeweave.functions.columns import seconds_between, since, trunc_seconds, ts_lit
 
 PREV_PLACEHOLDER = "__PREVIOUS_HASH__"
 GENESIS = "GENESIS"
@@ -182,7 +182,7 @@ def chain_events(events: DataFrame, heads: DataFrame | None = None) -> DataFrame
     previous increment; without it every source starts from GENESIS. Rows are
     clustered by (source, hour) and sorted inside each task, then one Arrow
     pass per task chains every segment it holds."""
-    e = (events.withColumn("seg_hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    e = (events.withColumn("seg_hour", trunc_seconds("ts", 3600))
                .withColumn("template", _doc_with_prev(F.col("event"), F.lit(PREV_PLACEHOLDER)))
                .withColumn("content", F.sha2(F.to_json("event"), 256)))
     seg_last = e.groupBy("source_system", "seg_hour").agg(

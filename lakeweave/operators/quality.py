@@ -206,7 +206,7 @@ def split_quarantine(df: DataFrame, suite: Sequence[dict], unique_keys: Sequence
 def freshness(df: DataFrame, loaded_at: str, now: str | dt.datetime, warn_hours: float = 6,
               error_hours: float = 24, source: str = "source") -> DataFrame:
     """Q14: age of the newest row -> pass / warn / error."""
-    age = (F.unix_micros(ts_lit(now).cast("timestamp")) - F.unix_micros(F.max(loaded_at).cast("timestamp"))) / 3.6e9
+    age = F.timestamp_diff("MICROSECOND", F.max(loaded_at), ts_lit(now)) / 3.6e9
     r = df.agg(F.max(loaded_at).alias("max_loaded_at"), age.alias("age_hours"))
     status = (F.when(F.col("age_hours").isNull() | (F.col("age_hours") > error_hours), "error")
               .when(F.col("age_hours") > warn_hours, "warn").otherwise("pass"))

@@ -171,3 +171,27 @@ def with_ctes(body: str, extra: dict[str, str] | None = None) -> str:
     if m:  # the body brings its own CTEs: append them after ours
         return head + ",\n" + body[m.end():]
     return head + "\n" + body
+
+
+def bucket(ts: str, seconds: int) -> str:
+    return f"(epoch_us({ts}) // {seconds * 1_000_000})"
+
+
+def bucket_start(b: str, seconds: int) -> str:
+    return f"make_timestamp(({b}) * {seconds * 1_000_000})"
+
+
+_LEVEL = "(CASE WHEN event_type = 'error' THEN 'ERROR' WHEN value > 40 THEN 'WARN' ELSE 'INFO' END)"
+_SERVICE = ("(CASE WHEN event_type IN ('click', 'view') THEN 'trino' WHEN event_type = 'purchase' THEN 'airflow' "
+            "WHEN event_type = 'signup' THEN 'keycloak' ELSE 'ranger-admin' END)")
+CTES["log_lines"] = f"""
+    SELECT event_id AS line_id, {_SERVICE} AS service,
+           CASE WHEN event_id % 97 = 0 THEN '   '
+                WHEN event_id % 89 = 0 THEN 'GET /metrics/prometheus 200 ' || CAST(event_id AS VARCHAR)
+                WHEN {_SERVICE} = 'ranger-admin' THEN strftime(ts, '%Y-%m-%d %H:%M:%S,%g') || ' ' || {_LEVEL}
+                     || ' [worker-' || CAST(user_id % 8 AS VARCHAR) || '] io.lake.' || event_type || ' - event ' || CAST(event_id AS VARCHAR)
+                ELSE '{{"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || '","level":"' || {_LEVEL}
+                     || '","logger":"io.lake.' || event_type || '","message":"query ' || CAST(event_id AS VARCHAR) || ' took '
+                     || CAST(value AS VARCHAR) || '","event_type":"' || event_type || '","user_id":' || CAST(user_id AS VARCHAR) || '}}'
+           END AS body
+    FROM events"""

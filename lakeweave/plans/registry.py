@@ -1175,3 +1175,260 @@ def _g22(spark, d):
     FROM daily WINDOW w AS (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)""")
 def _w3(spark, d):
     return aud.growth_anomaly(src.read_table(spark, d, "events"), "ts", 7, 1.1)
+
+
+# ---------------------------------------------------------------------------
+# Step 8: telemetry and log analytics
+# ---------------------------------------------------------------------------
+
+from lakeweave.operators import telemetry as tm  # noqa: E402
+from lakeweave.plans.oracle import bucket as b_sql, bucket_start as bs_sql  # noqa: E402
+
+_TEXT_RE = tm.TEXT_LINE_RE.replace("'", "''")
+_JSON_SVC = ", ".join(f"'{x}'" for x in tm.JSON_SERVICES)
+CLEAN_LINES_SQL = "SELECT * FROM log_lines WHERE NOT regexp_matches(body, '^\\s*$') AND NOT contains(body, '/metrics')"
+PARSED_SQL = f"""
+    SELECT line_id, service, body,
+           CASE WHEN service IN ({_JSON_SVC}) THEN try_strptime(json_extract_string(body, '$.timestamp'), '%Y-%m-%dT%H:%M:%S.%g')
+                ELSE try_strptime(nullif(regexp_extract(body, '{_TEXT_RE}', 1), ''), '%Y-%m-%d %H:%M:%S,%g') END AS log_ts,
+           CASE WHEN service IN ({_JSON_SVC}) THEN json_extract_string(body, '$.level') ELSE nullif(regexp_extract(body, '{_TEXT_RE}', 2), '') END AS level,
+           CASE WHEN service IN ({_JSON_SVC}) THEN json_extract_string(body, '$.thread') ELSE nullif(regexp_extract(body, '{_TEXT_RE}', 3), '') END AS thread,
+           CASE WHEN service IN ({_JSON_SVC}) THEN json_extract_string(body, '$.logger') ELSE nullif(regexp_extract(body, '{_TEXT_RE}', 4), '') END AS logger,
+           CASE WHEN service IN ({_JSON_SVC}) THEN json_extract_string(body, '$.message') ELSE nullif(regexp_extract(body, '{_TEXT_RE}', 5), '') END AS message,
+           CASE WHEN service IN ({_JSON_SVC}) THEN json_extract_string(body, '$.event_type') END AS event_type,
+           CASE WHEN service IN ({_JSON_SVC}) THEN 'json' ELSE 'text' END AS format
+    FROM ({CLEAN_LINES_SQL})"""
+
+
+def parsed_logs(spark, d):
+    return tm.parse_logs(tm.drop_noise(src.log_lines(spark, d)))
+
+
+@register("m1_parse_logs", PARSED_SQL)
+def _m1(spark, d):
+    return parsed_logs(spark, d)
+
+
+@register("m2_drop_noise", f"""
+    SELECT service, count(*) AS lines FROM ({CLEAN_LINES_SQL}) GROUP BY service""")
+def _m2(spark, d):
+    return tm.drop_noise(src.log_lines(spark, d)).groupBy("service").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@register("m3_event_type_attribute", f"""
+    SELECT event_type, count(*) AS lines FROM ({PARSED_SQL}) WHERE event_type IS NOT NULL GROUP BY event_type""")
+def _m3(spark, d):
+    return parsed_logs(spark, d).filter(F.col("event_type").isNotNull()).groupBy("event_type") \
+                                .agg(F.count(F.lit(1)).alias("lines"))
+
+
+@register("m4_log_search", f"""
+    SELECT line_id, level || ' | ' || logger || ' | ' || message AS line FROM ({PARSED_SQL})
+    WHERE service = 'ranger-admin' AND contains(body, 'ERROR')""")
+def _m4(spark, d):
+    return tm.log_search(parsed_logs(spark, d), "ranger-admin", "ERROR", "%s | %s | %s",
+                         ["level", "logger", "message"])
+
+
+def samples_df(spark, d):
+    return src.metric_samples(spark, d)
+
+
+@register("m5_rate_5m", f"""
+    SELECT job, {bs_sql(b_sql('ts', 300), 300)} AS window_start, count(*) AS events, count(*) / 300.0 AS per_second
+    FROM metric_samples GROUP BY job, {b_sql('ts', 300)}""")
+def _m5(spark, d):
+    return tm.rate(samples_df(spark, d), ["job"], 5)
+
+
+@register("m5_counter_rate", f"""
+    WITH s AS (SELECT instance, {b_sql('ts', 300)} AS bucket, count(*) AS requests FROM metric_samples GROUP BY ALL),
+    c AS (SELECT instance, {bs_sql('bucket + 1', 300)} AS scrape_ts,
+                 sum(requests) OVER (PARTITION BY instance, bucket // 288 ORDER BY bucket) AS counter FROM s),
+    r AS (SELECT *, CASE WHEN counter >= lag(counter) OVER w THEN counter - lag(counter) OVER w ELSE counter END AS increase,
+                 date_diff('microsecond', lag(scrape_ts) OVER w, scrape_ts) / 1e6 AS dt
+          FROM c WINDOW w AS (PARTITION BY instance ORDER BY scrape_ts))
+    SELECT instance, scrape_ts, counter, increase, round(increase / dt, 8) AS per_second
+    FROM r WHERE lag_ok""".replace("WHERE lag_ok", "WHERE dt IS NOT NULL"))
+def _m5c(spark, d):
+    b = tm.bucketize(samples_df(spark, d), ["instance"], 300)
+    from pyspark.sql import Window as W
+    day = F.floor(F.col("bucket") / 288)
+    c = b.select("instance", tm.bucket_start(F.col("bucket") + 1, 300).alias("scrape_ts"),
+                 F.sum("requests").over(W.partitionBy("instance", day).orderBy("bucket")).alias("counter"))
+    r = tm.counter_rate(c, ["instance"], "scrape_ts", "counter")
+    return rounded(r, ["per_second"], 8)
+
+
+@register("m6_success_ratios", f"""
+    WITH b AS (SELECT job, {b_sql('ts', 300)} AS bucket, count(*) AS requests, count(CASE WHEN failed THEN 1 END) AS failures
+               FROM metric_samples GROUP BY ALL)
+    SELECT job, bucket,
+           round((sum(requests) OVER w1 - sum(failures) OVER w1) / sum(requests) OVER w1, 6) AS ratio_5m,
+           round((sum(requests) OVER w12 - sum(failures) OVER w12) / sum(requests) OVER w12, 6) AS ratio_1h,
+           round((sum(requests) OVER w72 - sum(failures) OVER w72) / sum(requests) OVER w72, 6) AS ratio_6h,
+           {bs_sql('bucket + 1', 300)} AS bucket_end
+    FROM b WINDOW w1 AS (PARTITION BY job ORDER BY bucket RANGE BETWEEN 0 PRECEDING AND CURRENT ROW),
+                  w12 AS (PARTITION BY job ORDER BY bucket RANGE BETWEEN 11 PRECEDING AND CURRENT ROW),
+                  w72 AS (PARTITION BY job ORDER BY bucket RANGE BETWEEN 71 PRECEDING AND CURRENT ROW)""")
+def _m6(spark, d):
+    return rounded(tm.success_ratios(samples_df(spark, d), ["job"]), ["ratio_5m", "ratio_1h", "ratio_6h"], 6)
+
+
+BURN_SQL = f"""
+    WITH b AS (SELECT instance, {b_sql('ts', 300)} AS bucket, count(*) AS requests, count(CASE WHEN failed THEN 1 END) AS failures
+               FROM metric_samples GROUP BY ALL),
+    r AS (SELECT instance, bucket, (sum(failures) OVER w1 / sum(requests) OVER w1) / 0.005 AS burn_1h,
+                 (sum(failures) OVER w6 / sum(requests) OVER w6) / 0.005 AS burn_6h
+          FROM b WINDOW w1 AS (PARTITION BY instance ORDER BY bucket RANGE BETWEEN 11 PRECEDING AND CURRENT ROW),
+                        w6 AS (PARTITION BY instance ORDER BY bucket RANGE BETWEEN 71 PRECEDING AND CURRENT ROW))
+    SELECT instance, bucket, round(burn_1h, 4) AS burn_1h, round(burn_6h, 4) AS burn_6h,
+           CASE WHEN burn_1h > 14.4 AND burn_6h > 14.4 THEN 'critical' WHEN burn_1h > 6.0 AND burn_6h > 6.0 THEN 'warning' END AS severity,
+           {bs_sql('bucket + 1', 300)} AS bucket_end
+    FROM r"""
+
+
+@register("m7_burn_rate_alerts", BURN_SQL)
+def _m7(spark, d):
+    # fixture failure ratios are ~20 %: against a 99.5 % SLO every window burns
+    r = tm.burn_rate_alerts(samples_df(spark, d), ["instance"], slo=0.995)
+    return rounded(r, ["burn_1h", "burn_6h"], 4)
+
+
+def _hq_sql(q: float, le=tm.DEFAULT_LE) -> str:
+    parts, lo_b, lo_c = [], "0.0", "0"
+    for i, b in enumerate(le):
+        c = f"c{i}"
+        parts.append(f"WHEN {c} >= {q} * total THEN {lo_b} + ({float(b)} - {lo_b}) * ({q} * total - {lo_c}) / ({c} - {lo_c})")
+        lo_b, lo_c = repr(float(b)), c
+    return f"CASE WHEN total = 0 THEN NULL {' '.join(parts)} ELSE {float(le[-1])} END"
+
+
+@register("m8_latency_quantiles", f"""
+    WITH h AS (SELECT job, {', '.join(f'count(CASE WHEN latency_s <= {b} THEN 1 END) AS c{i}' for i, b in enumerate(tm.DEFAULT_LE))},
+                      count(*) AS total FROM metric_samples GROUP BY job)
+    SELECT job, round({_hq_sql(0.5)}, 6) AS p50, round({_hq_sql(0.99)}, 6) AS p99,
+           round(c{len(tm.DEFAULT_LE) - 1} / total, 6) AS share_le_60s, total AS requests
+    FROM h""")
+def _m8(spark, d):
+    h = tm.histogram(samples_df(spark, d), ["job"], "latency_s")
+    r = h.select("job", tm.histogram_quantile(0.5, F.col("cum")).alias("p50"),
+                 tm.histogram_quantile(0.99, F.col("cum")).alias("p99"),
+                 tm.share_below(F.col("cum"), tm.DEFAULT_LE, 60.0).alias("share_le_60s"),
+                 F.col("le_inf").alias("requests"))
+    return rounded(r, ["p50", "p99", "share_le_60s"], 6)
+
+
+def _alerts_sql(keys=("job",), bucket_seconds=300) -> str:
+    k = ", ".join(keys)
+    g = (f"SELECT {k}, {b_sql('ts', bucket_seconds)} AS bucket, CAST(count(*) AS DOUBLE) AS requests, "
+         f"count(CASE WHEN failed THEN 1 END) / count(*) AS failure_ratio, max(latency_s) AS max_latency_s "
+         f"FROM metric_samples GROUP BY ALL")
+    parts = []
+    for name, gauge, op, thr, for_min, sev in tm.ALERT_RULES:
+        isl = (f"SELECT {k}, bucket - row_number() OVER (PARTITION BY {k} ORDER BY bucket) AS isl, bucket "
+               f"FROM g WHERE {gauge} {op} {thr}")
+        parts.append(
+            f"SELECT '{name}' AS alertname, {k}, '{sev}' AS severity, {bs_sql('min(bucket)', bucket_seconds)} AS starts_at, "
+            f"{bs_sql('max(bucket) + 1', bucket_seconds)} AS ends_at, "
+            f"{bs_sql('min(bucket)', bucket_seconds)} + INTERVAL {for_min} MINUTE AS fires_at "
+            f"FROM ({isl}) GROUP BY {k}, isl HAVING (max(bucket) - min(bucket) + 1) * {bucket_seconds / 60.0} >= {for_min}")
+    return f"WITH g AS ({g}) " + " UNION ALL ".join(parts)
+
+
+ALERTS_SQL = _alerts_sql()
+
+
+def alerts_df(spark, d):
+    return tm.threshold_alerts(samples_df(spark, d), ["job"])
+
+
+@register("m9_threshold_alerts", ALERTS_SQL)
+def _m9(spark, d):
+    return alerts_df(spark, d)
+
+
+@register("w4_sustained_failures", f"""
+    WITH g AS (SELECT job, {b_sql('ts', 300)} AS bucket, count(CASE WHEN failed THEN 1 END) / count(*) AS failure_ratio
+               FROM metric_samples GROUP BY ALL),
+    i AS (SELECT job, bucket, bucket - row_number() OVER (PARTITION BY job ORDER BY bucket) AS isl FROM g WHERE failure_ratio > 0.25)
+    SELECT job, {bs_sql('min(bucket)', 300)} AS starts_at, {bs_sql('max(bucket) + 1', 300)} AS ends_at,
+           (max(bucket) - min(bucket) + 1) * 5.0 AS minutes, {bs_sql('min(bucket)', 300)} + INTERVAL 15 MINUTE AS fires_at
+    FROM i GROUP BY job, isl HAVING (max(bucket) - min(bucket) + 1) * 5.0 >= 15""")
+def _w4(spark, d):
+    g = tm.gauges(samples_df(spark, d), ["job"])
+    return tm.sustained(g, ["job"], F.col("failure_ratio") > 0.25, 300, 15)
+
+
+@register("j8_inhibit_warnings", f"""
+    WITH a AS ({ALERTS_SQL})
+    SELECT * FROM a WHERE severity <> 'warning'
+    UNION ALL
+    SELECT * FROM a w WHERE severity = 'warning' AND NOT EXISTS (
+        SELECT 1 FROM a c WHERE c.severity = 'critical' AND c.job = w.job
+           AND w.fires_at < c.ends_at AND w.ends_at > c.fires_at)""")
+def _j8(spark, d):
+    return tm.inhibit(alerts_df(spark, d), ["job"])
+
+
+@register("m10_group_notifications", f"""
+    WITH a AS ({ALERTS_SQL}),
+    r AS (SELECT *, CASE WHEN severity = 'critical' THEN 'slack-critical' ELSE 'dev-null' END AS receiver,
+                 CASE WHEN severity = 'critical' THEN 60 WHEN severity = 'warning' THEN 720 ELSE 240 END AS repeat_minutes FROM a),
+    s AS (SELECT *, CASE WHEN lag(fires_at) OVER w IS NULL
+                           OR date_diff('microsecond', lag(fires_at) OVER w, fires_at) / 1e6 / 60 > repeat_minutes THEN 1 ELSE 0 END AS nw
+          FROM r WINDOW w AS (PARTITION BY alertname, job, receiver ORDER BY fires_at, starts_at)),
+    n AS (SELECT *, sum(nw) OVER (PARTITION BY alertname, job, receiver ORDER BY fires_at, starts_at
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS notification_no FROM s)
+    SELECT alertname, job, receiver, notification_no, min(fires_at) AS sent_at, count(*) AS alerts
+    FROM n GROUP BY alertname, job, receiver, notification_no""")
+def _m10(spark, d):
+    return tm.group_notifications(alerts_df(spark, d))
+
+
+@register("m11_budget_remaining", f"""
+    WITH d AS (SELECT job, {b_sql('ts', 86400)} AS day_no,
+                      (count(*) - count(CASE WHEN failed THEN 1 END)) / count(*) AS ratio FROM metric_samples GROUP BY ALL)
+    SELECT job, CAST(make_timestamp(day_no * 86400000000) AS DATE) AS day,
+           round(avg(ratio) OVER w, 6) AS avg_ratio_28d, round(1 - (1 - avg(ratio) OVER w) / 0.0050000000000000044, 6) AS budget_remaining
+    FROM d WINDOW w AS (PARTITION BY job ORDER BY day_no RANGE BETWEEN 27 PRECEDING AND CURRENT ROW)""")
+def _m11(spark, d):
+    return rounded(tm.budget_remaining(samples_df(spark, d), ["job"]), ["avg_ratio_28d", "budget_remaining"], 6)
+
+
+@register("m12_pipeline_freshness", """
+    WITH r AS (SELECT 'orders_' || strftime(_ingested_at - INTERVAL 1 DAY, '%Y-%m') AS table_name, max(_ingested_at) AS raw_loaded_at,
+                      max(month(_ingested_at - INTERVAL 1 DAY)) AS m FROM raw_orders GROUP BY 1),
+    j AS (SELECT *, raw_loaded_at + to_hours(CAST(m % 7 AS BIGINT)) AS staging_loaded_at FROM r)
+    SELECT count(*) AS tables, round(avg(CAST(date_diff('microsecond', raw_loaded_at, staging_loaded_at) / 3.6e9 <= 4 AS DOUBLE)), 6) AS share_met,
+           avg(CAST(date_diff('microsecond', raw_loaded_at, staging_loaded_at) / 3.6e9 <= 4 AS DOUBLE)) >= 0.95 AS slo_met
+    FROM j""")
+def _m12(spark, d):
+    ro = src.raw_orders(spark, d)
+    part = F.date_format(F.col("_ingested_at") - F.expr("INTERVAL 1 DAYS"), "yyyy-MM")
+    raw = ro.groupBy(F.concat(F.lit("orders_"), part).alias("table_name")).agg(
+        F.max("_ingested_at").alias("raw_loaded_at"),
+        F.max(F.month(F.col("_ingested_at") - F.expr("INTERVAL 1 DAYS"))).alias("m"))
+    stg = raw.select("table_name", (F.col("raw_loaded_at") + F.make_interval(hours=(F.col("m") % 7).cast("int")))
+                     .alias("staging_loaded_at"))
+    return rounded(tm.pipeline_freshness(raw.drop("m"), stg), ["share_met"], 6)
+
+
+@register("m13_silent_sources", """
+    WITH e AS (SELECT source_system, event_timestamp AS ts FROM raw_events),
+    g AS (SELECT source_system, ts AS silent_from,
+                 coalesce(lead(ts) OVER (PARTITION BY source_system ORDER BY ts), TIMESTAMP '2024-01-31 00:00:00') AS silent_to FROM e)
+    SELECT source_system, silent_from, silent_to, date_diff('microsecond', silent_from, silent_to) / 1e6 / 60 AS gap_minutes
+    FROM g WHERE date_diff('microsecond', silent_from, silent_to) / 1e6 / 60 > 10""")
+def _m13(spark, d):
+    e = src.raw_events(spark, d)
+    # same IEEE operations on both sides: compared unrounded
+    return tm.silent_sources(e, "source_system", "event_timestamp", "2024-01-31 00:00:00", 10)
+
+
+@register("m14_brute_force", f"""
+    SELECT user_id, {bs_sql(b_sql('ts', 300), 300)} AS window_start, count(*) AS failures
+    FROM events WHERE event_type = 'error' GROUP BY user_id, {b_sql('ts', 300)} HAVING count(*) > 1""")
+def _m14(spark, d):
+    e = src.read_table(spark, d, "events")
+    return tm.brute_force(e, "user_id", "ts", F.col("event_type") == "error", 5, 1)

@@ -205,23 +205,25 @@ def metric_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw log lines: JSON bodies for two services, plain text for the rest,
-    with scrape noise and blank lines mixed in."""
+    """Raw log lines: JSON bodies for trino / airflow / keycloak, the
+    "ts level [thread] logger - message" layout for ranger-admin, with scrape
+    noise and blank lines mixed in."""
     e = read_table(spark, sf_dir, "events")
     et, eid = F.col("event_type"), F.col("event_id")
     service = (F.when(et.isin("click", "view"), "trino").when(et == "purchase", "airflow")
-               .when(et == "signup", "keycloak").otherwise("minio"))
+               .when(et == "signup", "keycloak").otherwise("ranger-admin"))
     level = F.when(et == "error", "ERROR").when(F.col("value") > 40, "WARN").otherwise("INFO")
-    ts_text = F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSS")
     json_body = F.to_json(F.struct(
-        ts_text.alias("timestamp"), level.alias("level"),
+        F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("timestamp"), level.alias("level"),
+        F.concat(F.lit("io.lake."), et).alias("logger"),
         F.concat(F.lit("query "), eid.cast("string"), F.lit(" took "), F.col("value").cast("string"))
          .alias("message"),
         et.alias("event_type"), F.col("user_id").alias("user_id")))
-    text_body = F.format_string("%s %s [worker-%d] %s.%s %s", ts_text, level, F.col("user_id") % 8,
-                                F.lit("io.lake"), et, F.concat(F.lit("event "), eid.cast("string")))
+    text_body = F.concat(F.date_format(F.col("ts"), "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" "), level,
+                         F.lit(" [worker-"), (F.col("user_id") % 8).cast("string"), F.lit("] io.lake."), et,
+                         F.lit(" - event "), eid.cast("string"))
     body = (F.when(eid % 97 == 0, F.lit("   "))
-            .when(eid % 89 == 0, F.concat(F.lit("GET /metrics 200 "), eid.cast("string")))
-            .when(service.isin("trino", "airflow"), json_body)
-            .otherwise(text_body))
+            .when(eid % 89 == 0, F.concat(F.lit("GET /metrics/prometheus 200 "), eid.cast("string")))
+            .when(service == "ranger-admin", text_body)
+            .otherwise(json_body))
     return e.select(eid.alias("line_id"), service.alias("service"), body.alias("body"))
