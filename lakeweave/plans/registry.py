@@ -1432,3 +1432,124 @@ def _m13(spark, d):
 def _m14(spark, d):
     e = src.read_table(spark, d, "events")
     return tm.brute_force(e, "user_id", "ts", F.col("event_type") == "error", 5, 1)
+
+
+# ---------------------------------------------------------------------------
+# Step 7: documents
+# ---------------------------------------------------------------------------
+
+from lakeweave.sources import documents as docs  # noqa: E402
+
+RAW_DOCS_SQL = """
+    SELECT 'uploads/' || source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS source_key, 'incoming' AS source_bucket,
+           text AS extracted_text, CAST(length(text) - length(replace(text, chr(12), '')) + 1 AS BIGINT) AS page_count,
+           'run-' || CAST(doc_id % 4 AS VARCHAR) AS run_id, TIMESTAMP '2024-02-01 00:00:00' AS _ingested_at,
+           '{"extractor":"docling"}' AS metadata, doc_id, lang
+    FROM documents"""
+
+
+def raw_docs_df(spark, d):
+    return docs.raw_documents(spark, d)
+
+
+@register("s5_ingest_documents", RAW_DOCS_SQL)
+def _s5(spark, d):
+    return raw_docs_df(spark, d)
+
+
+@register("a16_document_metrics", f"""
+    SELECT source_key_source AS source, lang, run_id, count(*) AS documents, sum(page_count) AS pages,
+           sum(length(extracted_text)) AS characters
+    FROM (SELECT *, split_part(source_key, '/', 2) AS source_key_source FROM ({RAW_DOCS_SQL})) GROUP BY ALL""")
+def _a16(spark, d):
+    r = raw_docs_df(spark, d).withColumn("source", F.split("source_key", "/").getItem(1))
+    return mdl.document_metrics(r, ["source", "lang", "run_id"])
+
+
+def _html_sql(x: str) -> str:
+    t = f"regexp_replace({x}, '(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g')"
+    t = f"regexp_replace({t}, '(?is)<style\\b[^>]*>.*?</style\\s*>', ' ', 'g')"
+    t = f"regexp_replace({t}, '(?s)<!--.*?-->', ' ', 'g')"
+    t = f"regexp_replace({t}, '(?i)<br\\s*/?>|</(p|div|li|h[1-6]|tr)>', chr(10), 'g')"
+    t = f"regexp_replace({t}, '<[^>]*>', ' ', 'g')"
+    for ent, ch in docs.ENTITIES:
+        t = f"replace({t}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
+    t = f"regexp_replace({t}, '[ \\t\\r\\f]+', ' ', 'g')"
+    t = f"regexp_replace({t}, ' *\\n[ \\n]*', chr(10), 'g')"
+    return f"trim({t})"
+
+
+@register("s6_extract_text", f"SELECT page_id, url, {_html_sql('html')} AS text FROM pages")
+def _s6(spark, d):
+    return docs.extract_text(src.read_table(spark, d, "pages"))
+
+
+@register("s7_document_paths", f"""
+    SELECT source_key,
+           'documents/' || regexp_extract(source_key, '([^/]+?)(\\.[^./]*)?$', 1) || '/' || run_id || '/extracted.json' AS extracted_path,
+           'raw/documents/' || regexp_extract(source_key, '([^/]+?)(\\.[^./]*)?$', 1) || '/' || run_id || '/'
+             || regexp_extract(source_key, '([^/]+)$', 1) AS raw_object_path
+    FROM ({RAW_DOCS_SQL})""")
+def _s7(spark, d):
+    r = raw_docs_df(spark, d)
+    k, run = F.col("source_key"), F.col("run_id")
+    return r.select("source_key", docs.extracted_path(k, run).alias("extracted_path"),
+                    docs.raw_object_path(k, run).alias("raw_object_path"))
+
+
+@register("s3_new_files", f"""
+    WITH l AS (SELECT source_key AS key, doc_id FROM ({RAW_DOCS_SQL})),
+    m AS (SELECT 'processed/' || replace(key, '/', '_') || '.done' AS key FROM l WHERE doc_id % 3 = 0)
+    SELECT key, doc_id FROM l WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.key = 'processed/' || replace(l.key, '/', '_') || '.done')""")
+def _s3(spark, d):
+    listing = raw_docs_df(spark, d).select(F.col("source_key").alias("key"), "doc_id")
+    markers = listing.filter(F.col("doc_id") % 3 == 0).select(docs.marker_key(F.col("key")).alias("key"))
+    return docs.new_files_by_marker(listing, markers)
+
+
+@register("s8_prepare_raw_documents", f"""
+    SELECT source_key, run_id, length(substr(extracted_text, 1, 2000)) AS text_chars, page_count
+    FROM ({RAW_DOCS_SQL})""")
+def _s8(spark, d):
+    p = docs.prepare_raw_documents(raw_docs_df(spark, d), max_chars=2000)
+    return p.select("source_key", "run_id", F.length("extracted_text").alias("text_chars"), "page_count")
+
+
+@register("s17_chunk_documents", """
+    WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\\s+|\\n+', '\\1' || chr(1), 'g'), chr(1)),
+                                          lambda x: length(trim(x)) > 0) AS l FROM documents),
+    e AS (SELECT doc_id, trim(unnest(l)) AS sentence, generate_subscripts(l, 1) - 1 AS pos FROM s),
+    c AS (SELECT *, CAST(floor(coalesce(sum(length(sentence) + 1) OVER (PARTITION BY doc_id ORDER BY pos
+                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 1000) AS BIGINT) AS chunk_id FROM e)
+    SELECT doc_id, chunk_id, string_agg(sentence, ' ' ORDER BY pos) AS chunk_text, count(*) AS n_sentences,
+           length(string_agg(sentence, ' ' ORDER BY pos)) AS n_chars
+    FROM c GROUP BY doc_id, chunk_id""")
+def _s17(spark, d):
+    return docs.chunk_documents(src.read_table(spark, d, "documents"), 1000)
+
+
+@register("s1_scan_projection", """
+    SELECT l_orderkey, l_quantity, l_extendedprice FROM lineitem
+    WHERE l_shipdate >= TIMESTAMP '2000-01-01 00:00:00' AND l_returnflag = 'R'""")
+def _s1(spark, d):
+    return src.read_table(spark, d, "lineitem") \
+              .filter((F.col("l_shipdate") >= fn.ts_lit("2000-01-01 00:00:00")) & (F.col("l_returnflag") == "R")) \
+              .select("l_orderkey", "l_quantity", "l_extendedprice")
+
+
+@register("s9_ctas_sample", "SELECT * FROM order_items ORDER BY item_id, product_id, updated_at LIMIT 100")
+def _s9(spark, d):
+    return src.order_items(spark, d).orderBy("item_id", "product_id", "updated_at").limit(100)
+
+
+@register("s12_layout_order_items", """
+    SELECT *, order_id - (order_id % 1000) AS order_bucket FROM order_items""")
+def _s12(spark, d):
+    from lakeweave.sources.landing import layout
+    return layout(src.order_items(spark, d), {"order_bucket": fn.truncate_bucket("order_id", 1000)},
+                  sort=["order_id", "line_number"])
+
+
+@register("s11_generate_customers", f"SELECT * FROM ({CURATED_CUSTOMERS_SQL})")
+def _s11(spark, d):
+    return curated_customers(spark, d)
