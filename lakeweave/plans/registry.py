@@ -1553,3 +1553,86 @@ def _s12(spark, d):
 @register("s11_generate_customers", f"SELECT * FROM ({CURATED_CUSTOMERS_SQL})")
 def _s11(spark, d):
     return curated_customers(spark, d)
+
+
+# ---------------------------------------------------------------------------
+# Step 9: Structured Streaming (each query runs availableNow to a sink in the
+# shared checkpoint folder and is read back; compared with batch SQL)
+# ---------------------------------------------------------------------------
+
+from lakeweave.streaming import streams as st  # noqa: E402
+
+
+@register("x1_incremental_ingest", "SELECT event_id, ts, event_type, value FROM events")
+def _x1(spark, d):
+    s = st.read_fixture_stream(spark, d, "events").select("event_id", "ts", "event_type", "value")
+    return st.to_parquet(spark, s, "x1")
+
+
+@register("x2_stream_rate_5m", f"""
+    WITH b AS (SELECT event_type, {b_sql('ts', 300)} AS bucket, count(*) AS events FROM events GROUP BY ALL)
+    SELECT event_type, {bs_sql('bucket', 300)} AS window_start, {bs_sql('bucket + 1', 300)} AS window_end, events
+    FROM b WHERE {bs_sql('bucket + 1', 300)} <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def _x2(spark, d):
+    s = st.event_time(st.read_fixture_stream(spark, d, "events"))
+    return st.to_parquet(spark, st.windowed_rate(s, "event_type"), "x2")
+
+
+@register("x3_stream_sliding_ratio", f"""
+    WITH e AS (SELECT job, failed, {b_sql('ts', 300)} - k AS start_bucket
+               FROM metric_samples, range(0, 12) AS r(k)),
+    g AS (SELECT job, start_bucket, count(*) AS requests, count(CASE WHEN failed THEN 1 END) AS failures FROM e GROUP BY ALL)
+    SELECT job, {bs_sql('start_bucket', 300)} AS window_start, {bs_sql('start_bucket', 300)} + INTERVAL 1 HOUR AS window_end,
+           requests, failures, round((requests - failures) / requests, 6) AS success_ratio
+    FROM g WHERE {bs_sql('start_bucket', 300)} + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def _x3(spark, d):
+    ev = st.read_fixture_stream(spark, d, "events")
+    s = st.event_time(ev.select("ts", F.col("event_type").alias("job"), (F.col("event_type") == "error").alias("failed")))
+    return rounded(st.to_parquet(spark, st.sliding_success_ratio(s, "job", "failed"), "x3"), ["success_ratio"], 6)
+
+
+@register("x4_late_rejection", """
+    SELECT event_id, ts, event_type FROM events WHERE ts < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 168 HOUR""")
+def _x4(spark, d):
+    _, late = st.split_late(src.read_table(spark, d, "events"), "ts", "2024-01-31 00:00:00", 168)
+    return late.select("event_id", "ts", "event_type")
+
+
+@register("x5_stream_dedup", "SELECT event_id, ts, event_type FROM events")
+def _x5(spark, d):
+    s = st.event_time(st.read_fixture_stream(spark, d, "events").select("event_id", "ts", "event_type"))
+    once = st.dedupe_stream(s.unionByName(s), ["event_id"])  # every event delivered twice
+    out = st.to_parquet(spark, once, "x5")
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@register("x6_stream_upsert", "SELECT * REPLACE (round(total_amount_usd, 2) AS total_amount_usd) FROM fct_orders")
+def _x6(spark, d):
+    orders = st.read_fixture_stream(spark, d, "orders")
+    rows = mdl.fct_orders(mdl.stg_orders(src.raw_orders(spark, d, orders)), dim_df(spark, d))
+    base = st.stream_dir(spark, "x6")
+    st.run_available(rows.writeStream.foreachBatch(st.upsert_batch(f"{base}/mart", ["order_id"])), f"{base}/ck")
+    return rounded(spark.read.parquet(st.latest_version(spark, f"{base}/mart")), ["total_amount_usd"])
+
+
+@register("x7_stream_chain")
+def _x7(spark, d):
+    ev = st.read_fixture_stream(spark, d, "events")
+    norm = aud.normalize_events(src.audit_queries(spark, d, ev), aud.registry_frame(spark))
+    base = st.stream_dir(spark, "x7")
+    st.run_available(norm.writeStream.foreachBatch(st.chain_batch(base)), f"{base}/ck")
+    return spark.read.parquet(f"{base}/chain").select("event_id", "source_system", "ts", "previous_hash", "this_hash")
+
+
+@register("x8_stream_quarantine", S13_SQL)
+def _x8(spark, d):
+    orders = st.read_fixture_stream(spark, d, "orders")
+    asset = mdl.stg_orders(src.raw_orders(spark, d, orders)) \
+        .withColumn("order_amount", F.col("total_amount_usd")).withColumn("_dbt_source_relation", F.lit("stg_orders"))
+    base = st.stream_dir(spark, "x8")
+    st.run_available(asset.writeStream.foreachBatch(st.quarantine_batch(base, S.STAGING_LAYER, ["order_id"])),
+                     f"{base}/ck")
+    bad = spark.read.parquet(f"{base}/quarantine")
+    good = spark.read.parquet(f"{base}/good")
+    reasons = bad.select(F.explode("fail_reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return reasons.unionByName(good.agg(F.count(F.lit(1)).alias("n")).select(F.lit("good").alias("reason"), "n"))

@@ -70,9 +70,10 @@ def _status_word() -> Column:
     return (F.when(s == "P", "pending").when(s == "O", "processing").when(s == "F", "completed"))
 
 
-def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """raw.orders: status spelled with case/blank variants every 7th row."""
-    o = read_table(spark, sf_dir, "orders")
+def raw_orders(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """raw.orders: status spelled with case/blank variants every 7th row.
+    ``orders`` may be given instead (e.g. a streaming read of the table)."""
+    o = orders if orders is not None else read_table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     base = _status_word()
     return o.select(
@@ -153,9 +154,9 @@ def _tenant(n: Column) -> Column:
     return F.when(n % 3 == 0, "tenant_a").when(n % 3 == 1, "tenant_b").otherwise("tenant_c")
 
 
-def audit_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def audit_queries(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """The flat query-audit table (one row per executed query)."""
-    e = read_table(spark, sf_dir, "events")
+    e = events if events is not None else read_table(spark, sf_dir, "events")
     uid, eid, et = F.col("user_id"), F.col("event_id"), F.col("event_type")
     # every 7th query touches a table of the next tenant: cross-tenant access
     owner = _tenant(uid + F.when(eid % 7 == 0, 1).otherwise(0))
