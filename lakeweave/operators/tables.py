@@ -24,9 +24,11 @@ def _assert_unique_keys(df: DataFrame, keys: Sequence[str], what: str) -> DataFr
     """Lazily fail the job when a key occurs twice. The window is partitioned
     by the merge keys, so it reuses the exchange the following join needs."""
     w = Window.partitionBy(*keys)
+    # a filter predicate, not a projected column: Catalyst would prune an
+    # unused column together with its raise_error
     return (df.withColumn("__n", F.count(F.lit(1)).over(w))
-              .withColumn("__n", F.when(F.col("__n") > 1,
-                                        F.raise_error(F.lit(f"duplicate keys in {what}"))).otherwise(F.col("__n")))
+              .filter(F.when(F.col("__n") > 1, F.raise_error(F.lit(f"duplicate keys in {what}")))
+                      .otherwise(F.lit(True)))
               .drop("__n"))
 
 
@@ -106,9 +108,8 @@ def as_of(changes: DataFrame, keys: Sequence[str], version: int | None = None,
     if ts is not None:
         first = changes.agg(F.min(ts_col).alias("__first"))
         c = (c.filter(F.col(ts_col) <= ts_lit(ts)).crossJoin(F.broadcast(first))
-              .withColumn("__first", F.when(ts_lit(ts) < F.col("__first"),
-                                            F.raise_error(F.lit("timestamp is before the first snapshot")))
-                          .otherwise(F.col("__first")))
+              .filter(F.when(ts_lit(ts) < F.col("__first"),
+                             F.raise_error(F.lit("timestamp is before the first snapshot"))).otherwise(F.lit(True)))
               .drop("__first"))
     latest = latest_per_key(c, keys, [version_col], tie_break=[])
     return latest.filter(F.col(op_col) != "D").drop(op_col)

@@ -1470,13 +1470,13 @@ def _html_sql(x: str) -> str:
     t = f"regexp_replace({x}, '(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g')"
     t = f"regexp_replace({t}, '(?is)<style\\b[^>]*>.*?</style\\s*>', ' ', 'g')"
     t = f"regexp_replace({t}, '(?s)<!--.*?-->', ' ', 'g')"
-    t = f"regexp_replace({t}, '(?i)<br\\s*/?>|</(p|div|li|h[1-6]|tr)>', chr(10), 'g')"
+    t = f"regexp_replace({t}, '{docs.BLOCK_END_RE}', chr(10), 'g')"
     t = f"regexp_replace({t}, '<[^>]*>', ' ', 'g')"
     for ent, ch in docs.ENTITIES:
         t = f"replace({t}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
     t = f"regexp_replace({t}, '[ \\t\\r\\f]+', ' ', 'g')"
     t = f"regexp_replace({t}, ' *\\n[ \\n]*', chr(10), 'g')"
-    return f"trim({t})"
+    return f"regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
 
 
 @register("s6_extract_text", f"SELECT page_id, url, {_html_sql('html')} AS text FROM pages")

@@ -47,19 +47,22 @@ def ingest_documents(df: DataFrame, text_col: str, key_col: str, run_col: str,
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
+BLOCK_END_RE = r"(?i)<br\s*/?>|</(p|div|li|h[1-6]|tr|title|ul|ol|table|section|article|header|footer|nav)>"
+
+
 def html_to_text(html: Column) -> Column:
     """Drop script/style blocks, comments and tags, unescape entities,
     collapse whitespace (block ends become line breaks)."""
     t = F.regexp_replace(html, r"(?is)<script\b[^>]*>.*?</script\s*>", " ")
     t = F.regexp_replace(t, r"(?is)<style\b[^>]*>.*?</style\s*>", " ")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
-    t = F.regexp_replace(t, r"(?i)<br\s*/?>|</(p|div|li|h[1-6]|tr)>", "\n")
+    t = F.regexp_replace(t, BLOCK_END_RE, "\n")
     t = F.regexp_replace(t, r"<[^>]*>", " ")
     for ent, ch in ENTITIES:
         t = F.replace(t, F.lit(ent), F.lit(ch))
     t = F.regexp_replace(t, r"[ \t\r\f]+", " ")
     t = F.regexp_replace(t, r" *\n[ \n]*", "\n")
-    return F.trim(t)
+    return F.regexp_replace(t, r"^\s+|\s+$", "")
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
