@@ -10,7 +10,8 @@ task ever holds more than one source-hour, however hot a source is.
 
 The stored record is the canonical JSON document (fields in alphabetical
 order at every level, ``previous_hash`` included) plus ``this_hash`` =
-sha256(document). Verification is pure Catalyst: recompute the hash, compare
+sha256(document). The content hash used for anchors is sha256 of the
+document with ``previous_hash`` set to a fixed placeholder. Verification is pure Catalyst: recompute the hash, compare
 ``previous_hash`` with the prior ``this_hash`` inside each segment (W2) and
 with the recomputed anchor at each segment start. Changing any event breaks
 its own hash; if it was the last of its segment, the next anchor breaks too;
@@ -52,48 +53,56 @@ def registry_frame(spark: SparkSession) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def first_access(audit: DataFrame, user: str = "username", table_col: str = "table_name",
-                 ts: str = "timestamp", event_id: str = "event_id") -> DataFrame:
-    """Flag the first access of a user to a table. Aggregate + join back
-    (not a window): the aggregate is partial per task and the join back is
+                 ts: str = "timestamp") -> DataFrame:
+    """W7 on one row per (access, table): flag the first access of a user to
+    a table (ties at the same instant are all first). ``min(ts)`` is a
+    fixed-width hash aggregate with map-side combine; the join back is
     skew-tolerant under AQE even when one user issues a third of the queries."""
-    firsts = audit.groupBy(user, table_col).agg(F.min(F.struct(ts, event_id)).alias("__first"))
+    firsts = audit.groupBy(user, table_col).agg(F.min(ts).alias("__first"))
     return (audit.join(firsts, [user, table_col], "left")
-                 .withColumn("first_time", F.struct(ts, event_id) == F.col("__first")).drop("__first"))
+                 .withColumn("first_time", F.col(ts) == F.col("__first")).drop("__first"))
+
+
+def first_access_maps(audit: DataFrame, user: str = "username", tables: str = "tables_accessed",
+                      ts: str = "timestamp") -> DataFrame:
+    """Per user: map table -> first access time. Its size is bounded by the
+    number of tables, not by the number of queries."""
+    firsts = (audit.select(user, F.explode(tables).alias("__t"), ts)
+                   .groupBy(user, "__t").agg(F.min(ts).alias("__first")))
+    return firsts.groupBy(user).agg(F.map_from_entries(F.collect_list(F.struct("__t", "__first"))).alias("__firsts"))
 
 
 def flag_risk(audit: DataFrame, pii_pattern: str = r"\.customers$") -> DataFrame:
-    """CROSS_TENANT_ACCESS, PII_ACCESS, FIRST_TIME_ACCESS and a level
-    (CRITICAL: cross-tenant PII; HIGH: cross-tenant; MEDIUM: PII or first
-    time; LOW otherwise). PRIVILEGE_ESCALATION has no definition: left out."""
-    per_table = audit.select("event_id", "username", "tenant_id", "timestamp",
-                             F.explode("tables_accessed").alias("table_name"))
-    per_table = first_access(per_table)
-    owner = F.split("table_name", r"\.").getItem(0)
-    flags = per_table.groupBy("event_id").agg(
-        F.max((owner != F.col("tenant_id")).cast("int")).alias("cross"),
-        F.max(F.col("table_name").rlike(pii_pattern).cast("int")).alias("pii"),
-        F.max(F.col("first_time").cast("int")).alias("first"))
-    fl = F.array_compact(F.array(F.when(F.col("cross") == 1, F.lit("CROSS_TENANT_ACCESS")),
-                                 F.when(F.col("first") == 1, F.lit("FIRST_TIME_ACCESS")),
-                                 F.when(F.col("pii") == 1, F.lit("PII_ACCESS"))))
-    level = (F.when((F.col("cross") == 1) & (F.col("pii") == 1), "CRITICAL").when(F.col("cross") == 1, "HIGH")
-             .when((F.col("pii") == 1) | (F.col("first") == 1), "MEDIUM").otherwise("LOW"))
-    return flags.select("event_id", level.alias("risk_level"), fl.alias("risk_flags"))
+    """Adds risk_level and risk_flags to every audit row.
+
+    CROSS_TENANT_ACCESS and PII_ACCESS are per-row array predicates (no
+    shuffle); FIRST_TIME_ACCESS looks the row's tables up in the user's map
+    of first accesses (one join on the user). Level: CRITICAL cross-tenant
+    PII, HIGH cross-tenant, MEDIUM PII or first time, LOW otherwise.
+    PRIVILEGE_ESCALATION has no definition in the reference: left out."""
+    tables = F.col("tables_accessed")
+    cross = F.exists(tables, lambda t: F.split(t, r"\.").getItem(0) != F.col("tenant_id"))
+    pii = F.exists(tables, lambda t: t.rlike(pii_pattern))
+    j = audit.join(first_access_maps(audit), "username", "left")
+    first = F.exists(tables, lambda t: F.element_at(F.col("__firsts"), t) == F.col("timestamp"))
+    fl = F.array_compact(F.array(F.when(cross, F.lit("CROSS_TENANT_ACCESS")),
+                                 F.when(first, F.lit("FIRST_TIME_ACCESS")),
+                                 F.when(pii, F.lit("PII_ACCESS"))))
+    level = (F.when(cross & pii, "CRITICAL").when(cross, "HIGH").when(pii | first, "MEDIUM").otherwise("LOW"))
+    return j.withColumn("risk_level", level).withColumn("risk_flags", fl).drop("__firsts")
 
 
 # ---------------------------------------------------------------------------
 # Canonical record
 # ---------------------------------------------------------------------------
 
-def normalize_events(audit: DataFrame, registry: DataFrame, risk: DataFrame | None = None,
-                     cluster_ns: str = "lakehouse") -> DataFrame:
+def normalize_events(audit: DataFrame, registry: DataFrame, cluster_ns: str = "lakehouse") -> DataFrame:
     """The canonical audit record as a struct with alphabetically ordered
     fields, next to the flat ordering columns (event_id, ts, source_system).
-    The registry has a few dozen rows: it is broadcast."""
+    Risk columns are used when present (output of ``flag_risk``). The
+    registry has a few dozen rows: it is broadcast."""
     j = audit.join(F.broadcast(registry), audit.event_type == registry.raw_type, "left")
-    if risk is not None:
-        j = j.join(risk, "event_id", "left")
-    else:
+    if "risk_level" not in audit.columns:
         j = j.withColumn("risk_level", F.lit("LOW")).withColumn("risk_flags", F.array().cast("array<string>"))
     detail = F.to_json(F.struct(F.col("query_id").alias("query_id"), F.col("rows_scanned"),
                                 F.col("rows_returned"), F.col("duration_ms"),
@@ -127,9 +136,15 @@ def _doc_with_prev(event: Column, prev: Column) -> Column:
     return F.to_json(F.struct(*[(prev if n == "previous_hash" else event[n]).alias(n) for n in names]))
 
 
+def _template_from_doc(doc: Column) -> Column:
+    """The stored document with previous_hash replaced by the placeholder."""
+    return F.regexp_replace(doc, r'"previous_hash":"[^"]*"', f'"previous_hash":"{PREV_PLACEHOLDER}"')
+
+
 def _content_hash_from_doc(doc: Column) -> Column:
-    """sha256 of the document without its previous_hash (row-parallel)."""
-    return F.sha2(F.regexp_replace(doc, r',"previous_hash":"[^"]*"', ""), 256)
+    """Content hash of an event: sha256 of its document with the link field
+    set to the placeholder (row-parallel, independent of the chain)."""
+    return F.sha2(_template_from_doc(doc), 256)
 
 
 def _anchors(seg_last: DataFrame, heads: DataFrame | None) -> DataFrame:
@@ -182,15 +197,18 @@ def chain_events(events: DataFrame, heads: DataFrame | None = None) -> DataFrame
     previous increment; without it every source starts from GENESIS. Rows are
     clustered by (source, hour) and sorted inside each task, then one Arrow
     pass per task chains every segment it holds."""
+    # One hash exchange on (source, hour) feeds both the per-segment aggregate
+    # and the row path (Spark reuses it), so the upstream runs once.
     e = (events.withColumn("seg_hour", trunc_seconds("ts", 3600))
                .withColumn("template", _doc_with_prev(F.col("event"), F.lit(PREV_PLACEHOLDER)))
-               .withColumn("content", F.sha2(F.to_json("event"), 256)))
+               .select("source_system", "seg_hour", "ts", "event_id", "query_id", "template")
+               .repartition("source_system", "seg_hour"))
+    # only the last event of each segment needs its content hash
     seg_last = e.groupBy("source_system", "seg_hour").agg(
-        F.max_by("content", F.struct("ts", "event_id")).alias("last_content"))
+        F.sha2(F.max_by("template", F.struct("ts", "event_id")), 256).alias("last_content"))
     anchors = _anchors(seg_last, heads)
     work = (e.join(anchors, ["source_system", "seg_hour"])
              .select("source_system", "seg_hour", "ts", "event_id", "query_id", "template", "anchor")
-             .repartition("source_system", "seg_hour")
              .sortWithinPartitions("source_system", "seg_hour", "ts", "event_id"))
     return work.mapInArrow(_chain_batches, CHAIN_SCHEMA)
 
@@ -203,16 +221,16 @@ def chain_heads(chained: DataFrame) -> DataFrame:
 
 def verify_chain(chained: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """G8 (+W2): every stored record with hash_ok / link_ok; fully parallel."""
-    c = chained.withColumn("hash_ok", F.sha2("doc", 256) == F.col("this_hash")) \
-               .withColumn("content", _content_hash_from_doc(F.col("doc")))
+    c = (chained.withColumn("hash_ok", F.sha2("doc", 256) == F.col("this_hash"))
+                .repartition("source_system", "seg_hour"))  # shared by both consumers below
     seg_last = c.groupBy("source_system", "seg_hour").agg(
-        F.max_by("content", F.struct("ts", "event_id")).alias("last_content"))
+        _content_hash_from_doc(F.max_by("doc", F.struct("ts", "event_id"))).alias("last_content"))
     anchors = _anchors(seg_last, heads)
     w = Window.partitionBy("source_system", "seg_hour").orderBy("ts", "event_id")
     v = (c.join(anchors, ["source_system", "seg_hour"])
           .withColumn("__expected", F.coalesce(F.lag("this_hash").over(w), F.col("anchor"))))
     return v.withColumn("link_ok", F.col("previous_hash") == F.col("__expected")) \
-            .drop("__expected", "anchor", "content")
+            .drop("__expected", "anchor")
 
 
 def broken_links(verified: DataFrame) -> DataFrame:

@@ -1000,29 +1000,29 @@ def _g20(spark, d):
 from lakeweave.operators import audit as aud  # noqa: E402
 
 RISK_SQL = """
-    WITH x AS (SELECT event_id, username, tenant_id, "timestamp", unnest(tables_accessed) AS table_name FROM audit_queries),
-    f AS (SELECT username, table_name, min({'t': "timestamp", 'e': event_id}) AS fst FROM x GROUP BY ALL),
-    y AS (SELECT x.*, {'t': x."timestamp", 'e': x.event_id} = f.fst AS first_time
-          FROM x LEFT JOIN f USING (username, table_name)),
-    g AS (SELECT event_id, max(CAST(split_part(table_name, '.', 1) <> tenant_id AS INT)) AS cross_t,
-                 max(CAST(regexp_matches(table_name, '\\.customers$') AS INT)) AS pii,
-                 max(CAST(first_time AS INT)) AS fst FROM y GROUP BY event_id)
+    WITH x AS (SELECT username, unnest(tables_accessed) AS table_name, "timestamp" FROM audit_queries),
+    f AS (SELECT username, table_name, min("timestamp") AS fst FROM x GROUP BY ALL),
+    y AS (SELECT a.event_id, max(CAST(split_part(t.table_name, '.', 1) <> a.tenant_id AS INT)) AS cross_t,
+                 max(CAST(regexp_matches(t.table_name, '\\.customers$') AS INT)) AS pii,
+                 max(CAST(f.fst = a."timestamp" AS INT)) AS fst
+          FROM audit_queries a, (SELECT event_id, unnest(tables_accessed) AS table_name FROM audit_queries) t, f
+          WHERE t.event_id = a.event_id AND f.username = a.username AND f.table_name = t.table_name
+          GROUP BY a.event_id)
     SELECT event_id,
            CASE WHEN cross_t = 1 AND pii = 1 THEN 'CRITICAL' WHEN cross_t = 1 THEN 'HIGH'
                 WHEN pii = 1 OR fst = 1 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
            list_filter([CASE WHEN cross_t = 1 THEN 'CROSS_TENANT_ACCESS' END, CASE WHEN fst = 1 THEN 'FIRST_TIME_ACCESS' END,
                         CASE WHEN pii = 1 THEN 'PII_ACCESS' END], lambda v: v IS NOT NULL) AS risk_flags
-    FROM g"""
+    FROM y"""
 
 
 @register("g21_flag_risk", RISK_SQL)
 def _g21(spark, d):
-    return aud.flag_risk(src.audit_queries(spark, d))
+    return aud.flag_risk(src.audit_queries(spark, d)).select("event_id", "risk_level", "risk_flags")
 
 
 def normalized_df(spark, d):
-    a = src.audit_queries(spark, d)
-    return aud.normalize_events(a, aud.registry_frame(spark), aud.flag_risk(a))
+    return aud.normalize_events(aud.flag_risk(src.audit_queries(spark, d)), aud.registry_frame(spark))
 
 
 def _reg_sql(idx: int) -> str:

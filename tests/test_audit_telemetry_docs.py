@@ -67,6 +67,8 @@ def test_risk_flags(spark):
         ("e3", "u2", "tenant_a", dt.datetime(2024, 1, 2), ["tenant_a.marts.orders"]),
     ], "event_id string, username string, tenant_id string, timestamp timestamp_ntz, tables_accessed array<string>")
     got = {r.event_id: (r.risk_level, r.risk_flags) for r in aud.flag_risk(a).collect()}
+    per_table = aud.first_access(a.select("username", "timestamp", F.explode("tables_accessed").alias("table_name")))
+    assert sorted(r.first_time for r in per_table.collect()) == [False, True, True]
     assert got["e1"] == ("CRITICAL", ["CROSS_TENANT_ACCESS", "FIRST_TIME_ACCESS", "PII_ACCESS"])
     assert got["e2"] == ("CRITICAL", ["CROSS_TENANT_ACCESS", "PII_ACCESS"])
     assert got["e3"] == ("MEDIUM", ["FIRST_TIME_ACCESS"])
