@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from lakeweave.functions.columns import ts_lit
+from lakeweave.session import ensure_parallelism
 
 RESULT_FIELDS = ("suite", "rule_index", "expectation", "column_name", "element_count", "unexpected_count",
                  "observed_value", "success")
@@ -93,7 +94,7 @@ def _mostly_ok(elem: Column, unexp: Column, mostly: float) -> Column:
 def validate(df: DataFrame, suite: Sequence[dict], suite_name: str = "suite") -> DataFrame:
     """Q1-Q12: run a suite; one row per rule (see RESULT_FIELDS)."""
     cols = set(df.columns)
-    aggs: list[Column] = [F.count(F.lit(1)).alias("__rows")]
+    aggs: dict[str, Column] = {"__rows": F.count(F.lit(1))}
     uniq: list[str] = []
     rows: list[Column] = []
     null_l, null_d = F.lit(None).cast("bigint"), F.lit(None).cast("double")
@@ -133,8 +134,8 @@ def validate(df: DataFrame, suite: Sequence[dict], suite_name: str = "suite") ->
                 rows.append(out(i, t, label, null_l, null_l, null_d, F.lit(False)))
                 continue
             both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            aggs += [F.count(F.when(both, 1)).alias(f"__e{i}"),
-                     F.count(F.when(row_failure(df, r), 1)).alias(f"__u{i}")]
+            aggs[f"__e{i}"] = F.count(F.when(both, 1))
+            aggs[f"__u{i}"] = F.count(F.when(row_failure(df, r), 1))
             e, u = F.col(f"__e{i}"), F.col(f"__u{i}")
             rows.append(out(i, t, label, e, u, F.when(e > 0, u / e), _mostly_ok(e, u, mostly)))
             continue
@@ -142,7 +143,7 @@ def validate(df: DataFrame, suite: Sequence[dict], suite_name: str = "suite") ->
             rows.append(out(i, t, c, null_l, null_l, null_d, F.lit(False)))
             continue
         if t == "expect_column_values_to_not_be_null":
-            aggs.append(F.count(F.col(c)).alias(f"__nn{i}"))
+            aggs[f"__nn{i}"] = F.count(F.col(c))
             e, u = F.col("__rows"), F.col("__rows") - F.col(f"__nn{i}")
             rows.append(out(i, t, c, e, u, F.when(e > 0, u / e), _mostly_ok(e, u, mostly)))
         elif t in ("expect_column_values_to_be_unique", "expect_column_proportion_of_unique_values_to_be_between"):
@@ -162,12 +163,28 @@ def validate(df: DataFrame, suite: Sequence[dict], suite_name: str = "suite") ->
                 rows.append(out(i, t, c, e, null_l, p, (e == 0) | F.coalesce(ok, F.lit(False))))
         else:
             cond = row_failure(df, r)
-            aggs += [F.count(F.col(c)).alias(f"__e{i}"), F.count(F.when(cond, 1)).alias(f"__u{i}")]
+            aggs[f"__e{i}"] = F.count(F.col(c))
+            aggs[f"__u{i}"] = F.count(F.when(cond, 1))
             e, u = F.col(f"__e{i}"), F.col(f"__u{i}")
             rows.append(out(i, t, c, e, u, F.when(e > 0, u / e), _mostly_ok(e, u, mostly)))
 
-    stats = df.agg(*aggs)
+    if uniq:
+        # One pass: every counter is pre-aggregated per value of the first
+        # uniqueness column (partial + final hash aggregate), then reduced;
+        # the per-value counts give that column's uniqueness statistics.
+        u0 = uniq[0]
+        per_value = df.groupBy(F.col(u0).alias("__u0")).agg(*[e.alias(n) for n, e in aggs.items()])
+        nonnull = F.col("__u0").isNotNull()
+        stats = per_value.agg(
+            *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in aggs],
+            F.coalesce(F.sum(F.when(nonnull, F.col("__rows"))), F.lit(0)).alias("__un0"),
+            F.count(F.when(nonnull, 1)).alias("__ud0"),
+            F.coalesce(F.sum(F.when(nonnull & (F.col("__rows") > 1), F.col("__rows"))), F.lit(0)).alias("__dup0"))
+    else:
+        stats = df.agg(*[e.alias(n) for n, e in aggs.items()])
     for k, c in enumerate(uniq):
+        if k == 0:
+            continue
         per_value = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
         u = per_value.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias(f"__un{k}"),
                           F.count(F.lit(1)).alias(f"__ud{k}"),
@@ -287,7 +304,7 @@ def pii_scan(df: DataFrame, text_col: str, patterns: dict[str, str] | None = Non
     patterns = patterns or PII_PATTERNS
     t = F.col(text_col)
     counts = [F.regexp_count(t, F.lit(p)).alias(f"{k}_count") for k, p in patterns.items()]
-    out = df.select("*", *counts)
+    out = ensure_parallelism(df).select("*", *counts)
     flag = None
     for k in patterns:
         c = F.col(f"{k}_count") > 0

@@ -55,3 +55,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never a local checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ensure_parallelism(df: DataFrame, factor: int = 1) -> DataFrame:
+    """Spread CPU-heavy per-row work over the cluster when the input arrives
+    in fewer partitions than there are cores (e.g. one small file).
+
+    The decision reads only the planned partition count (file splits are
+    metadata), never data. On a large input the scan already yields
+    thousands of splits and this is a no-op, so no shuffle is added at scale."""
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakeweave.session import ensure_parallelism
 from lakeweave.sources.tables import RUN_TS, read_table
 
 MAX_TEXT_CHARS = 65535  # decision D6: kept as a parameter
@@ -67,7 +68,7 @@ def html_to_text(html: Column) -> Column:
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """S6 as a distributed job over raw pages."""
-    return pages.select("page_id", "url", html_to_text(F.col(html_col)).alias("text"))
+    return ensure_parallelism(pages).select("page_id", "url", html_to_text(F.col(html_col)).alias("text"))
 
 
 def file_stem(key: Column) -> Column:
@@ -122,7 +123,7 @@ def chunk_documents(df: DataFrame, max_chars: int = 1000, key: str = "doc_id", t
     """Sentence-based chunks. A sentence joins the chunk in which its
     start offset falls (bands of ``max_chars``); sentences are never split.
     The running offset is a window per document (bounded by one document)."""
-    s = df.select(key, F.posexplode(sentences(F.col(text_col))).alias("pos", "sentence"))
+    s = ensure_parallelism(df).select(key, F.posexplode(sentences(F.col(text_col))).alias("pos", "sentence"))
     s = s.withColumn("sentence", F.trim("sentence"))
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("sentence") + 1).over(w), F.lit(0))

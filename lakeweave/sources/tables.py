@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.functions.columns import uuid_from_md5, zpad
+from lakeweave.session import ensure_parallelism
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -156,7 +157,7 @@ def _tenant(n: Column) -> Column:
 
 def audit_queries(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """The flat query-audit table (one row per executed query)."""
-    e = events if events is not None else read_table(spark, sf_dir, "events")
+    e = events if events is not None else ensure_parallelism(read_table(spark, sf_dir, "events"))
     uid, eid, et = F.col("user_id"), F.col("event_id"), F.col("event_type")
     # every 7th query touches a table of the next tenant: cross-tenant access
     owner = _tenant(uid + F.when(eid % 7 == 0, 1).otherwise(0))
