@@ -113,8 +113,9 @@ def dedupe_stream(events: DataFrame, keys: Sequence[str], ts: str = "ts", waterm
 # foreachBatch sinks
 # ---------------------------------------------------------------------------
 
-def latest_version(spark: SparkSession, path: str) -> str | None:
-    """Newest committed version folder of a copy-on-write table."""
+def latest_version(spark: SparkSession, path: str, before: int | None = None) -> str | None:
+    """Newest committed version folder of a copy-on-write table (optionally
+    the newest one older than batch ``before``)."""
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -123,21 +124,21 @@ def latest_version(spark: SparkSession, path: str) -> str | None:
     versions = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(hpath)
                       if s.getPath().getName().startswith("v=")
                       and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{s.getPath().toString()}/_SUCCESS")))
+    if before is not None:
+        versions = [v for v in versions if v < before]
     return f"{path.rstrip('/')}/v={versions[-1]}" if versions else None
 
 
 def upsert_batch(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
     """Merge every micro-batch into a copy-on-write table. Each batch
-    writes a new version folder ``v=<batch id>``; a re-run of the same batch
-    id after a failure overwrites that version (idempotent)."""
+    writes a new version folder ``v=<batch id>`` built from the newest
+    version *before* it, so a replay of the same batch id after a failure
+    rebuilds the same version (exactly once)."""
     def fn(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        cur = latest_version(spark, path)
+        base = latest_version(spark, path, before=batch_id)
         target = f"{path.rstrip('/')}/v={batch_id}"
-        if cur is not None and cur != target:
-            merged = merge_upsert(spark.read.parquet(cur), batch, keys)
-        else:
-            merged = batch
+        merged = merge_upsert(spark.read.parquet(base), batch, keys) if base is not None else batch
         merged.write.mode("overwrite").parquet(target)
     return fn
 
@@ -161,8 +162,8 @@ def chain_batch(path: str) -> Callable[[DataFrame, int], None]:
     def fn(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         base = path.rstrip("/")
-        heads_dir = latest_version(spark, f"{base}/heads")
-        heads = spark.read.parquet(heads_dir) if heads_dir and not heads_dir.endswith(f"v={batch_id}") else None
+        heads_dir = latest_version(spark, f"{base}/heads", before=batch_id)
+        heads = spark.read.parquet(heads_dir) if heads_dir else None
         chained = chain_events(batch, heads)
         chained.write.mode("overwrite").parquet(f"{base}/chain/batch={batch_id}")
         new_heads = chain_heads(spark.read.parquet(f"{base}/chain/batch={batch_id}"))
