@@ -144,13 +144,14 @@ def upsert_batch(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], N
 
 
 def quarantine_batch(path: str, suite: Sequence[dict], unique_keys: Sequence[str] = ()) -> Callable:
-    """Split every micro-batch into good rows and quarantined rows."""
+    """Split every micro-batch into good rows and quarantined rows, one
+    folder per batch id (``batch_id=<n>``), overwritten on replay: exactly once."""
     from lakeweave.operators.quality import split_quarantine
 
     def fn(batch: DataFrame, batch_id: int) -> None:
         good, bad = split_quarantine(batch, suite, unique_keys)
-        good.write.mode("append").parquet(f"{path.rstrip('/')}/good")
-        bad.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{path.rstrip('/')}/quarantine")
+        good.write.mode("overwrite").parquet(f"{path.rstrip('/')}/good/batch_id={batch_id}")
+        bad.write.mode("overwrite").parquet(f"{path.rstrip('/')}/quarantine/batch_id={batch_id}")
     return fn
 
 
