@@ -3,8 +3,9 @@
 Breadth-first expansion with one join per level against the edge table; the
 frontier shrinks to the nodes seen for the first time, so each level only
 joins new nodes. The loop stops when a level adds nothing or at ``max_depth``.
-Lineage is reliably checkpointed every few levels so the plan does not grow
-with the depth.
+The edge table is hash-partitioned on its join key and checkpointed once, so
+each level shuffles only the frontier; frontier and visited set are reliably
+checkpointed every level, so no level re-runs the plans of earlier levels.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from lakeweave.session import cut_lineage
 
 
 def lineage(edges: DataFrame, start: DataFrame, direction: str = "upstream", max_depth: int = 50,
-            child: str = "child", parent: str = "parent", checkpoint_every: int = 4) -> DataFrame:
+            child: str = "child", parent: str = "parent", checkpoint_every: int = 1) -> DataFrame:
     """Nodes reachable from ``start`` (column ``node``) with their depth.
 
     upstream: follow child -> parent; downstream: parent -> child. Each node
@@ -24,7 +25,8 @@ def lineage(edges: DataFrame, start: DataFrame, direction: str = "upstream", max
     if direction not in ("upstream", "downstream"):
         raise ValueError(direction)
     src, dst = (child, parent) if direction == "upstream" else (parent, child)
-    e = edges.select(F.col(src).alias("__from"), F.col(dst).alias("node")).distinct()
+    e = cut_lineage(edges.select(F.col(src).alias("__from"), F.col(dst).alias("node"))
+                    .repartition("__from").dropDuplicates(["__from", "node"]))
     seen = start.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = seen.select("node")
     depth = 0
