@@ -86,13 +86,13 @@ def _t3(spark, d):
 @register("a1_rpt_revenue_by_region", f"""
     SELECT country, count(*) AS total_orders, count(CASE WHEN is_completed THEN 1 END) AS completed_orders,
            round(sum(total_amount_usd), 2) AS total_revenue_usd, round(avg(total_amount_usd), 2) AS avg_order_value_usd,
-           round(CASE WHEN count(*) = 0 THEN 0.0
-                      ELSE CAST(count(CASE WHEN is_completed THEN 1 END) AS DOUBLE) / count(*) END, 6) AS completion_rate,
+           CASE WHEN count(*) = 0 THEN 0.0
+                ELSE CAST(count(CASE WHEN is_completed THEN 1 END) AS DOUBLE) / count(*) END AS completion_rate,
            {RUN_TS_SQL} AS _dbt_updated_at
     FROM fct_orders GROUP BY country""")
 def _a1(spark, d):
     r = mdl.rpt_revenue_by_region(fct_df(spark, d), src.RUN_TS)
-    return rounded(rounded(r, ["total_revenue_usd", "avg_order_value_usd"]), ["completion_rate"], 6)
+    return rounded(r, ["total_revenue_usd", "avg_order_value_usd"])
 
 
 @register("a2_tpch_q1", """
@@ -570,11 +570,12 @@ def mart_asset(spark, d):
 
 
 def _qround(df):
-    return rounded(df, ["observed_value"], 6)
+    # observed values are count ratios: identical IEEE results in both engines
+    return df
 
 
 def _round_obs(sql: str) -> str:
-    return f"SELECT * REPLACE (round(observed_value, 6) AS observed_value) FROM ({sql})"
+    return sql
 
 
 RAW_SUITE_SQL = suite_sql("SELECT * FROM raw_events", RAW_EVENTS_COLS, [], S.RAW_LAYER, "raw_layer")
@@ -617,19 +618,19 @@ def _q12(spark, d):
 
 @register("q14_source_freshness", """
     SELECT 'raw_orders' AS source, max(_ingested_at) AS max_loaded_at,
-           round(date_diff('microsecond', max(_ingested_at), TIMESTAMP '2001-08-02 12:00:00') / 3.6e9, 6) AS age_hours,
+           date_diff('microsecond', max(_ingested_at), TIMESTAMP '2001-08-02 12:00:00') / 3.6e9 AS age_hours,
            CASE WHEN max(_ingested_at) IS NULL OR date_diff('microsecond', max(_ingested_at), TIMESTAMP '2001-08-02 12:00:00') / 3.6e9 > 24 THEN 'error'
                 WHEN date_diff('microsecond', max(_ingested_at), TIMESTAMP '2001-08-02 12:00:00') / 3.6e9 > 6 THEN 'warn' ELSE 'pass' END AS status
     FROM raw_orders""")
 def _q14(spark, d):
     r = qa.freshness(src.raw_orders(spark, d), "_ingested_at", "2001-08-02 12:00:00", 6, 24, "raw_orders")
-    return rounded(r, ["age_hours"], 6)
+    return r
 
 
 _ASSET_SQL = [("raw_events", RAW_SUITE_SQL), ("stg_orders", STG_SUITE_SQL), ("customer_mart", MART_SUITE_SQL)]
 CHECKPOINT_SQL = "WITH r AS (" + "\nUNION ALL\n".join(
     f"SELECT *, '{a}' AS asset FROM ({s})" for a, s in _ASSET_SQL) + """)
-    SELECT * REPLACE (round(observed_value, 6) AS observed_value),
+    SELECT *,
            bool_and(success) OVER (PARTITION BY asset) AS asset_success,
            CASE WHEN bool_and(success) OVER (PARTITION BY asset) THEN 'pass'
                 WHEN suite = 'raw_layer' THEN 'fail_pipeline' WHEN suite = 'staging_layer' THEN 'quarantine'
@@ -652,10 +653,10 @@ def _q15(spark, d):
 @register("a13_quality_summary", """
     SELECT suite, asset, count(*) AS evaluated, count(CASE WHEN success THEN 1 END) AS successful,
            count(CASE WHEN NOT success THEN 1 END) AS unsuccessful,
-           round(count(CASE WHEN success THEN 1 END) / count(*), 6) AS pass_rate
+           count(CASE WHEN success THEN 1 END) / count(*) AS pass_rate
     FROM (""" + CHECKPOINT_SQL + ") GROUP BY suite, asset")
 def _a13(spark, d):
-    return rounded(qa.quality_summary(checkpoint_df(spark, d), ["suite", "asset"]), ["pass_rate"], 6)
+    return qa.quality_summary(checkpoint_df(spark, d), ["suite", "asset"])
 
 
 _S13_FAILS = row_failures_sql(S.STAGING_LAYER, STG_ASSET_COLS, ["total_amount_usd", "order_amount"])
@@ -759,27 +760,27 @@ def _q19(spark, d):
 
 @register("a12_profile", "\nUNION ALL\n".join(
     f"""SELECT '{c}' AS column_name, count(*) - count({c}) AS null_count,
-              CASE WHEN count(*) > 0 THEN round(CAST(count(*) - count({c}) AS DOUBLE) / count(*), 6) END AS null_fraction,
+              CASE WHEN count(*) > 0 THEN CAST(count(*) - count({c}) AS DOUBLE) / count(*) END AS null_fraction,
               count(DISTINCT {c}) AS distinct_count, CAST(min({c}) AS VARCHAR) AS min_value,
               CAST(max({c}) AS VARCHAR) AS max_value, CAST(NULL AS DOUBLE) AS mean_value, count(*) AS row_count
        FROM fct_orders""" for c in ["order_id", "customer_id", "status", "currency", "order_date", "country"]))
 def _a12(spark, d):
     p = qa.profile(fct_df(spark, d), ["order_id", "customer_id", "status", "currency", "order_date", "country"],
                    exact=True)
-    return rounded(p, ["null_fraction"], 6)
+    return p
 
 
 @register("w5_consecutive_failures", """
     WITH runs AS (SELECT event_type AS suite, CAST(ts AS DATE) AS run_ts, avg(CASE WHEN value <= 45 THEN 1.0 ELSE 0.0 END) AS pass_rate
                   FROM events GROUP BY 1, 2)
-    SELECT suite, run_ts, round(pass_rate, 6) AS pass_rate,
+    SELECT suite, run_ts, pass_rate,
            count(*) OVER w = 3 AND max(pass_rate) OVER w < 0.95 AS alert
     FROM runs WINDOW w AS (PARTITION BY suite ORDER BY run_ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
 def _w5(spark, d):
     e = src.read_table(spark, d, "events")
     runs = e.groupBy(F.col("event_type").alias("suite"), F.to_date("ts").alias("run_ts")).agg(
         F.avg(F.when(F.col("value") <= 45, 1.0).otherwise(0.0)).alias("pass_rate"))
-    return rounded(qa.consecutive_failures(runs, 3, 0.95), ["pass_rate"], 6)
+    return qa.consecutive_failures(runs, 3, 0.95)
 
 
 # ---------------------------------------------------------------------------
@@ -1248,7 +1249,7 @@ def _m5(spark, d):
     r AS (SELECT *, CASE WHEN counter >= lag(counter) OVER w THEN counter - lag(counter) OVER w ELSE counter END AS increase,
                  date_diff('microsecond', lag(scrape_ts) OVER w, scrape_ts) / 1e6 AS dt
           FROM c WINDOW w AS (PARTITION BY instance ORDER BY scrape_ts))
-    SELECT instance, scrape_ts, counter, increase, round(increase / dt, 8) AS per_second
+    SELECT instance, scrape_ts, counter, increase, increase / dt AS per_second
     FROM r WHERE lag_ok""".replace("WHERE lag_ok", "WHERE dt IS NOT NULL"))
 def _m5c(spark, d):
     b = tm.bucketize(samples_df(spark, d), ["instance"], 300)
@@ -1256,23 +1257,22 @@ def _m5c(spark, d):
     day = F.floor(F.col("bucket") / 288)
     c = b.select("instance", tm.bucket_start(F.col("bucket") + 1, 300).alias("scrape_ts"),
                  F.sum("requests").over(W.partitionBy("instance", day).orderBy("bucket")).alias("counter"))
-    r = tm.counter_rate(c, ["instance"], "scrape_ts", "counter")
-    return rounded(r, ["per_second"], 8)
+    return tm.counter_rate(c, ["instance"], "scrape_ts", "counter")
 
 
 @register("m6_success_ratios", f"""
     WITH b AS (SELECT job, {b_sql('ts', 300)} AS bucket, count(*) AS requests, count(CASE WHEN failed THEN 1 END) AS failures
                FROM metric_samples GROUP BY ALL)
     SELECT job, bucket,
-           round((sum(requests) OVER w1 - sum(failures) OVER w1) / sum(requests) OVER w1, 6) AS ratio_5m,
-           round((sum(requests) OVER w12 - sum(failures) OVER w12) / sum(requests) OVER w12, 6) AS ratio_1h,
-           round((sum(requests) OVER w72 - sum(failures) OVER w72) / sum(requests) OVER w72, 6) AS ratio_6h,
+           (sum(requests) OVER w1 - sum(failures) OVER w1) / sum(requests) OVER w1 AS ratio_5m,
+           (sum(requests) OVER w12 - sum(failures) OVER w12) / sum(requests) OVER w12 AS ratio_1h,
+           (sum(requests) OVER w72 - sum(failures) OVER w72) / sum(requests) OVER w72 AS ratio_6h,
            {bs_sql('bucket + 1', 300)} AS bucket_end
     FROM b WINDOW w1 AS (PARTITION BY job ORDER BY bucket RANGE BETWEEN 0 PRECEDING AND CURRENT ROW),
                   w12 AS (PARTITION BY job ORDER BY bucket RANGE BETWEEN 11 PRECEDING AND CURRENT ROW),
                   w72 AS (PARTITION BY job ORDER BY bucket RANGE BETWEEN 71 PRECEDING AND CURRENT ROW)""")
 def _m6(spark, d):
-    return rounded(tm.success_ratios(samples_df(spark, d), ["job"]), ["ratio_5m", "ratio_1h", "ratio_6h"], 6)
+    return tm.success_ratios(samples_df(spark, d), ["job"])
 
 
 BURN_SQL = f"""
@@ -1282,7 +1282,7 @@ BURN_SQL = f"""
                  (sum(failures) OVER w6 / sum(requests) OVER w6) / 0.005 AS burn_6h
           FROM b WINDOW w1 AS (PARTITION BY instance ORDER BY bucket RANGE BETWEEN 11 PRECEDING AND CURRENT ROW),
                         w6 AS (PARTITION BY instance ORDER BY bucket RANGE BETWEEN 71 PRECEDING AND CURRENT ROW))
-    SELECT instance, bucket, round(burn_1h, 4) AS burn_1h, round(burn_6h, 4) AS burn_6h,
+    SELECT instance, bucket, burn_1h, burn_6h,
            CASE WHEN burn_1h > 14.4 AND burn_6h > 14.4 THEN 'critical' WHEN burn_1h > 6.0 AND burn_6h > 6.0 THEN 'warning' END AS severity,
            {bs_sql('bucket + 1', 300)} AS bucket_end
     FROM r"""
@@ -1291,8 +1291,7 @@ BURN_SQL = f"""
 @register("m7_burn_rate_alerts", BURN_SQL)
 def _m7(spark, d):
     # fixture failure ratios are ~20 %: against a 99.5 % SLO every window burns
-    r = tm.burn_rate_alerts(samples_df(spark, d), ["instance"], slo=0.995)
-    return rounded(r, ["burn_1h", "burn_6h"], 4)
+    return tm.burn_rate_alerts(samples_df(spark, d), ["instance"], slo=0.995)
 
 
 def _hq_sql(q: float, le=tm.DEFAULT_LE) -> str:
@@ -1307,8 +1306,8 @@ def _hq_sql(q: float, le=tm.DEFAULT_LE) -> str:
 @register("m8_latency_quantiles", f"""
     WITH h AS (SELECT job, {', '.join(f'count(CASE WHEN latency_s <= {b} THEN 1 END) AS c{i}' for i, b in enumerate(tm.DEFAULT_LE))},
                       count(*) AS total FROM metric_samples GROUP BY job)
-    SELECT job, round({_hq_sql(0.5)}, 6) AS p50, round({_hq_sql(0.99)}, 6) AS p99,
-           round(c{len(tm.DEFAULT_LE) - 1} / total, 6) AS share_le_60s, total AS requests
+    SELECT job, {_hq_sql(0.5)} AS p50, {_hq_sql(0.99)} AS p99,
+           c{len(tm.DEFAULT_LE) - 1} / total AS share_le_60s, total AS requests
     FROM h""")
 def _m8(spark, d):
     h = tm.histogram(samples_df(spark, d), ["job"], "latency_s")
@@ -1316,7 +1315,7 @@ def _m8(spark, d):
                  tm.histogram_quantile(0.99, F.col("cum")).alias("p99"),
                  tm.share_below(F.col("cum"), tm.DEFAULT_LE, 60.0).alias("share_le_60s"),
                  F.col("le_inf").alias("requests"))
-    return rounded(r, ["p50", "p99", "share_le_60s"], 6)
+    return r
 
 
 def _alerts_sql(keys=("job",), bucket_seconds=300) -> str:
@@ -1583,12 +1582,12 @@ def _x2(spark, d):
                FROM metric_samples, range(0, 12) AS r(k)),
     g AS (SELECT job, start_bucket, count(*) AS requests, count(CASE WHEN failed THEN 1 END) AS failures FROM e GROUP BY ALL)
     SELECT job, {bs_sql('start_bucket', 300)} AS window_start, {bs_sql('start_bucket', 300)} + INTERVAL 1 HOUR AS window_end,
-           requests, failures, round((requests - failures) / requests, 6) AS success_ratio
+           requests, failures, (requests - failures) / requests AS success_ratio
     FROM g WHERE {bs_sql('start_bucket', 300)} + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
 def _x3(spark, d):
     ev = st.read_fixture_stream(spark, d, "events")
     s = st.event_time(ev.select("ts", F.col("event_type").alias("job"), (F.col("event_type") == "error").alias("failed")))
-    return rounded(st.to_parquet(spark, st.sliding_success_ratio(s, "job", "failed"), "x3"), ["success_ratio"], 6)
+    return st.to_parquet(spark, st.sliding_success_ratio(s, "job", "failed"), "x3")
 
 
 @register("x4_late_rejection", """
