@@ -11,7 +11,6 @@ rows is reduced before the shuffle instead of being sorted in one task.
 from __future__ import annotations
 
 import datetime as dt
-import os
 from typing import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -171,9 +170,11 @@ def compact(spark: SparkSession, src: str, dst: str, target_bytes: int = 1 << 30
     """T7 rewrite: read a directory and write it back with files near the
     target size into a *new* directory. Returns the number of output files."""
     df = spark.read.parquet(src)
-    total = sum(os.path.getsize(os.path.join(r, f)) for r, _, fs in os.walk(src) for f in fs
-                if f.endswith(".parquet")) if os.path.isdir(src) else target_bytes
-    n = max(1, -(-total // target_bytes))
+    # size from the file system the table lives on (HDFS, object store, local)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(src)
+    total = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    n = max(1, -(-int(total) // target_bytes))
     df.repartition(n).write.mode("overwrite").parquet(dst)
     return n
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lakeweave.plans import benchmark as bm
 from lakeweave.plans.oracle import RUN_TS_SQL, with_ctes
 from lakeweave.plans.oracle import uuid as uuid_sql
+from lakeweave.plans.oracle import zpad as zpad_sql
 from lakeweave.sources import tables as src
 from lakeweave.operators import models as mdl
 
@@ -886,11 +887,13 @@ def _g4(spark, d):
     return gov.evaluate_access(access_requests(spark, d), gov.rules_frame(spark))
 
 
-SUBJECTS_SQL = "SELECT 'CUST-' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS subject_id FROM customer WHERE c_custkey % 97 = 0"
+# Privacy requests: the customers with a negative account balance ask for
+# erasure / anonymisation / an access report.
+SUBJECTS_SQL = f"SELECT 'CUST-' || {zpad_sql('c_custkey', 6)} AS subject_id FROM customer WHERE c_acctbal < 0"
 
 
 def subjects_df(spark, d):
-    c = src.read_table(spark, d, "customer").filter(F.col("c_custkey") % 97 == 0)
+    c = src.read_table(spark, d, "customer").filter(F.col("c_acctbal") < 0)
     return c.select(F.concat(F.lit("CUST-"), fn.zpad(F.col("c_custkey"), 6)).alias("subject_id"))
 
 
@@ -1097,10 +1100,10 @@ def _g9t(spark, d):
     SELECT TIMESTAMP '2024-02-01 00:00:00' AS "timestamp", 'gdpr-erasure-job' AS username, subject_id,
            list_sort(list(table_name) FILTER (WHERE rows_removed > 0)) AS tables_affected,
            sha256(subject_id || '|' || '2024-02-01 00:00:00') AS erasure_certificate_id
-    FROM r WHERE subject_id = 'CUST-000097' GROUP BY subject_id""")
+    FROM r GROUP BY subject_id""")
 def _g9e(spark, d):
     cert = gov.erasure_certificate(_erasure(spark, d), "2024-02-01 00:00:00")
-    return aud.erasure_certificates(aud.erasure_events(cert), "CUST-000097")
+    return aud.erasure_certificates(aud.erasure_events(cert))
 
 
 @register("g10_access_in_window", """
@@ -1507,10 +1510,10 @@ def _s3(spark, d):
 
 
 @register("s8_prepare_raw_documents", f"""
-    SELECT source_key, run_id, length(substr(extracted_text, 1, 2000)) AS text_chars, page_count
+    SELECT source_key, run_id, length(substr(extracted_text, 1, 65535)) AS text_chars, page_count
     FROM ({RAW_DOCS_SQL})""")
 def _s8(spark, d):
-    p = docs.prepare_raw_documents(raw_docs_df(spark, d), max_chars=2000)
+    p = docs.prepare_raw_documents(raw_docs_df(spark, d))  # D6 default: 65535 characters
     return p.select("source_key", "run_id", F.length("extracted_text").alias("text_chars"), "page_count")
 
 
