@@ -231,17 +231,52 @@ def describe_tables(spark: SparkSession, sf_dir: str, names: Iterable[str]) -> D
     return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, ordinal int")
 
 
-def scd2(changes: DataFrame, keys: Sequence[str], updated_at: str, tracked: Sequence[str]) -> DataFrame:
+def scd2(changes: DataFrame, keys: Sequence[str], updated_at: str, tracked: Sequence[str],
+         bucket_days: int | None = 30) -> DataFrame:
     """Type-2 history. Versions that repeat the previous tracked values
-    are collapsed; each kept version gets valid_from / valid_to / is_current."""
+    are collapsed; each kept version gets valid_from / valid_to / is_current.
+
+    Skew: with ``bucket_days`` the lag / lead windows run per (key, time
+    bucket), so an entity with a huge history is spread over many tasks. The
+    neighbours across a bucket boundary come from a per-bucket aggregate
+    (first / last version) and a lag / lead over the key's bucket series,
+    whose length is bounded by the time range. ``bucket_days=None`` uses one
+    window per key."""
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy(F.col(updated_at))
     sig = F.struct(*[F.col(c) for c in tracked])
-    marked = changes.withColumn("__prev", F.lag(sig).over(w))
-    kept = marked.filter(F.col("__prev").isNull() | ~F.col("__prev").eqNullSafe(sig)).drop("__prev")
-    return (kept.withColumn("valid_from", F.col(updated_at))
-                .withColumn("valid_to", F.lead(updated_at).over(w))
-                .withColumn("is_current", F.col("valid_to").isNull()))
+    if bucket_days is None:
+        w = Window.partitionBy(*keys).orderBy(F.col(updated_at))
+        marked = changes.withColumn("__prev", F.lag(sig).over(w))
+        kept = marked.filter(F.col("__prev").isNull() | ~F.col("__prev").eqNullSafe(sig)).drop("__prev")
+        return (kept.withColumn("valid_from", F.col(updated_at))
+                    .withColumn("valid_to", F.lead(updated_at).over(w))
+                    .withColumn("is_current", F.col("valid_to").isNull()))
+
+    from lakeweave.functions.columns import bucket_number
+    kb = keys + ["__b"]
+    c = changes.withColumn("__b", bucket_number(updated_at, bucket_days * 86400))
+    wb = Window.partitionBy(*kb).orderBy(F.col(updated_at))
+    series = Window.partitionBy(*keys).orderBy("__b")
+
+    # pass 1: previous signature, across bucket boundaries
+    last_sig = c.groupBy(*kb).agg(F.max_by(sig, F.col(updated_at)).alias("__last_sig"))
+    last_sig = last_sig.withColumn("__prev_bucket_sig", F.lag("__last_sig").over(series)).drop("__last_sig")
+    marked = (c.withColumn("__prev", F.lag(sig).over(wb))
+               .join(last_sig, kb, "left")
+               .withColumn("__prev", F.coalesce("__prev", "__prev_bucket_sig")))
+    kept = marked.filter(F.col("__prev").isNull() | ~F.col("__prev").eqNullSafe(sig)) \
+                 .drop("__prev", "__prev_bucket_sig")
+
+    # pass 2: next kept version, across bucket boundaries
+    first_kept = kept.groupBy(*kb).agg(F.min(updated_at).alias("__first_ts"))
+    first_kept = first_kept.withColumn("__next_bucket_ts", F.lead("__first_ts").over(series)).drop("__first_ts")
+    out = (kept.withColumn("valid_to", F.lead(updated_at).over(wb))
+               .join(first_kept, kb, "left")
+               .withColumn("valid_to", F.coalesce("valid_to", "__next_bucket_ts"))
+               .drop("__next_bucket_ts", "__b"))
+    return (out.withColumn("valid_from", F.col(updated_at))
+               .withColumn("is_current", F.col("valid_to").isNull())
+               .select(*changes.columns, "valid_from", "valid_to", "is_current"))
 
 
 def maintenance_report(expire: DataFrame, orphans_df: DataFrame, plan: DataFrame) -> DataFrame:

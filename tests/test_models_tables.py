@@ -133,3 +133,19 @@ def test_compaction_plan_groups(spark):
     plan = tbl.compaction_plan(files, min_files=10, target_bytes=100).collect()
     assert sorted({r.rewrite_group for r in plan}) == [0, 1, 2, 3]
     assert tbl.compaction_plan(files, min_files=11).count() == 0
+
+
+def test_scd2_bucketed_equals_single_window(spark, small_dir):
+    c = tbl.order_changes(spark.read.parquet(f"{small_dir}/orders.parquet")).filter(F.col("op") != "D")
+    a = tbl.scd2(c, ["order_id"], "committed_at", ["status"], bucket_days=None)
+    for days in (1, 30, 400):
+        b = tbl.scd2(c, ["order_id"], "committed_at", ["status"], bucket_days=days).select(*a.columns)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_scd2_across_buckets(spark):
+    rows = [(1, dt.datetime(2024, 1, d), s) for d, s in [(1, "a"), (5, "a"), (12, "b"), (13, "b"), (30, "a")]]
+    c = spark.createDataFrame(rows, "id long, ts timestamp_ntz, s string")
+    out = tbl.scd2(c, ["id"], "ts", ["s"], bucket_days=3).orderBy("valid_from").collect()
+    assert [(r.s, r.valid_from.day, r.valid_to.day if r.valid_to else None) for r in out] == \
+        [("a", 1, 12), ("b", 12, 30), ("a", 30, None)]
