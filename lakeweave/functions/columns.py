@@ -44,9 +44,13 @@ def uuid_from_md5(s: Column) -> Column:
 
 
 def ts_lit(value: str | dt.datetime) -> Column:
-    """A TIMESTAMP_NTZ literal (the fixtures use NTZ timestamps)."""
-    if isinstance(value, str):
-        value = dt.datetime.fromisoformat(value)
+    """A TIMESTAMP_NTZ literal (the fixtures use NTZ timestamps). Built from
+    text: a Python datetime literal would pass through the process and the
+    session time zones and shift in a non-UTC session."""
+    if isinstance(value, dt.datetime):
+        value = value.isoformat(sep=" ")
+    else:
+        value = dt.datetime.fromisoformat(value).isoformat(sep=" ")  # validate, normalise
     return F.lit(value).cast("timestamp_ntz")
 
 

@@ -1609,7 +1609,7 @@ def _x5(spark, d):
     s = st.event_time(st.read_fixture_stream(spark, d, "events").select("event_id", "ts", "event_type"))
     once = st.dedupe_stream(s.unionByName(s), ["event_id"])  # every event delivered twice
     out = st.to_parquet(spark, once, "x5")
-    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return out.withColumn("ts", st.ntz(F.col("ts")))
 
 
 @register("x6_stream_upsert", "SELECT * REPLACE (round(total_amount_usd, 2) AS total_amount_usd) FROM fct_orders")

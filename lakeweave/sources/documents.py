@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakeweave.functions.columns import ts_lit
 from lakeweave.session import ensure_parallelism
 from lakeweave.sources.tables import RUN_TS, read_table
 
@@ -40,7 +41,7 @@ def ingest_documents(df: DataFrame, text_col: str, key_col: str, run_col: str,
     return df.select(
         F.col(key_col).alias("source_key"), F.lit(bucket).alias("source_bucket"),
         F.col(text_col).alias("extracted_text"), page_count(F.col(text_col)).cast("bigint").alias("page_count"),
-        F.col(run_col).alias("run_id"), F.lit(RUN_TS).cast("timestamp_ntz").alias("_ingested_at"),
+        F.col(run_col).alias("run_id"), ts_lit(RUN_TS).alias("_ingested_at"),
         meta.alias("metadata"), *[c for c in df.columns if c not in (key_col, text_col, run_col)])
 
 

@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweave.functions.columns import uuid_from_md5, zpad
+from lakeweave.functions.columns import ts_lit, uuid_from_md5, zpad
 from lakeweave.session import ensure_parallelism
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -62,7 +62,7 @@ def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
                  .otherwise(F.concat(F.lit("2020-"), month, F.lit("-"), day, F.lit(" 10:00:00"))).alias("created_at"),
                 F.when(k % 50 == 25, F.lit("unknown"))
                  .otherwise(F.concat(F.lit("2023-"), month, F.lit("-15 08:30:00"))).alias("updated_at"),
-                F.lit(RUN_TS).cast("timestamp_ntz").alias("_ingested_at"),
+                ts_lit(RUN_TS).alias("_ingested_at"),
             ))
 
 
@@ -108,7 +108,7 @@ def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 11 == 0, F.lit(None).cast("string"))
          .when(k % 11 == 1, F.lit(" Discontinued"))
          .otherwise(F.lit("ACTIVE")).alias("status"),
-        F.lit(RUN_TS).cast("timestamp_ntz").alias("_ingested_at"),
+        ts_lit(RUN_TS).alias("_ingested_at"),
     )
 
 

@@ -15,12 +15,12 @@ from __future__ import annotations
 import uuid
 from typing import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from lakeweave.functions.columns import ts_lit
+from lakeweave.functions.columns import epoch_micros, from_epoch_micros, ts_lit
 from lakeweave.operators.tables import merge_upsert
 from lakeweave.session import ensure_checkpoint_dir
 
@@ -47,7 +47,14 @@ def read_fixture_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFra
 
 
 def event_time(df: DataFrame, col: str = "ts") -> DataFrame:
-    return df.withColumn(col, F.col(col).cast("timestamp"))
+    """NTZ event time -> TIMESTAMP for watermarks, through epoch micros so the
+    result does not depend on the session time zone."""
+    return df.withColumn(col, F.timestamp_micros(epoch_micros(col)))
+
+
+def ntz(c: Column) -> Column:
+    """TIMESTAMP -> NTZ through epoch micros (inverse of ``event_time``)."""
+    return from_epoch_micros(F.unix_micros(c))
 
 
 def run_available(query_builder, checkpoint: str) -> StreamingQuery:
@@ -74,8 +81,8 @@ def windowed_rate(events: DataFrame, key: str, ts: str = "ts", size: str = "5 mi
     return (events.withWatermark(ts, watermark)
                   .groupBy(F.window(ts, size).alias("w"), key)
                   .agg(F.count(F.lit(1)).alias("events"))
-                  .select(key, F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                          F.col("w.end").cast("timestamp_ntz").alias("window_end"), "events"))
+                  .select(key, ntz(F.col("w.start")).alias("window_start"),
+                          ntz(F.col("w.end")).alias("window_end"), "events"))
 
 
 def sliding_success_ratio(events: DataFrame, key: str, failed: str, ts: str = "ts", size: str = "1 hour",
@@ -85,8 +92,8 @@ def sliding_success_ratio(events: DataFrame, key: str, failed: str, ts: str = "t
     return (events.withWatermark(ts, watermark)
                   .groupBy(F.window(ts, size, slide).alias("w"), key)
                   .agg(F.count(F.lit(1)).alias("requests"), F.count(F.when(F.col(failed), 1)).alias("failures"))
-                  .select(key, F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                          F.col("w.end").cast("timestamp_ntz").alias("window_end"), "requests", "failures",
+                  .select(key, ntz(F.col("w.start")).alias("window_start"),
+                          ntz(F.col("w.end")).alias("window_end"), "requests", "failures",
                           ((F.col("requests") - F.col("failures")) / F.col("requests")).alias("success_ratio")))
 
 
