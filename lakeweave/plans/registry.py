@@ -1543,9 +1543,13 @@ def _s1(spark, d):
               .select("l_orderkey", "l_quantity", "l_extendedprice")
 
 
-@register("s9_ctas_sample", "SELECT * FROM order_items ORDER BY item_id, product_id, updated_at LIMIT 100")
+_S9_ORDER = ["item_id", "product_id", "updated_at", "quantity", "unit_price", "discount_pct", "total_price"]
+
+
+@register("s9_ctas_sample", f"SELECT * FROM order_items ORDER BY {', '.join(_S9_ORDER)} LIMIT 100")
 def _s9(spark, d):
-    return src.order_items(spark, d).orderBy("item_id", "product_id", "updated_at").limit(100)
+    # every column takes part in the order: rows tied on all of them are identical
+    return src.order_items(spark, d).orderBy(*_S9_ORDER).limit(100)
 
 
 @register("s12_layout_order_items", """
