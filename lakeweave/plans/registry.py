@@ -362,7 +362,8 @@ def _t1(spark, d):
 
 @register("t3_fct_orders_incremental", "SELECT * FROM fct_orders")
 def _t3i(spark, d):
-    existing = _fct_batch1(spark, d)
+    from lakeweave.session import cut_lineage
+    existing = cut_lineage(_fct_batch1(spark, d))  # the current mart is a stored table
     inc = mdl.fct_orders(stg_orders_df(spark, d), dim_df(spark, d), existing=existing)
     return rounded(inc, ["total_amount_usd"])
 
