@@ -4,7 +4,8 @@ and print one JSON line.
 Each query is executed in full through the ``noop`` sink (every row is
 produced, nothing is collected to the driver). One warm-up pass on the
 smallest fixtures runs first so JIT and class loading are not timed; each
-query is then timed twice and the faster run is reported.
+query is then timed three times and the fastest run is reported (the VM's
+run-to-run noise is large).
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def main() -> None:
     times = {}
     for n in names:
         best = None
-        for _ in range(2):
+        for _ in range(3):
             t0 = time.perf_counter()
             run(QUERIES[n](spark, sf_dir))
             dt = time.perf_counter() - t0
