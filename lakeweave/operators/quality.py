@@ -312,6 +312,17 @@ def pii_scan(df: DataFrame, text_col: str, patterns: dict[str, str] | None = Non
     return out.withColumn("has_pii", flag)
 
 
+def quarantine_pii(df: DataFrame, text_col: str, patterns: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Q16 quarantine: (clean rows, rows with personal data or secrets plus
+    the names of the patterns that matched)."""
+    patterns = patterns or PII_PATTERNS
+    scanned = pii_scan(df, text_col, patterns)
+    found = F.array_compact(F.array(*[F.when(F.col(f"{k}_count") > 0, F.lit(k)) for k in patterns]))
+    tagged = scanned.withColumn("pii_found", found).drop(*[f"{k}_count" for k in patterns])
+    return (tagged.filter(~F.col("has_pii")).drop("has_pii", "pii_found"),
+            tagged.filter(F.col("has_pii")).drop("has_pii"))
+
+
 # Column-name patterns of personal data classes.
 PII_NAME_PATTERNS = {
     "PII_HIGH": r"(?i)(ssn|social_security|passport|card|iban|date_of_birth|dob)",

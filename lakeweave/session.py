@@ -64,5 +64,7 @@ def ensure_parallelism(df: DataFrame, factor: int = 1) -> DataFrame:
     The decision reads only the planned partition count (file splits are
     metadata), never data. On a large input the scan already yields
     thousands of splits and this is a no-op, so no shuffle is added at scale."""
+    if df.isStreaming:
+        return df  # micro-batches are planned per trigger
     target = df.sparkSession.sparkContext.defaultParallelism * factor
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -182,3 +182,11 @@ def test_lineage_upstream(spark):
     start = spark.createDataFrame([("rpt",)], "node string")
     got = {r.node: r.depth for r in lineage(edges, start, "upstream").collect()}
     assert got == {"fct_orders": 1, "stg_orders": 2, "dim_customers": 2, "raw_orders": 3, "stg_customers": 3}
+
+
+def test_quarantine_pii(spark):
+    df = spark.createDataFrame([(1, "write to a@b.com"), (2, "token = abcdefghijklmnopqrstu"), (3, "plain")],
+                               "id long, t string")
+    clean, flagged = qa.quarantine_pii(df, "t")
+    assert [r.id for r in clean.collect()] == [3]
+    assert {r.id: r.pii_found for r in flagged.collect()} == {1: ["email"], 2: ["secret"]}
