@@ -172,9 +172,13 @@ def _chain_batches(batches):
     token = f'"{PREV_PLACEHOLDER}"'
     cur, prev = None, None
     for b in batches:
-        d = b.to_pydict()
+        # only the columns the loop needs become Python objects; the hour key
+        # as int64 (no datetime conversion), ts / ids pass through as Arrow
+        srcs = b.column("source_system").to_pylist()
+        segs = b.column("seg_hour").cast(pa.int64()).to_pylist()
         prevs, hashes, docs = [], [], []
-        for src_, seg, tmpl, anchor in zip(d["source_system"], d["seg_hour"], d["template"], d["anchor"]):
+        for src_, seg, tmpl, anchor in zip(srcs, segs, b.column("template").to_pylist(),
+                                           b.column("anchor").to_pylist()):
             if (src_, seg) != cur:
                 cur, prev = (src_, seg), anchor
             doc = tmpl.replace(token, f'"{prev}"', 1)
