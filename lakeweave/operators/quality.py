@@ -93,6 +93,7 @@ def _mostly_ok(elem: Column, unexp: Column, mostly: float) -> Column:
 
 def validate(df: DataFrame, suite: Sequence[dict], suite_name: str = "suite") -> DataFrame:
     """Q1-Q12: run a suite; one row per rule (see RESULT_FIELDS)."""
+    df = ensure_parallelism(df)  # per-row regex / set checks; a no-op on large inputs
     cols = set(df.columns)
     aggs: dict[str, Column] = {"__rows": F.count(F.lit(1))}
     uniq: list[str] = []

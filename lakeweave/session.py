@@ -66,5 +66,11 @@ def ensure_parallelism(df: DataFrame, factor: int = 1) -> DataFrame:
     thousands of splits and this is a no-op, so no shuffle is added at scale."""
     if df.isStreaming:
         return df  # micro-batches are planned per trigger
+    # Only scan-side plans are inspected: after any shuffle the partition count
+    # is spark.sql.shuffle.partitions already, and asking an adaptive plan for
+    # its partitions would run its shuffle stages.
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(k in plan for k in ("Join", "Aggregate", "Window", "Repartition", "Sort", "Expand", "Limit")):
+        return df
     target = df.sparkSession.sparkContext.defaultParallelism * factor
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
