@@ -43,3 +43,20 @@ def test_query_matches_oracle(spark, con, small_dir, name):
     assert sorted(cols) == sorted(ocols)
     assert len(rows) == len(orows)
     assert digest(cols, rows) == digest(ocols, orows)
+
+
+TIME_SENSITIVE = ["a4_tpch_q6", "p8_since_7_days", "q14_source_freshness", "m6_success_ratios",
+                  "m13_silent_sources", "s5_ingest_documents", "x2_stream_rate_5m", "t4_as_of_timestamp"]
+
+
+@pytest.mark.parametrize("name", TIME_SENSITIVE)
+def test_results_do_not_depend_on_session_time_zone(spark, con, small_dir, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        df = E.queries()[name](spark, small_dir)
+        cols, rows = df.columns, [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    res = con.sql(E.oracle_sql()[name])
+    assert digest(cols, rows) == digest(res.columns, res.fetchall())
