@@ -194,6 +194,14 @@ def _chain_batches(batches):
             names=["source_system", "seg_hour", "ts", "event_id", "query_id", "doc", "previous_hash", "this_hash"])
 
 
+def _ship_by_value() -> None:
+    """The chain pass is the library's only Python code on executors: pickle
+    it by value so workers need no installed copy of this package."""
+    import sys
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def chain_events(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """Hash-chain canonical events (output of ``normalize_events``).
 
@@ -214,6 +222,7 @@ def chain_events(events: DataFrame, heads: DataFrame | None = None) -> DataFrame
     work = (e.join(anchors, ["source_system", "seg_hour"])
              .select("source_system", "seg_hour", "ts", "event_id", "query_id", "template", "anchor")
              .sortWithinPartitions("source_system", "seg_hour", "ts", "event_id"))
+    _ship_by_value()
     return work.mapInArrow(_chain_batches, CHAIN_SCHEMA)
 
 
