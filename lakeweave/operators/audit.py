@@ -22,8 +22,6 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
-from typing import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
