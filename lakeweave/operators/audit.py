@@ -20,7 +20,6 @@ deleting an event breaks the next link.
 
 from __future__ import annotations
 
-import datetime as dt
 import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
