@@ -196,6 +196,20 @@ def share_below(cum: Column, le: Sequence[float], bound: float) -> Column:
     return F.element_at(cum, i) / F.element_at(cum, -1)
 
 
+def latency_percentiles(samples: DataFrame, keys: Sequence[str], value: str,
+                        qs: Sequence[float] = (0.5, 0.95, 0.99), exact: bool = False) -> DataFrame:
+    """M8 on raw values: percentiles per series. The default is
+    ``percentile_approx`` (bounded memory per group, mergeable partials);
+    ``exact=True`` holds one count per distinct value of a group, so use it
+    only for bounded-domain values."""
+    cols = []
+    for q in qs:
+        name = f"p{int(round(q * 100))}"
+        e = F.percentile(F.col(value), q) if exact else F.percentile_approx(value, q, 10000).cast("double")
+        cols.append(e.alias(name))
+    return samples.groupBy(*keys).agg(*cols)
+
+
 # ---------------------------------------------------------------------------
 # Alerts (M9, M10, W4, J8)
 # ---------------------------------------------------------------------------

@@ -1646,3 +1646,14 @@ def _x8(spark, d):
     good = spark.read.parquet(f"{base}/good")
     reasons = bad.select(F.explode("fail_reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
     return reasons.unionByName(good.agg(F.count(F.lit(1)).alias("n")).select(F.lit("good").alias("reason"), "n"))
+
+
+@register("m8_latency_percentiles_raw", """
+    SELECT job, round(quantile_cont(latency_s, 0.5), 6) AS p50, round(quantile_cont(latency_s, 0.95), 6) AS p95,
+           round(quantile_cont(latency_s, 0.99), 6) AS p99
+    FROM metric_samples GROUP BY job""")
+def _m8r(spark, d):
+    # exact on purpose: latencies carry two decimals, so each group holds a
+    # bounded number of distinct values
+    r = tm.latency_percentiles(samples_df(spark, d), ["job"], "latency_s", exact=True)
+    return rounded(r, ["p50", "p95", "p99"], 6)
