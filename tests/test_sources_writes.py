@@ -39,6 +39,10 @@ def test_read_landing_formats(spark, scratch):
         df.write.format(fmt).save(path)
         back = ld.read_landing(spark, path, fmt, "id long, v string")
         assert sorted(map(tuple, back.collect())) == [(1, "a"), (2, "b")]
+    xml = os.path.join(scratch, "xml")  # built into Spark 4
+    df.write.format("xml").option("rowTag", "rec").save(xml)
+    back = ld.read_landing(spark, xml, "xml", "id long, v string", rowTag="rec")
+    assert sorted(map(tuple, back.collect())) == [(1, "a"), (2, "b")]
     with pytest.raises(ValueError):
         ld.read_landing(spark, scratch, "avro")
     with pytest.raises(ValueError):
