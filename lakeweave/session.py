@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,20 +38,38 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, shared by driver and executors.
 
-    On a cluster the platform sets it to a shared, fault-tolerant path and we
-    only read it. A local test session without one gets a fresh scratch folder.
+    On a cluster the platform sets it to a fault-tolerant path and we only read
+    it. Only a local-mode session without one gets a fresh scratch folder; any
+    other master without the setting is an error, because a machine-local folder
+    would be lost with its machine and unseen by the others.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="lakeweave-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
+    return current.rstrip("/")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """:func:`shared_dir`, also set as the folder of ``DataFrame.checkpoint``."""
+    current = shared_dir(spark)
     spark.sparkContext.setCheckpointDir(current)
     return current
 
 
+def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage is
+    cut, later readers prune columns, and a lost executor loses nothing."""
+    path = f"{shared_dir(df.sparkSession)}/lakeweave/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never a local checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
