@@ -11,14 +11,18 @@ documents are shingles of their own and meet nobody.
    are sent back to the runs, which choose the prefixes.
 2. Documents with equal sets are one class; classes with equal prefix and size
    are one group. Groups meet over a shared prefix shingle if sizes and positions
-   allow it. A shingle of many groups pairs each with a few hubs first.
+   allow it. A shingle of many groups pairs each with one hub: the most typical
+   group, of middling size and with few rarer shingles ahead, which among near
+   copies is close to the text they were made from.
 3. Group pairs are held against each other on their whole prefixes, which bounds
-   the possible overlap; what passes is expanded to members and verified on the
-   whole sets. The links give components.
-4. What the hubs and groups' representatives have not linked is met in full:
-   every pair across different components that shares a prefix shingle or a
-   group goes through the same filter and verification. So components are exact,
-   and a group of copies never becomes all its pairs.
+   the possible overlap; what passes is verified on the whole sets, a group by its
+   first class, whose links with the group's other classes are verified too. The
+   links give components.
+4. Documents of shingles and groups that are not in one component yet go through
+   the same steps once more, among themselves and with all their shingles in the
+   order, which makes prefixes and bounds tight. What even then shares a prefix
+   shingle across components meets in full. So components are exact, and a group
+   of copies does not become all its pairs.
 """
 
 from __future__ import annotations
@@ -36,8 +40,7 @@ from lakeweave.session import materialize
 
 RUN_BYTES = 8 << 20
 SHARD_BYTES = 24 << 20  # of text for each shard of the counts
-FEW = 48  # groups of a shingle that meet without a hub
-HUBS = 4
+FEW = 16  # groups of a shingle that meet without a hub
 CLASS_BITS = np.uint64(59)
 
 
@@ -64,10 +67,14 @@ def _ranges(counts: np.ndarray) -> list[slice]:
     return [slice(a, b) for a, b in zip([0, *ends[:-1]], ends)]
 
 
-def hashed_runs(docs: DataFrame, id_col: str, text: str, width: int, percent: int) -> DataFrame:
+def counted_share(percent: int) -> float:
+    """Part of all hashes that stands for a document: a prefix and some more."""
+    return 1.6 * (100 - percent) / 100
+
+
+def hashed_runs(docs: DataFrame, id_col: str, text: str, width: int, percent: int, share: float) -> DataFrame:
     """One row per run of documents: ids and texts' hashes (as an Arrow table), sizes
     and hashes of the sets, and the shingles that stand for each document."""
-    share = min(1.0, 1.6 * (100 - percent) / 100)
     bound = np.uint64(min(int(share * 2**64), 2**64 - 1))
 
     def run(batches):
@@ -127,12 +134,15 @@ def shingle_classes(runs: DataFrame, shards: int) -> DataFrame:
             .groupBy("shard").applyInArrow(count, "run long, shard int, classes binary"))
 
 
-def prefixes(runs: DataFrame, shards: int, percent: int, id_type) -> DataFrame:
+def prefixes(docs: DataFrame, id_col: str, text: str, width: int, percent: int, share: float) -> DataFrame:
     """One row per document: ``id``, ``t`` (hash of the text), ``n``, ``c`` (class: hash of the set), and where
     a prefix shingle is not the document's own, ``g`` (group) and ``prefix``: its
     shingles as keys in the common order."""
-    share = min(1.0, 1.6 * (100 - percent) / 100)
     bound = np.uint64(min(int(share * 2**64), 2**64 - 1))
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    shards = max(1, -(-size // SHARD_BYTES))
+    runs = hashed_runs(docs, id_col, text, width, percent, share)
+    id_type = docs.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
     out = "t long, n long, c long, g long, prefix array<long>"
 
     def choose(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -231,6 +241,94 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text: str, widt
             .select("u", "v", "x", "y").mapInArrow(similar, "u long, v long"))
 
 
+class Meeting:
+    """Groups of a frame of prefixes and the pairs of them that may link. ``labels``
+    (``node``, ``label``) tells which classes are in one component already."""
+
+    def __init__(self, sets: DataFrame, percent: int, labels: DataFrame | None = None):
+        self.percent = percent
+        self.groups = materialize(sets.filter("g is not null").select("g", "n", "prefix").dropDuplicates(["g"]), "groups")
+        self.members = materialize(sets.filter("g is not null").select("g", "c").distinct(), "members")
+        self.heads = self.members.groupBy("g").agg(F.min("c").alias("head"))
+        self.labels = labels
+        posted = self.groups.select("g", "n", F.posexplode("prefix").alias("i", "key")).filter(F.shiftrightunsigned("key", 59) > 0)
+        shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("f"), F.round(F.avg("n")).alias("middle")).filter("f > 1")
+        self.posted = materialize(posted.join(shared, "key"), "postings")
+        self.few, self.many = self.posted.filter(F.col("f") <= FEW), self.posted.filter(F.col("f") > FEW)
+
+    def labelled(self, labels: DataFrame | None) -> DataFrame:
+        """Members with the label of each class."""
+        if labels is None:
+            return self.members.withColumn("label", F.col("c"))
+        return self.members.join(labels.withColumnRenamed("node", "c"), "c", "left").select("g", "c", F.coalesce("label", "c").alias("label"))
+
+    def _possible(self, pairs: DataFrame) -> DataFrame:
+        return materialize(possible_pairs(pairs.distinct(), self.groups, self.percent), "close")
+
+    def _meet(self, posted: DataFrame, extra=F.lit(True)) -> DataFrame:
+        x, y = posted.alias("x"), posted.alias("y")
+        fits = (sizes_fit(F.col("x.n"), F.col("y.n"), self.percent)
+                & positions_fit(F.col("x.n"), F.col("x.i"), F.col("y.n"), F.col("y.i"), self.percent))
+        return (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.g") < F.col("y.g")) & fits & extra)
+                .select(F.col("x.g").alias("a"), F.col("y.g").alias("b")).distinct())
+
+    def typical_pairs(self) -> DataFrame:
+        """Class pairs (``u``, ``v``): heads of groups that share a shingle of few groups,
+        of each group and the hub of a shingle of many, and of a group and its others."""
+        far = F.col("i") + F.abs(F.col("n") - F.col("middle"))
+        hubs = (self.many.groupBy("key").agg(F.min(F.struct(far.alias("o"), F.col("g").alias("hub"), F.col("n").alias("m"))).alias("h"))
+                .select("key", "h.hub", "h.m"))
+        starred = (self.many.join(hubs, "key").filter((F.col("g") != F.col("hub")) & sizes_fit(F.col("n"), F.col("m"), self.percent))
+                   .select(F.least("g", "hub").alias("a"), F.greatest("g", "hub").alias("b")).distinct())
+        self.close = self._possible(self._meet(self.few).unionByName(starred))
+        heads = self.heads
+        pairs = (self.close.join(heads.select(F.col("g").alias("a"), F.col("head").alias("u")), "a")
+                 .join(heads.select(F.col("g").alias("b"), F.col("head").alias("v")), "b").select("u", "v"))
+        inside = self.members.join(heads, "g").filter("c <> head").select(F.col("head").alias("u"), F.col("c").alias("v"))
+        pairs = pairs.unionByName(inside)
+        if self.labels is None:
+            return pairs
+        known = self.labels.select(F.col("node"), "label")
+        return (pairs.join(known.select(F.col("node").alias("u"), F.col("label").alias("lu")), "u", "left")
+                .join(known.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v", "left")
+                .filter(~F.coalesce(F.col("lu") == F.col("lv"), F.lit(False))).select("u", "v"))
+
+    def _spans(self, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        members = materialize(self.labelled(labels), "labelled")
+        spans = members.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("k"))
+        marked = self.many.join(spans, "g")
+        open_keys = marked.groupBy("key").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l <> h").select("key")
+        return members, spans, marked.join(open_keys, "key", "left_semi")
+
+    def _beside(self, wide: DataFrame) -> DataFrame:
+        """Close pairs of which one is a group of several classes."""
+        return (self.close.join(wide.select(F.col("g").alias("a")), "a", "left_semi")
+                .unionByName(self.close.join(wide.select(F.col("g").alias("b")), "b", "left_semi").select("a", "b")).distinct())
+
+    def open_classes(self, labels: DataFrame) -> DataFrame:
+        """Classes (``c``) that may have links across components."""
+        members, spans, marked = self._spans(labels)
+        wide = spans.filter("k > 1").select("g")
+        beside = self._beside(wide)
+        groups = (marked.select("g").unionByName(spans.filter("low <> high").select("g"))
+                  .unionByName(beside.select(F.col("a").alias("g"))).unionByName(beside.select(F.col("b").alias("g"))).distinct())
+        return members.join(groups, "g", "left_semi").select("c").distinct()
+
+    def remaining_pairs(self, labels: DataFrame) -> DataFrame:
+        """All class pairs across components that share a shingle of many groups, a
+        group, or whose groups are close."""
+        members, spans, marked = self._spans(labels)
+        apart = (F.col("x.low") != F.col("y.low")) | (F.col("x.low") != F.col("x.high")) | (F.col("y.low") != F.col("y.high"))
+        rest = self._possible(self._meet(marked, apart).join(self.close, ["a", "b"], "left_anti"))
+        both = rest.unionByName(self._beside(spans.filter("k > 1").select("g"))).distinct()
+        between = (both.join(members.select(F.col("g").alias("a"), F.col("c").alias("u"), F.col("label").alias("lu")), "a")
+                   .join(members.select(F.col("g").alias("b"), F.col("c").alias("v"), F.col("label").alias("lv")), "b"))
+        some = members.join(spans.filter("low <> high").select("g"), "g", "left_semi")
+        within = (some.select("g", F.col("c").alias("u"), F.col("label").alias("lu"))
+                  .join(some.select("g", F.col("c").alias("v"), F.col("label").alias("lv")), "g").filter("u < v"))
+        return between.filter("lu <> lv").select("u", "v").unionByName(within.filter("lu <> lv").select("u", "v"))
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
     """(``id``, ``t``, ``n_shingles``, ``component_id``) of every row: the hash of its text, the
     size of the set of ``width``-word shingles, and the least id that links lead to,
@@ -240,60 +338,21 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     Null, empty and blank texts have no set and no links; their component is their own
     id. Repeated rows and exact copies link. A null id counts in a component only
     if no other row is in it. Sets are told apart by 64-bit hashes of shingles."""
-    id_type = docs.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
-    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
-    shards = max(1, -(-size // SHARD_BYTES))
-    sets = prefixes(hashed_runs(docs, id_col, text, width, percent), shards, percent, id_type)
-
-    groups = materialize(sets.filter("g is not null").select("g", "n", "prefix").dropDuplicates(["g"]), "groups")
-    members = materialize(sets.filter("g is not null").select("g", "c").distinct(), "members")
-    heads = members.groupBy("g").agg(F.min("c").alias("head"))
-
-    posted = groups.select("g", "n", F.posexplode("prefix").alias("i", "key")).filter(F.shiftrightunsigned("key", 59) > 0)
-    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
-    posted = materialize(posted.join(shared, "key"), "postings")
-    few, many = posted.filter(F.col("f") <= FEW), posted.filter(F.col("f") > FEW)
-
-    def meeting(left: DataFrame, right: DataFrame, extra=F.lit(True)) -> DataFrame:
-        x, y = left.alias("x"), right.alias("y")
-        return (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.g") < F.col("y.g"))
-                       & sizes_fit(F.col("x.n"), F.col("y.n"), percent)
-                       & positions_fit(F.col("x.n"), F.col("x.i"), F.col("y.n"), F.col("y.i"), percent) & extra)
-                .select(F.col("x.g").alias("a"), F.col("y.g").alias("b")).distinct())
-
-    turn = F.xxhash64("g", F.pmod("key", F.lit(HUBS)))
-    hubs = many.groupBy("key").agg(F.min(F.struct(turn.alias("o"), F.col("g").alias("hub"), F.col("n").alias("m"))).alias("h")).select("key", "h.hub", "h.m")
-    starred = (many.join(hubs, "key").filter((F.col("g") != F.col("hub")) & sizes_fit(F.col("n"), F.col("m"), percent))
-               .select(F.least("g", "hub").alias("a"), F.greatest("g", "hub").alias("b")).distinct())
-    close = materialize(possible_pairs(meeting(few, few).unionByName(starred).distinct(), groups, percent), "close")
-
-    def of_heads(pairs: DataFrame) -> DataFrame:
-        return (pairs.join(heads.select(F.col("g").alias("a"), F.col("head").alias("u")), "a")
-                .join(heads.select(F.col("g").alias("b"), F.col("head").alias("v")), "b").select("u", "v"))
-
-    inside = members.join(heads, "g").filter("c <> head").select(F.col("head").alias("u"), F.col("c").alias("v"))
+    sets = prefixes(docs, id_col, text, width, percent, counted_share(percent))
     check = lambda pairs: materialize(verified(pairs, docs, sets, text, width, percent), "links")
-    links = check(of_heads(close).unionByName(inside))
-
-    # whatever is not linked yet meets in full
-    labels = connected_components(links).withColumnRenamed("node", "c")
-    labelled = materialize(members.join(labels, "c", "left").select("g", "c", F.coalesce("label", "c").alias("label")), "labelled")
-    spans = labelled.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("k"))
-    marked = many.join(spans, "g")
-    open_keys = marked.groupBy("key").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l <> h").select("key")
-    marked = marked.join(open_keys, "key", "left_semi")
-    apart = (F.col("x.low") != F.col("y.low")) | (F.col("x.low") != F.col("x.high")) | (F.col("y.low") != F.col("y.high"))
-    rest = materialize(possible_pairs(meeting(marked, marked, apart).join(close, ["a", "b"], "left_anti"), groups, percent), "rest")
-    wide = labelled.join(spans.filter("k > 1").select("g"), "g", "left_semi")  # groups of several classes
-    both = rest.unionByName(close.join(wide.select(F.col("g").alias("a")), "a", "left_semi"))
-    both = both.unionByName(close.join(wide.select(F.col("g").alias("b")), "b", "left_semi").select("a", "b")).distinct()
-    between = (both.join(labelled.select(F.col("g").alias("a"), F.col("c").alias("u"), F.col("label").alias("lu")), "a")
-               .join(labelled.select(F.col("g").alias("b"), F.col("c").alias("v"), F.col("label").alias("lv")), "b"))
-    open_groups = wide.join(spans.filter("low <> high").select("g"), "g", "left_semi")
-    within = (open_groups.select("g", F.col("c").alias("u"), F.col("label").alias("lu"))
-              .join(open_groups.select("g", F.col("c").alias("v"), F.col("label").alias("lv")), "g").filter("u < v"))
-    more = check(between.filter("lu <> lv").select("u", "v").unionByName(within.filter("lu <> lv").select("u", "v")))
-    labels = connected_components(links.unionByName(more)).select(F.col("node").alias("c"), "label")
+    first = Meeting(sets, percent)
+    links = check(first.typical_pairs())
+    labels = connected_components(links)
+
+    # what is not linked yet, with all shingles
+    again = first.open_classes(labels)
+    texts = sets.join(again, "c", "left_semi").groupBy("c").agg(F.min("t").alias("_t")).select("_t")
+    raw = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    some = materialize(docs.select(F.xxhash64(raw).alias("_t"), raw.alias("_x")).join(texts, "_t", "left_semi").dropDuplicates(["_t"]), "again")
+    second = Meeting(prefixes(some, "_t", "_x", width, percent, 1.0), percent, labels)
+    links = links.unionByName(check(second.typical_pairs()))
+    links = links.unionByName(check(second.remaining_pairs(connected_components(links))))
+    labels = connected_components(links).select(F.col("node").alias("c"), "label")
 
     of_class = sets.filter("c is not null").groupBy("c").agg(F.min("id").alias("low")).join(labels, "c", "left")
     of_class = of_class.withColumn("label", F.coalesce("label", "c"))
