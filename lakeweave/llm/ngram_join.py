@@ -265,11 +265,13 @@ class Meeting:
     def _possible(self, pairs: DataFrame) -> DataFrame:
         return materialize(possible_pairs(pairs.distinct(), self.groups, self.percent), "close")
 
-    def _meet(self, posted: DataFrame, extra=F.lit(True)) -> DataFrame:
+    def _meet(self, posted: DataFrame, extra=None) -> DataFrame:
         x, y = posted.alias("x"), posted.alias("y")
         fits = (sizes_fit(F.col("x.n"), F.col("y.n"), self.percent)
                 & positions_fit(F.col("x.n"), F.col("x.i"), F.col("y.n"), F.col("y.i"), self.percent))
-        return (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.g") < F.col("y.g")) & fits & extra)
+        if extra is not None:
+            fits = fits & extra
+        return (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.g") < F.col("y.g")) & fits)
                 .select(F.col("x.g").alias("a"), F.col("y.g").alias("b")).distinct())
 
     def typical_pairs(self) -> DataFrame:
