@@ -231,7 +231,7 @@ def chain_heads(chained: DataFrame) -> DataFrame:
 
 def verify_chain(chained: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """G8 (+W2): every stored record with hash_ok / link_ok; fully parallel."""
-    c = (chained.withColumn("hash_ok", F.sha2("doc", 256) == F.col("this_hash"))
+    c = (chained.withColumn("hash_ok", F.sha2("doc", 256).eqNullSafe(F.col("this_hash")))
                 .repartition("source_system", "seg_hour"))  # shared by both consumers below
     seg_last = c.groupBy("source_system", "seg_hour").agg(
         _content_hash_from_doc(F.max_by("doc", F.struct("ts", "event_id"))).alias("last_content"))
@@ -239,7 +239,10 @@ def verify_chain(chained: DataFrame, heads: DataFrame | None = None) -> DataFram
     w = Window.partitionBy("source_system", "seg_hour").orderBy("ts", "event_id")
     v = (c.join(anchors, ["source_system", "seg_hour"])
           .withColumn("__expected", F.coalesce(F.lag("this_hash").over(w), F.col("anchor"))))
-    return v.withColumn("link_ok", F.col("previous_hash") == F.col("__expected")) \
+    # the column must agree with the expected link and with what the document itself says
+    inside = F.regexp_extract("doc", r'"previous_hash":"([^"]*)"', 1)
+    link = F.col("previous_hash").eqNullSafe(F.col("__expected")) & inside.eqNullSafe(F.col("previous_hash"))
+    return v.withColumn("link_ok", F.coalesce(link, F.lit(False))) \
             .drop("__expected", "anchor")
 
 

@@ -16,7 +16,6 @@ semantics:
 
 from __future__ import annotations
 
-import fnmatch
 import re
 from dataclasses import dataclass, field
 from typing import Mapping, Sequence
@@ -82,7 +81,8 @@ class Principal:
 # ---------------------------------------------------------------------------
 
 def _glob(pattern: str, value: str) -> bool:
-    return fnmatch.fnmatchcase(value, pattern)
+    """``*`` stands for any run of characters; all else is literal, as in :func:`_glob_col`."""
+    return re.fullmatch(".*".join(map(re.escape, pattern.split("*"))), value, re.DOTALL) is not None
 
 
 def decide(principal: Principal, catalog: str, schema: str, table: str, access: str,
@@ -104,9 +104,11 @@ def decide(principal: Principal, catalog: str, schema: str, table: str, access:
 
 
 def _bind_attributes(expr: str, principal: Principal) -> str:
+    """Session attributes as literals. A value is written in hexadecimal, so no
+    character of it (quote, backslash) is ever read as SQL."""
     def repl(m: re.Match) -> str:
         v = principal.attributes.get(m.group(1))
-        return "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+        return "CAST(NULL AS STRING)" if v is None else f"decode(X'{v.encode('utf-8').hex()}', 'UTF-8')"
     return re.sub(r"current_setting\('([^']+)'(?:\s*,\s*true)?\)", repl, expr)
 
 
@@ -195,12 +197,13 @@ class AccessDenied(PermissionError):
 
 
 def secure_select(df: DataFrame, table: str, principal: Principal, access: str = "select",
-                  rules: Sequence[tuple] = ACCESS_RULES) -> DataFrame:
+                  rules: Sequence[tuple] = ACCESS_RULES, filters: Mapping[str, list] = ROW_FILTERS,
+                  masks: Mapping[str, Mapping] = COLUMN_MASKS) -> DataFrame:
     """Access decision, then row filter, then column masks."""
     catalog, schema, name = table.split(".")
     if decide(principal, catalog, schema, name, access, rules) != "ALLOW":
         raise AccessDenied(f"{principal.user} may not {access} {table}")
-    return mask_columns(row_filter(df, table, principal), table, principal)
+    return mask_columns(row_filter(df, table, principal, filters), table, principal, masks)
 
 
 # ---------------------------------------------------------------------------
@@ -356,15 +359,22 @@ TAG_MASKS = {
 }
 
 
+#: Mask types from the one that shows least.
+RESTRICTIVE = ("MASK_NULL", "MASK_HASH", "MASK", "MASK_SHOW_LAST_4", "MASK_SHOW_FIRST_4", "MASK_DATE_SHOW_YEAR",
+               "CUSTOM", "MASK_NONE", "NONE")
+
+
 def mask_by_tags(df: DataFrame, tags: DataFrame, group: str, tag_masks: Mapping[str, Mapping] = TAG_MASKS) -> DataFrame:
-    """Mask the columns carrying a tag with the group's mask. The tag
+    """Mask the columns carrying a tag with the group's mask, the most
+    restrictive one if a column carries several. The tag
     table is per-column metadata (bounded by the schema width)."""
-    tagged = {r["column_name"]: r["tag"] for r in tags.select("column_name", "tag").distinct().collect()}
+    tagged: dict[str, list] = {}
+    for r in tags.select("column_name", "tag").distinct().collect():
+        tagged.setdefault(r["column_name"], []).append(r["tag"])
     cols = []
     for f in df.schema.fields:
-        tag = tagged.get(f.name)
-        mtype = tag_masks.get(tag, {}).get(group, "NONE") if tag else "NONE"
-        if tag in tag_masks and group not in tag_masks[tag]:
-            mtype = "MASK_NULL"  # unknown group: most restrictive
+        # a tag without a policy, or a group that a policy does not name, masks in full
+        masks = [tag_masks.get(tag, {}).get(group, "MASK_NULL") for tag in tagged.get(f.name, [])]
+        mtype = min(masks, key=RESTRICTIVE.index, default="NONE")
         cols.append(mask_expr(F.col(f.name), mtype, f.dataType).alias(f.name))
     return df.select(*cols)

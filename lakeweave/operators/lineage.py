@@ -2,7 +2,8 @@
 
 Breadth-first expansion with one join per level against the edge table; the
 frontier shrinks to the nodes seen for the first time, so each level only
-joins new nodes. The loop stops when a level adds nothing or at ``max_depth``.
+joins new nodes. The loop runs until a level adds nothing; a caller's own
+``max_depth`` raises if nodes remain beyond it.
 The edge table is hash-partitioned on its join key and checkpointed once, so
 each level shuffles only the frontier; frontier and visited set are reliably
 checkpointed every level, so no level re-runs the plans of earlier levels.
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from lakeweave.session import cut_lineage
 
 
-def lineage(edges: DataFrame, start: DataFrame, direction: str = "upstream", max_depth: int = 50,
+def lineage(edges: DataFrame, start: DataFrame, direction: str = "upstream", max_depth: int | None = None,
             child: str = "child", parent: str = "parent", checkpoint_every: int = 1) -> DataFrame:
     """Nodes reachable from ``start`` (column ``node``) with their depth.
 
@@ -30,7 +31,7 @@ def lineage(edges: DataFrame, start: DataFrame, direction: str = "upstream", max
     seen = start.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = seen.select("node")
     depth = 0
-    while depth < max_depth:
+    while True:
         depth += 1
         nxt = (frontier.select(F.col("node").alias("__from")).join(e, "__from").select("node").distinct()
                .join(seen.select("node"), "node", "left_anti"))
@@ -38,6 +39,8 @@ def lineage(edges: DataFrame, start: DataFrame, direction: str = "upstream", max
             nxt = cut_lineage(nxt)
         if nxt.isEmpty():
             break
+        if max_depth is not None and depth > max_depth:
+            raise ValueError(f"lineage goes deeper than max_depth={max_depth}")
         seen = seen.unionByName(nxt.withColumn("depth", F.lit(depth)))
         if depth % checkpoint_every == 0:
             seen = cut_lineage(seen)

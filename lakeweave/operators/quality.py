@@ -310,7 +310,7 @@ def pii_scan(df: DataFrame, text_col: str, patterns: dict[str, str] | None = Non
     for k in patterns:
         c = F.col(f"{k}_count") > 0
         flag = c if flag is None else flag | c
-    return out.withColumn("has_pii", flag)
+    return out.withColumn("has_pii", F.coalesce(flag, F.lit(False)))  # no text holds nothing
 
 
 def quarantine_pii(df: DataFrame, text_col: str, patterns: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:

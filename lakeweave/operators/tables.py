@@ -25,8 +25,11 @@ def _assert_unique_keys(df: DataFrame, keys: Sequence[str], what: str) -> DataFr
     w = Window.partitionBy(*keys)
     # a filter predicate, not a projected column: Catalyst would prune an
     # unused column together with its raise_error
+    whole = F.lit(True)
+    for k in keys:  # a NULL key matches nothing, so it is never a duplicate
+        whole = whole & F.col(k).isNotNull()
     return (df.withColumn("__n", F.count(F.lit(1)).over(w))
-              .filter(F.when(F.col("__n") > 1, F.raise_error(F.lit(f"duplicate keys in {what}")))
+              .filter(F.when(whole & (F.col("__n") > 1), F.raise_error(F.lit(f"duplicate keys in {what}")))
                       .otherwise(F.lit(True)))
               .drop("__n"))
 
@@ -209,11 +212,12 @@ def retention_policy(spark: SparkSession) -> DataFrame:
 def apply_retention(df: DataFrame, ts_col: str, layer_col: str, policy: DataFrame,
                     now: str | dt.datetime, hold_col: str | None = None) -> DataFrame:
     """Keep rows within their layer's retention, rows under legal hold,
-    and rows of layers without a limit. The policy is a handful of hand-written
+    rows of layers without a limit, and rows without a timestamp, whose age is
+    not known. The policy is a handful of hand-written
     rows, so it is broadcast."""
     j = df.join(F.broadcast(policy.withColumnRenamed("layer", "__layer")),
                 F.col(layer_col) == F.col("__layer"), "left")
-    keep = (F.col("retention_days").isNull()
+    keep = (F.col("retention_days").isNull() | F.col(ts_col).isNull()
             | (F.col(ts_col) >= ts_lit(now) - F.make_interval(days=F.col("retention_days"))))
     if hold_col:
         keep = keep | F.coalesce(F.col(hold_col), F.lit(False))

@@ -29,9 +29,12 @@ JSON_SERVICES = ("trino", "keycloak", "elasticsearch", "openmetadata", "airflow"
 TEXT_LINE_RE = r"^(\d{4}-\d{2}-\d{2}\s\d{2}:\d{2}:\d{2},\d+)\s+(\w+)\s+\[([^\]]+)\]\s+(\S+)\s+-\s+(.*)$"
 
 
-def drop_noise(lines: DataFrame, body: str = "body", scrape_pattern: str = "/metrics") -> DataFrame:
-    """M2: drop blank lines and metric-scrape noise."""
-    return lines.filter(~F.col(body).rlike(r"^\s*$") & ~F.col(body).contains(scrape_pattern))
+def drop_noise(lines: DataFrame, body: str = "body", scrape_path: str = "/metrics/prometheus",
+               service: str = "service", scraped_services: str = r"^trino.*$") -> DataFrame:
+    """M2: drop blank lines, and metric-scrape lines of the services that log
+    their scrapes. Lines without a service are kept."""
+    scrape = F.coalesce(F.col(service).rlike(scraped_services), F.lit(False)) & F.col(body).contains(scrape_path)
+    return lines.filter(~F.col(body).rlike(r"^\s*$") & ~scrape)
 
 
 def parse_logs(lines: DataFrame, body: str = "body", service: str = "service",

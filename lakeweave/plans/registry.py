@@ -515,11 +515,6 @@ def _t9(spark, d):
     return kept.select("query_id", "layer", "timestamp", "ranger_decision")
 
 
-@register("t10_describe_tables")
-def _t10(spark, d):
-    return tbl.describe_tables(spark, d, ["customer", "orders", "lineitem", "part", "nation", "region"])
-
-
 @register("a14_maintenance_report", f"""
     WITH s AS ({SNAPSHOTS_SQL}),
     e AS (SELECT table_name FROM s QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY committed_at DESC, snapshot_id DESC) > 5
@@ -754,11 +749,6 @@ def _q18(spark, d):
     return qa.tag_pii_columns(curated_customers(spark, d), 0.05)
 
 
-@register("q19_schema_drift")
-def _q19(spark, d):
-    return qa.schema_drift(src.raw_orders(spark, d), stg_orders_df(spark, d))
-
-
 @register("a12_profile", "\nUNION ALL\n".join(
     f"""SELECT '{c}' AS column_name, count(*) - count({c}) AS null_count,
               CASE WHEN count(*) > 0 THEN CAST(count(*) - count({c}) AS DOUBLE) / count(*) END AS null_fraction,
@@ -1194,7 +1184,7 @@ from lakeweave.plans.oracle import bucket as b_sql, bucket_start as bs_sql  # no
 
 _TEXT_RE = tm.TEXT_LINE_RE.replace("'", "''")
 _JSON_SVC = ", ".join(f"'{x}'" for x in tm.JSON_SERVICES)
-CLEAN_LINES_SQL = "SELECT * FROM log_lines WHERE NOT regexp_matches(body, '^\\s*$') AND NOT contains(body, '/metrics')"
+CLEAN_LINES_SQL = "SELECT * FROM log_lines WHERE NOT regexp_matches(body, '^\\s*$') AND NOT (service LIKE 'trino%' AND contains(body, '/metrics/prometheus'))"
 PARSED_SQL = f"""
     SELECT line_id, service, body,
            CASE WHEN service IN ({_JSON_SVC}) THEN try_strptime(json_extract_string(body, '$.timestamp'), '%Y-%m-%dT%H:%M:%S.%g')
@@ -1514,7 +1504,7 @@ def _s3(spark, d):
 
 
 @register("s8_prepare_raw_documents", f"""
-    SELECT source_key, run_id, length(substr(extracted_text, 1, 65535)) AS text_chars, page_count
+    SELECT source_key, run_id, length(extracted_text) AS text_chars, page_count
     FROM ({RAW_DOCS_SQL})""")
 def _s8(spark, d):
     p = docs.prepare_raw_documents(raw_docs_df(spark, d))  # D6 default: 65535 characters

@@ -13,7 +13,6 @@ from lakeweave.functions.columns import ts_lit
 from lakeweave.session import ensure_parallelism
 from lakeweave.sources.tables import RUN_TS, read_table
 
-MAX_TEXT_CHARS = 65535  # decision D6: kept as a parameter
 
 
 def page_count(text: Column) -> Column:
@@ -100,12 +99,14 @@ def new_files_by_marker(listing: DataFrame, markers: DataFrame, key: str = "key"
     return listing.join(m, marker_key(F.col(key)) == F.col("__marker"), "left_anti")
 
 
-def prepare_raw_documents(df: DataFrame, max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
-    """S8 without the write: text cut to ``max_chars``."""
+def prepare_raw_documents(df: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """S8 without the write: whole texts, unless the caller asks for a cut."""
+    if max_chars is None:
+        return df
     return df.withColumn("extracted_text", F.substring("extracted_text", 1, max_chars))
 
 
-def write_raw_documents(df: DataFrame, path: str, max_chars: int = MAX_TEXT_CHARS) -> None:
+def write_raw_documents(df: DataFrame, path: str, max_chars: int | None = None) -> None:
     """Columnar write partitioned by run_id (one folder per run)."""
     (prepare_raw_documents(df, max_chars).repartition("run_id")
      .write.mode("append").partitionBy("run_id").parquet(path))

@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from lakeweave.functions.columns import epoch_micros, from_epoch_micros, ts_lit
-from lakeweave.operators.tables import merge_upsert
+from lakeweave.operators.tables import dedupe_latest, merge_upsert
 from lakeweave.session import ensure_checkpoint_dir
 
 
@@ -100,7 +100,7 @@ def sliding_success_ratio(events: DataFrame, key: str, failed: str, ts: str = "t
 def split_late(df: DataFrame, ts: str, now: str, max_age_hours: int = 168) -> tuple[DataFrame, DataFrame]:
     """X4 batch branch: (accepted, rejected) by sample age against ``now``."""
     cutoff = ts_lit(now) - F.make_interval(hours=F.lit(max_age_hours))
-    late = F.col(ts) < cutoff
+    late = F.coalesce(F.col(ts) < cutoff, F.lit(False))  # a row without a time is not known to be late
     return df.filter(~late), df.filter(late)
 
 
@@ -136,13 +136,18 @@ def latest_version(spark: SparkSession, path: str, before: int | None = None) ->
     return f"{path.rstrip('/')}/v={versions[-1]}" if versions else None
 
 
-def upsert_batch(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
+def upsert_batch(path: str, keys: Sequence[str], order: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
     """Merge every micro-batch into a copy-on-write table. Each batch
     writes a new version folder ``v=<batch id>`` built from the newest
     version *before* it, so a replay of the same batch id after a failure
-    rebuilds the same version (exactly once)."""
+    rebuilds the same version (exactly once). Of several versions of a key in a
+    batch the greatest row counts, compared by ``order`` and then all columns."""
     def fn(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        whole = F.lit(True)
+        for k in keys:
+            whole = whole & F.col(k).isNotNull()
+        batch = dedupe_latest(batch.filter(whole), keys, list(order)).unionByName(batch.filter(~whole))
         base = latest_version(spark, path, before=batch_id)
         target = f"{path.rstrip('/')}/v={batch_id}"
         merged = merge_upsert(spark.read.parquet(base), batch, keys) if base is not None else batch
