@@ -4,14 +4,14 @@ and print one JSON line.
 Each query is executed in full through the ``noop`` sink (every row is
 produced, nothing is collected to the driver). One warm-up pass on the
 smallest fixtures runs first so JIT and class loading are not timed; each
-query is then timed three times and the fastest run is reported (the VM's
-run-to-run noise is large).
+query is then timed three times and the median is reported.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -42,13 +42,12 @@ def main() -> None:
         run(QUERIES[n](spark, warm))
     times = {}
     for n in names:
-        best = None
+        runs = []
         for _ in range(3):
             t0 = time.perf_counter()
             run(QUERIES[n](spark, sf_dir))
-            dt = time.perf_counter() - t0
-            best = dt if best is None else min(best, dt)
-        times[n] = round(best, 3)
+            runs.append(time.perf_counter() - t0)
+        times[n] = round(statistics.median(runs), 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": sf}))
