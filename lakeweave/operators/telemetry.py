@@ -25,7 +25,7 @@ JSON_LOG_SCHEMA = StructType([StructField(n, StringType()) for n in
                               ("timestamp", "level", "logger", "thread", "message", "event_type")])
 # Services whose logs are JSON, and the plain-text line layout
 # "timestamp level [thread] logger message".
-JSON_SERVICES = ("trino", "keycloak", "elasticsearch", "openmetadata", "airflow")
+JSON_SERVICES = r"^(trino.*|keycloak|elasticsearch|openmetadata.*|airflow.*)$"
 TEXT_LINE_RE = r"^(\d{4}-\d{2}-\d{2}\s\d{2}:\d{2}:\d{2},\d+)\s+(\w+)\s+\[([^\]]+)\]\s+(\S+)\s+-\s+(.*)$"
 
 
@@ -37,19 +37,27 @@ def drop_noise(lines: DataFrame, body: str = "body", scrape_path: str = "/metric
     return lines.filter(~F.col(body).rlike(r"^\s*$") & ~scrape)
 
 
+def json_time(text: Column) -> Column:
+    """RFC 3339 stamp, with any number of fraction digits, as NTZ in UTC; a stamp without
+    an offset is taken as it is. Neither depends on the session's zone."""
+    zoned = text.rlike(r"(?:Z|[+-]\d{2}:\d{2})$")
+    return (F.when(zoned, from_epoch_micros(F.unix_micros(F.try_to_timestamp(text))))
+            .otherwise(text.try_cast("timestamp_ntz")))
+
+
 def parse_logs(lines: DataFrame, body: str = "body", service: str = "service",
-               json_services: Sequence[str] = JSON_SERVICES) -> DataFrame:
-    """M1 + M3: JSON bodies for some services, regex for the others; typed
-    timestamp, level / logger / thread labels and the event_type attribute."""
-    is_json = F.col(service).isin(*json_services)
+               json_services: str = JSON_SERVICES) -> DataFrame:
+    """M1 + M3: JSON bodies for the services that match a pattern, regex for the
+    others; typed timestamp, level / logger / thread labels and the event_type attribute."""
+    is_json = F.coalesce(F.col(service).rlike(json_services), F.lit(False))
     j = F.from_json(F.col(body), JSON_LOG_SCHEMA)
     pick = lambda jf, idx: F.when(is_json, j[jf]).otherwise(
         F.nullif(F.regexp_extract(F.col(body), TEXT_LINE_RE, idx), F.lit("")))
     ts_text = pick("timestamp", 1)
     return lines.select(
         "*",
-        F.when(is_json, F.try_to_timestamp(ts_text, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS")))
-         .otherwise(F.try_to_timestamp(ts_text, F.lit("yyyy-MM-dd HH:mm:ss,SSS"))).cast("timestamp_ntz").alias("log_ts"),
+        F.when(is_json, json_time(ts_text))
+         .otherwise(F.try_to_timestamp(ts_text, F.lit("yyyy-MM-dd HH:mm:ss,SSS")).cast("timestamp_ntz")).alias("log_ts"),
         pick("level", 2).alias("level"),
         pick("thread", 3).alias("thread"),
         pick("logger", 4).alias("logger"),

@@ -1183,18 +1183,18 @@ from lakeweave.operators import telemetry as tm  # noqa: E402
 from lakeweave.plans.oracle import bucket as b_sql, bucket_start as bs_sql  # noqa: E402
 
 _TEXT_RE = tm.TEXT_LINE_RE.replace("'", "''")
-_JSON_SVC = ", ".join(f"'{x}'" for x in tm.JSON_SERVICES)
+_IS_JSON = "regexp_full_match(service, 'trino.*|keycloak|elasticsearch|openmetadata.*|airflow.*')"
 CLEAN_LINES_SQL = "SELECT * FROM log_lines WHERE NOT regexp_matches(body, '^\\s*$') AND NOT (service LIKE 'trino%' AND contains(body, '/metrics/prometheus'))"
 PARSED_SQL = f"""
     SELECT line_id, service, body,
-           CASE WHEN service IN ({_JSON_SVC}) THEN try_strptime(json_extract_string(CASE WHEN json_valid(body) THEN body END, '$.timestamp'), '%Y-%m-%dT%H:%M:%S.%g')
+           CASE WHEN {_IS_JSON} THEN try_strptime(json_extract_string(CASE WHEN json_valid(body) THEN body END, '$.timestamp'), '%Y-%m-%dT%H:%M:%S.%g')
                 ELSE try_strptime(nullif(regexp_extract(body, '{_TEXT_RE}', 1), ''), '%Y-%m-%d %H:%M:%S,%g') END AS log_ts,
-           CASE WHEN service IN ({_JSON_SVC}) THEN json_extract_string(CASE WHEN json_valid(body) THEN body END, '$.level') ELSE nullif(regexp_extract(body, '{_TEXT_RE}', 2), '') END AS level,
-           CASE WHEN service IN ({_JSON_SVC}) THEN json_extract_string(CASE WHEN json_valid(body) THEN body END, '$.thread') ELSE nullif(regexp_extract(body, '{_TEXT_RE}', 3), '') END AS thread,
-           CASE WHEN service IN ({_JSON_SVC}) THEN json_extract_string(CASE WHEN json_valid(body) THEN body END, '$.logger') ELSE nullif(regexp_extract(body, '{_TEXT_RE}', 4), '') END AS logger,
-           CASE WHEN service IN ({_JSON_SVC}) THEN json_extract_string(CASE WHEN json_valid(body) THEN body END, '$.message') ELSE nullif(regexp_extract(body, '{_TEXT_RE}', 5), '') END AS message,
-           CASE WHEN service IN ({_JSON_SVC}) THEN json_extract_string(CASE WHEN json_valid(body) THEN body END, '$.event_type') END AS event_type,
-           CASE WHEN service IN ({_JSON_SVC}) THEN 'json' ELSE 'text' END AS format
+           CASE WHEN {_IS_JSON} THEN json_extract_string(CASE WHEN json_valid(body) THEN body END, '$.level') ELSE nullif(regexp_extract(body, '{_TEXT_RE}', 2), '') END AS level,
+           CASE WHEN {_IS_JSON} THEN json_extract_string(CASE WHEN json_valid(body) THEN body END, '$.thread') ELSE nullif(regexp_extract(body, '{_TEXT_RE}', 3), '') END AS thread,
+           CASE WHEN {_IS_JSON} THEN json_extract_string(CASE WHEN json_valid(body) THEN body END, '$.logger') ELSE nullif(regexp_extract(body, '{_TEXT_RE}', 4), '') END AS logger,
+           CASE WHEN {_IS_JSON} THEN json_extract_string(CASE WHEN json_valid(body) THEN body END, '$.message') ELSE nullif(regexp_extract(body, '{_TEXT_RE}', 5), '') END AS message,
+           CASE WHEN {_IS_JSON} THEN json_extract_string(CASE WHEN json_valid(body) THEN body END, '$.event_type') END AS event_type,
+           CASE WHEN {_IS_JSON} THEN 'json' ELSE 'text' END AS format
     FROM ({CLEAN_LINES_SQL})"""
 
 

@@ -77,6 +77,21 @@ def test_only_scrapes_are_noise(spark):
     assert tm.drop_noise(lines).count() == 3
 
 
+def test_json_logs_of_all_services_and_stamps(spark):
+    stamps = ["2024-01-02T03:04:05.123456789Z", "2024-01-02T05:04:05.123456+02:00", "2024-01-02T03:04:05.123456", "yesterday"]
+    lines = spark.createDataFrame([(i, s, '{"timestamp":"%s","level":"INFO"}' % t) for i, (s, t) in enumerate(
+        zip(("trino-worker", "airflow-scheduler", "keycloak", "trino"), stamps))] + [(4, None, "x")], "id int, service string, body string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            rows = sorted(tm.parse_logs(lines).select("id", "log_ts", "level").collect())
+            assert [r.log_ts for r in rows] == [dt.datetime(2024, 1, 2, 3, 4, 5, 123456)] * 3 + [None] * 2
+            assert [r.level for r in rows] == ["INFO"] * 4 + [None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_removed_links_are_broken(spark, small_dir):
     from lakeweave.plans.registry import chained_df
 
