@@ -240,7 +240,7 @@ def sustained(series: DataFrame, keys: Sequence[str], cond: Column, bucket_secon
                .withColumn("fires_at", F.col("starts_at") + F.make_interval(mins=F.lit(for_minutes))))
 
 
-# Threshold rules over 5-minute gauges of the derived metrics:
+# The library's own default rules over 5-minute gauges of the derived metrics:
 # (alert, gauge, operator, threshold, for minutes, severity).
 ALERT_RULES = [
     ("HighFailureRatio", "failure_ratio", ">", 0.5, 10, "critical"),
