@@ -39,10 +39,41 @@ EVENT_REGISTRY = [
     ("purchase", "pipeline.task.executed", "airflow", "WRITE"),
 ]
 
+# The reference's event types (audit-trail-specification 1.2) stand for themselves:
+# (event type, source system, action type). It names no action types; these are ours.
+CANONICAL_TYPES = [
+    ("auth.login.success", "keycloak", "AUTH"), ("auth.login.failure", "keycloak", "AUTH"),
+    ("auth.logout", "keycloak", "AUTH"), ("auth.token.issued", "keycloak", "AUTH"),
+    ("auth.token.refresh", "keycloak", "AUTH"), ("auth.mfa.challenge", "keycloak", "AUTH"),
+    ("auth.mfa.success", "keycloak", "AUTH"), ("auth.mfa.failure", "keycloak", "AUTH"),
+    ("auth.account.locked", "keycloak", "AUTH"), ("data.query.executed", "trino", "READ"),
+    ("data.query.rejected", "ranger", "READ"), ("data.access.allowed", "ranger", "READ"),
+    ("data.access.denied", "ranger", "READ"), ("data.column.masked", "ranger", "READ"),
+    ("data.row.filtered", "ranger", "READ"), ("secret.read", "openbao", "READ"),
+    ("secret.write", "openbao", "WRITE"), ("secret.delete", "openbao", "DELETE"),
+    ("secret.lease.created", "openbao", "CREATE"), ("secret.lease.renewed", "openbao", "UPDATE"),
+    ("secret.lease.revoked", "openbao", "DELETE"), ("pki.cert.issued", "openbao", "CREATE"),
+    ("pki.cert.revoked", "openbao", "DELETE"), ("pipeline.dag.started", "airflow", "WRITE"),
+    ("pipeline.dag.completed", "airflow", "WRITE"), ("pipeline.task.executed", "airflow", "WRITE"),
+    ("pipeline.task.failed", "airflow", "WRITE"), ("db.query.ddl", "postgresql", "ADMIN"),
+    ("db.query.grant", "postgresql", "ADMIN"), ("db.connection.failed", "postgresql", "AUTH"),
+    ("storage.object.put", "minio", "WRITE"), ("storage.object.get", "minio", "READ"),
+    ("storage.object.delete.attempt", "minio", "DELETE"), ("storage.worm.violation", "minio", "DELETE"),
+    ("catalog.table.created", "polaris", "CREATE"), ("catalog.table.dropped", "polaris", "DELETE"),
+    ("catalog.schema.created", "polaris", "CREATE"), ("catalog.policy.changed", "ranger", "ADMIN"),
+    ("identity.user.created", "keycloak", "CREATE"), ("identity.user.disabled", "keycloak", "UPDATE"),
+    ("identity.group.modified", "keycloak", "UPDATE"), ("identity.role.assigned", "keycloak", "ADMIN"),
+    ("compliance.erasure.initiated", "airflow", "DELETE"), ("compliance.erasure.completed", "airflow", "DELETE"),
+    ("compliance.redaction.applied", "audit-redact-service", "UPDATE"),
+]
+UNKNOWN = "unknown"  # source of events whose type is null or not registered
+NO_HOUR = "0001-01-01 00:00:00"  # segment of events without a timestamp
+
 
 def registry_frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(EVENT_REGISTRY, "raw_type string, event_type_canonical string, "
-                                                 "source_system string, action_type string")
+    rows = EVENT_REGISTRY + [(t, t, source, action) for t, source, action in CANONICAL_TYPES]
+    return spark.createDataFrame(rows, "raw_type string, event_type_canonical string, "
+                                       "source_system string, action_type string")
 
 
 # ---------------------------------------------------------------------------
@@ -96,9 +127,12 @@ def flag_risk(audit: DataFrame, pii_pattern: str = r"\.customers$") -> DataFrame
 def normalize_events(audit: DataFrame, registry: DataFrame, cluster_ns: str = "lakehouse") -> DataFrame:
     """The canonical audit record as a struct with alphabetically ordered
     fields, next to the flat ordering columns (event_id, ts, source_system).
-    Risk columns are used when present (output of ``flag_risk``). The
-    registry has a few dozen rows: it is broadcast."""
+    Risk columns are used when present (output of ``flag_risk``). An event whose
+    type is null or not registered stays, under its own type and the source
+    ``UNKNOWN``. The registry has a few dozen rows: it is broadcast."""
     j = audit.join(F.broadcast(registry), audit.event_type == registry.raw_type, "left")
+    j = (j.withColumn("source_system", F.coalesce("source_system", F.lit(UNKNOWN)))
+          .withColumn("event_type_canonical", F.coalesce("event_type_canonical", "event_type", F.lit(UNKNOWN))))
     if "risk_level" not in audit.columns:
         j = j.withColumn("risk_level", F.lit("LOW")).withColumn("risk_flags", F.array().cast("array<string>"))
     detail = F.to_json(F.struct(F.col("query_id").alias("query_id"), F.col("rows_scanned"),
@@ -144,18 +178,25 @@ def _content_hash_from_doc(doc: Column) -> Column:
     return F.sha2(_template_from_doc(doc), 256)
 
 
+def _segment(df: DataFrame) -> DataFrame:
+    """Adds the segment's key (``__source``, ``__hour``), which is never null, so
+    that no join on it drops an event."""
+    return (df.withColumn("__source", F.coalesce("source_system", F.lit(UNKNOWN)))
+              .withColumn("__hour", F.coalesce("seg_hour", ts_lit(NO_HOUR))))
+
+
 def _anchors(seg_last: DataFrame, heads: DataFrame | None) -> DataFrame:
     """Anchor per (source, hour) from the previous segment's last content
     hash; the first segment of a source continues from ``heads``."""
-    w = Window.partitionBy("source_system").orderBy("seg_hour")  # one row per segment
+    w = Window.partitionBy("__source").orderBy("__hour")  # one row per segment
     a = seg_last.withColumn("__prev", F.lag("last_content").over(w))
     if heads is not None:
-        a = a.join(F.broadcast(heads.select("source_system", F.col("last_content_hash").alias("__head"))),
-                   "source_system", "left")
+        a = a.join(F.broadcast(heads.select(F.coalesce("source_system", F.lit(UNKNOWN)).alias("__source"),
+                                            F.col("last_content_hash").alias("__head"))), "__source", "left")
         a = a.withColumn("__prev", F.coalesce("__prev", "__head")).drop("__head")
-    anchor = F.sha2(F.concat_ws("|", F.col("source_system"), F.date_format("seg_hour", "yyyy-MM-dd'T'HH"),
+    anchor = F.sha2(F.concat_ws("|", F.col("__source"), F.date_format("__hour", "yyyy-MM-dd'T'HH"),
                                 F.coalesce(F.col("__prev"), F.lit(GENESIS))), 256)
-    return a.select("source_system", "seg_hour", anchor.alias("anchor"))
+    return a.select("__source", "__hour", anchor.alias("anchor"))
 
 
 CHAIN_SCHEMA = ("source_system string, seg_hour timestamp_ntz, ts timestamp_ntz, event_id string, "
@@ -172,7 +213,7 @@ def _chain_batches(batches):
         # only the columns the loop needs become Python objects; the hour key
         # as int64 (no datetime conversion), ts / ids pass through as Arrow
         srcs = b.column("source_system").to_pylist()
-        segs = b.column("seg_hour").cast(pa.int64()).to_pylist()
+        segs = b.column("__hour").cast(pa.int64()).to_pylist()
         prevs, hashes, docs = [], [], []
         for src_, seg, tmpl, anchor in zip(srcs, segs, b.column("template").to_pylist(),
                                            b.column("anchor").to_pylist()):
@@ -208,17 +249,18 @@ def chain_events(events: DataFrame, heads: DataFrame | None = None) -> DataFrame
     pass per task chains every segment it holds."""
     # One hash exchange on (source, hour) feeds both the per-segment aggregate
     # and the row path (Spark reuses it), so the upstream runs once.
-    e = (events.withColumn("seg_hour", trunc_seconds("ts", 3600))
-               .withColumn("template", _doc_with_prev(F.col("event"), F.lit(PREV_PLACEHOLDER)))
-               .select("source_system", "seg_hour", "ts", "event_id", "query_id", "template")
-               .repartition("source_system", "seg_hour"))
+    e = (_segment(events.withColumn("seg_hour", trunc_seconds("ts", 3600)))
+         .withColumn("template", _doc_with_prev(F.col("event"), F.lit(PREV_PLACEHOLDER)))
+         .select("__source", "__hour", "seg_hour", "ts", "event_id", "query_id", "template")
+         .repartition("__source", "__hour"))
     # only the last event of each segment needs its content hash
-    seg_last = e.groupBy("source_system", "seg_hour").agg(
+    seg_last = e.groupBy("__source", "__hour").agg(
         F.sha2(F.max_by("template", F.struct("ts", "event_id")), 256).alias("last_content"))
     anchors = _anchors(seg_last, heads)
-    work = (e.join(anchors, ["source_system", "seg_hour"])
-             .select("source_system", "seg_hour", "ts", "event_id", "query_id", "template", "anchor")
-             .sortWithinPartitions("source_system", "seg_hour", "ts", "event_id"))
+    work = (e.join(anchors, ["__source", "__hour"])
+             .select(F.col("__source").alias("source_system"), "__hour", "seg_hour", "ts", "event_id", "query_id",
+                     "template", "anchor")
+             .sortWithinPartitions("source_system", "__hour", "ts", "event_id"))
     _ship_by_value()
     return work.mapInArrow(_chain_batches, CHAIN_SCHEMA)
 
@@ -231,19 +273,19 @@ def chain_heads(chained: DataFrame) -> DataFrame:
 
 def verify_chain(chained: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """G8 (+W2): every stored record with hash_ok / link_ok; fully parallel."""
-    c = (chained.withColumn("hash_ok", F.sha2("doc", 256).eqNullSafe(F.col("this_hash")))
-                .repartition("source_system", "seg_hour"))  # shared by both consumers below
-    seg_last = c.groupBy("source_system", "seg_hour").agg(
+    c = (_segment(chained.withColumn("hash_ok", F.sha2("doc", 256).eqNullSafe(F.col("this_hash"))))
+         .repartition("__source", "__hour"))  # shared by both consumers below
+    seg_last = c.groupBy("__source", "__hour").agg(
         _content_hash_from_doc(F.max_by("doc", F.struct("ts", "event_id"))).alias("last_content"))
     anchors = _anchors(seg_last, heads)
-    w = Window.partitionBy("source_system", "seg_hour").orderBy("ts", "event_id")
-    v = (c.join(anchors, ["source_system", "seg_hour"])
+    w = Window.partitionBy("__source", "__hour").orderBy("ts", "event_id")
+    v = (c.join(anchors, ["__source", "__hour"])
           .withColumn("__expected", F.coalesce(F.lag("this_hash").over(w), F.col("anchor"))))
     # the column must agree with the expected link and with what the document itself says
     inside = F.regexp_extract("doc", r'"previous_hash":"([^"]*)"', 1)
     link = F.col("previous_hash").eqNullSafe(F.col("__expected")) & inside.eqNullSafe(F.col("previous_hash"))
     return v.withColumn("link_ok", F.coalesce(link, F.lit(False))) \
-            .drop("__expected", "anchor")
+            .drop("__expected", "anchor", "__source", "__hour")
 
 
 def broken_links(verified: DataFrame) -> DataFrame:

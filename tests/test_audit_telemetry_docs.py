@@ -60,6 +60,32 @@ def test_chain_continues_from_heads(normalized):
     assert aud.broken_links(aud.verify_chain(first)).count() == 0
 
 
+def test_every_event_is_chained(spark, small_dir):
+    a = src.audit_queries(spark, small_dir).orderBy("event_id").limit(60).cache()
+    ids = [r.event_id for r in a.select("event_id").orderBy("event_id").collect()]
+    odd = dict(zip(ids, [None, "no.such.type", "secret.read", "identity.role.assigned"]))
+    kind = F.col("event_type")
+    for i, t in odd.items():
+        kind = F.when(F.col("event_id") == i, F.lit(t)).otherwise(kind)
+    when = F.when(F.col("event_id") != ids[4], F.col("timestamp"))  # one without a timestamp
+    events = aud.normalize_events(a.withColumn("event_type", kind).withColumn("timestamp", when), aud.registry_frame(spark))
+    got = {r.event_id: (r.source_system, r.event.event_type) for r in events.collect()}
+    assert [got[i] for i in odd] == [("unknown", "unknown"), ("unknown", "no.such.type"), ("openbao", "secret.read"),
+                                     ("keycloak", "identity.role.assigned")]
+    chained = aud.chain_events(events).cache()
+    v = aud.verify_chain(chained)
+    assert sorted(r.event_id for r in chained.collect()) == sorted(r.event_id for r in v.collect()) == ids
+    assert aud.broken_links(v).count() == 0
+    lost = aud.verify_chain(chained.withColumn("source_system", F.lit(None).cast("string")))
+    assert lost.count() == 60 and aud.broken_links(lost).count() > 0
+    assert aud.chain_events(events.withColumn("source_system", F.lit(None).cast("string"))).count() == 60
+
+
+def test_registry_holds_the_reference_types(spark):
+    types = [t for t, _, _ in aud.CANONICAL_TYPES]
+    assert len(set(types)) == 45 and aud.registry_frame(spark).groupBy("raw_type").count().filter("count > 1").isEmpty()
+
+
 def test_risk_flags(spark):
     a = spark.createDataFrame([
         ("e1", "u1", "tenant_a", dt.datetime(2024, 1, 1), ["tenant_b.marts.customers"]),
