@@ -107,6 +107,24 @@ def test_op3_recall_and_edges(spark):
     assert nn_descent.nearest_rows(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_op3_one_long_vector_and_a_near_equal_cluster(spark):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((3000, 16))
+    v[200:400] = v[200] + 1e-5 * rng.standard_normal((200, 16))  # near-equal, not equal
+    v[7] *= 1e6
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in nn_descent.nearest_rows(df, F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    right = {}
+    for q in range(0, 3000, 20):
+        s = v @ v[q]
+        s[q] = -np.inf
+        right[q] = len(got[q] & set(np.argsort(-s)[:20].tolist())) / 20
+    assert np.mean(list(right.values())) >= 0.9
+    assert np.mean([right[q] for q in range(200, 400, 20)]) >= 0.9
+
+
 def test_op4_search_is_exact():
     rng = np.random.default_rng(4)
     vectors = []
