@@ -125,6 +125,18 @@ def test_op3_one_long_vector_and_a_near_equal_cluster(spark):
     assert np.mean([right[q] for q in range(200, 400, 20)]) >= 0.9
 
 
+def test_op3_graph_converges_and_beam_grows(spark, monkeypatch):
+    v = np.random.default_rng(6).standard_normal((1500, 16))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<double>")
+    nodes = nn_descent.graph_nodes(rows)
+    edges = nn_descent.neighbour_graph(nodes)
+    assert edges.filter("fresh").count() * 1000 < 1500 * nn_descent.NEIGHBOURS
+    around = nn_descent.neighbourhoods(edges, nn_descent.NEIGHBOURS).groupBy(F.col("w").alias("u")).agg(F.collect_set("x").alias("around"))
+    some = nodes.orderBy("node").limit(20).select(F.col("node").alias("q"), F.col("node").alias("start"), "unit", "v")
+    monkeypatch.setattr(nn_descent, "BEAM", 8)  # too few for 20 neighbours
+    assert nn_descent.enough_beam(some, nodes, nn_descent.materialize(around, "around_test"), [], 20) > 20
+
+
 def test_op4_search_is_exact():
     rng = np.random.default_rng(4)
     vectors = []
