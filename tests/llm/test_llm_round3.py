@@ -173,6 +173,18 @@ def test_best_fit_leaves_no_two_bins_that_fit_together():
             assert (offset[bins == b][mine] == np.cumsum(sizes[bins == b][mine]) - sizes[bins == b][mine]).all()
 
 
+def test_word_ranks_give_the_ids_of_the_library():
+    t = best_fit.ChunkTokenizer(open(public.path("word_bpe_49k.json"), encoding="utf-8").read())
+    assert t.ranks
+    rng = np.random.default_rng(9)
+    letters = [chr(c) for c in range(256) if not chr(c).isspace() and not 0x1c <= c <= 0x1f]
+    words = ["".join(rng.choice(letters, rng.integers(1, 14))) for _ in range(5000)] + letters
+    words += ["".join(rng.choice(list("etaoinshrdlu'.ÄÖéß19"), rng.integers(1, 30))) for _ in range(5000)] + ["don't", "I'LL", "x" * 500]
+    assert all(t.encode_chunk(w) == t.encode_whole(w) for w in words)
+    other = open(public.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    assert best_fit.WordRanks.of(other) is None
+
+
 def test_op13_ids_cover_texts_and_tree_keeps_fill(spark, small_dir, monkeypatch):
     docs = spark.read.parquet(f"{small_dir}/documents.parquet")
     odd = [(10**6, None), (10**6 + 1, ""), (10**6 + 2, " \t\n"), (10**6 + 3, "a\x1cb É́ İstanbul ΣΑΣ <|endoftext|> 日本語's"), (None, "no id"),
