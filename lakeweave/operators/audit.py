@@ -1,33 +1,16 @@
-"""Audit trail operators.
-
-Hash chain design (G7/G8). A chain is sequential by definition, so it is cut
-into segments of one source and one hour. Every segment starts from an
-anchor ``sha256(source | hour | content hash of the previous segment's last
-event)`` - content hashes are row-parallel, so all anchors come from one small
-per-segment aggregate and a lag, and the segments are then chained in
-parallel (one sorted Arrow pass per task; the per-row Python is one sha256). No
-task ever holds more than one source-hour, however hot a source is.
-
-The stored record is the canonical JSON document (fields in alphabetical
-order at every level, ``previous_hash`` included) plus ``this_hash`` =
-sha256(document). The content hash used for anchors is sha256 of the
-document with ``previous_hash`` set to a fixed placeholder. Verification is pure Catalyst: recompute the hash, compare
-``previous_hash`` with the prior ``this_hash`` inside each segment (W2) and
-with the recomputed anchor at each segment start. Changing any event breaks
-its own hash; if it was the last of its segment, the next anchor breaks too;
-deleting an event breaks the next link.
+"""Audit operators.
+
+The hash chain (G7, G8, W2) is in ``trail.py``; its functions are importable from here.
 """
 
 from __future__ import annotations
 
-import hashlib
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeweave.functions.columns import seconds_between, since, trunc_seconds, ts_lit
-
-PREV_PLACEHOLDER = "__PREVIOUS_HASH__"
-GENESIS = "GENESIS"
+from lakeweave.functions.columns import seconds_between, since, ts_lit
+from lakeweave.operators.trail import (UNKNOWN, broken_links, chain_events, chain_heads, inclusion_proofs, proof_holds,  # noqa: F401
+                                       seal_segments, verify_chain, verify_heads, verify_seals)
 
 # How fixture event types map onto the audit event-type
 # registry (event type, source system, action type).
@@ -66,8 +49,6 @@ CANONICAL_TYPES = [
     ("compliance.erasure.initiated", "airflow", "DELETE"), ("compliance.erasure.completed", "airflow", "DELETE"),
     ("compliance.redaction.applied", "audit-redact-service", "UPDATE"),
 ]
-UNKNOWN = "unknown"  # source of events whose type is null or not registered
-NO_HOUR = "0001-01-01 00:00:00"  # segment of events without a timestamp
 
 
 def registry_frame(spark: SparkSession) -> DataFrame:
@@ -160,138 +141,6 @@ def normalize_events(audit: DataFrame, registry: DataFrame, cluster_ns: str = "l
                     event.alias("event"))
 
 
-def _doc_with_prev(event: Column, prev: Column) -> Column:
-    """Canonical JSON with previous_hash in its alphabetical place."""
-    names = ["action", "actor", "event_id", "event_type", "outcome", "previous_hash", "resource", "risk",
-             "schema_version", "source_host", "source_namespace", "source_system", "timestamp"]
-    return F.to_json(F.struct(*[(prev if n == "previous_hash" else event[n]).alias(n) for n in names]))
-
-
-def _template_from_doc(doc: Column) -> Column:
-    """The stored document with previous_hash replaced by the placeholder."""
-    return F.regexp_replace(doc, r'"previous_hash":"[^"]*"', f'"previous_hash":"{PREV_PLACEHOLDER}"')
-
-
-def _content_hash_from_doc(doc: Column) -> Column:
-    """Content hash of an event: sha256 of its document with the link field
-    set to the placeholder (row-parallel, independent of the chain)."""
-    return F.sha2(_template_from_doc(doc), 256)
-
-
-def _segment(df: DataFrame) -> DataFrame:
-    """Adds the segment's key (``__source``, ``__hour``), which is never null, so
-    that no join on it drops an event."""
-    return (df.withColumn("__source", F.coalesce("source_system", F.lit(UNKNOWN)))
-              .withColumn("__hour", F.coalesce("seg_hour", ts_lit(NO_HOUR))))
-
-
-def _anchors(seg_last: DataFrame, heads: DataFrame | None) -> DataFrame:
-    """Anchor per (source, hour) from the previous segment's last content
-    hash; the first segment of a source continues from ``heads``."""
-    w = Window.partitionBy("__source").orderBy("__hour")  # one row per segment
-    a = seg_last.withColumn("__prev", F.lag("last_content").over(w))
-    if heads is not None:
-        a = a.join(F.broadcast(heads.select(F.coalesce("source_system", F.lit(UNKNOWN)).alias("__source"),
-                                            F.col("last_content_hash").alias("__head"))), "__source", "left")
-        a = a.withColumn("__prev", F.coalesce("__prev", "__head")).drop("__head")
-    anchor = F.sha2(F.concat_ws("|", F.col("__source"), F.date_format("__hour", "yyyy-MM-dd'T'HH"),
-                                F.coalesce(F.col("__prev"), F.lit(GENESIS))), 256)
-    return a.select("__source", "__hour", anchor.alias("anchor"))
-
-
-CHAIN_SCHEMA = ("source_system string, seg_hour timestamp_ntz, ts timestamp_ntz, event_id string, "
-                "query_id string, doc string, previous_hash string, this_hash string")
-
-
-def _chain_batches(batches):
-    """Sequential part of G7 over one partition, rows clustered by segment and
-    sorted by (ts, event_id): the chain restarts at each segment's anchor."""
-    import pyarrow as pa
-    token = f'"{PREV_PLACEHOLDER}"'
-    cur, prev = None, None
-    for b in batches:
-        # only the columns the loop needs become Python objects; the hour key
-        # as int64 (no datetime conversion), ts / ids pass through as Arrow
-        srcs = b.column("source_system").to_pylist()
-        segs = b.column("__hour").cast(pa.int64()).to_pylist()
-        prevs, hashes, docs = [], [], []
-        for src_, seg, tmpl, anchor in zip(srcs, segs, b.column("template").to_pylist(),
-                                           b.column("anchor").to_pylist()):
-            if (src_, seg) != cur:
-                cur, prev = (src_, seg), anchor
-            doc = tmpl.replace(token, f'"{prev}"', 1)
-            h = hashlib.sha256(doc.encode("utf-8")).hexdigest()
-            prevs.append(prev)
-            hashes.append(h)
-            docs.append(doc)
-            prev = h
-        yield pa.RecordBatch.from_arrays(
-            [b.column("source_system"), b.column("seg_hour"), b.column("ts"), b.column("event_id"),
-             b.column("query_id"), pa.array(docs, pa.string()), pa.array(prevs, pa.string()),
-             pa.array(hashes, pa.string())],
-            names=["source_system", "seg_hour", "ts", "event_id", "query_id", "doc", "previous_hash", "this_hash"])
-
-
-def _ship_by_value() -> None:
-    """The chain pass is the library's only Python code on executors: pickle
-    it by value so workers need no installed copy of this package."""
-    import sys
-    from pyspark import cloudpickle
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-def chain_events(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
-    """Hash-chain canonical events (output of ``normalize_events``).
-
-    ``heads`` (source_system, last_content_hash) continues the chains of a
-    previous increment; without it every source starts from GENESIS. Rows are
-    clustered by (source, hour) and sorted inside each task, then one Arrow
-    pass per task chains every segment it holds."""
-    # One hash exchange on (source, hour) feeds both the per-segment aggregate
-    # and the row path (Spark reuses it), so the upstream runs once.
-    e = (_segment(events.withColumn("seg_hour", trunc_seconds("ts", 3600)))
-         .withColumn("template", _doc_with_prev(F.col("event"), F.lit(PREV_PLACEHOLDER)))
-         .select("__source", "__hour", "seg_hour", "ts", "event_id", "query_id", "template")
-         .repartition("__source", "__hour"))
-    # only the last event of each segment needs its content hash
-    seg_last = e.groupBy("__source", "__hour").agg(
-        F.sha2(F.max_by("template", F.struct("ts", "event_id")), 256).alias("last_content"))
-    anchors = _anchors(seg_last, heads)
-    work = (e.join(anchors, ["__source", "__hour"])
-             .select(F.col("__source").alias("source_system"), "__hour", "seg_hour", "ts", "event_id", "query_id",
-                     "template", "anchor")
-             .sortWithinPartitions("source_system", "__hour", "ts", "event_id"))
-    _ship_by_value()
-    return work.mapInArrow(_chain_batches, CHAIN_SCHEMA)
-
-
-def chain_heads(chained: DataFrame) -> DataFrame:
-    """Last content hash per source, to continue the chain in the next increment."""
-    last = chained.groupBy("source_system").agg(F.max_by("doc", F.struct("ts", "event_id")).alias("doc"))
-    return last.select("source_system", _content_hash_from_doc(F.col("doc")).alias("last_content_hash"))
-
-
-def verify_chain(chained: DataFrame, heads: DataFrame | None = None) -> DataFrame:
-    """G8 (+W2): every stored record with hash_ok / link_ok; fully parallel."""
-    c = (_segment(chained.withColumn("hash_ok", F.sha2("doc", 256).eqNullSafe(F.col("this_hash"))))
-         .repartition("__source", "__hour"))  # shared by both consumers below
-    seg_last = c.groupBy("__source", "__hour").agg(
-        _content_hash_from_doc(F.max_by("doc", F.struct("ts", "event_id"))).alias("last_content"))
-    anchors = _anchors(seg_last, heads)
-    w = Window.partitionBy("__source", "__hour").orderBy("ts", "event_id")
-    v = (c.join(anchors, ["__source", "__hour"])
-          .withColumn("__expected", F.coalesce(F.lag("this_hash").over(w), F.col("anchor"))))
-    # the column must agree with the expected link and with what the document itself says
-    inside = F.regexp_extract("doc", r'"previous_hash":"([^"]*)"', 1)
-    link = F.col("previous_hash").eqNullSafe(F.col("__expected")) & inside.eqNullSafe(F.col("previous_hash"))
-    return v.withColumn("link_ok", F.coalesce(link, F.lit(False))) \
-            .drop("__expected", "anchor", "__source", "__hour")
-
-
-def broken_links(verified: DataFrame) -> DataFrame:
-    return verified.filter(~F.col("hash_ok") | ~F.col("link_ok"))
-
-
 # ---------------------------------------------------------------------------
 # Audit queries
 # ---------------------------------------------------------------------------

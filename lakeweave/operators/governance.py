@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeweave.functions.columns import EMAIL_RE
+from lakeweave.session import materialize
 
 # ---------------------------------------------------------------------------
 # Policy data (fixed values: the lake's access, row-filter and mask policies)
@@ -254,6 +255,14 @@ def erase_subject(tables: Mapping[str, DataFrame], keys: Mapping[str, str], ids:
     return {name: df.join(subj, F.col(keys[name]) == F.col("__sid"), "left_anti") for name, df in tables.items()}
 
 
+def erase_and_verify(tables: Mapping[str, DataFrame], keys: Mapping[str, str], ids: DataFrame,
+                     id_col: str = "subject_id") -> tuple[dict[str, DataFrame], DataFrame]:
+    """G13 as carried out: the remaining rows of every table are written, and what is left of the
+    subjects is counted in the written files, read back. Returns the new tables and the results."""
+    after = {name: materialize(df, f"erased-{name}") for name, df in erase_subject(tables, keys, ids, id_col).items()}
+    return after, erasure_results(tables, after, keys, ids, id_col)
+
+
 def erasure_results(before: Mapping[str, DataFrame], after: Mapping[str, DataFrame], keys: Mapping[str, str],
                     ids: DataFrame, id_col: str = "subject_id") -> DataFrame:
     """G13 verification: per subject and table, rows removed and rows left

@@ -167,9 +167,9 @@ def with_ctes(body: str, extra: dict[str, str] | None = None) -> str:
     if not order:
         return body
     head = "WITH " + ",\n".join(f"{n} AS ({pool[n]})" for n in order)
-    m = re.match(r"\s*WITH\s+", body, flags=re.IGNORECASE)
+    m = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", body, flags=re.IGNORECASE)
     if m:  # the body brings its own CTEs: append them after ours
-        return head + ",\n" + body[m.end():]
+        return (head.replace("WITH ", "WITH RECURSIVE ", 1) if m[1] else head) + ",\n" + body[m.end():]
     return head + "\n" + body
 
 

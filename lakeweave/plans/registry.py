@@ -5,9 +5,10 @@ operators themselves return exact values."""
 
 from __future__ import annotations
 
+from datetime import timedelta
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeweave.plans import benchmark as bm
@@ -16,6 +17,7 @@ from lakeweave.plans.oracle import uuid as uuid_sql
 from lakeweave.plans.oracle import zpad as zpad_sql
 from lakeweave.sources import tables as src
 from lakeweave.operators import models as mdl
+from lakeweave.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -890,9 +892,7 @@ def subjects_df(spark, d):
 def _erasure(spark, d):
     tables = {"fct_orders": fct_df(spark, d), "stg_customers": stg_customers_df(spark, d)}
     keys = {"fct_orders": "customer_id", "stg_customers": "customer_id"}
-    ids = subjects_df(spark, d)
-    after = gov.erase_subject(tables, keys, ids)
-    return gov.erasure_results(tables, after, keys, ids)
+    return gov.erase_and_verify({n: materialize(t, n) for n, t in tables.items()}, keys, subjects_df(spark, d))[1]
 
 
 ERASURE_SQL = f"""
@@ -931,6 +931,27 @@ def _g14(spark, d):
     return gov.redact(a, "sql_text", [fn.EMAIL_RE], subj, "username").select("query_id", "username", "sql_text")
 
 
+_TEXT_OF_USERS = """sql_text || ' -- by ' || upper(username) || ' (' || user_sub || '), not ' || username || 'x, from ' || source_ip || ':443'"""
+
+
+@register("g14_redact_subject_values", f"""
+    WITH t AS (SELECT query_id, username, user_sub, {_TEXT_OF_USERS} AS text FROM audit_queries),
+    v AS (SELECT DISTINCT unnest([username, user_sub, username || '@example.com']) AS value FROM audit_queries
+          WHERE CAST(substr(username, 5) AS BIGINT) % 10 = 0),
+    p AS (SELECT '(?i)\\b(' || string_agg(replace(value, '.', '\\.'), '|' ORDER BY length(value) DESC, value) || ')\\b' AS pattern FROM v)
+    SELECT query_id, regexp_replace(text, pattern, '[REDACTED]', 'g') AS text,
+           len(regexp_extract_all(text, pattern)) AS redactions FROM t, p""")
+def _g14v(spark, d):
+    from lakeweave.operators import redaction as red
+
+    a = src.audit_queries(spark, d)
+    texts = a.select("query_id", F.expr(_TEXT_OF_USERS).alias("text"))
+    users = a.select("username", "user_sub", F.concat("username", F.lit("@example.com")).alias("email")).distinct()
+    subjects = users.filter(F.substring("username", 5, 20).cast("bigint") % 10 == 0)
+    values = red.subject_values(subjects, "username", {"users": (users, "username", ["user_sub", "email"])})
+    return red.redact_values(texts, "text", values, count="redactions")
+
+
 @register("g15_anonymize", f"""
     SELECT customer_id,
            CASE WHEN customer_id IN (SELECT subject_id FROM ({SUBJECTS_SQL})) THEN 'anon-' || md5(customer_id) ELSE email END AS email,
@@ -954,6 +975,29 @@ def _g17(spark, d):
     return changes
 
 
+@register("g17_rectified_table", """
+    SELECT customer_id, CASE WHEN CAST(substr(customer_id, 6) AS BIGINT) % 50 = 1 THEN 'fixed.' || email ELSE email END AS email,
+           full_name, country FROM stg_customers""")
+def _g17t(spark, d):
+    stg = stg_customers_df(spark, d)
+    corr = stg.filter(F.substring("customer_id", 6, 20).cast("bigint") % 50 == 1) \
+              .select("customer_id", F.concat(F.lit("fixed."), F.col("email")).alias("email"))
+    updated, _ = gov.rectify(stg, corr, "customer_id", "2024-02-01 00:00:00")
+    return materialize(updated, "rectified").select("customer_id", "email", "full_name", "country")
+
+
+@register("g18_subject_report_fields", f"""
+    WITH s AS ({SUBJECTS_SQL})
+    SELECT s.subject_id, 'fct_orders' AS table_name, CAST(f.order_id AS VARCHAR) AS order_id, f.status, f.country, NULL AS email
+    FROM s JOIN fct_orders f ON f.customer_id = s.subject_id
+    UNION ALL
+    SELECT s.subject_id, 'stg_customers', NULL, NULL, c.country, c.email FROM s JOIN stg_customers c ON c.customer_id = s.subject_id""")
+def _g18f(spark, d):
+    r = _g18(spark, d)
+    record = next(c for c in r.columns if c not in ("subject_id", "table_name"))
+    return r.select("subject_id", "table_name", *[F.get_json_object(record, f"$.{c}").alias(c) for c in ("order_id", "status", "country", "email")])
+
+
 @register("g18_subject_report")
 def _g18(spark, d):
     tables = {"fct_orders": fct_df(spark, d), "stg_customers": stg_customers_df(spark, d)}
@@ -1045,11 +1089,71 @@ def chained_df(spark, d):
     return aud.chain_events(normalized_df(spark, d))
 
 
-@register("g7_chain_events")
+#: The documents of the trail, their order within segments, Merkle roots by level, heads by segment and
+#: links by event, each folded step by step.
+_TRAIL_CTES = f"""
+    documents_of AS (
+      SELECT a.event_id, a."timestamp" AS ts, {_reg_sql(2)} AS source_system, date_trunc('hour', a."timestamp") AS seg,
+             to_json({{'action': {{'detail': to_json({{'query_id': query_id, 'rows_scanned': rows_scanned, 'rows_returned': rows_returned,
+                                                    'duration_ms': duration_ms, 'decision': ranger_decision}})::VARCHAR, 'type': {_reg_sql(3)}}},
+                      'actor': {{'ip_address': source_ip, 'sub': user_sub, 'tenant_id': tenant_id, 'type': 'USER', 'username': username}},
+                      'event_id': a.event_id, 'event_type': {_reg_sql(1)},
+                      'outcome': CASE WHEN ranger_decision = 'DENY' THEN 'FAILURE' ELSE 'SUCCESS' END,
+                      'previous_hash': '__PREVIOUS_HASH__',
+                      'resource': {{'identifier': tables_accessed[1], 'location': "cluster", 'type': 'iceberg.table'}},
+                      'risk': {{'flags': coalesce(r.risk_flags, []), 'level': coalesce(r.risk_level, 'LOW')}},
+                      'schema_version': '1.0', 'source_host': "cluster", 'source_namespace': 'lakehouse',
+                      'source_system': {_reg_sql(2)},
+                      'timestamp': strftime(a."timestamp", '%Y-%m-%dT%H:%M:%S.%g') || 'Z'}})::VARCHAR AS template
+      FROM audit_queries a LEFT JOIN risk r USING (event_id)),
+    leaves AS (
+      SELECT *, sha256(template) AS leaf, row_number() OVER (PARTITION BY source_system, seg ORDER BY ts, event_id) AS pos FROM documents_of),
+    levels(source_system, seg, n, hashes) AS (
+      SELECT source_system, seg, count(*), list(leaf ORDER BY pos) FROM leaves GROUP BY ALL
+      UNION ALL
+      SELECT source_system, seg, n, [CASE WHEN 2 * i <= len(hashes) THEN sha256('1|' || hashes[2 * i - 1] || '|' || hashes[2 * i])
+                                          ELSE hashes[2 * i - 1] END for i in range(1, (len(hashes) + 1) // 2 + 1)]
+      FROM levels WHERE len(hashes) > 1),
+    segments AS (
+      SELECT source_system, seg, n, hashes[1] AS root, row_number() OVER (PARTITION BY source_system ORDER BY seg) AS k
+      FROM levels WHERE len(hashes) = 1),
+    heads(source_system, k, head) AS (
+      SELECT DISTINCT source_system, 0::BIGINT, sha256('GENESIS|' || source_system) FROM segments
+      UNION ALL
+      SELECT s.source_system, s.k, sha256(concat_ws('|', h.head, s.source_system, strftime(s.seg, '%Y-%m-%dT%H:%M:%S'), s.n, s.root))
+      FROM heads h JOIN segments s ON s.source_system = h.source_system AND s.k = h.k + 1),
+    links(event_id, source_system, seg, pos, ts, previous_hash, this_hash) AS (
+      SELECT l.event_id, l.source_system, l.seg, l.pos, l.ts, h.head, sha256(replace(l.template, '__PREVIOUS_HASH__', h.head))
+      FROM leaves l JOIN segments s ON s.source_system = l.source_system AND s.seg = l.seg
+      JOIN heads h ON h.source_system = s.source_system AND h.k = s.k - 1 WHERE l.pos = 1
+      UNION ALL
+      SELECT l.event_id, l.source_system, l.seg, l.pos, l.ts, p.this_hash, sha256(replace(l.template, '__PREVIOUS_HASH__', p.this_hash))
+      FROM links p JOIN leaves l ON l.source_system = p.source_system AND l.seg = p.seg AND l.pos = p.pos + 1)"""
+
+
+def trail_ctes(risk: bool = True) -> str:
+    """Without risk flags every event has level LOW, as in the stream."""
+    none = "SELECT NULL::VARCHAR AS event_id, NULL::VARCHAR AS risk_level, NULL::VARCHAR[] AS risk_flags WHERE FALSE"
+    return f"risk AS ({RISK_SQL if risk else none}),{_TRAIL_CTES}"
+
+
+TRAIL_CTES = trail_ctes()
+
+
+@register("g7_chain_events", f"""WITH RECURSIVE {TRAIL_CTES}
+    SELECT event_id, source_system, ts, previous_hash, this_hash FROM links""")
 def _g7(spark, d):
     return chained_df(spark, d).select("event_id", "source_system", "ts", "previous_hash", "this_hash")
 
 
+@register("g7_seal_segments", f"""WITH RECURSIVE {TRAIL_CTES}
+    SELECT s.source_system, s.seg AS seg_hour, s.n AS n_events, s.root, b.head AS first_link, h.head
+    FROM segments s JOIN heads h ON h.source_system = s.source_system AND h.k = s.k
+    JOIN heads b ON b.source_system = s.source_system AND b.k = s.k - 1""")
+def _g7_seals(spark, d):
+    return aud.seal_segments(chained_df(spark, d))
+
+
 def _tampered(chained):
     hit = F.substring("query_id", 3, 20).cast("bigint") % 500 == 0
     return chained.withColumn("doc", F.when(hit, F.regexp_replace("doc", r'"username":"[^"]*"',
@@ -1059,20 +1163,70 @@ def _tampered(chained):
 @register("g8_verify_chain", f"""
     WITH a AS (SELECT {uuid_sql("'q' || CAST(event_id AS VARCHAR)")} AS event_id, ts, date_trunc('hour', ts) AS seg,
                       {_reg_sql(2)} AS source_system, event_id % 500 = 0 AS tampered FROM events),
-    o AS (SELECT *, lag(tampered) OVER w AS prev_tampered, lag(seg) OVER w AS prev_seg FROM a
-          WINDOW w AS (PARTITION BY source_system ORDER BY ts, event_id))
-    SELECT event_id, source_system, NOT tampered AS hash_ok,
-           NOT coalesce(prev_seg <> seg AND prev_tampered, FALSE) AS link_ok
-    FROM o WHERE tampered OR coalesce(prev_seg <> seg AND prev_tampered, FALSE)""")
+    s AS (SELECT source_system, seg, bool_or(tampered) AS hit FROM a GROUP BY ALL),
+    p AS (SELECT source_system, seg, lag(hit) OVER (PARTITION BY source_system ORDER BY seg) AS prev_hit FROM s),
+    o AS (SELECT a.*, coalesce(prev_hit, FALSE) AND row_number() OVER (PARTITION BY source_system, seg ORDER BY ts, event_id) = 1 AS unlinked
+          FROM a JOIN p USING (source_system, seg))
+    SELECT event_id, source_system, NOT tampered AS hash_ok, NOT unlinked AS link_ok FROM o WHERE tampered OR unlinked""")
 def _g8(spark, d):
-    from lakeweave.session import cut_lineage
     # verification reads the stored trail: the (tampered) chain is written once
     # to the shared checkpoint folder, then verified from there
-    stored = cut_lineage(_tampered(chained_df(spark, d)))
+    stored = materialize(_tampered(chained_df(spark, d)), "trail")
     v = aud.verify_chain(stored)
     return aud.broken_links(v).select("event_id", "source_system", "hash_ok", "link_ok")
 
 
+def _attacked(chained):
+    """A trail whose links are all in order again after an attack: every source lost its first,
+    sixth and last segment, and its third one was altered and linked anew from its own anchor."""
+    from lakeweave.operators import trail
+
+    s = chained.select("source_system", "seg_hour").distinct()
+    w = Window.partitionBy("source_system")
+    s = s.select("*", F.row_number().over(w.orderBy("seg_hour")).alias("k"), F.count(F.lit(1)).over(w).alias("m"))
+    c = chained.join(s, ["source_system", "seg_hour"]).filter("k NOT IN (1, 6) AND k <> m")
+    third = c.filter("k = 3")
+    rows = third.withColumn("template", F.regexp_replace(F.regexp_replace(
+        "doc", '"previous_hash":"[^"]*"', f'"previous_hash":"{trail.PREV_PLACEHOLDER}"'), '"username":"[^"]*"', '"username":"mallory"'))
+    anchors = third.groupBy("source_system").agg(F.min_by("previous_hash", F.struct("ts", "event_id")).alias("head"))
+    again = trail.chain_templates(rows.select("source_system", "seg_hour", "ts", "event_id", "query_id", "template"), anchors)
+    return c.filter("k <> 3").select(*again.columns).unionByName(again)
+
+
+@register("g8_verify_trail", f"""WITH RECURSIVE {TRAIL_CTES},
+    m AS (SELECT *, max(k) OVER (PARTITION BY source_system) AS m FROM segments),
+    gone AS (SELECT source_system, seg AS seg_hour, 'missing segment' AS problem FROM m WHERE k IN (1, 6) OR k = m),
+    changed AS (SELECT source_system, seg, 'contents differ' FROM m WHERE k = 3 AND k < m),
+    ends AS (SELECT DISTINCT source_system, NULL::TIMESTAMP, 'end differs' FROM m),
+    starts AS (SELECT source_system, seg, 'first link' FROM m WHERE (k IN (2, 4) OR k = 7) AND k < m)
+    SELECT * FROM gone UNION ALL SELECT * FROM changed UNION ALL SELECT * FROM ends UNION ALL SELECT * FROM starts""")
+def _g8_trail(spark, d):
+    chained = materialize(chained_df(spark, d), "trail")
+    seals = aud.seal_segments(chained)
+    stored = materialize(_attacked(chained), "trail")
+    columns = ["source_system", "seg_hour", "problem"]
+    first = aud.broken_links(aud.verify_chain(stored)).select("source_system", "seg_hour", F.lit("first link").alias("problem"))
+    end = aud.verify_heads(stored, aud.chain_heads(chained)).withColumn("seg_hour", F.lit(None).cast("timestamp_ntz"))
+    return aud.verify_seals(stored, seals).unionByName(end.select(*columns)).unionByName(first)
+
+
+@register("g8_inclusion_proofs", f"""WITH RECURSIVE {TRAIL_CTES},
+    wanted AS (SELECT l.event_id, l.source_system, l.seg, l.pos - 1 AS position, s.n AS n_events, s.root FROM leaves l
+               JOIN segments s ON s.source_system = l.source_system AND s.seg = l.seg
+               JOIN audit_queries q ON q.event_id = l.event_id WHERE CAST(substr(q.query_id, 3) AS BIGINT) % 1000 = 0),
+    climb(event_id, i, n, steps) AS (
+      SELECT event_id, position, n_events, 0 FROM wanted
+      UNION ALL
+      SELECT event_id, i // 2, (n + 1) // 2, steps + CASE WHEN i % 2 = 1 OR i + 1 < n THEN 1 ELSE 0 END FROM climb WHERE n > 1)
+    SELECT w.event_id, w.source_system, w.seg AS seg_hour, w.position, w.n_events, w.root, c.steps::INTEGER AS steps, TRUE AS holds
+    FROM wanted w JOIN climb c ON c.event_id = w.event_id AND c.n = 1""")
+def _g8_proofs(spark, d):
+    chained = materialize(chained_df(spark, d), "trail")
+    p = aud.inclusion_proofs(chained, chained.filter(F.substring("query_id", 3, 20).cast("bigint") % 1000 == 0))
+    return p.select("event_id", "source_system", "seg_hour", "position", "n_events", "root", F.size("path").alias("steps"),
+                    aud.proof_holds(F.col("leaf"), F.col("path"), F.col("root")).alias("holds"))
+
+
 @register("g9_audit_by_user", """
     SELECT "timestamp", username, tenant_id, query_id, tables_accessed, rows_scanned, ranger_decision, duration_ms
     FROM audit_queries WHERE user_sub = 'sub-0008' AND "timestamp" >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 90 DAY
@@ -1615,27 +1769,71 @@ def _x6(spark, d):
     return rounded(spark.read.parquet(st.latest_version(spark, f"{base}/mart")), ["total_amount_usd"])
 
 
-@register("x7_stream_chain")
+@register("x4_stream_late_rejection", """
+    WITH s AS (SELECT event_id, ts, event_type, event_id % 4 AS delivery FROM events),
+    m AS (SELECT delivery + 1 AS delivery, max(max(ts)) OVER (ORDER BY delivery) AS mark FROM s GROUP BY delivery)
+    SELECT event_id, ts, event_type, coalesce(ts < mark - INTERVAL 168 HOUR, FALSE) AS late
+    FROM s LEFT JOIN m USING (delivery)""")
+def _x4s(spark, d):
+    e = src.read_table(spark, d, "events").select("event_id", "ts", "event_type")
+    out = st.stream_dir(spark, "x4")
+    st.run_deliveries(spark, [e.filter(F.col("event_id") % 4 == k) for k in range(4)],
+                      lambda s: s.writeStream.foreachBatch(st.late_batch(out, "ts", "168 hours")), "x4-in")
+    return spark.read.parquet(f"{out}/rows").select("event_id", "ts", "event_type", F.col("late").cast("boolean").alias("late"))
+
+
+@register("x7_stream_chain", f"""WITH RECURSIVE {trail_ctes(risk=False)}
+    SELECT l.event_id, l.source_system, l.seg AS seg_hour, l.ts, l.previous_hash, l.this_hash FROM links l
+    WHERE l.seg + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""")
 def _x7(spark, d):
-    ev = st.read_fixture_stream(spark, d, "events")
-    norm = aud.normalize_events(src.audit_queries(spark, d, ev), aud.registry_frame(spark))
-    base = st.stream_dir(spark, "x7")
-    st.run_available(norm.writeStream.foreachBatch(st.chain_batch(base)), f"{base}/ck")
-    return spark.read.parquet(f"{base}/chain").select("event_id", "source_system", "ts", "previous_hash", "this_hash")
+    ev = src.read_table(spark, d, "events")
+    first, last = ev.agg(F.min(fn.epoch_micros("ts")), F.max(fn.epoch_micros("ts"))).first()
+    step = ((last - first) // 3 // 3_600_000_000) * 3_600_000_000 + 1_020_000_000  # 17 minutes after a whole hour of the first event
+    nth = F.least(((fn.epoch_micros("ts") + F.col("event_id") % 3 * 1_200_000_000 - first) / step).cast("int"), F.lit(2))
+    out = st.stream_dir(spark, "x7")
+    st.run_deliveries(spark, [ev.filter(nth == k) for k in range(3)], lambda s: st.whole_segments(
+        aud.normalize_events(src.audit_queries(spark, d, s), aud.registry_frame(spark))).writeStream.foreachBatch(st.chain_batch(out)), "x7-in")
+    return spark.read.parquet(f"{out}/chain").select("event_id", "source_system", "seg_hour", "ts", "previous_hash", "this_hash")
+
+
+def _orders_asset(spark, d, orders):
+    return mdl.stg_orders(src.raw_orders(spark, d, orders)) \
+        .withColumn("order_amount", F.col("total_amount_usd")).withColumn("_dbt_source_relation", F.lit("stg_orders"))
+
+
+def _good_and_reasons(spark, base):
+    bad, good = spark.read.parquet(f"{base}/quarantine"), spark.read.parquet(f"{base}/good")
+    reasons = bad.select(F.explode("fail_reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return reasons.unionByName(good.agg(F.count(F.lit(1)).alias("n")).select(F.lit("good").alias("reason"), "n"))
 
 
 @register("x8_stream_quarantine", S13_SQL)
 def _x8(spark, d):
     orders = st.read_fixture_stream(spark, d, "orders")
-    asset = mdl.stg_orders(src.raw_orders(spark, d, orders)) \
-        .withColumn("order_amount", F.col("total_amount_usd")).withColumn("_dbt_source_relation", F.lit("stg_orders"))
     base = st.stream_dir(spark, "x8")
-    st.run_available(asset.writeStream.foreachBatch(st.quarantine_batch(base, S.STAGING_LAYER, ["order_id"])),
+    st.run_available(_orders_asset(spark, d, orders).writeStream.foreachBatch(st.quarantine_batch(base, S.STAGING_LAYER, ["order_id"])),
                      f"{base}/ck")
-    bad = spark.read.parquet(f"{base}/quarantine")
-    good = spark.read.parquet(f"{base}/good")
-    reasons = bad.select(F.explode("fail_reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-    return reasons.unionByName(good.agg(F.count(F.lit(1)).alias("n")).select(F.lit("good").alias("reason"), "n"))
+    return _good_and_reasons(spark, base)
+
+
+# of two thirds of the orders every fifth is delivered again with the next delivery
+@register("x8_stream_unique", f"""
+    WITH a AS ({STG_ASSET_SQL}),
+    f AS (SELECT a.order_id, list_filter([{', '.join(f"CASE WHEN coalesce({cond}, FALSE) THEN '{lab}' END" for lab, cond in _S13_FAILS)}],
+                                         lambda x: x IS NOT NULL) AS reasons FROM a),
+    twice AS (SELECT reasons, FALSE AS again FROM f UNION ALL SELECT reasons, TRUE FROM f WHERE CAST(order_id AS BIGINT) % 5 = 0 AND CAST(order_id AS BIGINT) % 3 < 2),
+    r AS (SELECT CASE WHEN again THEN list_append(reasons, 'duplicate:order_id') ELSE reasons END AS reasons FROM twice)
+    SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM r) GROUP BY reason
+    UNION ALL SELECT 'good', count(*) FROM r WHERE len(reasons) = 0""")
+def _x8u(spark, d):
+    o = src.read_table(spark, d, "orders")
+    key = F.col("o_orderkey")
+    deliveries = [o.filter((key % 3 == k) | ((key % 3 == k - 1) & (key % 5 == 0))) for k in range(3)]
+    out = st.stream_dir(spark, "x8u")
+    st.run_deliveries(spark, deliveries, lambda s: st.mark_repeats(
+        _orders_asset(spark, d, s), ["order_id"], "updated_at", timedelta(days=7300)).writeStream
+        .foreachBatch(st.quarantine_batch(out, S.STAGING_LAYER, ["order_id"])), "x8u-in")
+    return _good_and_reasons(spark, out)
 
 
 @register("m8_latency_percentiles_raw", """

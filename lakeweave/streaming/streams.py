@@ -13,6 +13,7 @@ Conventions:
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,8 @@ from pyspark.sql.types import StructType
 
 from lakeweave.functions.columns import epoch_micros, from_epoch_micros, ts_lit
 from lakeweave.operators.tables import dedupe_latest, merge_upsert
+from lakeweave.operators.trail import (CHAIN_SCHEMA, LATE, NO_HOUR, chain_templates, last_heads, seal_segments,
+                                       templates)
 from lakeweave.session import ensure_checkpoint_dir
 
 
@@ -104,10 +107,32 @@ def split_late(df: DataFrame, ts: str, now: str, max_age_hours: int = 168) -> tu
     return df.filter(~late), df.filter(late)
 
 
-def reject_late(events: DataFrame, ts: str = "ts", max_age: str = "168 hours") -> DataFrame:
-    """X4 streaming form: a 168 h watermark; stateful operators downstream
-    drop rows older than it."""
-    return events.withWatermark(ts, max_age)
+def late_batch(path: str, ts: str = "ts", max_age: str = "168 hours", keys: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
+    """X4 as a stream: every row is kept, those older than ``max_age`` before the newest event time of all
+    earlier batches (of the same ``keys``) as late ones. The newest times are the state: a partial
+    aggregate of each batch, one version a batch id, so a replayed batch decides alike. Rows go to
+    ``path/rows/batch_id=<n>/late=<true or false>``; a row without a time is not known to be late."""
+    def fn(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = latest_version(spark, f"{path}/marks", before=batch_id)
+        marks = spark.read.parquet(before) if before else None
+        age = F.expr(f"INTERVAL '{max_age}'")
+        if marks is None:
+            tagged = batch.withColumn("late", F.lit(False))
+        else:
+            m = marks.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("mark").alias("__mark"))
+            same = F.lit(True)
+            for k in keys:
+                same = same & batch[k].eqNullSafe(m[f"__{k}"])
+            tagged = batch.join(m if keys else F.broadcast(m), same, "left")  # without keys there is one mark
+            tagged = tagged.withColumn("late", F.coalesce(F.col(ts) < F.col("__mark") - age, F.lit(False))).select(*batch.columns, "late")
+        out = f"{path}/rows/batch_id={batch_id}"
+        tagged.write.mode("overwrite").partitionBy("late").parquet(out)
+        seen = spark.read.schema(tagged.schema).parquet(out).groupBy(*keys).agg(F.max(ts).alias("mark"))
+        if marks is not None:
+            seen = seen.unionByName(marks).groupBy(*keys).agg(F.max("mark").alias("mark"))
+        seen.write.mode("overwrite").parquet(f"{path}/marks/v={batch_id}")
+    return fn
 
 
 def dedupe_stream(events: DataFrame, keys: Sequence[str], ts: str = "ts", watermark: str = "1 hour") -> DataFrame:
@@ -155,38 +180,191 @@ def upsert_batch(path: str, keys: Sequence[str], order: Sequence[str] = ()) -> C
     return fn
 
 
+def _first_seen():
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class FirstSeen(StatefulProcessor):
+        """Per key one value: whether the key has been delivered. A timer takes it away at the
+        first row's ``ends`` (event time in milliseconds; 0: never)."""
+
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.seen = handle.getValueState("seen", "once boolean")
+
+        def handleInputRows(self, key, rows, timerValues):
+            keyed = not key[0].startswith("~")  # a row without a key is no repeat of another
+            known = keyed and self.seen.exists()
+            for pdf in rows:
+                repeat = [known] * len(pdf)
+                if keyed and not known:
+                    repeat[0], repeat[1:], known = False, [True] * (len(pdf) - 1), True
+                    self.seen.update((True,))
+                    if pdf["ends"].iloc[0]:
+                        self.handle.registerTimer(int(pdf["ends"].iloc[0]))
+                yield pd.DataFrame({"payload": pdf["payload"], "again": repeat})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.seen.clear()
+            return iter([])
+
+        def close(self) -> None:
+            pass
+
+    return FirstSeen()
+
+
+#: Rows pass state operators as JSON; these formats keep microseconds and nulls.
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
+
+
+def mark_repeats(rows: DataFrame, keys: Sequence[str], ts: str | None = None, ttl: timedelta = timedelta(days=7),
+                 delay: str = "1 hour") -> DataFrame:
+    """X8 state: ``rows`` with ``_repeat``: whether the row's key was delivered before, in this or any earlier
+    batch. With an event time ``ts`` (NTZ) a key is forgotten once the watermark, ``delay`` behind the newest row, is
+    ``ttl`` past its first row; without one, never. Nothing is dropped: the first row read of a key passes, rows with a
+    null in the key are no repeats, late rows are judged by what is still known. State is a value per key (RocksDB), so
+    a hot key costs no more than a rare one."""
+    schema = rows.schema
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    payload = F.to_json(F.struct(*rows.columns), _JSON)
+    key = F.when(whole, F.to_json(F.struct(*keys), _JSON)).otherwise(F.concat(F.lit("~"), F.sha2(payload, 256)))
+    ends = F.lit(0).cast("long")
+    timed = rows
+    if ts is not None:
+        timed = event_time(rows.withColumn("_time", F.col(ts)), "_time").withWatermark("_time", delay)
+        ends = F.coalesce(F.unix_millis("_time") + int(ttl.total_seconds() * 1000), ends)
+    marked = (timed.select(key.alias("key"), payload.alias("payload"), ends.alias("ends")).groupBy("key")
+              .transformWithStateInPandas(_first_seen(), "payload string, again boolean", "Append", "None" if ts is None else "EventTime"))
+    return marked.select(F.from_json("payload", schema, _JSON).alias("_row"), F.col("again").alias("_repeat")).select("_row.*", "_repeat")
+
+
 def quarantine_batch(path: str, suite: Sequence[dict], unique_keys: Sequence[str] = ()) -> Callable:
-    """Split every micro-batch into good rows and quarantined rows, one
-    folder per batch id (``batch_id=<n>``), overwritten on replay: exactly once."""
+    """Split every micro-batch into good rows and quarantined rows with their reasons, one
+    folder per batch id (``batch_id=<n>``), overwritten on replay: exactly once. Rows of
+    :func:`mark_repeats` carry the state of all batches: a repeat has the reason ``duplicate:<keys>``.
+    Without it, ``unique_keys`` are held against the batch alone."""
     from lakeweave.operators.quality import split_quarantine
 
     def fn(batch: DataFrame, batch_id: int) -> None:
-        good, bad = split_quarantine(batch, suite, unique_keys)
+        marked = "_repeat" in batch.columns
+        good, bad = split_quarantine(batch, suite, () if marked else unique_keys)
+        if marked:
+            tag = F.when(F.col("_repeat"), F.array(F.lit("duplicate:" + ",".join(unique_keys)))).otherwise(F.array().cast("array<string>"))
+            repeats = good.filter("_repeat").withColumn("fail_reasons", tag)
+            bad = bad.withColumn("fail_reasons", F.concat("fail_reasons", tag)).unionByName(repeats).drop("_repeat")
+            good = good.filter("NOT _repeat").drop("_repeat")
         good.write.mode("overwrite").parquet(f"{path.rstrip('/')}/good/batch_id={batch_id}")
         bad.write.mode("overwrite").parquet(f"{path.rstrip('/')}/quarantine/batch_id={batch_id}")
     return fn
 
 
-def chain_batch(path: str) -> Callable[[DataFrame, int], None]:
-    """Hash-chain every micro-batch, continuing from the heads written by
-    the previous batch (kept next to the chain, per batch id)."""
-    from lakeweave.operators.audit import chain_events, chain_heads
+# ---------------------------------------------------------------------------
+# Streaming hash chain
+# ---------------------------------------------------------------------------
 
+def _segment_buffer(seconds: int):
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    columns = ["source_system", "seg_us", "ts_us", "event_id", "query_id", "template", "late"]
+
+    class SegmentBuffer(StatefulProcessor):
+        """Keyed by segment: its events wait in a list until a timer at the segment's end, which
+        the watermark sets off, gives them out as a whole."""
+
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.events = handle.getListState("events", "ts_us long, event_id string, query_id string, template string")
+
+        def handleInputRows(self, key, rows, timerValues):
+            end = key[1] // 1000 + seconds * 1000
+            late = end <= timerValues.getCurrentWatermarkInMs() and not self.events.exists()
+            for pdf in rows:
+                if late:
+                    yield pdf.assign(late=True)[columns]
+                else:
+                    self.events.appendList([tuple(r) for r in pdf[["ts_us", "event_id", "query_id", "template"]].astype(object)
+                                            .where(lambda x: x.notna(), None).itertuples(index=False)])
+            if not late:
+                self.handle.registerTimer(end)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            held = []
+            for row in self.events.get():
+                held.append((key[0], key[1], *row, False))
+                if len(held) >= 10_000:
+                    yield pd.DataFrame(held, columns=columns)
+                    held = []
+            self.events.clear()
+            if held:
+                yield pd.DataFrame(held, columns=columns)
+
+        def close(self) -> None:
+            pass
+
+    return SegmentBuffer()
+
+
+def whole_segments(events: DataFrame, segment_seconds: int = 3600, delay: str = "2 hours") -> DataFrame:
+    """Canonical events (a stream of ``normalize_events``) held back until their segment is over: the watermark,
+    ``delay`` behind the newest event, has passed its end. Events of a segment that was over before they
+    came have ``late``; none is dropped (the time is passed on without its watermark, or Spark would drop them)."""
+    rows = templates(event_time(events.withColumn("_time", F.col("ts")), "_time").withWatermark("_time", delay), segment_seconds)
+    flat = rows.select("source_system", epoch_micros("seg_hour").alias("seg_us"),
+                       F.coalesce(epoch_micros("ts"), F.lit(NO_TIME)).alias("ts_us"), "event_id", "query_id", "template")
+    out = flat.groupBy("source_system", "seg_us").transformWithStateInPandas(
+        _segment_buffer(segment_seconds), "source_system string, seg_us long, ts_us long, event_id string, query_id string, template string, late boolean",
+        "Append", "EventTime")
+    return out.select("source_system", from_epoch_micros(F.col("seg_us")).alias("seg_hour"),
+                      F.when(F.col("ts_us") != NO_TIME, from_epoch_micros(F.col("ts_us"))).alias("ts"), "event_id", "query_id", "template", "late")
+
+
+NO_TIME = -(1 << 62)
+
+
+def chain_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """Links the segments of :func:`whole_segments` that a micro-batch ended, from the heads of the
+    previous batch. Writes ``chain/batch=<n>``, ``seals/batch=<n>`` (to keep apart) and ``heads/v=<n>``. Segments end
+    in order, so the result is the batch chain, row by row. Late events are linked as well: a batch's late
+    events of a source are a segment of their own under ``<source>#late``, numbered by the batch."""
     def fn(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        base = path.rstrip("/")
+        spark, base = batch.sparkSession, path.rstrip("/")
         heads_dir = latest_version(spark, f"{base}/heads", before=batch_id)
         heads = spark.read.parquet(heads_dir) if heads_dir else None
-        chained = chain_events(batch, heads)
-        chained.write.mode("overwrite").parquet(f"{base}/chain/batch={batch_id}")
-        new_heads = chain_heads(spark.read.parquet(f"{base}/chain/batch={batch_id}"))
+        late = F.col("late")
+        rows = batch.select(F.when(late, F.concat("source_system", F.lit(LATE))).otherwise(F.col("source_system")).alias("source_system"),
+                            F.when(late, ts_lit(NO_HOUR) + F.make_interval(secs=F.lit(batch_id))).otherwise(F.col("seg_hour")).alias("seg_hour"),
+                            "ts", "event_id", "query_id", "template")
+        chain_templates(rows, heads).write.mode("overwrite").parquet(f"{base}/chain/batch={batch_id}")
+        stored = spark.read.schema(CHAIN_SCHEMA).parquet(f"{base}/chain/batch={batch_id}")
+        seal_segments(stored).write.mode("overwrite").parquet(f"{base}/seals/batch={batch_id}")
+        new_heads = last_heads(spark.read.parquet(f"{base}/seals/batch={batch_id}"))
         if heads is not None:  # sources absent from this batch keep their head
-            new_heads = heads.join(new_heads.select("source_system"), "source_system", "left_anti") \
-                             .unionByName(new_heads)
+            new_heads = heads.join(new_heads.select("source_system"), "source_system", "left_anti").unionByName(new_heads)
         new_heads.write.mode("overwrite").parquet(f"{base}/heads/v={batch_id}")
     return fn
 
 
+def run_deliveries(spark: SparkSession, deliveries: Sequence[DataFrame], write: Callable[[DataFrame], object], name: str) -> str:
+    """Files arrive delivery by delivery; after each, the query is started from its checkpoint, takes what is
+    there and stops, so state must survive the restart. ``write`` takes the stream of all files and
+    returns its writer; returns the query's folder (``in``, ``ck``)."""
+    base = stream_dir(spark, name)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for d in deliveries:
+            d.write.mode("append").parquet(f"{base}/in")
+            run_available(write(read_files(spark, f"{base}/in", "parquet", d.schema)), f"{base}/ck")
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+    return base
+
+
 def run_foreach_batch(spark: SparkSession, df: DataFrame, fn: Callable, name: str) -> str:
     base = stream_dir(spark, name)
     run_available(df.writeStream.foreachBatch(fn), f"{base}/ck")
