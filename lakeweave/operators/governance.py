@@ -82,7 +82,7 @@ class Principal:
 # ---------------------------------------------------------------------------
 
 def _glob(pattern: str, value: str) -> bool:
-    """``*`` stands for any run of characters; all else is literal, as in :func:`_glob_col`."""
+    """``*`` stands for any run of characters; all else is literal, as in :func:`evaluate_access`."""
     return re.fullmatch(".*".join(map(re.escape, pattern.split("*"))), value, re.DOTALL) is not None
 
 
@@ -217,29 +217,77 @@ def rules_frame(spark: SparkSession, rules: Sequence[tuple] = ACCESS_RULES) -> D
                                        "tbl string, accesses array<string>, schema_not_in array<string>")
 
 
-def _glob_col(pattern: Column, value: Column) -> Column:
-    rx = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(pattern, r"([.\\+?^$()\[\]{}|])", r"\\$1"),
-                                               r"\*", ".*"), F.lit("$"))
-    return F.regexp_like(value, rx)
+#: How a pattern's component is looked up: any value, one value, or (from 0 up) a prefix of that length.
+ANY, EXACT = -1, -2
+_COMPONENTS = (("catalog", "catalog"), ("schema", "schema"), ("tbl", "table"))
+
+
+def _shape(pattern: Column) -> Column:
+    star = F.locate("*", pattern)
+    return F.when(pattern == "*", ANY).when(star == 0, EXACT).otherwise(star - 1)
+
+
+def _lookup(shape: Column, value: Column) -> Column:
+    """The key under which a value, or a pattern's literal beginning, is found; null for a null value."""
+    return F.when(shape == EXACT, value).when(shape == ANY, F.when(value.isNotNull(), "")).otherwise(value.substr(F.lit(1), shape))
+
+
+def rule_index(rules: DataFrame) -> DataFrame:
+    """One row per rule and access: ``grp``, ``access``, the three shapes and keys, and what a key leaves open: the literals of
+    a glob after its beginning (``rest_catalog`` ...: null if the key says all), ``is_deny``, ``schema_not_in``."""
+    out = rules.select("*", F.explode("accesses").alias("access"))
+    for c, _ in _COMPONENTS:
+        shape = _shape(F.col(c))
+        out = (out.withColumn(f"shape_{c}", shape).withColumn(f"key_{c}", _lookup(shape, F.col(c)))
+                  .withColumn(f"rest_{c}", F.when(shape >= 0, F.split(F.col(c), r"\*"))))
+    return out.select("grp", "access", *[f"{p}_{c}" for c, _ in _COMPONENTS for p in ("shape", "key", "rest")],
+                      (F.col("kind") == "deny").alias("is_deny"), "schema_not_in")
+
+
+def _rest_fits(rest: Column, value: Column) -> Column:
+    """Whether the literals of a glob follow each other in ``value``, the first at its begin and the last at its end:
+    a search from left to right, without a pattern."""
+    first, last = F.element_at(rest, 1), F.element_at(rest, -1)
+    middle = F.slice(rest, 2, F.greatest(F.size(rest) - 2, F.lit(0)))
+    at = F.aggregate(middle, F.length(first) + 1, lambda a, x: F.when((a == 0) | (x == ""), a).otherwise(
+        F.when(F.call_function("locate", x, value, a) == 0, 0).otherwise(F.call_function("locate", x, value, a) + F.length(x))))
+    ends = (at > 0) & (at - 1 + F.length(last) <= F.length(value)) & F.endswith(value, last)
+    return rest.isNull() | ends
 
 
 def evaluate_access(requests: DataFrame, rules: DataFrame, groups_col: str = "groups") -> DataFrame:
-    """J6 + G4: decision per request row (columns catalog, schema, table,
-    access and an array of groups)."""
-    packed = rules.agg(F.collect_list(F.struct(*rules.columns)).alias("__rules"))
-    r = requests.crossJoin(F.broadcast(packed))
-    res = F.concat_ws("/", F.col("catalog"), F.col("schema"))
-
-    def matches(x: Column) -> Column:
-        return (F.array_contains(F.col(groups_col), x["grp"]) & F.array_contains(x["accesses"], F.col("access"))
-                & _glob_col(x["catalog"], F.col("catalog")) & _glob_col(x["schema"], F.col("schema"))
-                & _glob_col(x["tbl"], F.col("table")))
-
-    deny = F.exists("__rules", lambda x: matches(x) & (x["kind"] == "deny")
-                    & (x["schema_not_in"].isNull() | ~F.array_contains(x["schema_not_in"], res)))
-    allow = F.exists("__rules", lambda x: matches(x) & (x["kind"] == "allow"))
-    return (r.withColumn("decision", F.when(deny, "DENY").when(allow, "ALLOW").otherwise("DENY"))
-             .drop("__rules"))
+    """J6 + G4: decision per request row (columns catalog, schema, table, access and an array of groups); deny
+    beats allow, no rule denies.
+
+    Rules are found by equality: each distinct combination of groups, resource and access asks for one key per group
+    and shape of pattern that occurs among the rules (few: the shapes are the parameters of a policy set, not its
+    rules), and only a glob's literals after the first star are looked at for what was found. The requests
+    themselves are joined to the combinations' decisions; they are not exploded."""
+    index = rule_index(rules)
+    shapes = [tuple(r) for r in index.select(*[f"shape_{c}" for c, _ in _COMPONENTS]).distinct().collect()]
+    keys = [groups_col, "catalog", "schema", "table", "access"]
+    combos = requests.select(*keys).distinct()
+    decided = combos.limit(0).select(*keys, F.lit("").alias("__d")) if not shapes else None
+    if decided is None:
+        shape = F.explode(F.array(*[F.struct(*[F.lit(x).alias(c) for (c, _), x in zip(_COMPONENTS, s)]) for s in shapes]))
+        asked = combos.select(*keys, F.explode(F.array_distinct(groups_col)).alias("__grp")).select("*", shape.alias("__s"))
+        asked = asked.select(*keys, "__grp", *[F.col("__s")[c].alias(f"__shape_{c}") for c, _ in _COMPONENTS],
+                             *[_lookup(F.col("__s")[c], F.col(v)).alias(f"__key_{c}") for c, v in _COMPONENTS])
+        on = (F.col("__grp") == F.col("grp")) & (asked["access"] == index["access"])
+        for c, _ in _COMPONENTS:
+            on = on & (F.col(f"__shape_{c}") == F.col(f"shape_{c}")) & (F.col(f"__key_{c}") == F.col(f"key_{c}"))
+        found = asked.join(index, on).drop(index["access"])
+        for c, v in _COMPONENTS:
+            found = found.filter(_rest_fits(F.col(f"rest_{c}"), F.col(v)))
+        excepted = F.coalesce(F.array_contains("schema_not_in", F.concat_ws("/", "catalog", "schema")), F.lit(False))
+        found = found.filter(~F.col("is_deny") | ~excepted)
+        decided = found.groupBy(*keys).agg(F.when(F.max("is_deny"), "DENY").otherwise("ALLOW").alias("__d"))
+    d = decided.select(*[F.col(k).alias(f"__{k}") for k in keys], "__d")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return (requests.join(d, same, "left").withColumn("decision", F.coalesce("__d", F.lit("DENY")))
+            .drop("__d", *[f"__{k}" for k in keys]))
 
 
 # ---------------------------------------------------------------------------

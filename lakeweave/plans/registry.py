@@ -1085,6 +1085,61 @@ def _g6(spark, d):
                     F.col("event.timestamp").alias("iso_timestamp"))
 
 
+def _raw_lines(spark, d):
+    from lakeweave.operators import normalize
+
+    a = src.audit_queries(spark, d).withColumn("number", F.substring("query_id", 3, 20).cast("bigint"))
+    return normalize.normalize_raw(normalize.native_lines(a))
+
+
+_RAW_SQL = """
+    a AS (SELECT *, CAST(substr(query_id, 3) AS BIGINT) AS k FROM audit_queries),
+    l AS (SELECT *, CASE WHEN event_type IN ('click', 'view') THEN 'trino' WHEN event_type = 'signup' THEN 'openbao' ELSE 'ranger' END AS source,
+                 split_part(tables_accessed[1], '.', 1) || '.' || split_part(tables_accessed[1], '.', 2) AS db FROM a)"""
+
+
+@register("g6_normalize_raw", f"""
+    WITH {_RAW_SQL}
+    SELECT event_id, "timestamp" AS ts, source AS source_system,
+           CASE source WHEN 'trino' THEN CASE WHEN k % 23 = 0 THEN 'data.query.rejected' ELSE 'data.query.executed' END
+                WHEN 'openbao' THEN ['secret.read', 'secret.write', 'secret.delete'][k % 3 + 1]
+                ELSE CASE WHEN ranger_decision = 'DENY' THEN 'data.access.denied' ELSE 'data.access.allowed' END END AS event_type,
+           CASE WHEN source = 'openbao' THEN ['READ', 'WRITE', 'DELETE'][k % 3 + 1] ELSE 'READ' END AS action_type,
+           CASE WHEN (source = 'trino' AND k % 23 = 0) OR (source = 'openbao' AND k % 19 = 0) OR (source = 'ranger' AND ranger_decision = 'DENY')
+                THEN 'FAILURE' ELSE 'SUCCESS' END AS outcome,
+           user_sub AS sub, username, tenant_id, source_ip AS ip_address,
+           CASE source WHEN 'openbao' THEN 'openbao.secret' ELSE 'iceberg.table' END AS resource_type,
+           CASE source WHEN 'openbao' THEN 'secret/' || username ELSE tables_accessed[1] END AS identifier,
+           CASE source
+             WHEN 'trino' THEN '{{"catalog":"trino","cluster":"' || "cluster" || '","duration_ms":' || duration_ms || ',"query_id":"' || query_id
+               || '","query_type":"SELECT","ranger_decisions":[{{"resource":"' || tables_accessed[1] || '","action":"SELECT","decision":"' || ranger_decision
+               || '"}}],"rows_returned":' || rows_returned || ',"rows_scanned":' || rows_scanned || ',"schema":"' || db || '","sql_text":"' || sql_text
+               || '","sql_text_hash":"' || sql_text_hash || '","tables_accessed":' || to_json(tables_accessed)::VARCHAR || ',"worker_nodes":4}}'
+             WHEN 'openbao' THEN '{{"auth_method":"approle","auth_role":"coordinator","lease_created":' || (k % 2 = 0)::VARCHAR
+               || CASE WHEN k % 2 = 0 THEN ',"lease_ttl":3600' ELSE '' END || ',"operation":"' || ['read', 'update', 'delete'][k % 3 + 1]
+               || '","path":"secret/' || username || '","remote_address":"' || source_ip || '","vault_request_id":"' || event_id || '"}}'
+             ELSE '{{"access_type":"select","policy_name":"' || tenant_id || '_select","policy_version":"2","request_id":"' || event_id
+               || '","resource":{{"catalog":"trino","database":"' || db || '","table":"' || split_part(tables_accessed[1], '.', 3) || '","column":"*"}},"result":"'
+               || CASE WHEN ranger_decision = 'DENY' THEN 'DENIED' ELSE 'ALLOWED' END || '","row_filter_expression":"tenant_id = ' || chr(39) || tenant_id
+               || chr(39) || '","service_name":"trino"}}' END AS detail
+    FROM l WHERE k % 41 <> 0 AND k % 53 <> 0 AND k % 59 <> 0""")
+def _g6raw(spark, d):
+    e = F.col("event")
+    return _raw_lines(spark, d)[0].select(
+        "event_id", "ts", "source_system", e["event_type"].alias("event_type"), e["action"]["type"].alias("action_type"), e["outcome"].alias("outcome"),
+        *[e["actor"][c].alias(c) for c in ("sub", "username", "tenant_id", "ip_address")],
+        e["resource"]["type"].alias("resource_type"), e["resource"]["identifier"].alias("identifier"), e["action"]["detail"].alias("detail"))
+
+
+@register("g6_rejected_raw", f"""
+    WITH {_RAW_SQL}
+    SELECT k AS number, CASE WHEN k % 41 = 0 THEN 'ftp' ELSE source END AS source,
+           CASE WHEN k % 41 = 0 THEN 'unknown source' WHEN k % 53 = 0 THEN 'no JSON' ELSE 'no time' END AS reason
+    FROM l WHERE k % 41 = 0 OR k % 53 = 0 OR k % 59 = 0""")
+def _g6rej(spark, d):
+    return _raw_lines(spark, d)[1].select("number", "source", "reason")
+
+
 def chained_df(spark, d):
     return aud.chain_events(normalized_df(spark, d))
 
