@@ -1891,6 +1891,60 @@ def _x8u(spark, d):
     return _good_and_reasons(spark, out)
 
 
+@register("a12_profile_sketches", "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS column_name, count(*) - count({c}) AS null_count, CAST(min({c}) AS VARCHAR) AS min_value,
+              CAST(max({c}) AS VARCHAR) AS max_value, count(*) AS row_count, TRUE AS distinct_ok, least(count(*), 100) AS sample_size, TRUE AS sample_ok
+       FROM fct_orders""" for c in ["order_id", "customer_id", "status", "currency", "country"]))
+def _a12s(spark, d):
+    """The profile from day sketches, written and read back, beside the exact distinct counts and the sample of one pass."""
+    from lakeweave.operators import sketches as sk
+
+    columns = ["order_id", "customer_id", "status", "currency", "country"]
+    fct = materialize(fct_df(spark, d), "fct")
+    days = materialize(sk.daily(fct, [], F.col("order_date"), columns), "sketches")
+    samples = materialize(sk.bottom_sample(fct.select("order_date", "order_id", "status"), ["order_date"], ["order_id", "status"]), "samples")
+    p = sk.profile(sk.merged(days), columns)
+    exact = qa.profile(fct, columns, exact=True).select("column_name", F.col("distinct_count").alias("exact"))
+    once = sk.bottom_sample(fct.select("order_date", "order_id", "status"), [], ["order_id", "status"])
+    again = sk.bottom_sample(samples, [], ["order_id", "status"])
+    sample = again.agg(F.count(F.lit(1)).alias("sample_size"), F.sum(F.col("_hash").cast("decimal(38,0)")).alias("s")).crossJoin(once.agg(F.sum(F.col("_hash").cast("decimal(38,0)")).alias("t")))
+    off = F.abs(F.col("distinct_estimate") - F.col("exact"))
+    return p.join(exact, "column_name").crossJoin(F.broadcast(sample)).select(
+        "column_name", "null_count", "min_value", "max_value", "row_count", (off <= 1 + 0.065 * F.col("exact")).alias("distinct_ok"),
+        "sample_size", (F.col("s") == F.col("t")).alias("sample_ok"))
+
+
+@register("a15_usage_sketches", """
+    SELECT tenant_id, count(*) AS queries, sum(rows_scanned) AS rows_scanned, sum(rows_returned) AS rows_returned,
+           sum(duration_ms) AS duration_ms, TRUE AS users_ok, TRUE AS p95_ok
+    FROM audit_queries GROUP BY tenant_id""")
+def _a15s(spark, d):
+    from lakeweave.operators import sketches as sk
+
+    a = src.audit_queries(spark, d)
+    days = materialize(sk.daily(a, ["tenant_id"], F.to_date("timestamp"), ["username"], ["rows_scanned", "rows_returned", "duration_ms"]), "sketches")
+    m = sk.merged(days, ["tenant_id"]).withColumn("p95", sk.quantile("duration_ms", 0.95)).withColumn("users", sk.distinct_count("username"))
+    exact = a.groupBy("tenant_id").agg(F.countDistinct("username").alias("exact"))
+    error = sk.rank_error(a, m, ["tenant_id"], "duration_ms", {"p95": 0.95}).withColumnRenamed("p95", "error")
+    return m.join(exact, "tenant_id").join(error, "tenant_id").select(
+        "tenant_id", F.col("rows").alias("queries"), *[F.col(f"sum_{c}").cast("bigint").alias(c) for c in ("rows_scanned", "rows_returned", "duration_ms")],
+        (F.abs(F.col("users") - F.col("exact")) <= 1 + 0.065 * F.col("exact")).alias("users_ok"), (F.col("error") <= 0.0165).alias("p95_ok"))
+
+
+@register("m8_latency_sketches", """
+    SELECT job, count(*) AS requests, min(latency_s) AS min_latency, max(latency_s) AS max_latency, TRUE AS p50_ok, TRUE AS p95_ok, TRUE AS p99_ok
+    FROM metric_samples GROUP BY job""")
+def _m8s(spark, d):
+    from lakeweave.operators import sketches as sk
+
+    s = samples_df(spark, d)
+    days = materialize(sk.daily(s, ["job"], F.to_date("ts"), [], ["latency_s"]), "sketches")
+    q = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    m = sk.merged(days, ["job"]).select("*", *[sk.quantile("latency_s", v).alias(k) for k, v in q.items()])
+    e = sk.rank_error(s, m, ["job"], "latency_s", q).select(F.col("job"), *[(F.col(k) <= 0.0165).alias(f"{k}_ok") for k in q])
+    return m.select("job", F.col("rows").alias("requests"), F.col("low_latency_s").alias("min_latency"), F.col("high_latency_s").alias("max_latency")).join(e, "job")
+
+
 @register("m8_latency_percentiles_raw", """
     SELECT job, round(quantile_cont(latency_s, 0.5), 6) AS p50, round(quantile_cont(latency_s, 0.95), 6) AS p95,
            round(quantile_cont(latency_s, 0.99), 6) AS p99
