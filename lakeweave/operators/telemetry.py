@@ -9,8 +9,10 @@ length is bounded by the time range, not by the number of events. Sliding
 
 from __future__ import annotations
 
+import sys
 from typing import Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -309,6 +311,80 @@ def group_notifications(alerts: DataFrame, group_by: Sequence[str] = ("alertname
         F.min("fires_at").alias("sent_at"), F.count(F.lit(1)).alias("alerts"))
 
 
+# Fixed values of the route tree, by severity: receiver, group wait, group interval, repeat interval (seconds).
+NOTIFY = {"critical": ("slack-critical", 10, 300, 3600), "warning": ("dev-null", 120, 300, 43200)}
+NOTIFY_DEFAULT = ("dev-null", 30, 300, 14400)
+
+
+def _automaton(group):
+    """Notifications of one episode: after the wait, and then at whole intervals when there is a new alert or
+    the last one sent is a repeat interval old. Steps from one such time to the next, not from tick to tick."""
+    import numpy as np
+    import pyarrow as pa
+
+    g = group.sort_by("fires_us")
+    fires, ends = (np.asarray(g.column(c)) for c in ("fires_us", "ends_us"))
+    wait, interval, repeat = (int(g.column(c)[0].as_py()) * 1_000_000 for c in ("wait", "every", "repeat"))
+    start, over = int(fires[0]) + wait, int(ends.max())
+    tick, before, last, out = start, int(fires[0]) - 1, None, []
+    while tick < over:
+        active = (fires <= tick) & (ends > tick)
+        new = int((active & (fires > before)).sum())
+        if new or tick - last >= repeat:  # an episode always has an active alert, so the first step sends
+            out.append((tick, "new" if new else "repeat", int(active.sum()), new))
+            last = tick
+        before = tick
+        later = fires[fires > tick]
+        at = min(last + repeat, int(later[0]) if len(later) else over)
+        tick = start + -(-(at - start) // interval) * interval
+    return pa.table({"episode": pa.array([g.column("episode")[0].as_py()] * len(out), pa.string()),
+                     "sent_us": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([r[1] for r in out], pa.string()),
+                     "active": pa.array([r[2] for r in out], pa.int64()), "new_alerts": pa.array([r[3] for r in out], pa.int64())})
+
+
+def notifications(alerts: DataFrame, group_by: Sequence[str] = ("alertname", "job"), slice_seconds: int = 86400) -> DataFrame:
+    """What is sent for alerts that are active from ``fires_at`` to ``ends_at``, by group and route: columns of the
+    group, ``receiver``, ``sent_at``, ``kind`` (new, repeat), ``active`` and ``new_alerts``.
+
+    A group starts anew once all its alerts have ended, so it is cut there into episodes, each worked
+    off on its own; gaps are found over slices of time (a running end within a slice, and over one row a slice),
+    so no window holds all alerts of a group. Alerts without a time or of no duration send nothing."""
+    sev = F.col("severity")
+    route = lambda i: F.when(sev == "critical", NOTIFY["critical"][i]).when(sev == "warning", NOTIFY["warning"][i]).otherwise(NOTIFY_DEFAULT[i])
+    keys = [*group_by, "receiver", "wait", "every", "repeat"]
+    a = alerts.select(*group_by, route(0).alias("receiver"), route(1).alias("wait"), route(2).alias("every"), route(3).alias("repeat"),
+                      epoch_micros("fires_at").alias("fires_us"), epoch_micros("ends_at").alias("ends_us")).filter("ends_us > fires_us")
+    a = a.withColumn("_slice", F.floor(F.col("fires_us") / F.lit(slice_seconds * 1_000_000)))
+    slices = a.groupBy(*keys, "_slice").agg(F.max("ends_us").alias("_end"))
+    carried = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_slice").alias("_s"), F.max("_end").over(carried).alias("_carry"))
+    same = F.col("_slice") == F.col("_s")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    a = a.join(slices, same)
+    inside = Window.partitionBy(*keys, "_slice").orderBy("fires_us", "ends_us")
+    open_until = F.greatest(F.max("ends_us").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry"))
+    a = a.withColumn("_new", open_until.isNull() | (F.col("fires_us") >= open_until))
+    starts = a.filter("_new").groupBy(*keys, "_slice").agg(F.max("fires_us").alias("_start"))
+    starts = starts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_slice").alias("_s"),
+                           F.max("_start").over(Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"))
+    upto = Window.partitionBy(*[f"_{k}" for k in keys]).orderBy("_s")
+    spans = starts.select("*", F.lead("_s").over(upto).alias("_next"))
+    # the last start at or before an alert: in its own slice, or in the last earlier slice that has one
+    own = F.max(F.when(F.col("_new"), F.col("fires_us"))).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    a = a.withColumn("_own", own).drop("_s", "_carry", *[f"_{k}" for k in keys])
+    earlier = (F.col("_s") < F.col("_slice")) & (F.col("_next").isNull() | (F.col("_next") >= F.col("_slice")))
+    for k in keys:
+        earlier = earlier & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    a = a.join(spans, earlier, "left").withColumn("_start", F.coalesce("_own", "_upto"))
+    named = a.select(*keys, "fires_us", "ends_us", F.col("_start"), F.sha2(F.to_json(F.struct(*keys, "_start")), 256).alias("episode"))
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no installed copy
+    sent = named.select("episode", "fires_us", "ends_us", "wait", "every", "repeat").groupBy("episode").applyInArrow(
+        _automaton, "episode string, sent_us long, kind string, active long, new_alerts long")
+    of = named.select("episode", *group_by, "receiver").distinct()
+    return of.join(sent, "episode").select(*group_by, "receiver", from_epoch_micros(F.col("sent_us")).alias("sent_at"), "kind", "active", "new_alerts")
+
+
 # ---------------------------------------------------------------------------
 # Freshness, silence, brute force
 # ---------------------------------------------------------------------------

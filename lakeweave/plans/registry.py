@@ -1591,6 +1591,34 @@ def _m10(spark, d):
     return tm.group_notifications(alerts_df(spark, d))
 
 
+@register("m10_notifications", f"""
+    WITH RECURSIVE al AS ({ALERTS_SQL}),
+    a AS (SELECT alertname, job, CASE WHEN severity = 'critical' THEN 'slack-critical' ELSE 'dev-null' END AS receiver,
+                 CASE severity WHEN 'critical' THEN 10000000 WHEN 'warning' THEN 120000000 ELSE 30000000 END AS wait,
+                 CASE severity WHEN 'critical' THEN 3600000000 WHEN 'warning' THEN 43200000000 ELSE 14400000000 END AS rep,
+                 epoch_us(fires_at) AS f, epoch_us(ends_at) AS e FROM al WHERE ends_at > fires_at),
+    b AS (SELECT *, max(e) OVER (PARTITION BY alertname, job, receiver, wait ORDER BY f, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM a),
+    c AS (SELECT *, sum(CASE WHEN upto IS NULL OR f >= upto THEN 1 ELSE 0 END) OVER (
+            PARTITION BY alertname, job, receiver, wait ORDER BY f, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS episode FROM b),
+    s AS (SELECT alertname, job, receiver, wait, rep, episode, list(f ORDER BY f, e) AS fs, list(e ORDER BY f, e) AS es, max(e) AS over_at, min(f) AS f0
+          FROM c GROUP BY ALL),
+    steps(alertname, job, receiver, wait, rep, episode, fs, es, over_at, t0, tick, before, last) AS (
+      SELECT alertname, job, receiver, wait, rep, episode, fs, es, over_at, f0 + wait, f0 + wait, f0 - 1, NULL::BIGINT FROM s
+      UNION ALL
+      SELECT alertname, job, receiver, wait, rep, episode, fs, es, over_at, t0,
+             t0 + CAST(ceil((least(nxt, now_last + rep) - t0) / 300000000.0) AS BIGINT) * 300000000, tick, now_last
+      FROM (SELECT *, list_min([x for x in fs if x > tick]) AS nxt,
+                   CASE WHEN len([i for i in range(1, len(fs) + 1) if fs[i] <= tick AND es[i] > tick AND (fs[i] > before OR tick - last >= rep)]) > 0
+                        THEN tick ELSE last END AS now_last FROM steps WHERE tick < over_at)
+      WHERE nxt IS NOT NULL OR now_last IS NOT NULL),
+    n AS (SELECT *, len([i for i in range(1, len(fs) + 1) if fs[i] <= tick AND es[i] > tick]) AS active,
+                 len([i for i in range(1, len(fs) + 1) if fs[i] <= tick AND es[i] > tick AND fs[i] > before]) AS new_alerts FROM steps WHERE tick < over_at)
+    SELECT alertname, job, receiver, make_timestamp(tick) AS sent_at, CASE WHEN new_alerts > 0 THEN 'new' ELSE 'repeat' END AS kind, active, new_alerts
+    FROM n WHERE new_alerts > 0 OR (active > 0 AND tick - last >= rep)""")
+def _m10n(spark, d):
+    return tm.notifications(alerts_df(spark, d))
+
+
 @register("m11_budget_remaining", f"""
     WITH d AS (SELECT job, {b_sql('ts', 86400)} AS day_no,
                       (count(*) - count(CASE WHEN failed THEN 1 END)) / count(*) AS ratio FROM metric_samples GROUP BY ALL)
@@ -1764,6 +1792,41 @@ def _s11(spark, d):
     return curated_customers(spark, d)
 
 
+def _list_sql(values, seq):
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][{seq} % {len(values)} + 1]"
+
+
+@register("s11_generate_products", f"""
+    SELECT p_partkey AS product_id, 'SKU-' || {zpad_sql('p_partkey', 6)} AS sku, {_list_sql(gen.PRODUCT_CATEGORIES, 'p_partkey')} AS category,
+           p_partkey % 5 <> 0 AS in_stock, CAST(p_partkey * 13 % 500 AS INTEGER) AS stock_qty, p_partkey % 10 <> 9 AS is_active,
+           CAST(DATE '2020-01-01' + CAST(p_partkey % 1460 AS INTEGER) AS DATE) AS created_date
+    FROM part""")
+def _s11p(spark, d):
+    return gen.generate_products(src.read_table(spark, d, "part").select(F.col("p_partkey").alias("seq")))
+
+
+@register("s11_generate_orders", f"""
+    SELECT o_orderkey AS order_id, o_orderkey % (SELECT count(*) FROM customer) + 1 AS customer_id,
+           CAST(DATE '2022-01-01' + CAST(o_orderkey % 730 AS INTEGER) AS DATE) AS order_date,
+           CAST(DATE '2022-01-01' + CAST(o_orderkey % 730 + o_orderkey % 7 + 1 AS INTEGER) AS DATE) AS ship_date,
+           {_list_sql(gen.ORDER_STATUSES, 'o_orderkey')} AS status, {_list_sql(gen.CHANNELS, 'o_orderkey')} AS channel,
+           CAST(o_orderkey % 5 + 1 AS INTEGER) AS warehouse_id, CASE WHEN o_orderkey % 20 = 0 THEN 'Special order' END AS notes
+    FROM orders""")
+def _s11o(spark, d):
+    n = src.read_table(spark, d, "customer").count()
+    return gen.generate_orders(src.read_table(spark, d, "orders").select(F.col("o_orderkey").alias("seq")), n)
+
+
+@register("s11_generate_order_items", """
+    SELECT item_id, CAST(floor((item_id - 1) / 3) AS BIGINT) + 1 AS order_id, item_id % (SELECT count(*) FROM part) + 1 AS product_id,
+           CAST(item_id % 5 + 1 AS INTEGER) AS quantity
+    FROM (SELECT l_orderkey * 8 + l_linenumber AS item_id FROM lineitem)""")
+def _s11i(spark, d):
+    n = src.read_table(spark, d, "part").count()
+    keys = src.read_table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("seq"))
+    return gen.generate_order_items(keys, n)
+
+
 # ---------------------------------------------------------------------------
 # Step 9: Structured Streaming (each query runs availableNow to a sink in the
 # shared checkpoint folder and is read back; compared with batch SQL)

@@ -3,7 +3,8 @@
 The generators are pure column formulas over an integer ``seq`` column, so
 they run wherever the key rows are (no driver-side lists of rows). Feeding
 them the fixture keys (c_custkey, p_partkey, ...) keeps every registered
-query tied to the given tables.
+query tied to the given tables. The multipliers, ranges and dates in the formulas
+are fixed values of the seed data.
 """
 
 from __future__ import annotations
@@ -60,7 +61,8 @@ def generate_products(keys: DataFrame, seq: str = "seq") -> DataFrame:
     )
 
 
-def generate_orders(keys: DataFrame, seq: str = "seq", n_customers: int = 1200) -> DataFrame:
+def generate_orders(keys: DataFrame, n_customers: int, seq: str = "seq") -> DataFrame:
+    """curated.orders; ``n_customers``: how many customers there are, all of which get orders."""
     s = F.col(seq)
     return keys.select(
         s.alias("order_id"),
@@ -74,7 +76,8 @@ def generate_orders(keys: DataFrame, seq: str = "seq", n_customers: int = 1200)
     )
 
 
-def generate_order_items(keys: DataFrame, seq: str = "seq", n_products: int = 250) -> DataFrame:
+def generate_order_items(keys: DataFrame, n_products: int, seq: str = "seq") -> DataFrame:
+    """curated.order_items, three to an order; ``n_products``: how many products there are, all of which are ordered."""
     s = F.col(seq)
     return keys.select(
         s.alias("item_id"),

@@ -125,10 +125,10 @@ def test_generators_over_fixture_keys(spark, small_dir):
     p = gen.generate_products(part)
     assert p.count() == part.count() and p.filter(~F.col("sku").rlike(r"^SKU-[0-9]{6,}$")).count() == 0
     assert {r.category for r in p.select("category").distinct().collect()} <= set(gen.PRODUCT_CATEGORIES)
-    o = gen.generate_orders(src.read_table(spark, small_dir, "orders").select(F.col("o_orderkey").alias("seq")))
+    o = gen.generate_orders(src.read_table(spark, small_dir, "orders").select(F.col("o_orderkey").alias("seq")), 1200)
     assert o.filter(F.col("ship_date") <= F.col("order_date")).count() == 0
     items = gen.generate_order_items(src.read_table(spark, small_dir, "lineitem")
-                                     .select(F.monotonically_increasing_id().alias("seq")))
+                                     .select(F.monotonically_increasing_id().alias("seq")), 250)
     assert items.filter((F.col("quantity") < 1) | (F.col("quantity") > 5)).count() == 0
     c = gen.generate_customers(src.read_table(spark, small_dir, "customer").select(F.col("c_custkey").alias("seq")))
     assert c.filter(~F.col("ssn").rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$")).count() == 0
