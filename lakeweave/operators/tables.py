@@ -196,9 +196,25 @@ def diff_versions(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
                      *[F.coalesce(F.col(f"__b.{c}"), F.col(f"__a.{c}")).alias(c) for c in vals]))
 
 
-def promote(df: DataFrame, path: str) -> None:
-    """T8 promotion: overwrite the target from a branch state (writes)."""
-    df.write.mode("overwrite").parquet(path)
+def promote(df: DataFrame, path: str) -> str:
+    """T8 promotion: a branch state becomes the table's next version. It is written to a folder of its own
+    (``v=<n>``), and readers (:func:`read_promoted`) see it once its ``_SUCCESS`` file is there, so nobody reads
+    half a state and the state before stays readable. Returns the folder."""
+    from lakeweave.streaming.streams import latest_version
+
+    last = latest_version(df.sparkSession, path)
+    target = f"{path.rstrip('/')}/v={int(last.rsplit('=', 1)[1]) + 1 if last else 0}"
+    df.write.mode("overwrite").parquet(target)
+    return target
+
+
+def read_promoted(spark: SparkSession, path: str) -> DataFrame:
+    from lakeweave.streaming.streams import latest_version
+
+    last = latest_version(spark, path)
+    if last is None:
+        raise ValueError(f"no complete version in {path}")
+    return spark.read.parquet(last)
 
 
 def retention_policy(spark: SparkSession) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 from typing import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -1827,6 +1828,126 @@ def _s11i(spark, d):
     return gen.generate_order_items(keys, n)
 
 
+# ---------------------------------------------------------------------------
+# Writers: each query writes to the shared folder and returns what is read back
+# ---------------------------------------------------------------------------
+
+def _folder(spark, name):
+    from lakeweave.session import shared_dir
+
+    return f"{shared_dir(spark)}/lakeweave/{name}-{uuid4().hex}"
+
+
+def _extracted(spark, d):
+    docs_ = src.read_table(spark, d, "documents")
+    run = F.when(F.col("doc_id") % 2 == 0, "run-0").otherwise(F.concat(F.lit("run-"), (F.col("doc_id") % 5).cast("string")))  # half of all rows in a run
+    return docs_.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("source_key"), F.lit("raw").alias("source_bucket"),
+                        F.col("text").alias("extracted_text"), F.lit(1).cast("bigint").alias("page_count"), run.alias("run_id"),
+                        fn.ts_lit("2024-01-01 00:00:00").alias("_ingested_at"), F.lit("{}").alias("metadata"))
+
+
+_RUN_SQL = "CASE WHEN doc_id % 2 = 0 THEN 'run-0' ELSE 'run-' || CAST(doc_id % 5 AS VARCHAR) END"
+
+
+@register("s2_read_extracted", f"""
+    SELECT 'doc/' || CAST(doc_id AS VARCHAR) AS source_key, {_RUN_SQL} AS run_id, md5(text) AS text_md5 FROM documents WHERE {_RUN_SQL} = 'run-3'""")
+def _s2(spark, d):
+    from lakeweave.sources import landing
+
+    path = _folder(spark, "extracted")
+    landing.write_extracted(_extracted(spark, d), path)
+    return landing.read_extracted(spark, path, "run-3").select("source_key", "run_id", F.md5("extracted_text").alias("text_md5"))
+
+
+@register("s4_read_formats", """
+    SELECT f AS format, c_custkey, c_name, c_acctbal FROM customer, (SELECT unnest(['json', 'csv', 'parquet', 'orc']) AS f)""")
+def _s4(spark, d):
+    from lakeweave.sources import landing
+
+    c = src.read_table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    out = []
+    for fmt in ("json", "csv", "parquet", "orc"):
+        path = _folder(spark, fmt)
+        c.write.format(fmt).save(path)
+        out.append(landing.read_landing(spark, path, fmt, c.schema).withColumn("format", F.lit(fmt)))
+    return landing.union_all(out)
+
+
+@register("s8_write_raw_documents", f"""
+    SELECT 'doc/' || CAST(doc_id AS VARCHAR) AS source_key, {_RUN_SQL} AS run_id, md5(text) AS text_md5 FROM documents""")
+def _s8w(spark, d):
+    from lakeweave.sources import documents as dl
+
+    path = _folder(spark, "raw")
+    dl.write_raw_documents(_extracted(spark, d), path)
+    return spark.read.parquet(path).select("source_key", "run_id", F.md5("extracted_text").alias("text_md5"))
+
+
+@register("s9_ctas_written", "SELECT * FROM order_items ORDER BY item_id LIMIT 100")
+def _s9w(spark, d):
+    from lakeweave.sources import landing
+
+    path = _folder(spark, "ctas")
+    landing.ctas_sample(src.order_items(spark, d), 100, path, ["item_id"])
+    return spark.read.parquet(path)
+
+
+@register("s10_append_batches", "SELECT o_orderkey, o_custkey, year(o_orderdate) AS y FROM orders")
+def _s10(spark, d):
+    from lakeweave.sources import landing
+
+    o = src.read_table(spark, d, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").cast("bigint").alias("y"))
+    path = _folder(spark, "append")
+    for k in range(3):
+        landing.append(o.filter(F.col("o_orderkey") % 3 == k), path, ["y"])
+    return spark.read.schema(o.schema).parquet(path)
+
+
+@register("s12_write_layout", "SELECT *, order_id - (order_id % 1000) AS order_bucket FROM order_items")
+def _s12w(spark, d):
+    from lakeweave.sources import landing
+
+    items, path = src.order_items(spark, d), _folder(spark, "layout")
+    landing.write_layout(items, path, {"order_bucket": fn.truncate_bucket("order_id", 1000)}, sort=["order_id", "line_number"])
+    return spark.read.schema(items.withColumn("order_bucket", fn.truncate_bucket("order_id", 1000)).schema).parquet(path)
+
+
+@register("s14_archive_events", """
+    SELECT event_id, event_type AS source, CAST(year(ts) AS INTEGER) AS y, CAST(month(ts) AS INTEGER) AS m, CAST(day(ts) AS INTEGER) AS d,
+           CAST(hour(ts) AS INTEGER) AS h, value FROM events""")
+def _s14(spark, d):
+    from lakeweave.sources import landing
+
+    e, path = src.read_table(spark, d, "events").select("event_id", "ts", "event_type", "value"), _folder(spark, "archive")
+    landing.archive_events(e, path, "event_type", "ts")
+    back = spark.read.schema("event_id bigint, value double, source string, y int, m int, d int, h int").json(path)
+    return back.select("event_id", "source", "y", "m", "d", "h", "value")
+
+
+@register("s15_export_subject", """
+    SELECT 'orders' AS table_name, o_orderkey AS id FROM orders WHERE o_custkey = 7
+    UNION ALL SELECT 'customer', c_custkey FROM customer WHERE c_custkey = 7""")
+def _s15(spark, d):
+    from lakeweave.sources import landing
+
+    tables = {"orders": src.read_table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("id")),
+              "customer": src.read_table(spark, d, "customer").select("c_custkey", F.col("c_custkey").alias("id"))}
+    written = landing.export_subject(tables, {"orders": "o_custkey", "customer": "c_custkey"}, 7, _folder(spark, "export"))
+    return landing.union_all([spark.read.schema(tables[n].schema).parquet(p).select(F.lit(n).alias("table_name"), "id") for n, p in written.items()])
+
+
+@register("t8_promote", """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'F' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 7 <> 0""")
+def _t8p(spark, d):
+    o = src.read_table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    path = _folder(spark, "main")
+    tbl.promote(o, path)
+    branch = tbl.read_promoted(spark, path).filter(F.col("o_orderkey") % 7 != 0) \
+                .withColumn("status", F.when(F.col("o_orderkey") % 10 == 0, "F").otherwise(F.col("status")))
+    tbl.promote(branch, path)
+    return tbl.read_promoted(spark, path)
+
+
 # ---------------------------------------------------------------------------
 # Step 9: Structured Streaming (each query runs availableNow to a sink in the
 # shared checkpoint folder and is read back; compared with batch SQL)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lakeweave.functions.columns import ts_lit
 from lakeweave.session import ensure_parallelism
+from lakeweave.sources.landing import spread
 from lakeweave.sources.tables import RUN_TS, read_table
 
 
@@ -107,8 +108,9 @@ def prepare_raw_documents(df: DataFrame, max_chars: int | None = None) -> DataFr
 
 
 def write_raw_documents(df: DataFrame, path: str, max_chars: int | None = None) -> None:
-    """Columnar write partitioned by run_id (one folder per run)."""
-    (prepare_raw_documents(df, max_chars).repartition("run_id")
+    """Columnar write partitioned by run_id (one folder per run; a large run is
+    written by several tasks)."""
+    (spread(prepare_raw_documents(df, max_chars), ["run_id"])
      .write.mode("append").partitionBy("run_id").parquet(path))
 
 

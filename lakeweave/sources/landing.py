@@ -40,11 +40,25 @@ def read_landing(spark: SparkSession, path: str | Sequence[str], fmt: str,
     return reader.load(path)
 
 
+def write_extracted(df: DataFrame, path: str) -> None:
+    """S2 counterpart: JSON records in a folder per run (``run_id=<run>``)."""
+    spread(df, ["run_id"]).write.mode("append").partitionBy("run_id").json(path)
+
+
 def read_extracted(spark: SparkSession, path: str, run_id: str) -> DataFrame:
     """JSON extraction records of one run. Reads the whole run (no cap on
-    the number of files, decision D4); the run filter is on the record."""
+    the number of files, decision D4). Where runs have folders ``run_id=<run>`` the
+    run is a partition, so only its folder is listed and read; in a flat folder
+    the filter is on the record."""
     df = spark.read.schema(EXTRACTED_SCHEMA).json(path)
-    return df.filter(F.col("run_id") == run_id)
+    return df.filter(F.col("run_id") == run_id).select(*EXTRACTED_SCHEMA.names)
+
+
+def spread(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows clustered by ``keys`` for a write: tasks of about the advisory size, small ones merged, a key with
+    very many rows split over several (so it gets several files). Adaptive execution decides by
+    measured sizes; nothing depends on how rows are dealt."""
+    return df.hint("rebalance", *[F.col(k) for k in keys])
 
 
 def new_files(listing: DataFrame, processed: DataFrame, key: str = "path") -> DataFrame:
@@ -71,7 +85,8 @@ def layout(df: DataFrame, partition: Mapping[str, Column] | Sequence[str] = (),
            sort: Sequence[str] = ()) -> DataFrame:
     """Add derived partition columns (month(col), truncate(col, w), ...)
     and cluster rows by them, sorted within each task by ``sort``: files are
-    then one per partition value and carry tight min/max statistics."""
+    then few per partition value and carry tight min/max statistics; a value
+    with very many rows is written by several tasks."""
     if isinstance(partition, Mapping):
         for name, expr in partition.items():
             df = df.withColumn(name, expr)
@@ -79,7 +94,7 @@ def layout(df: DataFrame, partition: Mapping[str, Column] | Sequence[str] = (),
     else:
         pcols = list(partition)
     if pcols:
-        df = df.repartition(*[F.col(c) for c in pcols])
+        df = spread(df, pcols)
     if sort or pcols:
         df = df.sortWithinPartitions(*pcols, *sort)
     return df
@@ -102,20 +117,21 @@ def archive_events(df: DataFrame, path: str, source_col: str = "source_system",
              .withColumn("y", F.year(ts)).withColumn("m", F.month(ts))
              .withColumn("d", F.dayofmonth(ts)).withColumn("h", F.hour(ts)))
     keys = ["source", "y", "m", "d", "h"]
-    (out.repartition(*keys).sortWithinPartitions(*keys, ts_col)
+    (spread(out, keys).sortWithinPartitions(*keys, ts_col)
         .write.mode("append").partitionBy(*keys).option("compression", "gzip").json(path))
 
 
 def export_subject(tables: Mapping[str, DataFrame], key_cols: Mapping[str, str], subject_id: str,
                    path: str, fmt: str = "parquet") -> dict[str, str]:
-    """Portability export of one subject, one folder per table."""
+    """Portability export of one subject, one folder per table. The scan runs in all its
+    tasks; what it finds is merged by size."""
     if fmt not in ("parquet", "csv", "json"):
         raise ValueError(fmt)
     written = {}
     for name, df in tables.items():
         out = df.filter(F.col(key_cols[name]) == F.lit(subject_id))
         target = f"{path.rstrip('/')}/{name}"
-        w = out.coalesce(1).write.mode("overwrite")
+        w = spread(out).write.mode("overwrite")
         (w.option("header", True).csv(target) if fmt == "csv" else w.format(fmt).save(target))
         written[name] = target
     return written

@@ -95,8 +95,32 @@ def test_compact_and_promote(spark, scratch, small_dir):
     src.order_items(spark, small_dir).repartition(20).write.parquet(src_dir)
     n = tbl.compact(spark, src_dir, dst_dir, target_bytes=1 << 30)
     assert n == 1 and spark.read.parquet(dst_dir).count() == spark.read.parquet(src_dir).count()
+    tbl.promote(spark.read.parquet(dst_dir), os.path.join(scratch, "staging"))
     tbl.promote(spark.read.parquet(dst_dir).limit(10), os.path.join(scratch, "staging"))
-    assert spark.read.parquet(os.path.join(scratch, "staging")).count() == 10
+    staging = os.path.join(scratch, "staging")
+    assert tbl.read_promoted(spark, staging).count() == 10
+    assert spark.read.parquet(f"{staging}/v=0").count() > 10  # the state before stays readable
+    os.makedirs(f"{staging}/v=2")  # a promotion that did not end is not seen
+    assert tbl.read_promoted(spark, staging).count() == 10
+    with pytest.raises(ValueError):
+        tbl.read_promoted(spark, os.path.join(scratch, "nothing"))
+
+
+def test_hot_partition_is_written_by_several_tasks_and_runs_are_pruned(spark, scratch):
+    rows = spark.range(40_000).select(F.concat(F.lit("k"), "id").alias("source_key"), F.sha2(F.col("id").cast("string"), 512).alias("extracted_text"),
+                                      F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("r"), F.col("id") % 9)).alias("run_id"))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "256k")
+    try:
+        docs.write_raw_documents(rows, f"{scratch}/raw")
+        ld.write_extracted(rows, f"{scratch}/json")
+    finally:
+        spark.conf.unset(size)
+    files = lambda run: [f for f in os.listdir(f"{scratch}/raw/run_id={run}") if f.endswith(".parquet")]
+    assert len(files("hot")) > 3
+    one = ld.read_extracted(spark, f"{scratch}/json", "r1")
+    assert one.count() == 2222 and one.columns == ld.EXTRACTED_SCHEMA.names
+    assert "PartitionFilters: [isnotnull(run_id" in one._jdf.queryExecution().executedPlan().toString()
 
 
 def test_literal_select(spark):
