@@ -46,6 +46,7 @@ class WordHasher:
     """
 
     PLACES = 4096
+    SLICE = 1 << 20  # bytes hashed at a time: several 64-bit values are held for each
 
     def __init__(self, seed: int = 20240611):
         rng = np.random.default_rng(seed)
@@ -62,6 +63,19 @@ class WordHasher:
 
     def __call__(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(hash of each word, byte offset at which it starts)."""
+        if len(data) <= self.SLICE:
+            return self._hashes(data)
+        found, at = [], 0
+        while at < len(data):
+            end = min(len(data), at + self.SLICE)
+            while end < len(data) and data[end] not in WORD_SEPARATORS:
+                end += 1  # slices end between words
+            words, starts = self._hashes(data[at:end])
+            found.append((words, starts + at))
+            at = end
+        return np.concatenate([w for w, _ in found]), np.concatenate([s for _, s in found])
+
+    def _hashes(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         buf = np.frombuffer(data, dtype=np.uint8)
         if not len(buf):
             return np.empty(0, np.uint64), np.empty(0, np.int64)

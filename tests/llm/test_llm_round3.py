@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lakeweave.llm import best_fit, conversation_trie, hard_negatives
 from lakeweave.llm.conversation_trie import OP12_SQL, op12_conversation_trie, prefix_trie, rebuilt
+from lakeweave.llm.text import WordHasher
 from lakeweave.llm.hard_negatives import OP11_SQL, SuffixIndex, integer_rows, mined, op11_threshold_negatives
 
 NODE = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
@@ -144,6 +145,15 @@ def test_op12_rebuilt_edges(spark):
     assert prefix_trie(rebuilt(df)).filter("depth = 0").first().n_convs == 5
 
 
+def test_word_hashes_do_not_depend_on_slices(monkeypatch):
+    rng = np.random.default_rng(3)
+    data = "".join(rng.choice(list("abcé \n\t"), 50_000)).encode() + b"x" * 9000 + b" end"
+    whole_words, whole_starts = WordHasher()(data)
+    monkeypatch.setattr(WordHasher, "SLICE", 1000)
+    words, starts = WordHasher()(data)
+    assert (words == whole_words).all() and (starts == whole_starts).all()
+
+
 # best-fit packing ---------------------------------------------------------------
 
 def whole(rows, capacity):
