@@ -7,11 +7,11 @@ boilerplate and is removed, and a document of which too little is left is
 rejected.
 
 Groups of near copies would raise the count of all their lines, although such a
-text is no boilerplate. A boilerplate line stands in different surroundings; a
-line of a copied text mostly has the same line before and the same line after
-it. So a line over the limit is left alone if a single neighbour on each side
-accounts for at least ``copied_share`` of its documents (a text's beginning and
-end count as neighbours).
+text is no boilerplate. Boilerplate, of one line or many, stands beside text of the
+document's own; a copied text consists of lines that others have as well. So a line
+must be over the limits among the documents that are mostly their own: of whose words
+at most ``common_share`` lie in lines over the limits. Documents that consist mostly of
+such lines count for nothing, but lose the lines that the others show to be boilerplate.
 """
 
 from __future__ import annotations
@@ -35,14 +35,16 @@ GAPS = " \t\n\x0b\x0c\r"
 @dataclass(frozen=True)
 class LineRules:
     """Limits. A line is frequent in a host if more than ``min_docs`` distinct
-    documents and more than ``doc_share`` of the host's documents hold it. A
-    document is depleted if under ``left_share`` of its words are left."""
+    documents and more than ``doc_share`` of the host's documents hold it. The share
+    lets lines of large hosts occur by chance or by subject; at 0.2 %, the menu of a
+    section with one in 500 pages of a host still counts. A document is depleted
+    if under ``left_share`` of its words are left."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
     min_docs: int = 20
     doc_share: float = 0.002
-    copied_share: float = 0.5
+    common_share: float = 0.5
     left_share: float = 0.3
 
 
@@ -108,33 +110,23 @@ def text_stats(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
 
 def frequent_lines(stats: DataFrame, rules: LineRules) -> DataFrame:
     """(``_host``, ``_line``) of the lines to be removed. ``stats`` has one row per
-    document with ``_host``, ``_text``, ``_lines``.
+    document with ``_host``, ``_text``, ``_lines``, ``_sizes``, ``n_words``.
 
     All counts are partial aggregations before their shuffle, so neither a host
     with a third of the rows nor a line in every document meets in one task."""
-    hosts = (stats.groupBy("_host", "_text").agg(F.lit(1).alias("_one"))
-             .groupBy("_host").agg(F.count(F.lit(1)).alias("_host_docs")))
-    around = F.transform(
-        "_lines", lambda x, i: F.struct(
-            x.alias("_line"),
-            F.when(i > 0, F.element_at("_lines", i.cast("int"))).alias("_prev"),
-            F.get("_lines", (i + 1).cast("int")).alias("_next")))
-    lines = (stats.select("_host", "_text", F.explode(around).alias("x")).select("_host", "_text", "x.*")
-             .groupBy("_host", "_line", "_text")  # a line once per document, a text once per host
-             .agg(F.min(F.struct("_prev", "_next")).alias("x"))
-             .select("_host", "_line", "x.*"))
-    lines = lines.groupBy("_host", "_line", "_prev", "_next").agg(F.count(F.lit(1)).alias("n"))
-
-    def largest(side: str) -> DataFrame:
-        return (lines.groupBy("_host", "_line", side).agg(F.sum("n").alias("n"))
-                .groupBy("_host", "_line").agg(F.sum("n").alias("_docs"), F.max("n").alias(f"_top{side}"))
-                .filter(F.col("_docs") > rules.min_docs))
-
-    over = largest("_prev").join(largest("_next").drop("_docs"), ["_host", "_line"]).join(hosts, "_host")
-    return (over.filter(F.col("_docs") > rules.doc_share * F.col("_host_docs"))
-            .filter((F.col("_top_prev") < rules.copied_share * F.col("_docs"))
-                    | (F.col("_top_next") < rules.copied_share * F.col("_docs")))
-            .select("_host", "_line"))
+    texts = stats.groupBy("_host", "_text").agg(F.sum("n_words").alias("_words"))  # copies of a text are one document
+    hosts = texts.groupBy("_host").agg(F.count(F.lit(1)).alias("_host_docs"))
+    lines = (stats.select("_host", "_text", F.explode(F.arrays_zip("_lines", "_sizes")).alias("x"))
+             .groupBy("_host", F.col("x._lines").alias("_line"), "_text").agg(F.sum("x._sizes").alias("_size")))
+
+    def over_limits(rows: DataFrame) -> DataFrame:
+        counts = rows.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs")).filter(F.col("_docs") > rules.min_docs)
+        return counts.join(hosts, "_host").filter(F.col("_docs") > rules.doc_share * F.col("_host_docs")).select("_host", "_line")
+
+    common = materialize(lines.join(over_limits(lines), ["_host", "_line"], "left_semi"), "common")
+    copied = (common.groupBy("_host", "_text").agg(F.sum("_size").alias("_common")).join(texts, ["_host", "_text"])
+              .filter(F.col("_common") > rules.common_share * F.col("_words")).select("_host", "_text"))
+    return over_limits(common.join(copied, ["_host", "_text"], "left_anti"))
 
 
 def quality_rules(docs: DataFrame, rules: LineRules = LineRules(), host: str = "source", text: str = "text",
@@ -178,15 +170,17 @@ l0 AS (SELECT rid, source, text, generate_subscripts(string_split(text, chr(10))
 l1 AS (SELECT rid, source, text, k, raw, list_filter(regexp_split_to_array(raw, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM l0),
 l2 AS (SELECT rid, source, text, k, raw, len(ws) AS size, lower(array_to_string(ws, ' ')) AS line FROM l1 WHERE len(ws) > 0),
 dup AS (SELECT rid, count(*) - count(DISTINCT raw) AS n FROM l2 GROUP BY rid),
-l3 AS (SELECT *, lag(line) OVER (PARTITION BY rid ORDER BY k) AS prev, lead(line) OVER (PARTITION BY rid ORDER BY k) AS next FROM l2),
-one AS (SELECT source, line, prev, next FROM l3
-        QUALIFY row_number() OVER (PARTITION BY source, line, text ORDER BY rid, k) = 1),
-p AS (SELECT source, line, sum(n) AS docs, max(n) AS top FROM (SELECT source, line, prev, count(*) AS n FROM one GROUP BY ALL) GROUP BY ALL),
-q AS (SELECT source, line, max(n) AS top FROM (SELECT source, line, next, count(*) AS n FROM one GROUP BY ALL) GROUP BY ALL),
-h AS (SELECT source, count(DISTINCT text) AS host_docs FROM d GROUP BY source),
-freq AS (SELECT p.source, p.line FROM p JOIN q ON p.source IS NOT DISTINCT FROM q.source AND p.line = q.line
-         JOIN h ON p.source IS NOT DISTINCT FROM h.source
-         WHERE docs > 20 AND docs > 0.002 * host_docs AND (p.top < 0.5 * docs OR q.top < 0.5 * docs)),
+held AS (SELECT source, text, line, sum(size) AS size FROM l2 GROUP BY ALL),
+t AS (SELECT d.source, d.text, sum(len(ws)) AS words FROM d JOIN w USING (rid) GROUP BY ALL),
+h AS (SELECT source, count(*) AS host_docs FROM t GROUP BY source),
+lim AS (SELECT held.source, line FROM held JOIN h ON held.source IS NOT DISTINCT FROM h.source
+        GROUP BY held.source, line, host_docs HAVING count(*) > 20 AND count(*) > 0.002 * host_docs),
+common AS (SELECT held.* FROM held JOIN lim ON held.source IS NOT DISTINCT FROM lim.source AND held.line = lim.line),
+own AS (SELECT t.source, t.text FROM t LEFT JOIN (SELECT source, text, sum(size) AS size FROM common GROUP BY ALL) c
+        ON t.source IS NOT DISTINCT FROM c.source AND t.text = c.text WHERE coalesce(c.size, 0) <= 0.5 * t.words),
+freq AS (SELECT c.source, c.line FROM common c JOIN own ON c.source IS NOT DISTINCT FROM own.source AND c.text = own.text
+         JOIN h ON c.source IS NOT DISTINCT FROM h.source
+         GROUP BY c.source, c.line, host_docs HAVING count(*) > 20 AND count(*) > 0.002 * host_docs),
 gone AS (SELECT rid, count(*) AS lines, sum(size) AS words FROM l2
          JOIN freq ON l2.source IS NOT DISTINCT FROM freq.source AND l2.line = freq.line GROUP BY rid),
 j AS (SELECT doc_id, len(ws) AS n_words,

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lakeweave.llm import best_fit, conversation_trie, hard_negatives
 from lakeweave.llm.conversation_trie import OP12_SQL, op12_conversation_trie, prefix_trie, rebuilt
+from lakeweave.llm.line_rules import quality_rules
 from lakeweave.llm.text import WordHasher
 from lakeweave.llm.hard_negatives import OP11_SQL, SuffixIndex, integer_rows, mined, op11_threshold_negatives
 
@@ -81,6 +82,31 @@ def test_op11_scores_beyond_double_precision(spark):
     assert sorted(map(tuple, mined(df, F.col("vec_id") == 0).collect())) == want and len(want) == 2
 
 
+# line rules -----------------------------------------------------------------------
+
+DOCS = "doc_id long, text string, source string"
+
+
+def test_blocks_of_boilerplate_go_and_copies_stay(spark):
+    words = lambda tag, n: " ".join(f"{tag}{j}" for j in range(n))
+    menu = [words(f"menu{k}w", 3) for k in range(10)]
+    own = lambda i, lines=9: [words(f"d{i}l{k}w", 12) for k in range(lines)]
+    rows = [(i, "\n".join(menu + own(i) + [x.upper() for x in menu]), "header and footer") for i in range(200)]
+    rows += [(1000 + i, "\n".join(["We use cookies here", "Read all about it"] + own(1000 + i)), "notice on top") for i in range(60)]
+    rows += [(2000 + i, "\n".join(own(2000 + i)[:4] + menu[:3] + own(2000 + i)[4:]), "inside") for i in range(60)]
+    rows += [(3000 + i, "\n".join(menu + own(3000 + i, 2)), "header and footer") for i in range(5)]  # hardly more than the menu
+    near = own(4000)
+    rows += [(4000 + i, "\n".join(near[:i % 9] + [words(f"z{i}w", 12)] + near[i % 9 + 1:]), "copies") for i in range(60)]
+    rows += [(5000 + i, "\n".join(near), "copies") for i in range(60)]
+    rows += [(6000 + i, "\n".join(own(6000 + i)), "copies") for i in range(60)]
+    out = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(out[i].n_removed_lines == 20 and out[i].kept for i in range(200))
+    assert all(out[1000 + i].n_removed_lines == 2 and out[1000 + i].kept for i in range(60))
+    assert all(out[2000 + i].n_removed_lines == 3 and out[2000 + i].kept for i in range(60))
+    assert all(out[3000 + i].n_removed_lines == 10 for i in range(5))
+    assert all(out[k + i].n_removed_lines == 0 and out[k + i].kept for k in (4000, 5000, 6000) for i in range(60))
+
+
 # conversation trie --------------------------------------------------------------
 
 def brute_trie(sequences):
