@@ -249,6 +249,33 @@ def checkpoint(assets: Iterable[tuple[str, DataFrame, str, Sequence[dict]]],
                .withColumn("action", F.when(F.col("asset_success"), "pass").otherwise(policy[F.col("suite")]))
 
 
+def table_tests(tables: dict[str, DataFrame], tests: dict[str, dict[str, list]]) -> DataFrame:
+    """Q12: the tests of many tables: (``table_name``, ``column_name``, ``test``, ``failures``, ``status``, ``table_rows``).
+
+    ``tests``: table -> column -> "not_null" (fails: rows), "unique" (values that occur more than once) or a list of
+    accepted values (other values that occur). All row tests and counts of a table are one scan without
+    grouping; a unique test or list of values shuffles that column's distinct values alone."""
+    out = None
+    for name, df in tables.items():
+        checks = [(c, t) for c, ts in tests[name].items() for t in ts]
+        nulls = [c for c, t in checks if t == "not_null"]
+        once = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"null_{c}") for c in nulls])
+        for c, t in checks:
+            if t == "unique":
+                twice = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+                once = once.crossJoin(twice.agg(F.count(F.lit(1)).alias(f"unique_{c}")))  # one row each
+            elif t != "not_null":
+                other = df.filter(~F.col(c).isin(t)).select(c).distinct()
+                once = once.crossJoin(other.agg(F.count(F.lit(1)).alias(f"values_{c}")))
+        kind = lambda t: t if isinstance(t, str) else "accepted_values"
+        field = lambda c, t: {"not_null": "null", "unique": "unique"}.get(t if isinstance(t, str) else "", "values") + f"_{c}"
+        rows = F.explode(F.array(*[F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.lit(kind(t)).alias("test"),
+                                            F.col(field(c, t)).alias("failures"), F.col("n").alias("table_rows")) for c, t in checks]))
+        part = once.select(rows.alias("r")).select("r.*")
+        out = part if out is None else out.unionByName(part)
+    return out.select("table_name", "column_name", "test", "failures", F.when(F.col("failures") == 0, "pass").otherwise("fail").alias("status"), "table_rows")
+
+
 def quality_summary(results: DataFrame, keys: Sequence[str] = ("suite",)) -> DataFrame:
     """Evaluated / successful / unsuccessful rules and pass rate."""
     return results.groupBy(*keys).agg(

@@ -113,3 +113,23 @@ MODEL_TESTS = {
         rule("expect_column_values_to_be_unique", column="country"),
     ],
 }
+
+# The tests of all sources and models. Column -> tests; a list of values stands for accepted_values.
+_STATUSES = ["pending", "processing", "completed", "cancelled", "refunded"]
+_KEY, _SET = ["not_null", "unique"], ["not_null"]
+_CUSTOMER = {"customer_id": _KEY, "email": _SET, "first_name": _SET, "last_name": _SET, "country": _SET, "created_at": _SET}
+TABLE_TESTS: dict[str, dict[str, list]] = {
+    "raw_customers": _CUSTOMER | {"_ingested_at": _SET},
+    "raw_orders": {"order_id": _KEY, "customer_id": _SET, "order_date": _SET, "status": ["not_null", _STATUSES], "total_amount": _SET,
+                   "currency": [["USD", "EUR", "GBP", "JPY", "CAD", "AUD"]], "_ingested_at": _SET},
+    "raw_products": {"product_id": _KEY, "name": _SET, "category": _SET, "price": _SET, "_ingested_at": _SET},
+    "raw_documents": {"run_id": _SET, "source_key": _SET, "extracted_text": _SET, "_ingested_at": _SET},
+    "stg_customers": _CUSTOMER | {"full_name": _SET, "_ingested_at": _SET},
+    "stg_orders": {"order_id": _KEY, "customer_id": _SET, "order_date": _SET, "status": ["not_null", _STATUSES], "total_amount_usd": _SET,
+                   "is_completed": _SET, "_ingested_at": _SET},
+    "stg_products": {"product_id": _KEY, "name": _SET, "category": _SET, "price": _SET, "_ingested_at": _SET},
+    "dim_customers": {"customer_key": _KEY} | _CUSTOMER | {"full_name": _SET, "_dbt_updated_at": _SET},
+    "fct_orders": {"order_id": _KEY, "customer_key": _SET, "customer_id": _SET, "order_date": _SET, "status": ["not_null", _STATUSES],
+                   "total_amount_usd": _SET, "is_completed": _SET},
+    "rpt_revenue_by_region": {"country": _KEY, "total_orders": _SET, "completed_orders": _SET, "total_revenue_usd": _SET, "completion_rate": _SET},
+}

@@ -615,6 +615,41 @@ def _q12(spark, d):
     return _qround(out)
 
 
+def _table_test_sql(table: str, body: str) -> list[str]:
+    out = []
+    for column, tests in S.TABLE_TESTS[table].items():
+        for t in tests:
+            kind = t if isinstance(t, str) else "accepted_values"
+            if kind == "not_null":
+                fails = f"SELECT count(*) FROM {body} WHERE {column} IS NULL"
+            elif kind == "unique":
+                fails = f"SELECT count(*) FROM (SELECT {column} FROM {body} WHERE {column} IS NOT NULL GROUP BY {column} HAVING count(*) > 1)"
+            else:
+                fails = f"SELECT count(DISTINCT {column}) FROM {body} WHERE {column} NOT IN ({', '.join(repr(v) for v in t)})"
+            out.append(f"SELECT '{table}' AS table_name, '{column}' AS column_name, '{kind}' AS test, ({fails}) AS failures, "
+                       f"(SELECT count(*) FROM {body}) AS table_rows")
+    return out
+
+
+_RPT_SQL = """(SELECT country, count(*) AS total_orders, count(CASE WHEN is_completed THEN 1 END) AS completed_orders,
+    sum(CASE WHEN is_completed THEN total_amount_usd ELSE 0 END) AS total_revenue_usd, 1.0 AS completion_rate FROM fct_orders GROUP BY country)"""
+_RAW_DOCS_SQL = "(SELECT 'run' AS run_id, doc_id AS source_key, text AS extracted_text, 1 AS _ingested_at FROM documents)"
+_TABLE_BODIES = {t: t for t in S.TABLE_TESTS} | {"rpt_revenue_by_region": _RPT_SQL, "raw_documents": _RAW_DOCS_SQL}
+
+
+@register("q12_table_tests", "WITH r AS (" + "\nUNION ALL ".join(x for t, b in _TABLE_BODIES.items() for x in _table_test_sql(t, b)) + """)
+    SELECT table_name, column_name, test, failures, CASE WHEN failures = 0 THEN 'pass' ELSE 'fail' END AS status, table_rows FROM r""")
+def _q12t(spark, d):
+    from lakeweave.sources import documents as dl
+
+    fct = materialize(fct_df(spark, d), "fct")
+    models = {"raw_customers": src.raw_customers(spark, d), "raw_orders": src.raw_orders(spark, d), "raw_products": src.raw_products(spark, d),
+              "raw_documents": dl.raw_documents(spark, d), "stg_customers": stg_customers_df(spark, d), "stg_orders": stg_orders_df(spark, d),
+              "stg_products": mdl.stg_products(src.raw_products(spark, d)), "dim_customers": dim_df(spark, d), "fct_orders": fct,
+              "rpt_revenue_by_region": mdl.rpt_revenue_by_region(fct, src.RUN_TS)}
+    return qa.table_tests(models, S.TABLE_TESTS)
+
+
 @register("q14_source_freshness", """
     SELECT 'raw_orders' AS source, max(_ingested_at) AS max_loaded_at,
            date_diff('microsecond', max(_ingested_at), TIMESTAMP '2001-08-02 12:00:00') / 3.6e9 AS age_hours,
