@@ -1057,6 +1057,17 @@ def _g19(spark, d):
     return lin.lineage(edges, start, "downstream").select("node", F.col("depth"))
 
 
+@register("g19_lineage_doubling", """
+    WITH n AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS depth FROM orders)
+    SELECT 'order:' || CAST(o_orderkey AS VARCHAR) AS node, CAST(depth AS INTEGER) AS depth FROM n WHERE depth > 0""")
+def _g19d(spark, d):
+    o = src.read_table(spark, d, "orders")
+    name = F.concat(F.lit("order:"), F.col("o_orderkey").cast("string"))
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    e = o.select(name.alias("child"), F.lag(name).over(w).alias("parent"))
+    return lin.lineage_doubling(e.filter("parent IS NOT NULL"), e.filter("parent IS NULL").select(F.col("child").alias("node")), "downstream")
+
+
 @register("g20_mask_by_tags", f"""
     SELECT customer_id, email, phone, CAST(NULL AS VARCHAR) AS ssn, CAST(NULL AS DATE) AS date_of_birth, region
     FROM ({CURATED_CUSTOMERS_SQL})""")
@@ -2056,6 +2067,18 @@ def _x4s(spark, d):
     return spark.read.parquet(f"{out}/rows").select("event_id", "ts", "event_type", F.col("late").cast("boolean").alias("late"))
 
 
+@register("x6_stream_upsert_buckets", "SELECT * REPLACE (round(total_amount_usd, 2) AS total_amount_usd) FROM fct_orders")
+def _x6b(spark, d):
+    """Three deliveries; the second brings some orders of the first again."""
+    o = src.read_table(spark, d, "orders")
+    dim = materialize(dim_df(spark, d), "dim")
+    rows = lambda s: mdl.fct_orders(mdl.stg_orders(src.raw_orders(spark, d, s)), dim)
+    key, out = F.col("o_orderkey"), st.stream_dir(spark, "x6b")
+    deliveries = [o.filter(key % 3 != 2), o.filter((key % 3 == 2) & (key % 2 == 0) | (key % 9 == 0)), o.filter((key % 3 == 2) & (key % 2 == 1))]
+    st.run_deliveries(spark, deliveries, lambda s: rows(s).writeStream.foreachBatch(st.upsert_buckets(out, ["order_id"], n_buckets=16)), "x6b-in")
+    return rounded(st.read_buckets(spark, out, rows(o).schema), ["total_amount_usd"])
+
+
 @register("x7_stream_chain", f"""WITH RECURSIVE {trail_ctes(risk=False)}
     SELECT l.event_id, l.source_system, l.seg AS seg_hour, l.ts, l.previous_hash, l.this_hash FROM links l
     WHERE l.seg + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""")
