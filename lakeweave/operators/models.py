@@ -98,17 +98,17 @@ def fct_orders(stg_orders_df: DataFrame, dim: DataFrame, existing: DataFrame | N
 
     Incremental: only rows with ``updated_at`` or ``_ingested_at`` beyond the
     target's high-water marks (NULL marks default to 2000-01-01) are merged.
-    The marks are one aggregate row, cross-joined (a one-row broadcast)."""
-    rows = _fct_rows(stg_orders_df, dim)
+    The marks are one aggregate row, cross-joined (a one-row broadcast) with the orders
+    alone, so only fresh orders are joined to the dimension."""
     if existing is None:
-        return rows
+        return _fct_rows(stg_orders_df, dim)
     hwm = existing.agg(
         F.coalesce(F.max("updated_at"), ts_lit(DEFAULT_HWM)).alias("_hwm_upd"),
         F.coalesce(F.max("_ingested_at"), ts_lit(DEFAULT_HWM)).alias("_hwm_ing"))
-    fresh = (rows.crossJoin(F.broadcast(hwm))
+    fresh = (stg_orders_df.crossJoin(F.broadcast(hwm))
              .filter((F.col("updated_at") > F.col("_hwm_upd")) | (F.col("_ingested_at") > F.col("_hwm_ing")))
              .drop("_hwm_upd", "_hwm_ing"))
-    return merge_upsert(existing.select(*FCT_COLUMNS), fresh, ["order_id"])
+    return merge_upsert(existing.select(*FCT_COLUMNS), _fct_rows(fresh, dim), ["order_id"])
 
 
 def rpt_revenue_by_region(fct: DataFrame, run_ts: dt.datetime | str) -> DataFrame:

@@ -169,23 +169,10 @@ def validate(df: DataFrame, suite: Sequence[dict], suite_name: str = "suite") ->
             e, u = F.col(f"__e{i}"), F.col(f"__u{i}")
             rows.append(out(i, t, c, e, u, F.when(e > 0, u / e), _mostly_ok(e, u, mostly)))
 
-    if uniq:
-        # One pass: every counter is pre-aggregated per value of the first
-        # uniqueness column (partial + final hash aggregate), then reduced;
-        # the per-value counts give that column's uniqueness statistics.
-        u0 = uniq[0]
-        per_value = df.groupBy(F.col(u0).alias("__u0")).agg(*[e.alias(n) for n, e in aggs.items()])
-        nonnull = F.col("__u0").isNotNull()
-        stats = per_value.agg(
-            *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in aggs],
-            F.coalesce(F.sum(F.when(nonnull, F.col("__rows"))), F.lit(0)).alias("__un0"),
-            F.count(F.when(nonnull, 1)).alias("__ud0"),
-            F.coalesce(F.sum(F.when(nonnull & (F.col("__rows") > 1), F.col("__rows"))), F.lit(0)).alias("__dup0"))
-    else:
-        stats = df.agg(*[e.alias(n) for n, e in aggs.items()])
+    # All counters are one aggregate without keys: a row per task is shuffled. Uniqueness shuffles
+    # the values of its column alone, combined per task.
+    stats = df.agg(*[e.alias(n) for n, e in aggs.items()])
     for k, c in enumerate(uniq):
-        if k == 0:
-            continue
         per_value = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
         u = per_value.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias(f"__un{k}"),
                           F.count(F.lit(1)).alias(f"__ud{k}"),

@@ -261,16 +261,40 @@ def gauges(samples: DataFrame, keys: Sequence[str], bucket_seconds: int = 300) -
 
 def threshold_alerts(samples: DataFrame, keys: Sequence[str], rules: Sequence[tuple] = ALERT_RULES,
                      bucket_seconds: int = 300) -> DataFrame:
-    """M9: every rule over the gauge series, firing after its 'for' duration."""
+    """M9: every rule over the gauge series, firing after its 'for' duration. The rules are an array beside
+    each gauge row, of which those that hold are taken apart: one scan and one window for all rules."""
     g = gauges(samples, keys, bucket_seconds)
-    out = None
-    for name, gauge, op, thr, for_min, sev in rules:
-        cond = {">": F.col(gauge) > thr, "<": F.col(gauge) < thr, ">=": F.col(gauge) >= thr,
-                "<=": F.col(gauge) <= thr, "==": F.col(gauge) == thr}[op]
-        a = sustained(g, keys, cond, bucket_seconds, for_min).select(
-            F.lit(name).alias("alertname"), *keys, F.lit(sev).alias("severity"), "starts_at", "ends_at", "fires_at")
-        out = a if out is None else out.unionByName(a)
-    return out
+    test = {">": lambda a, b: a > b, "<": lambda a, b: a < b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b, "==": lambda a, b: a == b}
+    return sustained_rules(g, keys, [(name, test[op](F.col(gauge), F.lit(thr)), for_min, sev) for name, gauge, op, thr, for_min, sev in rules],
+                           bucket_seconds)
+
+
+def sustained_rules(series: DataFrame, keys: Sequence[str], rules: Sequence[tuple[str, Column, int, str]],
+                    bucket_seconds: int = 300) -> DataFrame:
+    """Alerts of rules (name, condition, for minutes, severity) over a bucket series: runs of consecutive buckets in which the
+    condition holds, of at least that length."""
+    held = F.array_compact(F.array(*[F.when(cond, F.struct(
+        F.lit(name).alias("alertname"), F.lit(sev).alias("severity"), F.lit(for_min).cast("int").alias("for_minutes")))
+        for name, cond, for_min, sev in rules]))
+    rows = series.select(*keys, "bucket", F.explode(held).alias("_rule")).select(*keys, "bucket", "_rule.*")
+    island = ["alertname", "severity", "for_minutes", *keys]
+    w = Window.partitionBy(*island).orderBy("bucket")
+    runs = (rows.withColumn("_island", F.col("bucket") - F.row_number().over(w)).groupBy(*island, "_island")
+            .agg(F.min("bucket").alias("_first"), F.max("bucket").alias("_last")))
+    runs = runs.filter((F.col("_last") - F.col("_first") + 1) * F.lit(bucket_seconds / 60.0) >= F.col("for_minutes"))
+    start = bucket_start(F.col("_first"), bucket_seconds)
+    return runs.select("alertname", *keys, "severity", start.alias("starts_at"), bucket_start(F.col("_last") + 1, bucket_seconds).alias("ends_at"),
+                       (start + F.make_interval(mins=F.col("for_minutes"))).alias("fires_at"))
+
+
+# Burn-rate alerts (alert, burn over 1 h and 6 h above, for minutes, severity).
+BURN_ALERTS = [("CriticalErrorBudgetBurn", 14.4, 2, "critical"), ("WarningErrorBudgetBurn", 6.0, 15, "warning")]
+
+
+def burn_rate_firing(samples: DataFrame, keys: Sequence[str], slo: float = 0.995, bucket_seconds: int = 300) -> DataFrame:
+    """M7 with hold times: when a burn-rate alert starts, fires (after it has held long enough) and ends."""
+    r = burn_rate_alerts(samples, keys, slo, bucket_seconds)
+    return sustained_rules(r, keys, [(name, (F.col("burn_1h") > x) & (F.col("burn_6h") > x), m, sev) for name, x, m, sev in BURN_ALERTS], bucket_seconds)
 
 
 def inhibit(alerts: DataFrame, equal: Sequence[str] = ("job", "instance")) -> DataFrame:
@@ -279,14 +303,10 @@ def inhibit(alerts: DataFrame, equal: Sequence[str] = ("job", "instance")) -> Da
     crit = alerts.filter(F.col("severity") == "critical").select(
         *[F.col(c).alias(f"__c_{c}") for c in equal], F.col("fires_at").alias("__c_from"),
         F.col("ends_at").alias("__c_to"))
-    warn = alerts.filter(F.col("severity") == "warning")
-    cond = None
+    cond = (F.col("severity") == "warning") & (F.col("fires_at") < F.col("__c_to")) & (F.col("ends_at") > F.col("__c_from"))
     for c in equal:
-        e = F.col(c) == F.col(f"__c_{c}")
-        cond = e if cond is None else cond & e
-    cond = cond & (F.col("fires_at") < F.col("__c_to")) & (F.col("ends_at") > F.col("__c_from"))
-    kept = warn.join(crit, cond, "left_anti")
-    return alerts.filter(F.col("severity") != "warning").unionByName(kept)
+        cond = cond & (F.col(c) == F.col(f"__c_{c}"))
+    return alerts.join(crit, cond, "left_anti")
 
 
 # Routing tree (receiver and repeat interval per severity).

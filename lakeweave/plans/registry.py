@@ -1547,6 +1547,30 @@ def _m7(spark, d):
     return tm.burn_rate_alerts(samples_df(spark, d), ["instance"], slo=0.995)
 
 
+@register("m7_burn_rate_firing", f"""
+    WITH m AS (SELECT instance, {b_sql('ts', 300)} AS bucket, count(*) AS requests, count(CASE WHEN failed THEN 1 END) AS failures
+               FROM metric_samples GROUP BY ALL),
+    r AS (SELECT instance, bucket,
+                 sum(failures) OVER (PARTITION BY instance ORDER BY bucket RANGE BETWEEN 11 PRECEDING AND CURRENT ROW)
+                 / sum(requests) OVER (PARTITION BY instance ORDER BY bucket RANGE BETWEEN 11 PRECEDING AND CURRENT ROW) / (1::DOUBLE - 0.9::DOUBLE) AS b1,
+                 sum(failures) OVER (PARTITION BY instance ORDER BY bucket RANGE BETWEEN 71 PRECEDING AND CURRENT ROW)
+                 / sum(requests) OVER (PARTITION BY instance ORDER BY bucket RANGE BETWEEN 71 PRECEDING AND CURRENT ROW) / (1::DOUBLE - 0.9::DOUBLE) AS b6 FROM m),
+    a AS (SELECT r.*, alertname, severity, hold FROM r, (VALUES ('CriticalErrorBudgetBurn', 'critical', 14.4, 2), ('WarningErrorBudgetBurn', 'warning', 6.0, 15))
+            AS v(alertname, severity, thr, hold) WHERE b1 > thr AND b6 > thr
+          UNION ALL
+          SELECT r.*, 'ModerateErrorBudgetBurn', 'info', 10 FROM r WHERE b1 > 2 AND b6 > 2),
+    i AS (SELECT *, bucket - row_number() OVER (PARTITION BY instance, alertname ORDER BY bucket) AS isl FROM a)
+    SELECT alertname, instance, severity, {bs_sql('min(bucket)', 300)} AS starts_at, {bs_sql('max(bucket) + 1', 300)} AS ends_at,
+           {bs_sql('min(bucket)', 300)} + to_minutes(any_value(hold)) AS fires_at
+    FROM i GROUP BY alertname, instance, severity, isl HAVING (max(bucket) - min(bucket) + 1) * 5 >= any_value(hold)""")
+def _m7f(spark, d):
+    # with failure ratios of about 20 % and a target of 90 %, a third rule at a burn rate of 2 starts and ends
+    s = samples_df(spark, d)
+    r = tm.burn_rate_alerts(s, ["instance"], slo=0.9)
+    more = tm.sustained_rules(r, ["instance"], [("ModerateErrorBudgetBurn", (F.col("burn_1h") > 2) & (F.col("burn_6h") > 2), 10, "info")])
+    return tm.burn_rate_firing(s, ["instance"], slo=0.9).unionByName(more)
+
+
 def _hq_sql(q: float, le=tm.DEFAULT_LE) -> str:
     parts, lo_b, lo_c = [], "0.0", "0"
     for i, b in enumerate(le):
