@@ -1832,6 +1832,24 @@ def _s17(spark, d):
     return docs.chunk_documents(src.read_table(spark, d, "documents"), 1000)
 
 
+@register("s17_pack_chunks", """
+    WITH RECURSIVE s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\\s+|\\n+', '\\1' || chr(1), 'g'), chr(1)),
+                                                    lambda x: length(trim(x)) > 0) AS l FROM documents),
+    e AS (SELECT doc_id, trim(unnest(l)) AS sentence, generate_subscripts(l, 1) AS i FROM s),
+    q AS (SELECT doc_id, i, j, substr(sentence, j * 200 + 1, 200) AS piece FROM (SELECT *, unnest(range(0, (length(sentence) - 1) // 200 + 1)) AS j FROM e)),
+    p AS (SELECT doc_id, piece, length(piece) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS pos FROM q),
+    c(doc_id, pos, chunk_id, used) AS (
+      SELECT doc_id, pos, 0::BIGINT, n FROM p WHERE pos = 1
+      UNION ALL
+      SELECT p.doc_id, p.pos, CASE WHEN c.used + 1 + p.n <= 200 THEN c.chunk_id ELSE c.chunk_id + 1 END,
+             CASE WHEN c.used + 1 + p.n <= 200 THEN c.used + 1 + p.n ELSE p.n END
+      FROM c JOIN p ON p.doc_id = c.doc_id AND p.pos = c.pos + 1)
+    SELECT p.doc_id, c.chunk_id, string_agg(piece, ' ' ORDER BY p.pos) AS chunk_text, CAST(length(string_agg(piece, ' ' ORDER BY p.pos)) AS INTEGER) AS n_chars
+    FROM c JOIN p ON p.doc_id = c.doc_id AND p.pos = c.pos GROUP BY p.doc_id, c.chunk_id""")
+def _s17p(spark, d):
+    return docs.pack_chunks(src.read_table(spark, d, "documents"), 200)
+
+
 @register("s1_scan_projection", """
     SELECT l_orderkey, l_quantity, l_extendedprice FROM lineitem
     WHERE l_shipdate >= TIMESTAMP '2000-01-01 00:00:00' AND l_returnflag = 'R'""")

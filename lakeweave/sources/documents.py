@@ -137,3 +137,23 @@ def chunk_documents(df: DataFrame, max_chars: int = 1000, key: str = "doc_id", t
     text = F.array_join(F.transform("__s", lambda x: x["sentence"]), " ")
     return g.select(key, "chunk_id", text.alias("chunk_text"), "n_sentences") \
             .withColumn("n_chars", F.length("chunk_text"))
+
+
+def pack_chunks(df: DataFrame, max_chars: int = 1000, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """S17 within a limit: (``key``, ``chunk_id``, ``chunk_text``, ``n_chars``). Sentences in order, joined by a space, as many as fit
+    into ``max_chars``; a longer sentence is cut there. No chunk is longer, and nothing is lost but the white space around
+    sentences. A document is folded in its own row, so nothing is shuffled; null and blank texts have no chunks."""
+    trimmed = F.transform(sentences(F.col(text_col)), F.trim)
+    pieces = F.flatten(F.transform(trimmed, lambda s: F.transform(
+        F.sequence(F.lit(0), F.floor((F.length(s) - 1) / max_chars).cast("int")), lambda i: s.substr(i * max_chars + 1, F.lit(max_chars)))))
+    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def add(a, p):
+        joined = F.when(a["open"] == "", p).otherwise(F.concat(a["open"], F.lit(" "), p))
+        fits = F.length(joined) <= max_chars
+        return F.struct(F.when(fits, a["done"]).otherwise(F.array_append(a["done"], a["open"])).alias("done"),
+                        F.when(fits, joined).otherwise(p).alias("open"))
+
+    chunks = F.aggregate(pieces, empty, add, lambda a: F.when(a["open"] == "", a["done"]).otherwise(F.array_append(a["done"], a["open"])))
+    out = df.select(F.col(key), F.posexplode(chunks).alias("chunk_id", "chunk_text"))
+    return out.select(key, F.col("chunk_id").cast("bigint").alias("chunk_id"), "chunk_text", F.length("chunk_text").alias("n_chars"))
