@@ -201,33 +201,46 @@ def choose_terms(found: DataFrame, n_of: dict[int, int]) -> list[str]:
     return sorted(r["term"] for r in rows)
 
 
-def document_frequencies(docs: DataFrame, text: str, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
-    """Documents that hold each term, and all documents; one vector per task."""
-    size = len(vocabulary)
+def term_counts(docs: DataFrame, keep: list[str], text: str, vocabulary: dict[str, int]) -> DataFrame:
+    """``keep`` columns and ``_terms``, ``_counts``: the terms of each text and how often it holds them. A few
+    numbers a text, written once for frequencies and scores, so texts are taken apart once."""
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("_terms", T.ArrayType(T.IntegerType())),
+                           T.StructField("_counts", T.ArrayType(T.IntegerType()))])
 
-    def count_all(batches):
-        count, total, n = TermCounter(vocabulary), np.zeros(size, np.int64), 0
+    def run(batches):
+        count = TermCounter(vocabulary)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                n += 1
-                if t:
-                    total[list(count(t))] += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), size], pa.int32()), pa.array([*total[at].tolist(), n], pa.int64())], names=["term", "n"])
-
-    rows = docs.select(F.col(f"`{text}`")).mapInArrow(count_all, "term int, n long").groupBy("term").agg(F.sum("n")).collect()
-    df = np.zeros(size + 1)
-    for t, n in rows:
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                found = [sorted(count(t.as_py()).items()) for t in part.column(len(keep))]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-1], pa.array([[t for t, _ in x] for x in found], pa.list_(pa.int32())),
+                     pa.array([[c for _, c in x] for x in found], pa.list_(pa.int32()))], names=schema.names)
+
+    return materialize(docs.select(*keep, F.coalesce(F.col(f"`{text}`"), F.lit(""))).mapInArrow(run, schema), "terms")
+
+
+def document_frequencies(counted: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """Documents that hold each of ``size`` terms, and all documents."""
+    df = np.zeros(size)
+    for t, n in counted.select(F.explode("_terms").alias("t")).groupBy("t").agg(F.count(F.lit(1))).collect():  # a row a term
         df[t] = n
-    return df[:size], int(df[size])
+    return df, counted.count()
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text",
         folds: int = 3, held_fold: int = 1) -> NearestVotes:
+    return fit_and_count(docs, labels, [id_col], label, id_col, text, folds, held_fold)[0]
+
+
+def fit_and_count(docs: DataFrame, labels: DataFrame, keep: list[str], label: str = "toxic", id_col: str = "doc_id", text: str = "text",
+                  folds: int = 3, held_fold: int = 1) -> tuple[NearestVotes, DataFrame]:
+    """The classifier, and the :func:`term_counts` of ``docs`` with the columns ``keep``, to be scored by it."""
     found, counts = examples(docs, labels, label, id_col, text, folds, held_fold)
     n_of = {r["_y"]: r["count"] for r in found.groupBy("_y").count().collect()}
     vocabulary = {t: i for i, t in enumerate(choose_terms(found, n_of))}
-    df, n = document_frequencies(docs, text, vocabulary)
+    counted = term_counts(docs, keep, text, vocabulary)
+    df, n = document_frequencies(counted, len(vocabulary))
     idf = np.log((n + 1) / (df + 1)) + 1
 
     def vectors(batches):
@@ -255,44 +268,49 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         return model.vote(t, w, without=i)[0]
 
     model.calibrate(np.array([own(i) for i in range(len(rows))]))
-    return model
+    return model, counted
 
 
 def toxicity_scores(docs: DataFrame, model: NearestVotes, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns of every row with ``score``, ``predicted`` and ``evidence``: the
+    """:func:`scores` of documents that have not been counted yet."""
+    return scores(term_counts(docs, keep, text, model.vocabulary), model)
+
+
+def scores(counted: DataFrame, model: NearestVotes) -> DataFrame:
+    """The rows of :func:`term_counts` with ``score``, ``predicted`` and ``evidence``: the
     nearest examples as (id, label, cosine).
 
-    One pass, no shuffle. Null and empty texts have no terms and get the prior's
-    score."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    No shuffle. Null and empty texts have no terms and get the prior's score; repeated
+    rows keep a row each; an empty table gives none. Kept columns may have any name but
+    those of the results."""
+    keep = [c for c in counted.columns if c not in ("_terms", "_counts")]
+    sent = counted.sparkSession.sparkContext.broadcast(model)
     evidence = T.ArrayType(T.StructType([T.StructField("example_id", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", evidence)])
+    schema = T.StructType([*counted.select(*keep).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", evidence)])
     kind = pa.list_(pa.struct([("example_id", pa.string()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches):
-        m = sent.value
-        count, known = TermCounter(m.vocabulary), {}
+        m, known = sent.value, {}
         for batch in batches:
-            scores, near = [], []
-            for t in batch.column(len(keep)).to_pylist():
-                tf = count(t)
-                key = tuple(sorted(tf.items()))
+            found_scores, near = [], []
+            for terms, counts in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()):
+                key = (*terms, *counts)
                 if key not in known:
                     if len(known) > 50_000:
                         known.clear()
-                    vote, found = m.vote(*vector(tf, m.idf))
+                    vote, found = m.vote(*vector(dict(zip(terms, counts)), m.idf))
                     known[key] = (m.score(vote), [{"example_id": m.ids[i], "label": int(m.labels[i]), "cosine": s} for s, i in found[:5]])
                 s, e = known[key]
-                scores.append(s)
+                found_scores.append(s)
                 near.append(e)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= CUT) for s in scores], pa.int32()), pa.array(near, kind)], names=schema.names)
+                [*batch.columns[:-2], pa.array(found_scores, pa.float64()), pa.array([int(s >= CUT) for s in found_scores], pa.int32()), pa.array(near, kind)], names=schema.names)
 
-    return docs.select(*keep, F.coalesce(F.col(f"`{text}`"), F.lit(""))).mapInArrow(run, schema)
+    return counted.select(*keep, "_terms", "_counts").mapInArrow(run, schema)
 
 
 def op4_nearest_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(docs, table(spark, sf_dir, "labels"))
+    model, counted = fit_and_count(docs, table(spark, sf_dir, "labels"), ["doc_id"])
     held = (remainder(F.col("doc_id"), 3) == 1).alias("held_out")
-    return toxicity_scores(docs, model, ["doc_id"]).select("doc_id", held, "score", "predicted", "evidence")
+    return scores(counted, model).select("doc_id", held, "score", "predicted", "evidence")
