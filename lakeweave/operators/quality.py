@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from lakeweave.functions.columns import ts_lit
-from lakeweave.session import ensure_parallelism
+from lakeweave.session import ensure_parallelism, materialize
 
 RESULT_FIELDS = ("suite", "rule_index", "expectation", "column_name", "element_count", "unexpected_count",
                  "observed_value", "success")
@@ -236,6 +236,35 @@ def checkpoint(assets: Iterable[tuple[str, DataFrame, str, Sequence[dict]]],
                .withColumn("action", F.when(F.col("asset_success"), "pass").otherwise(policy[F.col("suite")]))
 
 
+def carry_out(assets: Sequence[tuple[str, DataFrame, str, Sequence[dict]]], on_failure: dict[str, str], path: str,
+              unique_keys: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """Q15 with its actions done: (``asset``, ``action``, ``input_rows``, ``promoted_rows``, ``quarantined_rows``), counted in what was written.
+
+    Assets are taken in the order given. One that passes is promoted to ``path/main/<asset>`` as its next version; on
+    "quarantine" its good rows are promoted and the others written to ``path/quarantine/<asset>`` with their reasons; any other
+    action blocks it. "fail_pipeline" also ends the run: later assets are "not_run" and untouched."""
+    from lakeweave.operators.tables import promote
+
+    spark, out, stopped = assets[0][1].sparkSession, [], False
+    for asset, df, suite_name, suite in assets:
+        if stopped:
+            out.append((asset, "not_run", None, None, None))
+            continue
+        df = materialize(df, f"asset-{asset}")
+        passed = validate(df, suite, suite_name).agg(F.bool_and("success")).first()[0]
+        action = "pass" if passed else on_failure[suite_name]
+        promoted = quarantined = 0
+        if action in ("pass", "quarantine"):
+            good, bad = (df, None) if passed else split_quarantine(df, suite, (unique_keys or {}).get(asset, ()))
+            promoted = spark.read.schema(good.schema).parquet(promote(good, f"{path}/main/{asset}")).count()
+            if bad is not None:
+                bad.write.mode("append").parquet(f"{path}/quarantine/{asset}")
+                quarantined = spark.read.schema(bad.schema).parquet(f"{path}/quarantine/{asset}").count()
+        stopped = action == "fail_pipeline"
+        out.append((asset, action, df.count(), promoted, quarantined))
+    return spark.createDataFrame(out, "asset string, action string, input_rows long, promoted_rows long, quarantined_rows long")
+
+
 def table_tests(tables: dict[str, DataFrame], tests: dict[str, dict[str, list]]) -> DataFrame:
     """Q12: the tests of many tables: (``table_name``, ``column_name``, ``test``, ``failures``, ``status``, ``table_rows``).
 

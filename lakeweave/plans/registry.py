@@ -704,6 +704,24 @@ S13_SQL = f"""
     UNION ALL SELECT 'good', count(*) FROM f WHERE len(reasons) = 0"""
 
 
+@register("q15_checkpoint_actions", f"""
+    WITH c AS (SELECT DISTINCT asset, action FROM ({CHECKPOINT_SQL})),
+    s AS ({S13_SQL}),
+    n AS (SELECT 'raw_events' AS asset, (SELECT count(*) FROM events) AS n UNION ALL SELECT 'stg_orders', (SELECT count(*) FROM stg_orders)
+          UNION ALL SELECT 'customer_mart', (SELECT count(DISTINCT customer_id) FROM fct_orders)),
+    g AS (SELECT n AS good FROM s WHERE reason = 'good'),
+    f AS (SELECT bool_or(action = 'fail_pipeline') AS stop FROM c)
+    SELECT c.asset, CASE WHEN f.stop AND c.asset <> 'raw_events' THEN 'not_run' ELSE c.action END AS action,
+           CASE WHEN NOT (f.stop AND c.asset <> 'raw_events') THEN n.n END AS input_rows,
+           CASE WHEN f.stop AND c.asset <> 'raw_events' THEN NULL WHEN c.action = 'pass' THEN n.n WHEN c.action = 'quarantine' THEN g.good ELSE 0 END AS promoted_rows,
+           CASE WHEN f.stop AND c.asset <> 'raw_events' THEN NULL WHEN c.action = 'quarantine' THEN n.n - g.good ELSE 0 END AS quarantined_rows
+    FROM c JOIN n USING (asset), g, f""")
+def _q15a(spark, d):
+    assets = [("raw_events", src.raw_events(spark, d), "raw_layer", S.RAW_LAYER), ("stg_orders", stg_asset(spark, d), "staging_layer", S.STAGING_LAYER),
+              ("customer_mart", mart_asset(spark, d), "curated_layer", S.CURATED_LAYER)]
+    return qa.carry_out(assets, S.ON_FAILURE, _folder(spark, "checkpoint"), {"stg_orders": ["order_id"]})
+
+
 @register("s13_quarantine_split", S13_SQL)
 def _s13(spark, d):
     good, bad = qa.split_quarantine(stg_asset(spark, d), S.STAGING_LAYER, unique_keys=["order_id"])
