@@ -261,11 +261,12 @@ def scd2(changes: DataFrame, keys: Sequence[str], updated_at: str, tracked: Sequ
     neighbours across a bucket boundary come from a per-bucket aggregate
     (first / last version) and a lag / lead over the key's bucket series,
     whose length is bounded by the time range. ``bucket_days=None`` uses one
-    window per key."""
+    window per key. Of versions with one time the tracked values decide the order;
+    all but the last are valid for no time."""
     keys = list(keys)
     sig = F.struct(*[F.col(c) for c in tracked])
     if bucket_days is None:
-        w = Window.partitionBy(*keys).orderBy(F.col(updated_at))
+        w = Window.partitionBy(*keys).orderBy(F.col(updated_at), *tracked)
         marked = changes.withColumn("__prev", F.lag(sig).over(w))
         kept = marked.filter(F.col("__prev").isNull() | ~F.col("__prev").eqNullSafe(sig)).drop("__prev")
         return (kept.withColumn("valid_from", F.col(updated_at))
@@ -275,11 +276,11 @@ def scd2(changes: DataFrame, keys: Sequence[str], updated_at: str, tracked: Sequ
     from lakeweave.functions.columns import bucket_number
     kb = keys + ["__b"]
     c = changes.withColumn("__b", bucket_number(updated_at, bucket_days * 86400))
-    wb = Window.partitionBy(*kb).orderBy(F.col(updated_at))
+    wb = Window.partitionBy(*kb).orderBy(F.col(updated_at), *tracked)
     series = Window.partitionBy(*keys).orderBy("__b")
 
     # pass 1: previous signature, across bucket boundaries
-    last_sig = c.groupBy(*kb).agg(F.max_by(sig, F.col(updated_at)).alias("__last_sig"))
+    last_sig = c.groupBy(*kb).agg(F.max_by(sig, F.struct(F.col(updated_at), sig)).alias("__last_sig"))
     last_sig = last_sig.withColumn("__prev_bucket_sig", F.lag("__last_sig").over(series)).drop("__last_sig")
     marked = (c.withColumn("__prev", F.lag(sig).over(wb))
                .join(last_sig, kb, "left")
