@@ -650,6 +650,31 @@ def _q12t(spark, d):
     return qa.table_tests(models, S.TABLE_TESTS)
 
 
+@register("q13_revenue_violations", """
+    SELECT order_id, CASE WHEN CAST(order_id AS BIGINT) % 40 = 0 THEN 0.0 ELSE -total_amount_usd END AS total_amount_usd
+    FROM fct_orders WHERE is_completed AND CAST(order_id AS BIGINT) % 20 = 0 AND (CAST(order_id AS BIGINT) % 40 = 0 OR total_amount_usd >= 0)""")
+def _q13v(spark, d):
+    """The test over facts of which every twentieth has a zero or negated amount."""
+    n = F.col("order_id").cast("bigint")
+    f = fct_df(spark, d).withColumn("total_amount_usd", F.when(n % 40 == 0, F.lit(0.0)).when(n % 20 == 0, -F.col("total_amount_usd"))
+                                    .otherwise(F.col("total_amount_usd")))
+    return mdl.revenue_not_positive(f)
+
+
+@register("q11_pair_rules", """
+    WITH r AS (SELECT count(*) FILTER (WHERE o_orderkey IS NOT NULL) AS e, count(*) FILTER (WHERE NOT (o_orderkey > o_custkey)) AS strict,
+                      count(*) FILTER (WHERE NOT (o_orderkey >= o_custkey)) AS lax FROM orders)
+    SELECT 'pairs' AS suite, 0 AS rule_index, 'expect_column_pair_values_A_to_be_greater_than_B' AS expectation, 'o_orderkey,o_custkey' AS column_name,
+           e AS element_count, strict AS unexpected_count, strict / e AS observed_value, 1 - strict / e >= 0.9999 AS success FROM r
+    UNION ALL
+    SELECT 'pairs', 1, 'expect_column_pair_values_A_to_be_greater_than_B', 'o_orderkey,o_custkey', e, lax, lax / e, 1 - lax / e >= 0.5 FROM r""")
+def _q11p(spark, d):
+    pair = {"column_A": "o_orderkey", "column_B": "o_custkey", "ignore_row_if": "either_value_is_missing"}
+    suite = [S.rule("expect_column_pair_values_A_to_be_greater_than_B", **pair, mostly=0.9999),
+             S.rule("expect_column_pair_values_A_to_be_greater_than_B", **pair, or_equal=True, mostly=0.5)]
+    return qa.validate(src.read_table(spark, d, "orders"), suite, "pairs")
+
+
 @register("q14_source_freshness", """
     SELECT 'raw_orders' AS source, max(_ingested_at) AS max_loaded_at,
            date_diff('microsecond', max(_ingested_at), TIMESTAMP '2001-08-02 12:00:00') / 3.6e9 AS age_hours,
