@@ -69,6 +69,21 @@ def parse_logs(lines: DataFrame, body: str = "body", service: str = "service",
     )
 
 
+OBJECT_STORE_SERVICES = r"^minio.*$"
+
+
+def parse_fields(lines: DataFrame, body: str = "body", service: str = "service", json_services: str = JSON_SERVICES,
+                 object_stores: str = OBJECT_STORE_SERVICES) -> DataFrame:
+    """M1, the other stages: ``class`` of JSON logs, and for object stores ``level``, ``message``, ``api``, ``bucket`` and ``object``
+    of the request. Fields of other services and of lines that are no JSON are null; no line is dropped."""
+    store, is_json = (F.coalesce(F.col(service).rlike(p), F.lit(False)) for p in (object_stores, json_services))
+    j = F.from_json(F.col(body), "level string, message string, class string, api struct<name:string,bucket:string,object:string>")
+    rows = lines.select("*", F.explode(F.array(j)).alias("_j"))  # parsed once
+    of = {"level": "level", "message": "message", "api": "api.name", "bucket": "api.bucket", "object": "api.object"}
+    return rows.select(*lines.columns, F.when(is_json, F.col("_j.class")).alias("class"),
+                       *[F.when(store, F.col(f"_j.{path}")).alias(name) for name, path in of.items()])
+
+
 def log_search(parsed: DataFrame, service: str | None, contains: str | None, line_format: str,
                fields: Sequence[str]) -> DataFrame:
     """M4: label match, substring filter, then a formatted line."""

@@ -1506,6 +1506,28 @@ def _m1(spark, d):
     return parsed_logs(spark, d)
 
 
+@register("m1_object_store_logs", """
+    WITH e AS (SELECT event_id AS line_id, CASE WHEN event_id % 3 = 0 THEN 'trino-worker' WHEN event_id % 3 = 1 THEN 'minio-' || CAST(user_id % 4 AS VARCHAR)
+                      ELSE 'postgres' END AS service, event_id % 31 = 0 AS broken, * FROM events)
+    SELECT line_id, service, CASE WHEN event_id % 3 = 0 AND NOT broken THEN 'io.lake.' || event_type END AS class,
+           CASE WHEN event_id % 3 = 1 AND NOT broken THEN 'INFO' END AS level,
+           CASE WHEN event_id % 3 = 1 AND NOT broken THEN 'request ' || CAST(event_id AS VARCHAR) END AS message,
+           CASE WHEN event_id % 3 = 1 AND NOT broken THEN CASE WHEN event_type = 'purchase' THEN 'PutObject' ELSE 'GetObject' END END AS api,
+           CASE WHEN event_id % 3 = 1 AND NOT broken THEN 'bucket-' || CAST(user_id % 7 AS VARCHAR) END AS bucket,
+           CASE WHEN event_id % 3 = 1 AND NOT broken AND event_id % 5 <> 0 THEN 'part/' || CAST(event_id AS VARCHAR) END AS object
+    FROM e""")
+def _m1o(spark, d):
+    k, text = F.col("event_id"), lambda c: F.col(c).cast("string")
+    service = F.when(k % 3 == 0, "trino-worker").when(k % 3 == 1, F.concat(F.lit("minio-"), (F.col("user_id") % 4).cast("string"))).otherwise("postgres")
+    api = F.struct(F.when(F.col("event_type") == "purchase", "PutObject").otherwise("GetObject").alias("name"),
+                   F.concat(F.lit("bucket-"), (F.col("user_id") % 7).cast("string")).alias("bucket"),
+                   F.when(k % 5 != 0, F.concat(F.lit("part/"), text("event_id"))).alias("object"))
+    body = F.to_json(F.struct(F.lit("INFO").alias("level"), F.concat(F.lit("request "), text("event_id")).alias("message"),
+                              F.concat(F.lit("io.lake."), F.col("event_type")).alias("class"), api.alias("api")))
+    lines = src.read_table(spark, d, "events").select(k.alias("line_id"), service.alias("service"), F.when(k % 31 == 0, F.lit("not { JSON")).otherwise(body).alias("body"))
+    return tm.parse_fields(lines).drop("body")
+
+
 @register("m2_drop_noise", f"""
     SELECT service, count(*) AS lines FROM ({CLEAN_LINES_SQL}) GROUP BY service""")
 def _m2(spark, d):
