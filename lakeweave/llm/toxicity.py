@@ -202,8 +202,7 @@ def choose_terms(found: DataFrame, n_of: dict[int, int]) -> list[str]:
 
 
 def term_counts(docs: DataFrame, keep: list[str], text: str, vocabulary: dict[str, int]) -> DataFrame:
-    """``keep`` columns and ``_terms``, ``_counts``: the terms of each text and how often it holds them. A few
-    numbers a text, written once for frequencies and scores, so texts are taken apart once."""
+    """``keep`` columns and ``_terms``, ``_counts``: the terms of each text and how often it holds them."""
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("_terms", T.ArrayType(T.IntegerType())),
                            T.StructField("_counts", T.ArrayType(T.IntegerType()))])
 
@@ -217,7 +216,7 @@ def term_counts(docs: DataFrame, keep: list[str], text: str, vocabulary: dict[st
                     [*part.columns[:-1], pa.array([[t for t, _ in x] for x in found], pa.list_(pa.int32())),
                      pa.array([[c for _, c in x] for x in found], pa.list_(pa.int32()))], names=schema.names)
 
-    return materialize(docs.select(*keep, F.coalesce(F.col(f"`{text}`"), F.lit(""))).mapInArrow(run, schema), "terms")
+    return docs.select(*keep, F.coalesce(F.col(f"`{text}`"), F.lit(""))).mapInArrow(run, schema)
 
 
 def document_frequencies(counted: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -235,11 +234,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
 
 def fit_and_count(docs: DataFrame, labels: DataFrame, keep: list[str], label: str = "toxic", id_col: str = "doc_id", text: str = "text",
                   folds: int = 3, held_fold: int = 1) -> tuple[NearestVotes, DataFrame]:
-    """The classifier, and the :func:`term_counts` of ``docs`` with the columns ``keep``, to be scored by it."""
+    """The classifier, and the :func:`term_counts` of ``docs`` with the columns ``keep``, to be scored by it. They are written
+    down for frequencies and scores, so texts are taken apart once; whole documents are better not among them."""
     found, counts = examples(docs, labels, label, id_col, text, folds, held_fold)
     n_of = {r["_y"]: r["count"] for r in found.groupBy("_y").count().collect()}
     vocabulary = {t: i for i, t in enumerate(choose_terms(found, n_of))}
-    counted = term_counts(docs, keep, text, vocabulary)
+    counted = materialize(term_counts(docs, keep, text, vocabulary), "terms")
     df, n = document_frequencies(counted, len(vocabulary))
     idf = np.log((n + 1) / (df + 1)) + 1
 
