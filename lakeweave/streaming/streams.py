@@ -241,31 +241,53 @@ def read_buckets(spark: SparkSession, path: str, schema: StructType, before: int
 
 
 def _first_seen():
+    import struct
+
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
 
+    record = "<16sq"  # hash of a key, its end
+
     class FirstSeen(StatefulProcessor):
-        """Per key one value: whether the key has been delivered. A timer takes it away at the
-        first row's ``ends`` (event time in milliseconds; 0: never)."""
+        """Per bucket of keys the keys that have been delivered, in a list of pieces: a batch reads its buckets' pieces
+        and adds one with its new keys. A timer at the bucket's next ``ends`` (event time in milliseconds; 0: never) takes
+        away what is over."""
 
         def init(self, handle) -> None:
             self.handle = handle
-            self.seen = handle.getValueState("seen", "once boolean")
+            self.pieces = handle.getListState("pieces", "records binary")
+            self.past = handle.getValueState("past", "ms long")  # keys that ended by then are forgotten
+
+        def records(self) -> list:
+            past = self.past.get()[0] if self.past.exists() else None
+            return [r for (piece,) in self.pieces.get() for r in struct.iter_unpack(record, bytes(piece)) if not r[1] or past is None or r[1] > past]
 
         def handleInputRows(self, key, rows, timerValues):
-            keyed = not key[0].startswith("~")  # a row without a key is no repeat of another
-            known = keyed and self.seen.exists()
+            known, new = {k for k, _ in self.records()}, []
             for pdf in rows:
-                repeat = [known] * len(pdf)
-                if keyed and not known:
-                    repeat[0], repeat[1:], known = False, [True] * (len(pdf) - 1), True
-                    self.seen.update((True,))
-                    if pdf["ends"].iloc[0]:
-                        self.handle.registerTimer(int(pdf["ends"].iloc[0]))
-                yield pd.DataFrame({"payload": pdf["payload"], "again": repeat})
+                again = []
+                for k, ends in zip(pdf["hash"], pdf["ends"]):
+                    again.append(k is not None and k in known)  # a row without a key is no repeat of another
+                    if k is not None and not again[-1]:
+                        known.add(k)
+                        new.append((k, ends))
+                yield pd.DataFrame({"payload": pdf["payload"], "again": again})
+            if new:
+                self.pieces.appendList([(b"".join(struct.pack(record, *r) for r in new),)])
+                self.wake(new)
+
+        def wake(self, records) -> None:
+            if any(ends for _, ends in records):
+                self.handle.registerTimer(int(min(ends for _, ends in records if ends)))
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            self.seen.clear()
+            self.past.update((timerValues.getCurrentWatermarkInMs(),))
+            left = self.records()
+            if not left:
+                self.pieces.clear()
+            elif 2 * struct.calcsize(record) * len(left) < sum(len(piece) for (piece,) in self.pieces.get()):
+                self.pieces.put([(b"".join(struct.pack(record, *r) for r in left),)])
+            self.wake(left)
             return iter([])
 
         def close(self) -> None:
@@ -279,24 +301,26 @@ _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZForm
 
 
 def mark_repeats(rows: DataFrame, keys: Sequence[str], ts: str | None = None, ttl: timedelta = timedelta(days=7),
-                 delay: str = "1 hour") -> DataFrame:
+                 delay: str = "1 hour", n_buckets: int = 1024) -> DataFrame:
     """X8 state: ``rows`` with ``_repeat``: whether the row's key was delivered before, in this or any earlier
     batch. With an event time ``ts`` (NTZ) a key is forgotten once the watermark, ``delay`` behind the newest row, is
     ``ttl`` past its first row; without one, never. Nothing is dropped: the first row read of a key passes, rows with a
-    null in the key are no repeats, late rows are judged by what is still known. State is a value per key (RocksDB), so
-    a hot key costs no more than a rare one."""
+    null in the key are no repeats, late rows are judged by what is still known. State (RocksDB) is
+    24 bytes per key, told apart by 128 bits of its sha256, in ``n_buckets`` by hash: a batch calls Python once a bucket,
+    not once a key, and rows of a hot key stream through."""
     schema = rows.schema
     whole = F.lit(True)
     for k in keys:
         whole = whole & F.col(k).isNotNull()
     payload = F.to_json(F.struct(*rows.columns), _JSON)
-    key = F.when(whole, F.to_json(F.struct(*keys), _JSON)).otherwise(F.concat(F.lit("~"), F.sha2(payload, 256)))
+    key = F.when(whole, F.substring(F.unhex(F.sha2(F.to_json(F.struct(*keys), _JSON), 256)), 1, 16))
     ends = F.lit(0).cast("long")
     timed = rows
     if ts is not None:
         timed = event_time(rows.withColumn("_time", F.col(ts)), "_time").withWatermark("_time", delay)
         ends = F.coalesce(F.unix_millis("_time") + int(ttl.total_seconds() * 1000), ends)
-    marked = (timed.select(key.alias("key"), payload.alias("payload"), ends.alias("ends")).groupBy("key")
+    keyed = timed.select(key.alias("hash"), payload.alias("payload"), ends.alias("ends"))
+    marked = (keyed.withColumn("bucket", F.when(F.col("hash").isNull(), bucket_of(["payload"], n_buckets)).otherwise(bucket_of(["hash"], n_buckets))).groupBy("bucket")
               .transformWithStateInPandas(_first_seen(), "payload string, again boolean", "Append", "None" if ts is None else "EventTime"))
     return marked.select(F.from_json("payload", schema, _JSON).alias("_row"), F.col("again").alias("_repeat")).select("_row.*", "_repeat")
 
@@ -304,12 +328,15 @@ def mark_repeats(rows: DataFrame, keys: Sequence[str], ts: str | None = None, tt
 def quarantine_batch(path: str, suite: Sequence[dict], unique_keys: Sequence[str] = ()) -> Callable:
     """Split every micro-batch into good rows and quarantined rows with their reasons, one
     folder per batch id (``batch_id=<n>``), overwritten on replay: exactly once. Rows of
-    :func:`mark_repeats` carry the state of all batches: a repeat has the reason ``duplicate:<keys>``.
+    :func:`mark_repeats` carry the state of all batches: a repeat has the reason ``duplicate:<keys>``; they are
+    written once, as a second run of the state operator costs the same again and may choose another first row.
     Without it, ``unique_keys`` are held against the batch alone."""
     from lakeweave.operators.quality import split_quarantine
 
     def fn(batch: DataFrame, batch_id: int) -> None:
         marked = "_repeat" in batch.columns
+        if marked:
+            batch = materialize(batch, "marked")
         good, bad = split_quarantine(batch, suite, () if marked else unique_keys)
         if marked:
             tag = F.when(F.col("_repeat"), F.array(F.lit("duplicate:" + ",".join(unique_keys)))).otherwise(F.array().cast("array<string>"))
