@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import sys
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeweave.functions.columns import trunc_seconds, ts_lit
+from lakeweave.session import materialize
 
 PREV_PLACEHOLDER = "__PREVIOUS_HASH__"
 GENESIS = "GENESIS"
@@ -233,8 +235,12 @@ def chain_events(events: DataFrame, heads: DataFrame | None = None, segment_seco
 def _leaves(chained: DataFrame) -> DataFrame:
     """Hashes only: documents are not shuffled."""
     return (chained.withColumn("source_system", F.coalesce("source_system", F.lit(UNKNOWN)))
-                   .select(*SEGMENT, "ts", "event_id", content_hash(F.col("doc")).alias("leaf"), F.col("previous_hash").alias("link"))
-                   .repartition(*SEGMENT))
+                   .select(*SEGMENT, "ts", "event_id", F.unhex(content_hash(F.col("doc"))).alias("leaf"), F.col("previous_hash").alias("link")))
+
+
+def _by_segment(rows: DataFrame) -> DataFrame:
+    """Rows with a binary ``leaf``, which takes half the room in the exchange, dealt by segment."""
+    return rows.repartition(*SEGMENT).withColumn("leaf", F.lower(F.hex("leaf")))
 
 
 def _sealed(roots: DataFrame) -> DataFrame:
@@ -244,7 +250,7 @@ def _sealed(roots: DataFrame) -> DataFrame:
 
 def seal_segments(chained: DataFrame) -> DataFrame:
     """(``source_system``, ``seg_hour``, ``n_events``, ``root``, ``first_link``, ``head``) of every stored segment: the record to keep apart."""
-    return _sealed(segment_roots(_leaves(chained)))
+    return _sealed(segment_roots(_by_segment(_leaves(chained))))
 
 
 def chain_heads(chained: DataFrame) -> DataFrame:
@@ -271,8 +277,8 @@ def verify_chain(chained: DataFrame, heads: DataFrame | None = None) -> DataFram
          .select(*SEGMENT, "ts", "event_id", "query_id", "previous_hash", "this_hash", content_hash(F.col("doc")).alias("leaf"),
                  F.sha2("doc", 256).eqNullSafe(F.col("this_hash")).alias("hash_ok"),
                  inside.eqNullSafe(F.col("previous_hash")).alias("__inside"))
-         .repartition(*SEGMENT))  # shared by both consumers below
-    seals = _sealed(segment_roots(c.withColumn("link", F.col("previous_hash"))))
+         .repartition(*SEGMENT))
+    seals = seal_segments(chained)  # the same exchange as in verify_seals: Spark runs it once for both
     by_source = Window.partitionBy("source_system").orderBy("seg_hour")  # one row per segment
     a = seals.select(*SEGMENT, F.lag("head").over(by_source).alias("__head"), (F.row_number().over(by_source) == 1).alias("__first"))
     start = genesis(F.col("source_system"))
@@ -358,11 +364,12 @@ def _proofs(batches):
 
 def inclusion_proofs(chained: DataFrame, wanted: DataFrame) -> DataFrame:
     """``PROOF`` of each stored event whose id is among ``wanted.event_id``: its place, its content hash and the
-    hashes on its way to the segment's root, as many as the logarithm of the segment's events."""
-    ids = wanted.select(F.col("event_id").alias("_id")).distinct()
+    hashes on its way to the segment's root, as many as the logarithm of the segment's events. The ids are written first:
+    Spark knows their size then, and shuffles the trail by id only if they are too many to be sent to all tasks."""
+    ids = materialize(wanted.select(F.col("event_id").alias("_id")).distinct(), "wanted")
     marked = _leaves(chained).join(ids, F.col("event_id") == F.col("_id"), "left").withColumn("wanted", F.col("_id").isNotNull())
     ship_by_value()
-    return (marked.repartition(*SEGMENT).sortWithinPartitions(*SEGMENT, "ts", "event_id", "leaf")
+    return (_by_segment(marked.drop("link", "_id")).sortWithinPartitions(*SEGMENT, "ts", "event_id", "leaf")
                   .select(*SEGMENT, "leaf", "event_id", "wanted").mapInArrow(_proofs, PROOF))
 
 
