@@ -149,11 +149,12 @@ def _segment_roots(batches):
 ROOTS = "source_system string, seg_hour timestamp_ntz, n_events long, root string, first_link string"
 
 
-def segment_roots(rows: DataFrame) -> DataFrame:
-    """``ROOTS`` of rows (``source_system``, ``seg_hour``, ``ts``, ``event_id``, ``leaf``, ``link``)."""
+def segment_roots(rows: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """``ROOTS`` of rows (``source_system``, ``seg_hour``, ``ts``, ``event_id``, ``leaf``, ``link``). Columns in ``also`` are read
+    as well, so that an exchange below is the same as another consumer's and runs once."""
     ship_by_value()
     order = rows.sortWithinPartitions(*SEGMENT, "ts", "event_id", "leaf")
-    return order.select(*SEGMENT, "leaf", "link").mapInArrow(_segment_roots, ROOTS)
+    return order.select(*SEGMENT, "leaf", "link", *also).mapInArrow(_segment_roots, ROOTS)
 
 
 def _fold(rows: pa.Table) -> pa.Table:
@@ -205,9 +206,12 @@ def _link_batches(batches):
 
 def chain_templates(rows: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """Links rows (``source_system``, ``seg_hour``, ``ts``, ``event_id``, ``query_id``, ``template``) of whole segments."""
-    # One hash exchange by segment feeds the roots and the rows (Spark reuses it)
-    e = rows.withColumn("leaf", F.sha2("template", 256)).repartition(*SEGMENT)
-    anchors = running_heads(segment_roots(e.withColumn("link", F.lit(None).cast("string"))), heads)
+    # One hash exchange by segment feeds the roots and the rows. Spark reuses it as both read all its columns and
+    # the join's own conditions (a segment is never null) stand below it for both
+    whole = F.col("source_system").isNotNull() & F.col("seg_hour").isNotNull()
+    e = (rows.filter(whole).select(*SEGMENT, "ts", "event_id", "query_id", "template").repartition(*SEGMENT)
+             .withColumn("leaf", F.sha2("template", 256)))
+    anchors = running_heads(segment_roots(e.withColumn("link", F.lit(None).cast("string")), ["query_id"]), heads)
     work = (e.join(anchors, SEGMENT).select(*SEGMENT, "ts", "event_id", "query_id", "leaf", "template", "anchor")
              .sortWithinPartitions(*SEGMENT, "ts", "event_id", "leaf"))
     ship_by_value()
@@ -254,8 +258,12 @@ def seal_segments(chained: DataFrame) -> DataFrame:
 
 
 def chain_heads(chained: DataFrame) -> DataFrame:
-    """(``source_system``, ``head``): the head after the last segment of each source, to continue or to keep apart."""
-    return last_heads(seal_segments(chained))
+    """(``source_system``, ``head``): the head after the last segment of each source, to continue or to keep apart.
+    A stored trail is read twice, but only the last segments are shuffled and sealed."""
+    c = chained.withColumn("source_system", F.coalesce("source_system", F.lit(UNKNOWN)))
+    last = c.groupBy(F.col("source_system").alias("_source")).agg(F.max("seg_hour").alias("_last"))  # one row per source
+    ends = c.join(F.broadcast(last), (F.col("source_system") == F.col("_source")) & F.col("seg_hour").eqNullSafe(F.col("_last")), "left_semi")
+    return last_heads(seal_segments(ends))
 
 
 def last_heads(seals: DataFrame) -> DataFrame:
@@ -274,7 +282,7 @@ def verify_chain(chained: DataFrame, heads: DataFrame | None = None) -> DataFram
     shows where it was made and at the next segment, not at all later ones. Only hashes are shuffled."""
     inside = F.regexp_extract("doc", r'"previous_hash":"([^"]*)"', 1)
     c = (chained.withColumn("source_system", F.coalesce("source_system", F.lit(UNKNOWN)))
-         .select(*SEGMENT, "ts", "event_id", "query_id", "previous_hash", "this_hash", content_hash(F.col("doc")).alias("leaf"),
+         .select(*SEGMENT, "ts", "event_id", "query_id", "previous_hash", "this_hash", F.unhex(content_hash(F.col("doc"))).alias("leaf"),
                  F.sha2("doc", 256).eqNullSafe(F.col("this_hash")).alias("hash_ok"),
                  inside.eqNullSafe(F.col("previous_hash")).alias("__inside"))
          .repartition(*SEGMENT))

@@ -1329,6 +1329,7 @@ def _attacked(chained):
     s = chained.select("source_system", "seg_hour").distinct()
     w = Window.partitionBy("source_system")
     s = s.select("*", F.row_number().over(w.orderBy("seg_hour")).alias("k"), F.count(F.lit(1)).over(w).alias("m"))
+    s = materialize(s, "segments")  # of known size: documents are shuffled only if the segments are too many to be sent to all tasks
     c = chained.join(s, ["source_system", "seg_hour"]).filter("k NOT IN (1, 6) AND k <> m")
     third = c.filter("k = 3")
     rows = third.withColumn("template", F.regexp_replace(F.regexp_replace(
@@ -1346,9 +1347,9 @@ def _attacked(chained):
     starts AS (SELECT source_system, seg, 'first link' FROM m WHERE (k IN (2, 4) OR k = 7) AND k < m)
     SELECT * FROM gone UNION ALL SELECT * FROM changed UNION ALL SELECT * FROM ends UNION ALL SELECT * FROM starts""")
 def _g8_trail(spark, d):
-    chained = materialize(chained_df(spark, d), "trail")
+    chained = materialize(chained_df(spark, d), "trail", "zstd")  # mostly hexadecimal hashes: half the size of Snappy's
     seals = aud.seal_segments(chained)
-    stored = materialize(_attacked(chained), "trail")
+    stored = materialize(_attacked(chained), "trail", "zstd")
     columns = ["source_system", "seg_hour", "problem"]
     first = aud.broken_links(aud.verify_chain(stored)).select("source_system", "seg_hour", F.lit("first link").alias("problem"))
     end = aud.verify_heads(stored, aud.chain_heads(chained)).withColumn("seg_hour", F.lit(None).cast("timestamp_ntz"))
