@@ -353,18 +353,19 @@ def quarantine_batch(path: str, suite: Sequence[dict], unique_keys: Sequence[str
 # ---------------------------------------------------------------------------
 
 def _segment_buffer(seconds: int):
-    import pandas as pd
+    import pyarrow as pa
     from pyspark.sql.streaming import StatefulProcessor
 
+    held = pa.schema([("ts_us", pa.int64()), ("event_id", pa.string()), ("query_id", pa.string()), ("template", pa.string())])
     columns = ["source_system", "seg_us", "ts_us", "event_id", "query_id", "template", "late"]
 
     class SegmentBuffer(StatefulProcessor):
-        """Keyed by segment: its events wait in a list until a timer at the segment's end, which
-        the watermark sets off, gives them out as a whole."""
+        """Keyed by segment: its events wait in a list of Arrow batches, as they came, until a timer at the
+        segment's end, which the watermark sets off, gives them out as a whole."""
 
         def init(self, handle) -> None:
             self.handle = handle
-            self.events = handle.getListState("events", "ts_us long, event_id string, query_id string, template string")
+            self.events = handle.getListState("events", "batch binary")
 
         def handleInputRows(self, key, rows, timerValues):
             end = key[1] // 1000 + seconds * 1000
@@ -373,21 +374,17 @@ def _segment_buffer(seconds: int):
                 if late:
                     yield pdf.assign(late=True)[columns]
                 else:
-                    self.events.appendList([tuple(r) for r in pdf[["ts_us", "event_id", "query_id", "template"]].astype(object)
-                                            .where(lambda x: x.notna(), None).itertuples(index=False)])
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, held, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+                        writer.write_table(pa.Table.from_pandas(pdf, held, preserve_index=False))
+                    self.events.appendList([(sink.getvalue().to_pybytes(),)])
             if not late:
                 self.handle.registerTimer(end)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            held = []
-            for row in self.events.get():
-                held.append((key[0], key[1], *row, False))
-                if len(held) >= 10_000:
-                    yield pd.DataFrame(held, columns=columns)
-                    held = []
+            for (batch,) in self.events.get():
+                yield pa.ipc.open_stream(batch).read_pandas().assign(source_system=key[0], seg_us=key[1], late=False)[columns]
             self.events.clear()
-            if held:
-                yield pd.DataFrame(held, columns=columns)
 
         def close(self) -> None:
             pass
