@@ -5,17 +5,21 @@ The model is a bigram model with Bayesian smoothing towards the unigrams:
     p(w)     = (c(w) + 1/2) / (N + (V + 1) / 2)
     p(w | v) = (c(v w) + MU p(w)) / (c(v) + MU)
 
-and ``p(w)`` after a word v that is not among the ``HEAD`` most frequent ones (the
-smoothing would leave little of a rare word's own counts). A text's first word
-follows an end.
+for every word v of the training texts; after an unknown one, c(v) = 0, that is
+``p(w)``. A text's first word follows an end.
 
 A trie has the predicted word on its first level and the words before it on the
 second. It is cut by a hash of the first level in shards of bounded size, and
 each occurrence in a text travels once, to the shard that holds its n-gram;
 there the training texts' occurrences make the counts and everybody's are
-scored. Words of the head, which may be any share of all tokens, are dealt by
-the n-gram instead; their counts are in a table of bounded size that every task
-has. A shard writes its trie in levels to a file that it maps into memory: words
+scored. Words of the head (the ``HEAD`` most frequent ones), which may be any share
+of all tokens, are dealt by the n-gram instead; their counts are in a table of
+bounded size that every task has. After any other word v, whose count lies in the
+shard of v, the n-gram's shard divides by ``rest + MU`` in place of ``c(v) + MU``,
+where no word outside the head occurs more than ``rest`` times. Within a text every
+token, its end too, is the word before exactly once, so the shard of v adds
+``log10((rest + MU) / (c(v) + MU))`` for each of the text's v. The head thus decides
+only where rows go, never what is counted. A shard writes its trie in levels to a file that it maps into memory: words
 and pointers as Elias-Fano sequences, the second level as one too (each entry is
 offset by its parent's place, so that it is monotone and a successor search
 finds it), and the log-probabilities in 16-bit steps. Sums by document come back
@@ -41,6 +45,7 @@ HEAD = 1 << 16
 MU = 200.0
 SHARD_TOKENS = 2_500_000  # training tokens for each shard
 RUN_BYTES = 8 << 20
+BLOCK = 1 << 18  # entries built or looked up at a time: several 64-bit values are held for each
 END = np.uint64(0x5DEECE66D1CE4E5B)  # stands for the end of a text among the words' hashes
 QUANTUM = 16.0 / 65535  # step of log10 probabilities, which reach from 0 to -16
 
@@ -58,17 +63,19 @@ class EliasFano:
         top = int(v[-1]) + 1 if self.n else 1
         self.low_bits = max(0, (top // max(self.n, 1)).bit_length() - 1)
         b = np.uint64(self.low_bits)
-        low = v & ((np.uint64(1) << b) - np.uint64(1))
-        at = np.arange(self.n, dtype=np.uint64) * b
         self.low = np.zeros(int(self.n * self.low_bits) // 64 + 2, np.uint64)
-        word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-        np.bitwise_or.at(self.low, word, low << shift)
-        over = (shift + b > np.uint64(64)) & (b > 0)
-        np.bitwise_or.at(self.low, word[over] + 1, low[over] >> (np.uint64(64) - shift[over]))
-        ones = (v >> b).astype(np.int64) + np.arange(self.n)
-        size = int(ones[-1]) + 2 if self.n else 1
+        size = int(v[-1] >> b) + self.n + 1 if self.n else 1
         bits = np.zeros(-(-size // 64) * 64, np.uint8)
-        bits[ones] = 1
+        for i in range(0, self.n, BLOCK):
+            part = v[i:i + BLOCK]
+            place = np.arange(i, i + len(part))
+            low = part & ((np.uint64(1) << b) - np.uint64(1))
+            at = place.astype(np.uint64) * b
+            word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+            np.bitwise_or.at(self.low, word, low << shift)
+            over = (shift + b > np.uint64(64)) & (b > 0)
+            np.bitwise_or.at(self.low, word[over] + 1, low[over] >> (np.uint64(64) - shift[over]))
+            bits[(part >> b).astype(np.int64) + place] = 1
         bits[size:] = 1  # past the end there is nothing to find
         self.high = np.packbits(bits, bitorder="little").view(np.uint64)
         self.zeros = np.concatenate([[0], np.cumsum(64 - np.bitwise_count(self.high).astype(np.int64))])
@@ -128,23 +135,24 @@ class EliasFano:
 class NgramTrie:
     """Two levels of n-grams, the last word first, in one memory-mapped file."""
 
-    def __init__(self, words: np.ndarray, children: np.ndarray, contexts: np.ndarray, n_contexts: int, log10: np.ndarray):
+    def __init__(self, words: np.ndarray, children: np.ndarray, contexts: np.ndarray, heads: int, others: np.ndarray, log10: np.ndarray):
         """``words`` ascending; ``children`` of each; ``contexts`` ascending under each
-        word; ``log10`` probability of each context's entry."""
-        self.n_contexts = n_contexts
+        word; ``log10`` probability of each context's entry. Contexts are numbers in
+        the head up to ``heads``, then places among the words ``others`` (ascending)."""
+        self.heads, self.n_contexts = heads, heads + 1 + len(others)
         place = np.repeat(np.arange(len(words)), children).astype(np.uint64)
         self.file = tempfile.TemporaryFile()
         self.sequences, spots = [], []
         step = np.clip(np.round(-log10 / QUANTUM), 0, 65535).astype(np.uint16)
         for seq in (EliasFano(words), EliasFano(np.concatenate([[0], np.cumsum(children)])),
-                    EliasFano(place * np.uint64(n_contexts) + contexts.astype(np.uint64))):
+                    EliasFano(place * np.uint64(self.n_contexts) + contexts.astype(np.uint64)), EliasFano(others)):
             n, low_bits, *arrays = seq.parts()
             spots.append((n, low_bits, [self._write(a) for a in arrays]))
         log_spot = self._write(step)
         self.file.flush()
         for n, low_bits, arrays in spots:
             self.sequences.append(EliasFano(arrays=(n, low_bits, *[self._map(s) for s in arrays])))
-        self.words, self.pointers, self.entries = self.sequences
+        self.words, self.pointers, self.entries, self.others = self.sequences
         self.steps = self._map(log_spot)
 
     def _write(self, a: np.ndarray):
@@ -159,17 +167,23 @@ class NgramTrie:
         at, dtype, n = spot
         return np.memmap(self.file, dtype=dtype, mode="r", offset=at, shape=(n,)) if n else np.empty(0, dtype)
 
+    def numbers(self, others: np.ndarray) -> np.ndarray:
+        """Numbers of contexts outside the head, 0 for those without an entry."""
+        at = self.others.find(others)
+        return np.where(at >= 0, self.heads + 1 + at, 0)
+
     def lookup(self, words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
         """log10 probability of each (word, context) that is an entry, else NaN."""
-        parent = self.words.find(words)
         out = np.full(len(words), np.nan)
-        some = np.flatnonzero((parent >= 0) & (contexts > 0))
-        at = self.entries.find(parent[some].astype(np.uint64) * np.uint64(self.n_contexts) + contexts[some].astype(np.uint64))
-        out[some[at >= 0]] = -QUANTUM * self.steps[at[at >= 0]].astype(float)
+        for i in range(0, len(words), BLOCK):
+            parent, context = self.words.find(words[i:i + BLOCK]), contexts[i:i + BLOCK]
+            some = np.flatnonzero((parent >= 0) & (context > 0))
+            at = self.entries.find(parent[some].astype(np.uint64) * np.uint64(self.n_contexts) + context[some].astype(np.uint64))
+            out[i + some[at >= 0]] = -QUANTUM * self.steps[at[at >= 0]].astype(float)
         return out
 
     def close(self) -> None:
-        del self.words, self.pointers, self.entries, self.sequences, self.steps
+        del self.words, self.pointers, self.entries, self.others, self.sequences, self.steps
         self.file.close()
 
 
@@ -196,6 +210,18 @@ def _unpack(raw: bytes) -> list[np.ndarray]:
     return out
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct values, place of each element among them): ``np.unique`` in
+    less memory."""
+    order = np.argsort(x)
+    x = x[order]
+    first = np.ones(len(x), bool)
+    first[1:] = x[1:] != x[:-1]
+    place = np.empty(len(x), np.int32)
+    place[order] = np.cumsum(first, dtype=np.int32) - np.int32(1)
+    return x[first], place
+
+
 def tokens_of(texts: list[bytes], hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the words of each text and an end after each, tokens of each text)."""
     joined = b"\n".join(texts).lower()  # bytes: A-Z only
@@ -225,6 +251,7 @@ class Model:
         self.total, self.distinct, self.shards = total, distinct, shards
         order = np.argsort(head)
         self.head, self.counts = head[order], counts[order]
+        self.rest = int(counts.min()) if distinct > len(head) else 0  # no other word occurs more often
 
     def place(self, codes: np.ndarray) -> np.ndarray:
         """Number of each word in the head from 1, 0 for the others."""
@@ -240,18 +267,24 @@ class Model:
 def occurrences(part_docs: list[bytes], train: np.ndarray, model: Model, hasher: WordHasher):
     """(shard, payload) rows for a run of documents."""
     codes, sizes = tokens_of(part_docs, hasher)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    words, w = np.unique(codes, return_inverse=True)
+    words, w = distinct(codes)
+    del codes
     place = model.place(words)
-    before = np.empty(len(codes), np.int64)  # head number of the word before
-    before[1:] = place[w[:-1]]
-    before[0] = model.place(np.array([END]))[0]  # elsewhere a text's first word does follow an end
-    key = (w.astype(np.uint64) << np.uint64(40)) | (before.astype(np.uint64) << np.uint64(22)) | doc.astype(np.uint64)
-    key, n = np.unique(key, return_counts=True)
-    w, before, doc = (key >> np.uint64(40)).astype(np.int64), (key >> np.uint64(22)).astype(np.int64) & 0x3FFFF, key.astype(np.int64) & 0x3FFFFF
+    before = np.empty_like(w)
+    before[1:] = w[:-1]
+    before[0] = np.searchsorted(words, END)  # elsewhere a text's first word does follow an end
+    pairs, pair = distinct(w.astype(np.int64) * len(words) + before)
+    del w, before
+    key, n = np.unique(pair.astype(np.int64) * len(sizes) + np.repeat(np.arange(len(sizes)), sizes), return_counts=True)
+    pair, doc, n = (key // len(sizes)).astype(np.int32), (key % len(sizes)).astype(np.int32), n.astype(np.int32)
+    pw, pv = (pairs // len(words)).astype(np.int32), (pairs % len(words)).astype(np.int32)
+    del key, pairs
     with np.errstate(over="ignore"):
-        spread = words[w] + np.where(place[w] > 0, before + 1, 0).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    shard = ((mix(spread) >> np.uint64(33)) % np.uint64(model.shards)).astype(np.int32)
+        spread = words[pw] + np.where(place[pw] > 0, words[pv], 0).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    shard = ((mix(spread) >> np.uint64(33)) % np.uint64(model.shards)).astype(np.int32)[pair]
+    w, v = pw[pair], pv[pair]
+    before = place[v]
+    del pair, spread
     order = np.argsort(shard, kind="stable")
     ends = np.searchsorted(shard[order], np.arange(1, model.shards + 1))
     begin = 0
@@ -261,56 +294,65 @@ def occurrences(part_docs: list[bytes], train: np.ndarray, model: Model, hasher:
         if not len(at):
             continue
         first = np.flatnonzero(np.concatenate([[True], w[at][1:] != w[at][:-1]]))
-        yield s, _pack([words[w[at][first]], np.diff(np.append(first, len(at))), before[at], doc[at], n[at], np.packbits(train), np.array([len(sizes)])])
+        others = words[v[at][before[at] == 0]]  # contexts outside the head go by their hashes
+        yield s, _pack([words[w[at][first]], np.diff(np.append(first, len(at))), before[at], others, doc[at], n[at], np.packbits(train), np.array([len(sizes)])])
 
 
 def score_shard(runs: list[bytes], model: Model):
     """For each run of documents: (base, score, tokens, known) sums by document."""
-    words, per_word, before, doc, n, train = [], [], [], [], [], []
+    words, per_word, before, others, doc, n, train = [], [], [], [], [], [], []
     sizes = []
     for raw in runs:
-        w, k, b, d, m, bits, size = _unpack(raw)
+        w, k, b, o, d, m, bits, size = _unpack(raw)
         words.append(w.astype(np.uint64))
         per_word.append(k.astype(np.int64))
         before.append(b.astype(np.int32))
+        others.append(o.astype(np.uint64))
         doc.append(d.astype(np.int32))
         n.append(m.astype(np.int32))
         sizes.append(int(size[0]))
         train.append(np.unpackbits(bits)[:sizes[-1]].astype(bool)[d])
     lengths = [len(d) for d in doc]
-    uniq, inv = np.unique(np.concatenate(words), return_inverse=True)
-    w = np.repeat(inv.astype(np.int32), np.concatenate(per_word))
+    uniq, inv = distinct(np.concatenate(words))
+    w = np.repeat(inv, np.concatenate(per_word))
     del words, per_word, inv
     before, doc, n, train = (np.concatenate(x) for x in (before, doc, n, train))
-    width = len(model.head) + 1
-    pairs, pair = np.unique(w.astype(np.int64) * width + before, return_inverse=True)
-    pair = pair.astype(np.int32)
-    del before
+    heads = len(model.head)
+    others, number = distinct(np.concatenate(others))
+    before[before == 0] = heads + 1 + number
+    width = heads + 1 + len(others)
+    pairs, pair = distinct(w.astype(np.int64) * width + before)
+    del before, number
     seen = np.bincount(pair, weights=n * train, minlength=len(pairs))
-    pw, pv = pairs // width, pairs % width
+    pw, pv = (pairs // width).astype(np.int32), (pairs % width).astype(np.int32)
+    del pairs
     place = model.place(uniq)
     count = np.bincount(pw, weights=seen, minlength=len(uniq))  # all of a tail word's occurrences are here
-    if len(model.head):
+    if heads:
         count = np.where(place > 0, model.counts[np.maximum(place, 1) - 1], count)
     p1 = model.unigram(count)
-    context = np.concatenate([[0], model.counts])[pv]  # c(v)
+    context = np.concatenate([[0], model.counts, np.full(len(others), model.rest)])[pv]  # c(v), for tail words its limit
     smooth = MU * p1[pw] / (context + MU)
-    entry = (seen > 0) & (pv > 0)
+    entry = seen > 0
     known = count > 0
     level = np.flatnonzero(known)
     children = np.bincount(pw[entry], minlength=len(uniq))[level]
-    trie = NgramTrie(uniq[level], children, pv[entry], width, np.log10(seen[entry] / (context[entry] + MU) + smooth[entry]))
-    log10 = trie.lookup(uniq[pw], pv)
+    held = pv[entry]
+    far = np.unique(held[held > heads])
+    held = np.where(held > heads, heads + 1 + np.searchsorted(far, held), held)
+    trie = NgramTrie(uniq[level], children, held, heads, others[far - heads - 1], np.log10(seen[entry] / (context[entry] + MU) + smooth[entry]))
+    del held, context
+    log10 = trie.lookup(uniq[pw], np.concatenate([np.arange(heads + 1), trie.numbers(others)])[pv])
     trie.close()
-    log10 = np.where(np.isnan(log10), np.log10(np.where(pv > 0, smooth, p1[pw])), log10)
-    base = np.log10(p1)[w]
-    known, log10 = known[w], log10[pair]
+    log10 = np.where(np.isnan(log10), np.log10(smooth), log10)
+    as_context = np.where(place > 0, 0.0, np.log10((model.rest + MU) / (count + MU)))
+    base = np.log10(p1)
     at = 0
     for size, length in zip(sizes, lengths):
         i = slice(at, at + length)
         at += length
         add = lambda x: np.bincount(doc[i], weights=n[i] * x, minlength=size)  # noqa: B023, E731
-        yield add(base[i]), add(log10[i]), add(np.ones(length)), add(known[i])
+        yield add(base[w[i]]), add(log10[pair[i]] + as_context[w[i]]), add(np.ones(length)), add(known[w[i]])
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: int = 5, held_fold: int = 1) -> DataFrame:
@@ -325,7 +367,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds
     raw = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     counts = materialize(word_counts(docs.filter(train).select(raw)), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "code").limit(HEAD).collect()  # the head has a fixed size
+    top = counts.orderBy(F.desc("n"), "code").limit(HEAD).collect()  # the head has a fixed size; it only deals
     model = Model(total, distinct, np.array([r["code"] for r in top], np.int64).view(np.uint64),
                   np.array([r["n"] for r in top], np.int64), max(1, -(-total // SHARD_TOKENS)))
     sent = spark.sparkContext.broadcast(model)

@@ -350,6 +350,43 @@ def test_op10_equals_plain_model(spark, odd, sf):
     assert ef_lm.lm_scores(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("head, words, vocabulary", [(1, 300, 900), (20, 300, 900), (None, 6000, 90000)])
+def test_op10_counts_every_context(spark, monkeypatch, head, words, vocabulary):
+    if head:
+        monkeypatch.setattr(ef_lm, "HEAD", head)
+        monkeypatch.setattr(ef_lm, "SHARD_TOKENS", 700)  # so that several shards share a text
+    rng = np.random.default_rng(10)
+    rows = [(1, None), (2, ""), (2, "")]  # null, empty and repeated
+    for k in range(3, 53):
+        if k % 5:
+            first = rng.integers(0, vocabulary, words // 2)
+            text = np.stack([first, (first * 7 + rng.integers(0, 2, len(first))) % vocabulary], axis=1).ravel()  # rare words in pairs that return
+        else:
+            text = np.minimum(rng.zipf(1.3, words), vocabulary)
+        rows.append((k, " ".join(f"W{x}" for x in text)))
+    rows.append(rows[-1])
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    one, two = collections.Counter(), collections.Counter()
+    for i, t in rows:
+        if not held(i):
+            w = [*(t or "").lower().split(), 0]
+            one.update(w)
+            two.update(zip([0, *w], w))
+    n, v = sum(one.values()), len(one)
+    assert v > ef_lm.HEAD
+    p = lambda w: (one[w] + 0.5) / (n + 0.5 * (v + 1))
+    want = []
+    for i, t in rows:
+        w = [*(t or "").lower().split(), 0]
+        score = sum(math.log10((two[a, b] + ef_lm.MU * p(b)) / (one[a] + ef_lm.MU)) for a, b in zip([0, *w], w))
+        want.append((i, held(i), len(w), sum(one[x] > 0 for x in w), n, sum(math.log10(p(x)) for x in w), score))
+    got = ef_lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()
+    assert len(got) == len(want)
+    for g, x in zip(sorted(map(tuple, got)), sorted(want)):
+        assert g[:5] == x[:5] and math.isclose(g[5], x[5], rel_tol=1e-9) and abs(g[6] - x[6]) <= 1.3e-4 * x[2]
+
+
 def test_elias_fano_finds_what_is_there():
     rng = np.random.default_rng(1)
     for n, top in ((1, 5), (10, 11), (1000, 2**60), (5000, 6000), (3000, 2**20)):
